@@ -69,7 +69,7 @@ def domain_bound(f: Field, facts: dict) -> int:
     return facts["present"]
 
 
-def _one_row(cells: DataFrame, wanted: dict[int, dict[str, Column]], chunk: int) -> tuple[int, dict[int, dict]]:
+def one_row(cells: DataFrame, wanted: dict[int, dict[str, Column]], chunk: int) -> tuple[int, dict[int, dict]]:
     """Run per-column aggregates, `chunk` columns per job; returns the row count and the values."""
     ords = list(wanted)
     rows, values = 0, {}
@@ -100,7 +100,7 @@ def table_facts(
     roles, options = roles or Roles(), options or ScanOptions()
     fields = fields_of(df)
     cells = positional(df)
-    rows, values = _one_row(cells, {f.ord: _first_pass(f) for f in fields}, options.chunk)
+    rows, values = one_row(cells, {f.ord: _first_pass(f) for f in fields}, options.chunk)
     facts = TableFacts(rows, fields, values, {})
     for f in fields:
         values[f.ord]["missing"] = rows - values[f.ord]["present"]
@@ -214,7 +214,7 @@ def _last_pass(cells: DataFrame, facts: TableFacts, roles: Roles, options: ScanO
         if aggs:
             wanted[f.ord] = aggs
     if wanted:
-        _, found = _one_row(cells, wanted, options.chunk)
+        _, found = one_row(cells, wanted, options.chunk)
         for o, extra in found.items():
             shape = {k[6:]: x for k, x in extra.items() if k.startswith("shape:")}
             facts.values[o] |= {k: x for k, x in extra.items() if not k.startswith("shape:")}

@@ -16,6 +16,8 @@ class ScanOptions:
                    above it take the bracketing path of plans/quantiles.py.
     chunk          columns per aggregation job, to stay below codegen's method size limit.
     sketch_k       size parameter of the quantile sketches used to place brackets.
+    label_bytes    longest category label a drift report shows whole; a longer text is counted
+                   and listed by its SHA-256 digest (None: always whole).
     timestamp_formats  extra text patterns tried after ISO when parsing timestamps.
     """
 
@@ -24,4 +26,5 @@ class ScanOptions:
     sort_limit: int = 2_000_000
     chunk: int = 60
     sketch_k: int = 4096
+    label_bytes: int | None = 256
     timestamp_formats: tuple[str, ...] = ()
