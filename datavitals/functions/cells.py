@@ -62,11 +62,16 @@ class Field:
     name: str
     kind: str      # integral, floating, string, boolean, temporal, opaque
     dtype: str     # logical name: int64, float64, object, bool, datetime64[ns]
+    stored: str    # Spark type name
 
     @property
     def pos(self) -> str:
         return f"c{self.ord}"
 
+    @property
+    def slot(self) -> str:
+        return self.stored if self.kind == "temporal" else self.kind
+
     @property
     def numeric(self) -> bool:
         return self.kind in ("integral", "floating")
@@ -86,10 +91,10 @@ def fields_of(df: DataFrame) -> list[Field]:
     for i, f in enumerate(df.schema.fields):
         for classes, kind, dtype in _KINDS:
             if isinstance(f.dataType, classes):
-                result.append(Field(i, f.name, kind, dtype))
+                result.append(Field(i, f.name, kind, dtype, f.dataType.typeName()))
                 break
         else:
-            result.append(Field(i, f.name, "opaque", "object"))
+            result.append(Field(i, f.name, "opaque", "object", f.dataType.typeName()))
     return result
 
 

@@ -361,7 +361,7 @@ def shift_table(sides, fields, wanted, categorical: set[str], facts, options: Sc
             if n in categorical:
                 entries.append(slot_struct(i, "string", category_label(as_text(f, c), options.label_bytes), full_text=True))
             else:
-                entries.append(slot_struct(i, f.kind, c))
+                entries.append(slot_struct(i, f.slot, c))
         part = cells.select(F.inline(F.array(*entries))).select("ord", *SLOTS, F.lit(side).alias("side"))
         tagged = part if tagged is None else tagged.unionByName(part)
     freq = (

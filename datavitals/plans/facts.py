@@ -144,7 +144,7 @@ def _exact_pass(cells, facts, counted, numeric, roles, options, probs) -> None:
     asked = {f.ord: [r for p in probs for r in ranks(present[f.ord], p)[:2]] for f in numeric}
     jobs = []
     parsed = [
-        slot_struct(_PARSED + f.ord, "temporal", timestamp_or_null(F.col(f.pos), options.timestamp_formats))
+        slot_struct(_PARSED + f.ord, "timestamp", timestamp_or_null(F.col(f.pos), options.timestamp_formats))
         for f in parsed_time_fields(facts.fields, roles) if facts.rows >= 10
     ]
     if plain or parsed:

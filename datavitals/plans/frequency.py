@@ -24,8 +24,14 @@ def _slot_values(kind: str, c: Column, full_text: bool) -> dict[str, Column]:
         return {"whole": c.cast("int").cast("bigint")}
     if kind == "floating":
         return {"real": c.cast("double")}
-    if kind == "temporal":
-        return {"whole": F.unix_micros(c.cast("timestamp"))}
+    if kind == "date":
+        return {"whole": F.unix_date(c).cast("bigint")}
+    if kind == "timestamp":
+        return {"whole": F.unix_micros(c)}
+    if kind == "timestamp_ntz":
+        # Wall-clock time has no instant; counting it in parts keeps the session's zone out.
+        seconds = F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+        return {"whole": seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")}
     text = c.cast("string")
     return {"text": text if full_text else short_key(text)}
 
@@ -51,7 +57,7 @@ def field_frequencies(cells: DataFrame, fields: list[Field], extra: Iterable[Col
             f"{f.pos}_long": F.when(F.octet_length(f.pos) > SHORT_TEXT, stripped(F.col(f.pos))) for f in texts
         })
     entries = [
-        slot_struct(f.ord, f.kind, F.col(f.pos), long_text=F.col(f"{f.pos}_long") if f in texts else None)
+        slot_struct(f.ord, f.slot, F.col(f.pos), long_text=F.col(f"{f.pos}_long") if f in texts else None)
         for f in fields
     ]
     return (
