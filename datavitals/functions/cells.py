@@ -114,3 +114,11 @@ def positional(df: DataFrame) -> DataFrame:
             c = nan_to_null(c)
         out.append(c.alias(field.pos))
     return renamed.select(*out)
+
+
+def rounded(x: Column, places: int = 4) -> Column:
+    """Round on the binary value, halves away from zero. Spark's round() works on the shortest
+    decimal text of a double and so lifts 0.00015, which is stored just below that."""
+    scale = 10.0**places
+    near = F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+    return F.when(F.abs(x) < 1e11, near).otherwise(x)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -53,21 +54,17 @@ def data_contract(df: DataFrame, roles=None, options: ScanOptions | None = None)
 
 def contract_document(contract: DataFrame, roles=None, generated_at: str | None = None) -> DataFrame:
     """The contract as one JSON document (one row, column `contract`)."""
-    settings = Roles.of(roles).as_settings()
     names = [r["column"] for r in contract.orderBy("col_ord").select("column").collect()]
-    stamp = generated_at or datetime.now(timezone.utc).isoformat(timespec="seconds")
+    header = json.dumps({
+        "contract_version": VERSION,
+        "generated_at": generated_at or datetime.now(timezone.utc).isoformat(timespec="seconds"),
+        "required_columns": names, "roles": Roles.of(roles).as_settings(),
+    }, ensure_ascii=False)
     rules = F.struct(
         "dtype", "max_missing_rate", "nullable", "is_inferred", "min_value", "max_value", "allowed_values", "unique"
     )
     ordered = F.array_sort(F.collect_list(F.struct("col_ord", "column", rules.alias("rules"))))
     columns = F.map_from_entries(F.transform(ordered, lambda e: F.struct(e["column"], e["rules"])))
-    role_fields = [
-        (F.array(*[F.lit(x) for x in v]).cast("array<string>") if isinstance(v, list) else F.lit(v).cast("string")).alias(k)
-        for k, v in settings.items()
-    ]
-    document = F.struct(
-        F.lit(VERSION).alias("contract_version"), F.lit(stamp).alias("generated_at"),
-        F.array(*[F.lit(n) for n in names]).cast("array<string>").alias("required_columns"),
-        F.struct(*role_fields).alias("roles"), F.col("columns"),
+    return contract.agg(
+        F.concat(F.lit(header[:-1] + ', "columns": '), F.to_json(columns), F.lit("}")).alias("contract")
     )
-    return contract.agg(columns.alias("columns")).select(F.to_json(document).alias("contract"))

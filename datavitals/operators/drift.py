@@ -12,7 +12,7 @@ from functools import cached_property
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from datavitals.functions.cells import Field, cell, fields_of, positional
+from datavitals.functions.cells import Field, cell, fields_of, positional, rounded
 from datavitals.functions.normalize import normalize_table
 from datavitals.operators.scoring import DRIFT_LABELS, DRIFT_POINTS, SEVERITY_RANK, banded, clamped, points
 from datavitals.plans.facts import QUARTILES, TableFacts, logical_dtype, one_row, table_facts
@@ -208,7 +208,7 @@ class DriftReport:
 
     @cached_property
     def numeric_table(self) -> DataFrame:
-        stats = [F.round(f"{p}_{c}", 4).alias(f"{p}_{c}") for p in ("baseline", "new") for c in STATS]
+        stats = [rounded(F.col(f"{p}_{c}"), 4).alias(f"{p}_{c}") for p in ("baseline", "new") for c in STATS]
         return self.shared_pairs.filter("family = 'numeric'").select(
             "col_ord", "column", psi().alias("psi"), psi_severity(psi()).alias("severity"), *stats
         )
@@ -313,7 +313,7 @@ def psi() -> Column:
         return F.transform(name, lambda x: F.greatest(x / F.greatest(F.lit(1), total), F.lit(PSI_FLOOR)))
 
     terms = F.zip_with(shares("baseline_bins"), shares("new_bins"), lambda b, c: (c - b) * F.ln(c / b))
-    return F.round(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), 4)
+    return rounded(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), 4)
 
 
 def category_shift() -> dict[str, Column]:
@@ -385,8 +385,8 @@ def shift_table(sides, fields, wanted, categorical: set[str], facts, options: Sc
         F.count_if(seen["nb"]).alias("baseline_unique"), F.count_if(seen["nc"]).alias("new_unique"),
         F.count_if(~seen["nb"]).alias("new_category_count"), F.count_if(~seen["nc"]).alias("removed_category_count"),
         dominant("nb").alias("baseline_dominant"), dominant("nc").alias("new_dominant"),
-        F.round(F.max("b"), 4).alias("baseline_dominant_share"), F.round(F.max("c"), 4).alias("new_dominant_share"),
-        F.round(F.max(F.abs(F.col("c") - F.col("b"))), 4).alias("max_frequency_change"),
+        rounded(F.max("b"), 4).alias("baseline_dominant_share"), rounded(F.max("c"), 4).alias("new_dominant_share"),
+        rounded(F.max(F.abs(F.col("c") - F.col("b"))), 4).alias("max_frequency_change"),
     )
     # Only the first ten new labels are listed; the window's rank limit is applied map-side.
     order = Window.partitionBy("ord").orderBy("text")

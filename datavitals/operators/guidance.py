@@ -213,11 +213,11 @@ def scoring_rules(spark: SparkSession) -> DataFrame:
 
 def rules_fired(issues: DataFrame) -> DataFrame:
     """Each scoring rule with the number of issues it raised in a scan."""
-    rules = scoring_rules(issues.sparkSession)
-    found = issues.groupBy("issue_type", "severity").agg(F.count(F.lit(1)).alias("n"))
-    match = F.array_contains(F.split("issue_types", ","), F.col("issue_type")) & F.contains(
-        F.lower(rules["severity"]), found["severity"]
-    )
-    return rules.join(F.broadcast(found), match, "left").groupBy("rule", rules["severity"]).agg(
+    rules = scoring_rules(issues.sparkSession).select(
+        "rule", "severity", F.explode(F.split("issue_types", ",")).alias("issue_type"),
+        F.split(F.lower("severity"), "/").alias("levels"),
+    ).withColumn("level", F.explode("levels"))
+    found = issues.groupBy("issue_type", F.col("severity").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return rules.join(F.broadcast(found), ["issue_type", "level"], "left").groupBy("rule", "severity").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("fired")
     )

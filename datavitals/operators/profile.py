@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from datavitals.functions.cells import cell, fields_of, positional
+from datavitals.functions.cells import cell, fields_of, positional, rounded
 from datavitals.plans.facts import metrics_frame, table_facts
 from datavitals.plans.frequency import value_freq
 from datavitals.plans.options import ScanOptions
@@ -27,7 +27,7 @@ def dtype_summary(df: DataFrame, options: ScanOptions | None = None) -> DataFram
     facts = table_facts(df, None, options, unique="all", probs=(), fences=False)
     frame = metrics_frame(df.sparkSession, facts, options)
     return frame.filter("rows > 0").select(
-        "column", "dtype", "missing", F.round("missing_rate", 4).alias("missing_rate"),
+        "column", "dtype", "missing", rounded(F.col("missing_rate"), 4).alias("missing_rate"),
         F.col("n_unique").alias("unique"),
     )
 
@@ -36,8 +36,8 @@ def column_profile(df: DataFrame, options: ScanOptions | None = None) -> DataFra
     """Per-column context: rates, distinct ratio and, for numeric columns, the seven statistics
     and the share outside the IQR fences, rounded to four places."""
     facts = table_facts(df, None, options, unique="all")
-    rounded = [F.round(c, 4).alias(c) for c in ("missing_rate", "unique_ratio", *STATS, "outlier_rate")]
-    return metrics_frame(df.sparkSession, facts, options).select("column", "dtype", *rounded)
+    shown = [rounded(F.col(c), 4).alias(c) for c in ("missing_rate", "unique_ratio", *STATS, "outlier_rate")]
+    return metrics_frame(df.sparkSession, facts, options).select("column", "dtype", *shown)
 
 
 def missing_cells(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from datavitals.functions.cells import rounded
+
 # Points a finding costs, by severity.
 HEALTH_POINTS = {"critical": 15, "warning": 5, "minor": 2}
 DRIFT_POINTS = {"critical": 18, "warning": 7, "minor": 2}
@@ -138,8 +140,8 @@ def observability(issues: DataFrame, column_count: int) -> DataFrame:
     width = max(1, column_count)
     touched = F.count_distinct(F.when(F.col("column") != "dataset", F.col("column")))
     return issues.agg(
-        F.round(F.count(F.lit(1)) / width, 2).alias("issue_density"),
-        F.round(touched / width * 100, 1).alias("problematic_columns_pct"),
+        rounded(F.count(F.lit(1)) / width, 2).alias("issue_density"),
+        rounded(touched / width * 100, 1).alias("problematic_columns_pct"),
         banded(clamped(F.sum(points())), RISK_LEVELS).alias("risk_level"),
     )
 
@@ -148,8 +150,8 @@ def with_column_stats(issues: DataFrame, metrics: DataFrame) -> DataFrame:
     """Each issue with its column's statistics; dataset-level issues get NULLs. The metrics
     relation has one row per column, so it is the broadcast side."""
     stats = metrics.select(
-        "column", "dtype", F.round("missing_rate", 4).alias("missing_rate"),
-        F.round("unique_ratio", 4).alias("unique_ratio"), F.round("outlier_rate", 4).alias("outlier_rate"),
-        *[F.round(c, 4).alias(c) for c in ("mean", "std_pop", "min", "p25", "median", "p75", "max")],
+        "column", "dtype", rounded(F.col("missing_rate"), 4).alias("missing_rate"),
+        rounded(F.col("unique_ratio"), 4).alias("unique_ratio"), rounded(F.col("outlier_rate"), 4).alias("outlier_rate"),
+        *[rounded(F.col(c), 4).alias(c) for c in ("mean", "std_pop", "min", "p25", "median", "p75", "max")],
     )
     return issues.join(F.broadcast(stats), "column", "left")
