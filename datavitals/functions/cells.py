@@ -1,4 +1,7 @@
-"""Cell-level expressions shared by the loaders, the scan and the fixes."""
+"""Cell-level expressions shared by the loaders, the scan and the fixes.
+
+Expressions that are generated per column are written as SQL text: a table of a thousand columns
+then costs a few calls into the JVM instead of tens of thousands."""
 
 from __future__ import annotations
 
@@ -19,39 +22,56 @@ _NUMBER_TEXT = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
 _ISO_DATE_START = r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def cell(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
-def stripped(text: Column) -> Column:
+def stripped(c: str) -> str:
     """Text without outer blanks; only a text with a blank at either end is rewritten."""
-    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
-    return F.when(ends.rlike(f"(?U){_BLANK}"), F.regexp_replace(text, _OUTER_BLANKS, "")).otherwise(text)
+    ends = f"concat(left({c}, 1), right({c}, 1))"
+    return f"CASE WHEN rlike({ends}, r'(?U){_BLANK}') THEN regexp_replace({c}, r'{_OUTER_BLANKS}', '') ELSE {c} END"
 
 
-def text_or_null(text: Column) -> Column:
+def text_or_null(c: str) -> str:
     """Strip a text cell; null-like words become NULL."""
-    clean = stripped(text)
-    return F.when(~F.lower(clean).isin(*NULL_WORDS), clean)
+    words = ", ".join(literal(w) for w in NULL_WORDS)
+    return f"CASE WHEN lower({stripped(c)}) NOT IN ({words}) THEN {stripped(c)} END"
 
 
-def number_or_null(clean: Column) -> Column:
+def number_or_null(clean: str) -> str:
     """Stripped text to double; anything that is not a plain number becomes NULL."""
-    return F.when(clean.rlike(_NUMBER_TEXT), clean.try_cast("double"))
+    return f"CASE WHEN rlike({clean}, r'{_NUMBER_TEXT}') THEN try_cast({clean} AS double) END"
 
 
-def timestamp_or_null(text: Column, formats: tuple[str, ...] = ()) -> Column:
+def timestamp_or_null(c: str, formats: tuple[str, ...] = ()) -> str:
     """Text to timestamp: ISO first, then each given pattern, else NULL."""
-    clean = stripped(text)
-    tries = [F.when(clean.rlike(_ISO_DATE_START), clean.try_cast("timestamp"))]
-    tries += [F.try_to_timestamp(clean, F.lit(fmt)) for fmt in formats]
-    return F.coalesce(*tries)
+    clean = stripped(c)
+    tries = [f"CASE WHEN rlike({clean}, r'{_ISO_DATE_START}') THEN try_cast({clean} AS timestamp) END"]
+    tries += [f"try_to_timestamp({clean}, {literal(fmt)})" for fmt in formats]
+    return f"coalesce({', '.join(tries)})"
 
 
-def short_key(text: Column) -> Column:
+def short_key(c: str) -> str:
     """A text's grouping key: itself when short, else its SHA-256 digest, so that counting
     distinct documents shuffles 64 bytes per row instead of the document."""
-    return F.when(F.octet_length(text) > SHORT_TEXT, F.sha2(text, 256)).otherwise(text)
+    return f"CASE WHEN octet_length({c}) > {SHORT_TEXT} THEN sha2({c}, 256) ELSE {c} END"
+
+
+def rounded(x: Column, places: int = 4) -> Column:
+    """Round on the binary value, halves away from zero. Spark's round() works on the shortest
+    decimal text of a double and so lifts 0.00015 read as 9 / 60000, stored just below that."""
+    scale = 10.0**places
+    near = F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+    return F.when(F.abs(x) < 1e11, near).otherwise(x)
 
 
 @dataclass(frozen=True)
@@ -89,36 +109,24 @@ _KINDS = (
 def fields_of(df: DataFrame) -> list[Field]:
     result = []
     for i, f in enumerate(df.schema.fields):
-        for classes, kind, dtype in _KINDS:
-            if isinstance(f.dataType, classes):
-                result.append(Field(i, f.name, kind, dtype, f.dataType.typeName()))
-                break
-        else:
-            result.append(Field(i, f.name, "opaque", "object", f.dataType.typeName()))
+        kind, dtype = next(
+            ((kind, dtype) for classes, kind, dtype in _KINDS if isinstance(f.dataType, classes)), ("opaque", "object")
+        )
+        result.append(Field(i, f.name, kind, dtype, f.dataType.typeName()))
     return result
 
 
-def nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
-
-
-def positional(df: DataFrame) -> DataFrame:
-    """Rename columns to c0..cN (names may clash in case or hold dots) and turn NaN into NULL.
+def positional(df: DataFrame, text=None) -> DataFrame:
+    """Rename columns to c0..cN (names may clash in case or hold dots) and turn NaN into NULL;
+    `text` maps a text cell to its expression.
 
     Being a projection, it costs nothing and still prunes to the columns later steps use."""
-    renamed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     out = []
-    for f, field in zip(renamed.schema.fields, fields_of(df)):
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            c = nan_to_null(c)
-        out.append(c.alias(field.pos))
-    return renamed.select(*out)
-
-
-def rounded(x: Column, places: int = 4) -> Column:
-    """Round on the binary value, halves away from zero. Spark's round() works on the shortest
-    decimal text of a double and so lifts 0.00015, which is stored just below that."""
-    scale = 10.0**places
-    near = F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
-    return F.when(F.abs(x) < 1e11, near).otherwise(x)
+    for f in fields_of(df):
+        if f.stored in ("float", "double"):
+            out.append(f"CASE WHEN NOT isnan({f.pos}) THEN {f.pos} END AS {f.pos}")
+        elif text is not None and f.kind == "string":
+            out.append(f"{text(f.pos)} AS {f.pos}")
+        else:
+            out.append(f.pos)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).selectExpr(*out)

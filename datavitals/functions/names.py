@@ -22,13 +22,13 @@ LEAKAGE_FRAGMENTS = (
 MONITOR_PREFIXES = ("baseline_", "broken_", "new_", "production_", "prod_")
 
 
-def name_contains(name: Column, fragments: tuple[str, ...]) -> Column:
-    return F.lower(name).rlike("|".join(re.escape(f) for f in fragments))
+def pattern(fragments: tuple[str, ...]) -> str:
+    return "|".join(fragments)
 
 
 def name_has(name: str, fragments: tuple[str, ...]) -> bool:
-    """Plan-time twin of name_contains, for deciding which aggregates a column needs."""
-    return re.search("|".join(re.escape(f) for f in fragments), name.lower()) is not None
+    """The rules' name test at plan time, for deciding which aggregates a column needs."""
+    return re.search(pattern(fragments), name.lower()) is not None
 
 
 def normalized_names(names: list[str]) -> list[str]:

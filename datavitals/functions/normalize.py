@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from datavitals.functions.cells import fields_of, positional, text_or_null
+from datavitals.functions.cells import positional, text_or_null
 from datavitals.functions.names import normalized_names
 
 
 def normalize_values(df: DataFrame) -> DataFrame:
     """Strip text cells, turn null-like words and NaN into NULL; other cells stay as they are."""
-    cells = positional(df)
-    out = [
-        (text_or_null(F.col(f.pos)) if f.kind == "string" else F.col(f.pos)).alias(f.pos) for f in fields_of(df)
-    ]
-    return cells.select(*out).toDF(*df.columns)
+    return positional(df, text_or_null).toDF(*df.columns)
 
 
 def normalize_table(df: DataFrame) -> DataFrame:
     """Normalised values under unique, trimmed, lower-case names."""
-    return normalize_values(df).toDF(*normalized_names(df.columns))
+    return positional(df, text_or_null).toDF(*normalized_names(df.columns))

@@ -5,53 +5,50 @@ shape is those, weighted by how often each value occurs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from datavitals.functions.cells import number_or_null
 
 SHAPE = {"bits": "int", "length": "int", "number": "double"}
+# The patterns that decide feature types.
 _TESTS = {
-    "numeric_like_rate": r"(?U)^-?[\d,]+(\.\d+)?$",
-    "spaced_rate": r"(?U)[\s\x1c-\x1f]",
-    "mixed_rate": None,
-    "sep_rate": "[-_]",
-    "uuid_rate": "^[0-9a-fA-F]{8}-[0-9a-fA-F-]{13,}$",
+    "numeric_like_rate": (r"(?U)^-?[\d,]+(\.\d+)?$",),
+    "spaced_rate": (r"(?U)[\s\x1c-\x1f]",),
+    "mixed_rate": ("[A-Za-z]", r"(?U)\d"),
+    "sep_rate": ("[-_]",),
+    "uuid_rate": ("^[0-9a-fA-F]{8}-[0-9a-fA-F-]{13,}$",),
 }
 BARS = (8, 30)   # median lengths that mark tokens and prose
 
 
-def shape_of(text: Column) -> dict[str, Column]:
-    """Shape of a stripped text."""
-    bits = F.lit(0)
-    for i, (name, pattern) in enumerate(_TESTS.items()):
-        test = text.rlike(pattern) if pattern else text.rlike("[A-Za-z]") & text.rlike(r"(?U)\d")
-        bits = bits + F.when(test, F.lit(1 << i)).otherwise(F.lit(0))
+def shape_of(text: str) -> dict[str, str]:
+    """Shape of a stripped text, as SQL."""
+    bits = []
+    for i, patterns in enumerate(_TESTS.values()):
+        test = " AND ".join(f"rlike({text}, r'{p}')" for p in patterns)
+        bits.append(f"CASE WHEN {test} THEN {1 << i} ELSE 0 END")
     return {
-        "bits": F.when(text.isNotNull(), bits),
-        "length": F.length(text),
+        "bits": f"CASE WHEN {text} IS NOT NULL THEN {' + '.join(bits)} END",
+        "length": f"length({text})",
         "number": number_or_null(text),
     }
 
 
-def shape_totals(n: Column, prefix: str = "") -> dict[str, Column]:
+def shape_totals(n: str, prefix: str = "") -> dict[str, str]:
     """Weighted totals of the shape columns; every one is a map-side sum, min or max.
 
     Whether a median length reaches a bar needs no sort: it follows from how many lengths are
     below the bar and the two lengths next to it (an even count averages them)."""
-    bits, length, number = (F.col(prefix + name) for name in SHAPE)
-    out = {"texts": F.sum(F.when(bits.isNotNull(), n))}
+    bits, length, number = (prefix + name for name in SHAPE)
+    out = {"texts": f"sum(CASE WHEN {bits} IS NOT NULL THEN {n} END)"}
     for i, name in enumerate(_TESTS):
-        out[name] = F.sum(F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, n).otherwise(F.lit(0)))
+        out[name] = f"sum(CASE WHEN {bits} & {1 << i} <> 0 THEN {n} ELSE 0 END)"
     for bar in BARS:
-        low = length < bar
-        out[f"below_{bar}"] = F.sum(F.when(low, n).otherwise(F.lit(0)))
-        out[f"under_{bar}"] = F.max(F.when(low, length))
-        out[f"over_{bar}"] = F.min(F.when(~low, length))
-    weight = F.when(number.isNotNull(), n).cast("double")
+        out[f"below_{bar}"] = f"sum(CASE WHEN {length} < {bar} THEN {n} ELSE 0 END)"
+        out[f"under_{bar}"] = f"max(CASE WHEN {length} < {bar} THEN {length} END)"
+        out[f"over_{bar}"] = f"min(CASE WHEN {length} >= {bar} THEN {length} END)"
     out |= {
-        "num_present": F.sum(F.when(number.isNotNull(), n)),
-        "num_sum": F.sum(number * weight), "num_squares": F.sum(number * number * weight),
-        "num_min": F.min(number), "num_max": F.max(number),
+        "num_present": f"sum(CASE WHEN {number} IS NOT NULL THEN {n} END)",
+        "num_sum": f"sum({number} * {n})", "num_squares": f"sum({number} * {number} * {n})",
+        "num_min": f"min({number})", "num_max": f"max({number})",
     }
     return out
 

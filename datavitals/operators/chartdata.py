@@ -7,7 +7,7 @@ from itertools import combinations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from datavitals.functions.cells import cell, fields_of, number_or_null, positional, stripped
+from datavitals.functions.cells import cell, fields_of, number_or_null, positional, quoted, stripped
 from datavitals.operators.drift import category_changes
 from datavitals.operators.scoring import SEVERITY_RANK
 from datavitals.plans.facts import table_facts
@@ -92,8 +92,8 @@ def correlations(df: DataFrame) -> DataFrame:
     rows = [{"column_a": f.name, "column_b": f.name, "corr": 1.0} for f in fields] if pairs else []
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         part = pairs[start:start + PAIRS_PER_JOB]
-        found = cells.agg(*[
-            F.corr(F.col(a.pos).cast("double"), F.col(b.pos).cast("double")).alias(str(i)) for i, (a, b) in enumerate(part)
+        found = cells.selectExpr(*[
+            f"corr(CAST({a.pos} AS double), CAST({b.pos} AS double)) AS `{i}`" for i, (a, b) in enumerate(part)
         ]).first()
         for i, (a, b) in enumerate(part):
             rows += [{"column_a": x.name, "column_b": y.name, "corr": found[str(i)]} for x, y in ((a, b), (b, a))]
@@ -125,7 +125,7 @@ def category_bars(baseline: DataFrame, current: DataFrame, column: str, limit: i
 
 def _as_number(df: DataFrame, column: str) -> Column:
     f = next(f for f in fields_of(df) if f.name == column)
-    return number_or_null(stripped(cell(column))) if f.kind == "string" else cell(column).cast("double")
+    return F.expr(number_or_null(stripped(quoted(column)))) if f.kind == "string" else cell(column).cast("double")
 
 
 def overlay_histogram(baseline: DataFrame, current: DataFrame, column: str, bins: int = OVERLAY_BINS) -> DataFrame:

@@ -7,158 +7,135 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from datavitals.functions import names
+from datavitals.functions.cells import literal
 from datavitals.plans.facts import (
     TableFacts, count_duplicates, count_key_duplicates, metrics_frame, table_facts,
 )
 from datavitals.plans.options import ScanOptions
 from datavitals.roles import Roles
 
-ISSUE_COLUMNS = (
-    "check_ord", "col_ord", "issue_type", "column", "severity", "metric_value", "metric", "feature_type",
+# What the rules read, derived from a facts row in order. Each step may use the ones before it.
+_DERIVED = (
+    {
+        "present": "rows - missing",
+        "ratio": "unique_ratio",
+        "is_column": "kind <> 'dataset'",
+        "named_id": f"rlike(lower(column), '{names.pattern(names.IDENTIFIER_FRAGMENTS)}')",
+        "measured": f"rlike(lower(column), '{names.pattern(names.CONTINUOUS_FRAGMENTS)}')",
+        "timed": f"rlike(lower(column), '{names.pattern(names.TIME_FRAGMENTS)}')",
+        "leaking": f"rlike(lower(column), '{names.pattern(names.LEAKAGE_FRAGMENTS)}')",
+        "token_like": """coalesce(median_ge8 AND compact_rate >= 0.90D
+            AND (mixed_rate >= 0.50D OR sep_rate >= 0.50D OR uuid_rate >= 0.50D), false)""",
+        "low_variance": """coalesce(num_present >= 10 AND num_distinct_gt2 AND num_mean <> 0
+            AND try_divide(num_std, abs(num_mean)) < 0.01D, false)""",
+        "whole": "kind = 'integral' AND dtype = 'int64' AND all_integral",
+    },
+    {
+        # First match wins; the ratio keeps missing rows in its denominator.
+        "feature_type": """CASE
+            WHEN timed THEN 'timestamp-like'
+            WHEN kind = 'string' AND (named_id OR token_like) THEN 'identifier-like'
+            WHEN kind = 'string' AND median_ge30 THEN 'free-text-like'
+            WHEN kind = 'string' THEN 'categorical'
+            WHEN whole AND named_id AND ratio >= 0.90D THEN 'identifier-like'
+            WHEN whole AND NOT measured AND ratio >= 0.98D THEN 'identifier-like'
+            WHEN whole AND n_unique <= least(20, greatest(2, rows div 10)) THEN 'ordinal'
+            WHEN kind IN ('integral', 'floating', 'boolean') THEN 'continuous numeric'
+            ELSE 'categorical' END""",
+    },
+    {
+        "duplicate_rate": "duplicate_rows / greatest(1, rows)",
+        "top_share": "try_divide(top_n, present)",
+        "key_rate": "try_divide(key_duplicates, key_rows)",
+        "parse_rate": "CASE WHEN kind = 'string' THEN parsed WHEN kind IN ('integral', 'floating', 'temporal') THEN present END / greatest(1, rows)",
+        "parsed_ratio": "CASE WHEN kind = 'string' THEN parsed_unique ELSE n_unique END / greatest(1, rows)",
+        "identifier": """coalesce(is_column AND NOT ml_excluded AND rows >= 2 AND present > 0 AND ratio >= 0.95D
+            AND feature_type <> 'continuous numeric' AND (named_id OR token_like OR (low_variance AND NOT measured)), false)""",
+    },
 )
 
-
-def _in(column: Column, members) -> Column:
-    return column.isin(*members) if members else F.lit(False)
-
-
-def token_like() -> Column:
-    return F.coalesce(
-        F.col("median_ge8") & (F.col("compact_rate") >= 0.90)
-        & ((F.col("mixed_rate") >= 0.50) | (F.col("sep_rate") >= 0.50) | (F.col("uuid_rate") >= 0.50)),
-        F.lit(False),
-    )
-
-
-def low_variance() -> Column:
-    spread = F.try_divide(F.col("num_std"), F.abs(F.col("num_mean")))
-    return F.coalesce(
-        (F.col("num_present") >= 10) & F.col("num_distinct_gt2") & (F.col("num_mean") != 0) & (spread < 0.01),
-        F.lit(False),
-    )
+# check number, issue type, condition, severity, value, metric text, whether the feature type is told
+_RULES = (
+    (1, "missing_values", "is_column AND missing > 0",
+     "CASE WHEN missing_rate > 0.40D THEN 'critical' WHEN missing_rate >= 0.05D THEN 'warning' ELSE 'minor' END",
+     "missing_rate", "format_string('%.1f%% missing', missing_rate * 100)", False),
+    (2, "duplicate_rows", "NOT is_column AND duplicate_rows > 0",
+     "CASE WHEN duplicate_rate > 0.20D THEN 'critical' ELSE 'warning' END",
+     "duplicate_rate", "format_string('%.1f%% duplicate rows', duplicate_rate * 100)", False),
+    (3, "constant_column", "is_column AND missing = 0 AND n_unique = 1", "'critical'", "1", "'1 unique value'", False),
+    (4, "high_cardinality_categorical",
+     """is_column AND NOT ml_excluded AND rows >= 2 AND kind = 'string' AND feature_type = 'categorical'
+        AND n_unique >= 50 AND ratio >= 0.30D""",
+     "'warning'", "ratio", "format_string('%d unique values (%.1f%% of rows)', n_unique, ratio * 100)", False),
+    (5, "numeric_outliers_iqr", "is_column AND present >= 4 AND `min` < `max` AND outlier_rate > 0",
+     "CASE WHEN outlier_rate > 0.10D THEN 'critical' ELSE 'minor' END",
+     "outlier_rate", "format_string('%.1f%% outside IQR bounds', outlier_rate * 100)", False),
+    (6, "likely_id_column", "identifier", "'warning'", "ratio", "format_string('%.1f%% unique values', ratio * 100)", True),
+    (7, "possible_wrong_dtype", "kind = 'string' AND numeric_like_rate >= 0.80D", "'minor'", "numeric_like_rate",
+     "format_string('%.1f%% numeric-looking strings', numeric_like_rate * 100)", False),
+    (8, "imbalanced_categorical", "kind = 'string' AND NOT protected AND n_unique >= 2 AND top_share >= 0.95D", "'warning'",
+     "top_share", "format_string('top category is %.1f%% of non-missing rows', top_share * 100)", False),
+    (9, "suspicious_timestamp_granularity",
+     "is_column AND rows >= 10 AND timed AND NOT is_timestamp AND parse_rate >= 0.80D AND parsed_ratio > 0.80D", "'warning'",
+     "parsed_ratio", "format_string('%.1f%% unique timestamp values', parsed_ratio * 100)", False),
+    (10, "potential_target_leakage", "is_column AND leaking AND NOT is_target", "'warning'", "NULL",
+     "'name suggests target or post-outcome signal'", False),
+    (11, "entity_id_integrity_risk", "is_column AND is_entity AND key_duplicates > 0",
+     "CASE WHEN key_rate <= 0.20D THEN 'warning' ELSE 'critical' END", "key_rate",
+     "format_string('%.1f%% duplicate non-missing keys (%s)', key_rate * 100, key_label)", False),
+    (12, "too_many_unique_values",
+     """is_column AND NOT ml_excluded AND rows >= 10 AND NOT identifier
+        AND feature_type IN ('identifier-like', 'free-text-like') AND n_unique > 20 AND ratio > 0.80D""",
+     "CASE WHEN feature_type = 'identifier-like' THEN 'warning' ELSE 'minor' END",
+     "ratio", "format_string('%d unique values (%.1f%% of rows)', n_unique, ratio * 100)", True),
+    (13, "target_quality_risk", "is_target AND missing > 0", "CASE WHEN missing_rate > 0.05D THEN 'critical' ELSE 'warning' END",
+     "missing_rate", "format_string('%.1f%% target missing', missing_rate * 100)", False),
+    (14, "target_imbalance_risk", "is_target AND n_unique >= 2 AND top_share >= 0.90D", "'warning'", "top_share",
+     "format_string('top target class is %.1f%%', top_share * 100)", False),
+)
+_EMPTY = (0, "empty_dataset", "NOT is_column", "'critical'", "rows", "'no usable rows or columns'", False)
 
 
-def feature_type() -> Column:
-    """First match wins; the ratio keeps missing rows in its denominator."""
-    name, kind = F.col("column"), F.col("kind")
-    text, whole = kind == "string", (kind == "integral") & (F.col("dtype") == "int64") & F.col("all_integral")
-    named_id = names.name_contains(name, names.IDENTIFIER_FRAGMENTS)
-    measured = names.name_contains(name, names.CONTINUOUS_FRAGMENTS)
-    ratio = F.col("unique_ratio")
-    few = F.least(F.lit(20), F.greatest(F.lit(2), F.floor(F.col("rows") / 10)))
+def _issue(rule: tuple) -> str:
+    check, kind, when, severity, value, metric, typed = rule
+    feature = "feature_type" if typed else "CAST(NULL AS string)"
     return (
-        F.when(names.name_contains(name, names.TIME_FRAGMENTS), "timestamp-like")
-        .when(text & (named_id | token_like()), "identifier-like")
-        .when(text & F.col("median_ge30"), "free-text-like")
-        .when(text, "categorical")
-        .when(whole & named_id & (ratio >= 0.90), "identifier-like")
-        .when(whole & ~measured & (ratio >= 0.98), "identifier-like")
-        .when(whole & (F.col("n_unique") <= few), "ordinal")
-        .when(kind.isin("integral", "floating", "boolean"), "continuous numeric")
-        .otherwise("categorical")
+        f"CASE WHEN {when} THEN struct({check} AS check_ord, col_ord, '{kind}' AS issue_type, column, {severity} AS severity, "
+        f"CAST({value} AS double) AS metric_value, {metric} AS metric, {feature} AS feature_type) END"
     )
 
 
-def _issue(check: int, kind: str, when: Column, severity, value: Column, metric: Column, feature=None) -> Column:
-    return F.when(
-        when,
-        F.struct(
-            F.lit(check).alias("check_ord"), F.col("col_ord"), F.lit(kind).alias("issue_type"), F.col("column"),
-            (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"),
-            value.cast("double").alias("metric_value"), metric.alias("metric"),
-            (F.lit(None).cast("string") if feature is None else feature).alias("feature_type"),
-        ),
-    )
-
+def _role_flags(roles: Roles) -> dict[str, str]:
+    def among(members) -> str:
+        return f"column IN ({', '.join(literal(m) for m in sorted(members))})" if members else "false"
 
-def _percent(template: str, rate: Column) -> Column:
-    return F.format_string(template.replace("{}", "%.1f%%"), rate * 100)
+    label = " + ".join(x for x in (roles.entity_id, roles.timestamp) if x)
+    return {
+        "ml_excluded": among(roles.ml_excluded), "protected": among(roles.protected),
+        "is_target": among([roles.target] if roles.target else []),
+        "is_entity": among([roles.entity_id] if roles.entity_id else []),
+        "is_timestamp": among([roles.timestamp] if roles.timestamp else []), "key_label": literal(label),
+    }
 
 
-def rules(roles: Roles) -> list[Column]:
-    name, kind, rows = F.col("column"), F.col("kind"), F.col("rows")
-    present = rows - F.col("missing")
-    missing_rate, ratio, n_unique = F.col("missing_rate"), F.col("unique_ratio"), F.col("n_unique")
-    feature = F.col("feature_type")
-    is_column, text = kind != "dataset", kind == "string"
-    in_ml = is_column & ~_in(name, roles.ml_excluded)
-    named_id = names.name_contains(name, names.IDENTIFIER_FRAGMENTS)
-    measured = names.name_contains(name, names.CONTINUOUS_FRAGMENTS)
-    top_share = F.try_divide(F.col("top_n"), present)
-    is_target = is_column & (name == F.lit(roles.target)) if roles.target else F.lit(False)
-
-    def of_rows(rate: Column) -> Column:
-        return F.format_string("%d unique values (%.1f%% of rows)", n_unique, rate * 100)
-
-    duplicate_rate = F.col("duplicate_rows") / rows
-    outliers = F.col("outlier_rate")
-    identifier = in_ml & (rows >= 2) & (present > 0) & (ratio >= 0.95) & (feature != "continuous numeric") & (
-        named_id | token_like() | (low_variance() & ~measured)
-    )
-    parsed = F.when(text, F.col("parsed")).when(kind.isin("integral", "floating", "temporal"), present)
-    parsed_unique = F.when(text, F.col("parsed_unique")).otherwise(n_unique) / rows
-    key_rate = F.try_divide(F.col("key_duplicates"), F.col("key_rows"))
-    key_label = " + ".join([roles.entity_id] + ([roles.timestamp] if roles.timestamp else []))
-
-    return [
-        _issue(1, "missing_values", is_column & (F.col("missing") > 0),
-               F.when(missing_rate > 0.40, "critical").when(missing_rate >= 0.05, "warning").otherwise("minor"),
-               missing_rate, _percent("{} missing", missing_rate)),
-        _issue(2, "duplicate_rows", ~is_column & (F.col("duplicate_rows") > 0),
-               F.when(duplicate_rate > 0.20, "critical").otherwise("warning"),
-               duplicate_rate, _percent("{} duplicate rows", duplicate_rate)),
-        _issue(3, "constant_column", is_column & (F.col("missing") == 0) & (n_unique == 1),
-               "critical", F.lit(1.0), F.lit("1 unique value")),
-        _issue(4, "high_cardinality_categorical",
-               in_ml & (rows >= 2) & text & (feature == "categorical") & (n_unique >= 50) & (ratio >= 0.30),
-               "warning", ratio, of_rows(ratio)),
-        _issue(5, "numeric_outliers_iqr",
-               is_column & (present >= 4) & (F.col("min") < F.col("max")) & (outliers > 0),
-               F.when(outliers > 0.10, "critical").otherwise("minor"),
-               outliers, _percent("{} outside IQR bounds", outliers)),
-        _issue(6, "likely_id_column", identifier, "warning", ratio, _percent("{} unique values", ratio), feature),
-        _issue(7, "possible_wrong_dtype", text & (F.col("numeric_like_rate") >= 0.80), "minor",
-               F.col("numeric_like_rate"), _percent("{} numeric-looking strings", F.col("numeric_like_rate"))),
-        _issue(8, "imbalanced_categorical",
-               text & ~_in(name, roles.protected) & (n_unique >= 2) & (top_share >= 0.95),
-               "warning", top_share, _percent("top category is {} of non-missing rows", top_share)),
-        _issue(9, "suspicious_timestamp_granularity",
-               is_column & (rows >= 10) & names.name_contains(name, names.TIME_FRAGMENTS)
-               & (name != F.lit(roles.timestamp)) & (parsed / rows >= 0.80) & (parsed_unique > 0.80),
-               "warning", parsed_unique, _percent("{} unique timestamp values", parsed_unique)),
-        _issue(10, "potential_target_leakage",
-               is_column & names.name_contains(name, names.LEAKAGE_FRAGMENTS) & (name != F.lit(roles.target)),
-               "warning", F.lit(None), F.lit("name suggests target or post-outcome signal")),
-        _issue(11, "entity_id_integrity_risk",
-               is_column & (name == F.lit(roles.entity_id)) & (F.col("key_duplicates") > 0),
-               F.when(key_rate <= 0.20, "warning").otherwise("critical"),
-               key_rate, F.concat(_percent("{} duplicate non-missing keys (", key_rate), F.lit(key_label + ")"))),
-        _issue(12, "too_many_unique_values",
-               in_ml & (rows >= 10) & ~F.coalesce(identifier, F.lit(False))
-               & feature.isin("identifier-like", "free-text-like") & (n_unique > 20) & (ratio > 0.80),
-               F.when(feature == "identifier-like", "warning").otherwise("minor"),
-               ratio, of_rows(ratio), feature),
-        _issue(13, "target_quality_risk", is_target & (F.col("missing") > 0),
-               F.when(missing_rate > 0.05, "critical").otherwise("warning"),
-               missing_rate, _percent("{} target missing", missing_rate)),
-        _issue(14, "target_imbalance_risk", is_target & (n_unique >= 2) & (top_share >= 0.90),
-               "warning", top_share, _percent("top target class is {}", top_share)),
-    ]
+def derived(facts_frame: DataFrame, roles: Roles) -> DataFrame:
+    """Facts rows with everything the rules read, feature types included."""
+    for step in (_role_flags(roles), *_DERIVED):
+        facts_frame = facts_frame.selectExpr("*", *[f"{sql} AS {name}" for name, sql in step.items()])
+    return facts_frame
 
 
 def issues_of(facts_frame: DataFrame, roles: Roles) -> DataFrame:
     """Issue rows from a facts relation that includes the dataset row."""
-    typed = facts_frame.withColumn("feature_type", feature_type())
-    empty = _issue(
-        0, "empty_dataset", (F.col("kind") == "dataset") & (F.col("rows") == 0), "critical",
-        F.col("rows"), F.lit("no usable rows or columns"),
+    rules = ", ".join(_issue(r) for r in _RULES)
+    return (
+        derived(facts_frame, roles)
+        .selectExpr(f"inline(array_compact(CASE WHEN rows = 0 THEN array({_issue(_EMPTY)}) ELSE array({rules}) END))")
+        .orderBy("check_ord", "col_ord")
     )
-    found = F.array_compact(F.array(*rules(roles)))
-    chosen = F.when(F.col("rows") == 0, F.array_compact(F.array(empty))).otherwise(found)
-    return typed.select(F.inline(chosen)).select(*ISSUE_COLUMNS).orderBy("check_ord", "col_ord")
 
 
 class Scan:
@@ -180,7 +157,7 @@ class Scan:
     @cached_property
     def metrics(self) -> DataFrame:
         frame = metrics_frame(self.df.sparkSession, self.facts, self.options)
-        return frame.withColumn("feature_type", feature_type())
+        return derived(frame, self.roles).select(*frame.columns, "feature_type")
 
     @cached_property
     def issues(self) -> DataFrame:
@@ -202,4 +179,4 @@ def by_severity(issues: DataFrame, severity: str) -> DataFrame:
 
 def ml_columns(metrics: DataFrame, roles=None) -> DataFrame:
     """Columns the feature checks look at."""
-    return metrics.filter(~_in(F.col("column"), Roles.of(roles).ml_excluded))
+    return metrics.filter(f"NOT {_role_flags(Roles.of(roles))['ml_excluded']}")

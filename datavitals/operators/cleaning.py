@@ -42,7 +42,7 @@ def constant_fields(df: DataFrame, facts: TableFacts, filled: set[str], options:
     wanted = {}
     for f in facts.fields:
         if f.kind in ("string", "temporal") and facts.of(f, "present") == facts.rows:
-            wanted[f.ord] = {"same": F.min(f.pos) == F.max(f.pos)}
+            wanted[f.ord] = {"same": f"min({f.pos}) = max({f.pos})"}
     found = one_row(positional(df), wanted, options.chunk)[1] if wanted else {}
     out = []
     for f in facts.fields:

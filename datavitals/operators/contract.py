@@ -32,9 +32,9 @@ def data_contract(df: DataFrame, roles=None, options: ScanOptions | None = None)
     listed = [f for f in facts.fields if 0 < (facts.of(f, "n_unique") or 0) <= LISTED_VALUES]
     values: dict[int, list[str]] = {}
     if listed:
-        entries = [F.struct(F.lit(f.ord).alias("ord"), as_text(f, F.col(f.pos)).alias("value")) for f in listed]
+        entries = ", ".join(f"struct({f.ord} AS ord, {as_text(f, f.pos)} AS value)" for f in listed)
         found = (
-            positional(df).select(F.inline(F.array(*entries))).filter("value is not null")
+            positional(df).selectExpr(f"inline(array({entries}))").filter("value is not null")
             .groupBy("ord").agg(F.array_sort(F.collect_set("value")).alias("found"))
         )
         values = {r["ord"]: r["found"] for r in found.collect()}

@@ -10,14 +10,16 @@ from __future__ import annotations
 from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from datavitals.functions.cells import Field, cell, fields_of, positional, rounded
+from datavitals.functions.cells import Field, cell, fields_of, positional, quoted, rounded
 from datavitals.functions.normalize import normalize_table
 from datavitals.operators.scoring import DRIFT_LABELS, DRIFT_POINTS, SEVERITY_RANK, banded, clamped, points
-from datavitals.plans.facts import QUARTILES, TableFacts, logical_dtype, one_row, table_facts
-from datavitals.plans.frequency import SLOTS, as_text, has_value, slot_struct
+from datavitals.plans.facts import QUARTILES, TableFacts, add_counts, first_facts, logical_dtype, one_row
+from datavitals.plans.frequency import HAS_VALUE, SLOTS, as_text, slot_struct
 from datavitals.plans.options import ScanOptions
+from datavitals.plans.quantiles import number
+from datavitals.roles import Roles
 
 DECILES = tuple(i / 10 for i in range(11))
 # Floor of a bin's share, number of bins, and the PSI severity bars.
@@ -41,30 +43,11 @@ def psi_edges(base: dict, new: dict, deciles: list[float]) -> list[float]:
     return edges[1:-1]
 
 
-def missing_severity(change: Column, warning: float, critical: float) -> Column:
-    return (
-        F.when(change >= critical, "critical").when(change >= warning, "warning")
-        .when(change == 0, "none").otherwise("minor")
-    )
-
-
-def psi_severity(psi: Column) -> Column:
-    return F.when(psi > PSI_CRITICAL, "critical").when(psi >= PSI_WARNING, "warning").otherwise("minor")
-
-
-def category_severity(change: Column, unseen: Column, dominant_changed: Column) -> Column:
-    return (
-        F.when((change > 0.30) | (unseen >= 10), "critical")
-        .when((change >= 0.10) | (unseen > 0) | dominant_changed, "warning")
-        .otherwise("minor")
-    )
-
-
-def category_label(text: Column, limit: int | None) -> Column:
+def category_label(text: str, limit: int | None) -> str:
     """A category's label: the text, or its digest when longer than `limit` bytes."""
     if limit is None:
         return text
-    return F.when(F.octet_length(text) > limit, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+    return f"CASE WHEN octet_length({text}) > {limit} THEN concat('sha256:', sha2({text}, 256)) ELSE {text} END"
 
 
 class DriftReport:
@@ -96,29 +79,40 @@ class DriftReport:
             n for n in self.shared if n not in numeric and not any(f.kind == "opaque" for f in self._pair(n))
         ]
 
-    # facts ------------------------------------------------------------------------------------
+    # facts: each is collected once, and only for the tables that need it --------------------------
+
+    @cached_property
+    def counted(self) -> tuple[TableFacts, TableFacts]:
+        """Plain aggregates of both sides."""
+        return tuple(first_facts(d, self.options) for d in self.sides)
 
     @cached_property
     def facts(self) -> tuple[TableFacts, TableFacts]:
-        base = table_facts(
-            self.sides[0], options=self.options, unique="none", probs=tuple(sorted({*QUARTILES, *DECILES})), fences=False
-        )
-        new = table_facts(self.sides[1], options=self.options, unique="none", fences=False)
-        return base, new
+        """The same with quantiles; small-domain numeric columns get their distinct count too."""
+        for side, probs in enumerate((tuple(sorted({*QUARTILES, *DECILES})), QUARTILES)):
+            add_counts(self.sides[side], self.counted[side], [], probs, Roles(), self.options, times=False)
+        return self.counted
+
+    def _shift(self, names: list[str]) -> dict[str, dict]:
+        if not names:
+            return {}
+        rows = shift_table(self.sides, self.fields, names, set(self.categorical), self.counted, self.options).collect()
+        return {names[r["ord"]]: r.asDict() for r in rows}
 
     @cached_property
-    def shift_rows(self) -> list[dict]:
-        """Per shared column: distinct counts of both sides and, for categories, the shift."""
-        base, new = self.facts
-        known = {
-            n for n in self.numeric
-            if all(s.of(f, "n_unique") is not None or not s.of(f, "present") for s, f in zip((base, new), self._pair(n)))
-        }
-        wanted = [n for n in self.shared if n not in known and "opaque" not in {f.kind for f in self._pair(n)}]
-        if not wanted:
-            return []
-        rows = shift_table(self.sides, self.fields, wanted, set(self.categorical), self.facts, self.options).collect()
-        return [r.asDict() | {"column": wanted[r["ord"]]} for r in rows]
+    def shifts(self) -> dict[str, dict]:
+        return self._shift(self.categorical)
+
+    @cached_property
+    def uniques(self) -> dict[str, dict]:
+        """Distinct counts of the numeric columns, both sides."""
+        known = {}
+        for n in self.numeric:
+            pair = self._pair(n)
+            counts = [s.of(f, "n_unique") if s.of(f, "present") else 0 for s, f in zip(self.counted, pair)]
+            if None not in counts:
+                known[n] = dict(zip(("baseline_unique", "new_unique"), counts))
+        return known | self._shift([n for n in self.numeric if n not in known])
 
     @cached_property
     def bins(self) -> dict[str, tuple[list[int], list[int]]]:
@@ -135,9 +129,8 @@ class DriftReport:
             wanted = {}
             for n, edges in inner.items():
                 f = self.fields[side][n]
-                v = F.col(f.pos).cast("double")
                 if edges:
-                    wanted[f.ord] = {str(i): F.count_if(v <= F.lit(e)) for i, e in enumerate(edges)}
+                    wanted[f.ord] = {str(i): f"count_if({f.pos} <= {number(e)})" for i, e in enumerate(edges)}
             # Nine aggregates per column, so fewer columns go into one job.
             chunk = max(1, self.options.chunk // 6)
             found = one_row(positional(self.sides[side]), wanted, chunk)[1] if wanted else {}
@@ -150,133 +143,86 @@ class DriftReport:
 
     # tables: projections of one small relation ------------------------------------------------
 
-    @cached_property
-    def pairs(self) -> DataFrame:
-        """One row per column of either table with the facts of both sides."""
-        shifts = {r["column"]: r for r in self.shift_rows}
+    def pairs(self, numeric: bool = False, shifts: bool = False, uniques: bool = False) -> DataFrame:
+        """One row per column of either table with the facts of both sides, as far as asked for."""
+        sides = self.facts if numeric else self.counted
+        found = {**(self.shifts if shifts or uniques else {}), **(self.uniques if uniques else {})}
         out = []
         for i, n in enumerate(self.all_names):
             row: dict = {"col_ord": i, "column": n}
-            row |= {k: shifts[n][k] for k in SHIFT.names if n in shifts}
+            row |= {k: v for k, v in found.get(n, {}).items() if k in SHIFT.names}
             for side, prefix in enumerate(("baseline", "new")):
                 f = self.fields[side].get(n)
                 if f is None:
                     continue
-                facts = self.facts[side]
+                facts = sides[side]
                 v, q = facts.values[f.ord], facts.quantiles.get(f.ord, {})
-                unique = row.get(f"{prefix}_unique")
-                if unique is None and f.kind != "opaque":
-                    unique = v.get("n_unique") or 0
                 row |= {
                     f"{prefix}_dtype": logical_dtype(f, v["missing"], self.options), f"{prefix}_rows": facts.rows,
-                    f"{prefix}_missing_count": v["missing"], f"{prefix}_unique": unique,
+                    f"{prefix}_missing_count": v["missing"],
                 }
+                if uniques and f.kind != "opaque":
+                    row.setdefault(f"{prefix}_unique", 0)
                 if f.numeric:
                     row |= {f"{prefix}_{k}": x for k, x in (
                         ("mean", v["mean"]), ("std_pop", v["std"]), ("min", v["min"]), ("p25", q.get(0.25)),
                         ("median", q.get(0.5)), ("p75", q.get(0.75)), ("max", v["max"]))}
             row["family"] = "numeric" if n in self.numeric else "categorical" if n in self.categorical else None
-            row["baseline_bins"], row["new_bins"] = self.bins.get(n, ([], []))
+            row["baseline_bins"], row["new_bins"] = self.bins.get(n, ([], [])) if numeric else ([], [])
             out.append(row)
-        return self.spark.createDataFrame(pa.Table.from_pylist(out, schema=PAIRS))
-
-    @cached_property
-    def shared_pairs(self) -> DataFrame:
-        return self.pairs.filter("baseline_dtype is not null and new_dtype is not null")
+        frame = self.spark.createDataFrame(pa.Table.from_pylist(out, schema=PAIRS))
+        levels = {"{warning}": number(self.warning), "{critical}": number(self.critical)}
+        for step in _DERIVED:
+            for mark, value in levels.items():
+                step = {k: sql.replace(mark, value) for k, sql in step.items()}
+            kept = [c for c in frame.columns if c not in step]
+            frame = frame.selectExpr(*kept, *[f"{sql} AS {name}" for name, sql in step.items()])
+        return frame
+
+    def _table(self, pairs: DataFrame, where: str, *columns: str) -> DataFrame:
+        return pairs.filter(where).selectExpr("col_ord", "column", *columns)
 
     @cached_property
     def schema_changes(self) -> DataFrame:
         """Columns added, removed or changed in dtype."""
-        kind = schema_change()
-        severity = (
-            F.when(kind == "schema_removed_column", "critical").when(kind == "schema_added_column", "minor")
-            .otherwise("warning")
+        return self._table(
+            self.pairs(), "schema_drift IS NOT NULL", "baseline_dtype", "new_dtype", "schema_drift AS drift_type", f"{_SCHEMA_LEVEL} AS severity"
         )
-        return self.pairs.select(
-            "col_ord", "column", "baseline_dtype", "new_dtype", kind.alias("drift_type"), severity.alias("severity")
-        ).filter("drift_type is not null")
 
     @cached_property
     def missing_table(self) -> DataFrame:
-        base, new, change = missing_rates()
-        return self.shared_pairs.select(
-            "col_ord", "column", "baseline_missing_count", "new_missing_count",
-            (F.col("new_missing_count") - F.col("baseline_missing_count")).alias("missing_count_delta"),
-            base.alias("baseline_missing_rate"), new.alias("new_missing_rate"), change.alias("change"),
-            missing_severity(change, self.warning, self.critical).alias("severity"),
+        return self._table(
+            self.pairs(), "shared", "baseline_missing_count", "new_missing_count", "new_missing_count - baseline_missing_count AS missing_count_delta",
+            "baseline_missing_rate", "new_missing_rate", "missing_change AS change", "missing_level AS severity",
         )
 
     @cached_property
     def numeric_table(self) -> DataFrame:
-        stats = [rounded(F.col(f"{p}_{c}"), 4).alias(f"{p}_{c}") for p in ("baseline", "new") for c in STATS]
-        return self.shared_pairs.filter("family = 'numeric'").select(
-            "col_ord", "column", psi().alias("psi"), psi_severity(psi()).alias("severity"), *stats
-        )
+        stats = [F.col(f"{p}_{c}") for p in ("baseline", "new") for c in STATS]
+        listed = self.pairs(numeric=True).filter("shared AND family = 'numeric'")
+        return listed.select("col_ord", "column", "psi", F.col("psi_level").alias("severity"),
+                             *[rounded(c).alias(name) for c, name in zip(stats, _STAT_NAMES)])
 
     @cached_property
     def categorical_table(self) -> DataFrame:
-        shift = category_shift()
-        return self.shared_pairs.filter("family = 'categorical'").select(
-            "col_ord", "column", *[v.alias(k) for k, v in shift.items()],
-            category_severity(**_shift_args(shift)).alias("severity"),
-        )
+        shift = [n for n in SHIFT.names if n not in ("baseline_unique", "new_unique")]
+        return self._table(self.pairs(shifts=True), "shared AND family = 'categorical'", *shift, "category_level AS severity")
 
     @cached_property
     def cardinality_table(self) -> DataFrame:
-        base, new, change = unique_ratios()
-        return self.shared_pairs.filter("baseline_unique is not null and new_unique is not null").select(
-            "col_ord", "column", "baseline_unique", "new_unique",
-            base.alias("baseline_unique_ratio"), new.alias("new_unique_ratio"), change.alias("change"),
+        return self._table(
+            self.pairs(uniques=True), "shared AND baseline_unique IS NOT NULL AND new_unique IS NOT NULL", "baseline_unique", "new_unique",
+            "baseline_unique_ratio", "new_unique_ratio", "unique_change AS change",
         )
 
-    # findings ---------------------------------------------------------------------------------
-
     @cached_property
     def issues(self) -> DataFrame:
-        def issue(check, kind, when: Column, severity: Column, value: Column, metric: Column) -> Column:
-            kind = kind if isinstance(kind, Column) else F.lit(kind)
-            check = check if isinstance(check, Column) else F.lit(check)
-            return F.when(when, F.struct(
-                check.alias("check_ord"), F.col("col_ord"), kind.alias("drift_type"), F.col("column"),
-                severity.alias("severity"), value.cast("double").alias("metric_value"), metric.alias("metric"),
-            ))
-
-        changed = schema_change()
-        removed, added = changed == "schema_removed_column", changed == "schema_added_column"
-        base_missing, new_missing, more_missing = missing_rates()
-        base_ratio, new_ratio, more_unique = unique_ratios()
-        shared = changed.isNull() | (changed == "schema_dtype_change")
-        missing_level = missing_severity(more_missing, self.warning, self.critical)
-        numeric_level = psi_severity(psi())
-        shift = category_shift()
-        category_level = category_severity(**_shift_args(shift))
-        found = [
-            issue(
-                F.when(removed, 2).when(added, 3).otherwise(1), changed, changed.isNotNull(),
-                F.when(removed, "critical").when(added, "minor").otherwise("warning"), F.lit(None),
-                F.when(removed, "column removed").when(added, "column added")
-                .otherwise(F.concat_ws(" -> ", "baseline_dtype", "new_dtype")),
-            ),
-            issue(4, "missing_value_drift", shared & (more_missing >= self.warning), missing_level, more_missing,
-                  F.format_string("%.1f%% -> %.1f%% (%+.1f%%)", base_missing * 100, new_missing * 100, more_missing * 100)),
-            issue(5, "numeric_distribution_drift",
-                  shared & (F.col("family") == "numeric") & numeric_level.isin("warning", "critical"),
-                  numeric_level, psi(), F.format_string("PSI=%.3f", psi())),
-            issue(6, "categorical_distribution_drift",
-                  shared & (F.col("family") == "categorical") & category_level.isin("warning", "critical"),
-                  category_level, shift["max_frequency_change"],
-                  F.format_string("max frequency shift=%.1f%%; new categories=%d",
-                                  shift["max_frequency_change"] * 100, shift["new_category_count"])),
-            issue(7, "cardinality_drift", shared & (more_unique >= 0.20),
-                  F.when(more_unique > 0.40, "critical").otherwise("warning"), more_unique,
-                  F.format_string("unique ratio %.1f%% -> %.1f%%", base_ratio * 100, new_ratio * 100)),
-        ]
-        rows = self.pairs.select(F.inline(F.array_compact(F.array(*found))))
-        return rows.orderBy("check_ord", "col_ord")
+        rules = ", ".join(_issue(*rule) for rule in _RULES).replace("{warning}", number(self.warning))
+        return self.pairs(numeric=True, shifts=True, uniques=True).selectExpr(f"inline(array_compact(array({rules})))").orderBy("check_ord", "col_ord")
 
     @cached_property
     def summary(self) -> DataFrame:
-        base, new = self.facts
+        base, new = self.counted
         return drift_score(self.issues).select(
             F.lit(base.rows).cast("bigint").alias("baseline_rows"), F.lit(len(base.fields)).alias("baseline_columns"),
             F.lit(new.rows).cast("bigint").alias("new_rows"), F.lit(len(new.fields)).alias("new_columns"),
@@ -284,56 +230,74 @@ class DriftReport:
         )
 
 
-def schema_change() -> Column:
+def _share(top: str, side: str) -> str:
+    return f"{side}_{top} / greatest(1, {side}_rows)"
+
+
+def _bin_shares(bins: str) -> str:
+    total = f"greatest(1, aggregate({bins}, 0L, (a, x) -> a + x))"
+    return f"transform({bins}, x -> greatest(x / {total}, {number(PSI_FLOOR)}))"
+
+
+# What the tables and rules read, derived in order from a pair's facts. A side without values
+# has no categories and no PSI.
+_DERIVED: tuple[dict[str, str], ...] = (
+    {
+        "shared": "baseline_dtype IS NOT NULL AND new_dtype IS NOT NULL",
+        "schema_drift": """CASE WHEN new_dtype IS NULL THEN 'schema_removed_column' WHEN baseline_dtype IS NULL THEN 'schema_added_column'
+            WHEN baseline_dtype <> new_dtype THEN 'schema_dtype_change' END""",
+        **{f"{side}_missing_rate": _share("missing_count", side) for side in ("baseline", "new")},
+        **{f"{side}_unique_ratio": _share("unique", side) for side in ("baseline", "new")},
+        "psi_raw": f"""aggregate(zip_with({_bin_shares("baseline_bins")}, {_bin_shares("new_bins")}, (b, c) -> (c - b) * ln(c / b)),
+            0.0D, (a, x) -> a + x)""",
+        **{c: f"coalesce({c}, 0L)" for c in ("new_category_count", "removed_category_count")},
+        **{c: f"coalesce({c}, 0.0D)" for c in ("baseline_dominant_share", "new_dominant_share", "max_frequency_change")},
+        "new_categories": "coalesce(new_categories, '')",
+    },
+    {
+        "missing_change": "new_missing_rate - baseline_missing_rate",
+        "unique_change": "new_unique_ratio - baseline_unique_ratio",
+        "psi": "signum(psi_raw) * floor(abs(psi_raw) * 10000 + 0.5D) / 10000",
+        **{c: f"floor({c} * 10000 + 0.5D) / 10000" for c in ("baseline_dominant_share", "new_dominant_share", "max_frequency_change")},
+    },
+    {
+        "missing_level": """CASE WHEN missing_change >= {critical} THEN 'critical' WHEN missing_change >= {warning} THEN 'warning'
+            WHEN missing_change = 0 THEN 'none' ELSE 'minor' END""",
+        "psi_level": f"CASE WHEN psi > {PSI_CRITICAL}D THEN 'critical' WHEN psi >= {PSI_WARNING}D THEN 'warning' ELSE 'minor' END",
+        "category_level": """CASE WHEN max_frequency_change > 0.30D OR new_category_count >= 10 THEN 'critical'
+            WHEN max_frequency_change >= 0.10D OR new_category_count > 0 OR NOT baseline_dominant <=> new_dominant THEN 'warning'
+            ELSE 'minor' END""",
+    },
+)
+_SCHEMA_LEVEL = "CASE schema_drift WHEN 'schema_removed_column' THEN 'critical' WHEN 'schema_added_column' THEN 'minor' ELSE 'warning' END"
+_STAT_NAMES = [f"{p}_{c}" for p in ("baseline", "new") for c in STATS]
+
+# check number, drift type, condition, severity, value, metric text
+_RULES = (
+    ("CASE schema_drift WHEN 'schema_removed_column' THEN 2 WHEN 'schema_added_column' THEN 3 ELSE 1 END", "schema_drift",
+     "schema_drift IS NOT NULL", _SCHEMA_LEVEL, "NULL",
+     """CASE schema_drift WHEN 'schema_removed_column' THEN 'column removed' WHEN 'schema_added_column' THEN 'column added'
+        ELSE concat_ws(' -> ', baseline_dtype, new_dtype) END"""),
+    ("4", "'missing_value_drift'", "shared AND missing_change >= {warning}", "missing_level", "missing_change",
+     "format_string('%.1f%% -> %.1f%% (%+.1f%%)', baseline_missing_rate * 100, new_missing_rate * 100, missing_change * 100)"),
+    ("5", "'numeric_distribution_drift'", "shared AND family = 'numeric' AND psi_level <> 'minor'", "psi_level", "psi",
+     "format_string('PSI=%.3f', psi)"),
+    ("6", "'categorical_distribution_drift'", "shared AND family = 'categorical' AND category_level <> 'minor'", "category_level",
+     "max_frequency_change",
+     "format_string('max frequency shift=%.1f%%; new categories=%d', max_frequency_change * 100, new_category_count)"),
+    ("7", "'cardinality_drift'", "shared AND unique_change >= 0.20D",
+     "CASE WHEN unique_change > 0.40D THEN 'critical' ELSE 'warning' END", "unique_change",
+     "format_string('unique ratio %.1f%% -> %.1f%%', baseline_unique_ratio * 100, new_unique_ratio * 100)"),
+)
+
+
+def _issue(check: str, kind: str, when: str, severity: str, value: str, metric: str) -> str:
     return (
-        F.when(F.col("new_dtype").isNull(), "schema_removed_column")
-        .when(F.col("baseline_dtype").isNull(), "schema_added_column")
-        .when(F.col("baseline_dtype") != F.col("new_dtype"), "schema_dtype_change")
+        f"CASE WHEN {when} THEN struct({check} AS check_ord, col_ord, {kind} AS drift_type, column, {severity} AS severity, "
+        f"CAST({value} AS double) AS metric_value, {metric} AS metric) END"
     )
 
 
-def _rates(top: str) -> tuple[Column, Column, Column]:
-    base, new = (F.col(f"{p}_{top}") / F.greatest(F.lit(1), F.col(f"{p}_rows")) for p in ("baseline", "new"))
-    return base, new, new - base
-
-
-def missing_rates() -> tuple[Column, Column, Column]:
-    return _rates("missing_count")
-
-
-def unique_ratios() -> tuple[Column, Column, Column]:
-    return _rates("unique")
-
-
-def psi() -> Column:
-    """Population stability index from the two sides' bin counts; 0 where a side is empty."""
-
-    def shares(name: str) -> Column:
-        total = F.aggregate(name, F.lit(0).cast("bigint"), lambda a, x: a + x)
-        return F.transform(name, lambda x: F.greatest(x / F.greatest(F.lit(1), total), F.lit(PSI_FLOOR)))
-
-    terms = F.zip_with(shares("baseline_bins"), shares("new_bins"), lambda b, c: (c - b) * F.ln(c / b))
-    return rounded(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), 4)
-
-
-def category_shift() -> dict[str, Column]:
-    """Shift columns with the values of two empty sides filled in."""
-    out = {k: F.col(k) for k in SHIFT.names if k not in ("baseline_unique", "new_unique")}
-    for k in ("new_category_count", "removed_category_count"):
-        out[k] = F.coalesce(out[k], F.lit(0)).cast("bigint")
-    for k in ("baseline_dominant_share", "new_dominant_share", "max_frequency_change"):
-        out[k] = F.coalesce(out[k], F.lit(0.0))
-    out["new_categories"] = F.coalesce(out["new_categories"], F.lit(""))
-    return out
-
-
-def _shift_args(shift: dict[str, Column]) -> dict[str, Column]:
-    return {
-        "change": shift["max_frequency_change"], "unseen": shift["new_category_count"],
-        "dominant_changed": ~shift["baseline_dominant"].eqNullSafe(shift["new_dominant"]),
-    }
-
-
 SHIFT = pa.schema([
     ("baseline_unique", pa.int64()), ("new_unique", pa.int64()),
     ("new_category_count", pa.int64()), ("removed_category_count", pa.int64()),
@@ -353,49 +317,39 @@ PAIRS = pa.schema([
 def shift_table(sides, fields, wanted, categorical: set[str], facts, options: ScanOptions) -> DataFrame:
     tagged = None
     for side in (0, 1):
-        cells = positional(sides[side])
         entries = []
         for i, n in enumerate(wanted):
             f = fields[side][n]
-            c = F.col(f.pos)
             if n in categorical:
-                entries.append(slot_struct(i, "string", category_label(as_text(f, c), options.label_bytes), full_text=True))
+                entries.append(slot_struct(i, "label", category_label(as_text(f, f.pos), options.label_bytes)))
             else:
-                entries.append(slot_struct(i, f.slot, c))
-        part = cells.select(F.inline(F.array(*entries))).select("ord", *SLOTS, F.lit(side).alias("side"))
+                entries.append(slot_struct(i, f.slot, f.pos))
+        part = positional(sides[side]).selectExpr(f"inline(array({', '.join(entries)}))").selectExpr("ord", *SLOTS, f"{side} AS side")
         tagged = part if tagged is None else tagged.unionByName(part)
-    freq = (
-        tagged.filter(has_value()).groupBy("ord", *SLOTS)
-        .agg(F.count_if(F.col("side") == 0).alias("nb"), F.count_if(F.col("side") == 1).alias("nc"))
+    freq = tagged.filter(HAS_VALUE).groupBy("ord", *SLOTS).agg(
+        F.expr("count_if(side = 0)").alias("nb"), F.expr("count_if(side = 1)").alias("nc")
     )
 
-    def totals(side: int) -> Column:
-        pairs = [x for i, n in enumerate(wanted) for x in (F.lit(i), F.lit(facts[side].of(fields[side][n], "present")).cast("bigint"))]
-        return F.create_map(*pairs)[F.col("ord")]
-
-    base_share = F.coalesce(F.try_divide(F.col("nb"), totals(0)), F.lit(0.0))
-    new_share = F.coalesce(F.try_divide(F.col("nc"), totals(1)), F.lit(0.0))
-    shared = freq.withColumns({"b": base_share, "c": new_share})
-    seen = {"nb": F.col("nb") > 0, "nc": F.col("nc") > 0}
-
-    def dominant(n: str) -> Column:
-        return F.min_by("text", F.when(seen[n], F.struct(-F.col(n), F.col("text"))))
-
-    per = shared.groupBy("ord").agg(
-        F.count_if(seen["nb"]).alias("baseline_unique"), F.count_if(seen["nc"]).alias("new_unique"),
-        F.count_if(~seen["nb"]).alias("new_category_count"), F.count_if(~seen["nc"]).alias("removed_category_count"),
-        dominant("nb").alias("baseline_dominant"), dominant("nc").alias("new_dominant"),
-        rounded(F.max("b"), 4).alias("baseline_dominant_share"), rounded(F.max("c"), 4).alias("new_dominant_share"),
-        rounded(F.max(F.abs(F.col("c") - F.col("b"))), 4).alias("max_frequency_change"),
-    )
+    def share(n: str, side: int) -> str:
+        totals = ", ".join(f"{i}, {facts[side].of(fields[side][x], 'present')}L" for i, x in enumerate(wanted))
+        return f"coalesce(try_divide({n}, map({totals})[ord]), 0.0D)"
+
+    shared = freq.selectExpr("*", f"{share('nb', 0)} AS b", f"{share('nc', 1)} AS c")
+    totals = {
+        "baseline_unique": "count_if(nb > 0)", "new_unique": "count_if(nc > 0)",
+        "new_category_count": "count_if(nb = 0)", "removed_category_count": "count_if(nc = 0)",
+        "baseline_dominant": "min_by(text, CASE WHEN nb > 0 THEN struct(-nb, text) END)",
+        "new_dominant": "min_by(text, CASE WHEN nc > 0 THEN struct(-nc, text) END)",
+        "baseline_dominant_share": "max(b)", "new_dominant_share": "max(c)", "max_frequency_change": "max(abs(c - b))",
+    }
+    per = shared.groupBy("ord").agg(*[F.expr(e).alias(k) for k, e in totals.items()])
     # Only the first ten new labels are listed; the window's rank limit is applied map-side.
-    order = Window.partitionBy("ord").orderBy("text")
     listed = (
-        shared.filter(~seen["nb"] & F.col("text").isNotNull()).select("ord", "text")
-        .withColumn("rank", F.row_number().over(order)).filter("rank <= 10")
-        .groupBy("ord").agg(F.array_join(F.array_sort(F.collect_list("text")), ", ").alias("new_categories"))
+        shared.filter("nb = 0 AND text IS NOT NULL")
+        .selectExpr("ord", "text", "row_number() OVER (PARTITION BY ord ORDER BY text) AS rank").filter("rank <= 10")
+        .groupBy("ord").agg(F.expr("array_join(array_sort(collect_list(text)), ', ')").alias("new_categories"))
     )
-    return per.join(listed, "ord", "left").withColumn("new_categories", F.coalesce("new_categories", F.lit("")))
+    return per.join(listed, "ord", "left")
 
 
 def compare_datasets(baseline: DataFrame, current: DataFrame, options: ScanOptions | None = None, **thresholds) -> DriftReport:
@@ -460,7 +414,7 @@ def category_changes(baseline: DataFrame, current: DataFrame, column: str) -> Da
     sides = []
     for side, df in enumerate((baseline, current)):
         f = next(f for f in fields_of(df) if f.name == column)
-        sides.append(df.select(as_text(f, cell(column)).alias("value"), F.lit(side).alias("side")))
+        sides.append(df.selectExpr(f"{as_text(f, quoted(column))} AS value", f"{side} AS side"))
     freq = sides[0].unionByName(sides[1]).filter("value is not null").groupBy("value").agg(
         F.count_if(F.col("side") == 0).alias("baseline_n"), F.count_if(F.col("side") == 1).alias("new_n")
     )

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from datavitals.functions.cells import (
-    Field, cell, fields_of, number_or_null, stripped, timestamp_or_null,
+    Field, cell, fields_of, number_or_null, quoted, stripped, timestamp_or_null,
 )
 from datavitals.operators.checks import Scan
 from datavitals.operators.cleaning import compare_scans, fill_with
@@ -105,8 +105,8 @@ def cap_outliers(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
 
 
 def text_to_number(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
-    text = F.replace(stripped(cell(column).cast("string")), F.lit(","), F.lit(""))
-    return _replace(df, column, number_or_null(text)), [
+    digits = f"replace({stripped(f'CAST({quoted(column)} AS string)')}, ',', '')"
+    return _replace(df, column, F.expr(number_or_null(digits))), [
         f"Converted {column} to numeric with invalid values coerced to missing."
     ]
 
@@ -114,7 +114,7 @@ def text_to_number(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
 def split_timestamp(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
     f = _field(df, column)
     if f.kind == "string":
-        when = timestamp_or_null(cell(column), options.timestamp_formats)
+        when = F.expr(timestamp_or_null(quoted(column), options.timestamp_formats))
     elif f.numeric:   # numbers are read as nanoseconds since the epoch
         when = F.timestamp_micros((cell(column) / 1000).cast("bigint"))
     else:

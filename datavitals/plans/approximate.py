@@ -1,0 +1,65 @@
+"""Facts from mergeable sketches, for scans that may trade exactness for shuffle volume.
+
+Only sketches cross the network. They are merged in two levels, since the partial results of a
+hundred thousand tasks would otherwise all meet in one. Text shapes and the count of a column's
+majority value stay exact: the majority value's hash is the median of all hashes, so a hash
+sketch finds it and a second pass counts it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from datavitals.functions.cells import Field, stripped, timestamp_or_null
+from datavitals.functions.shape import read_shape, shape_of, shape_totals
+from datavitals.plans.options import ScanOptions
+from datavitals.plans.quantiles import MERGE_GROUPS, number
+
+HLL_LG_K, HASH_K = 14, 1024
+
+
+def _hash(c: str) -> str:
+    return f"CASE WHEN {c} IS NOT NULL THEN xxhash64({c}) END"
+
+
+def approximate_pass(
+    cells: DataFrame, facts, counted: list[Field], numeric: list[Field], timed: list[Field], options: ScanOptions, probs
+) -> None:
+    counted = [f for f in counted if facts.of(f, "present")]
+    texts = [f for f in counted if f.kind == "string"]
+    timed = [f for f in timed if facts.of(f, "present")]
+    if timed:
+        cells = cells.selectExpr("*", *[f"{timestamp_or_null(f.pos, options.timestamp_formats)} AS {f.pos}_time" for f in timed])
+    made = {f"u{f.ord}": (f"hll_sketch_agg({_hash(f.pos)}, {HLL_LG_K})", "hll_union_agg(u{0})", "hll_sketch_estimate(u{0})", f) for f in counted}
+    made |= {f"t{f.ord}": (f"hll_sketch_agg({_hash(f.pos + '_time')}, {HLL_LG_K})", "hll_union_agg(t{0})", "hll_sketch_estimate(t{0})", f) for f in timed}
+    made |= {f"h{f.ord}": (f"kll_sketch_agg_bigint({_hash(f.pos)}, {HASH_K})", "kll_merge_agg_bigint(h{0})",
+                           "kll_sketch_get_quantile_bigint(h{0}, 0.5D)", f) for f in counted}
+    points = ", ".join(number(float(p)) for p in probs)
+    made |= {f"q{f.ord}": (f"kll_sketch_agg_double(CAST({f.pos} AS double), {options.sketch_k})", "kll_merge_agg_double(q{0})",
+                           f"kll_sketch_get_quantile_double(q{{0}}, array({points}))", f) for f in numeric}
+    if not made:
+        return
+    lanes = cells.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS))).groupBy("lane")
+    first = lanes.agg(*[F.expr(m[0]).alias(k) for k, m in made.items()])
+    merged = first.selectExpr(*[f"{m[1].format(m[3].ord)} AS {k}" for k, m in made.items()])
+    found = merged.selectExpr(*[f"{m[2].format(m[3].ord)} AS {k}" for k, m in made.items()]).first()
+
+    for f in numeric:
+        facts.quantiles[f.ord] = dict(zip(probs, found[f"q{f.ord}"]))
+        v = facts.values[f.ord]
+        if 0.0 in facts.quantiles[f.ord]:
+            facts.quantiles[f.ord] |= {0.0: v["min"], 1.0: v["max"]}
+    second = [f"count_if(xxhash64({f.pos}) = {found[f'h{f.ord}']}L) AS `{f.ord}:top_n`" for f in counted]
+    second += [f"count({f.pos}_time) AS `{f.ord}:parsed`" for f in timed]
+    if texts:
+        cells = cells.selectExpr("*", *[f"{stripped(f.pos)} AS {f.pos}_text" for f in texts])
+        cells = cells.selectExpr("*", *[
+            f"{sql} AS {f.pos}_{k}" for f in texts for k, sql in shape_of(f"{f.pos}_text").items()
+        ])
+        second += [f"{sql} AS `{f.ord}:{k}`" for f in texts for k, sql in shape_totals("1", f"{f.pos}_").items()]
+    row = cells.selectExpr(*second).first().asDict() if second else {}
+    for f in counted:
+        mine = {k.split(":", 1)[1]: x for k, x in row.items() if k.startswith(f"{f.ord}:")}
+        facts.values[f.ord] |= {"n_unique": min(found[f"u{f.ord}"], facts.of(f, "present")), "top_n": mine["top_n"]}
+        facts.values[f.ord] |= read_shape(mine)
+    for f in timed:
+        facts.values[f.ord] |= {"parsed": row[f"{f.ord}:parsed"], "parsed_unique": min(found[f"t{f.ord}"], row[f"{f.ord}:parsed"])}

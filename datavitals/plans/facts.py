@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from datavitals.functions import names
 from datavitals.functions.cells import (
@@ -25,7 +25,7 @@ from datavitals.functions.cells import (
 from datavitals.functions.shape import read_shape, shape_of, shape_totals
 from datavitals.plans.frequency import field_frequencies, per_column, slot_struct
 from datavitals.plans.options import ScanOptions
-from datavitals.plans.quantiles import between, bracketed_values, rank_values, ranks
+from datavitals.plans.quantiles import between, bracketed_values, number, rank_values, ranks
 from datavitals.roles import Roles
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -49,16 +49,15 @@ class TableFacts:
         return next((f for f in self.fields if f.name == name), None)
 
 
-def _first_pass(f: Field) -> dict[str, Column]:
-    c = F.col(f.pos)
-    out = {"present": F.count(c)}
+def _first_pass(f: Field) -> dict[str, str]:
+    out = {"present": f"count({f.pos})"}
     if f.numeric:
-        v = c.cast("double")
-        out |= {"mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)}
+        v = f"CAST({f.pos} AS double)"
+        out |= {"mean": f"avg({v})", "std": f"stddev_pop({v})", "min": f"min({v})", "max": f"max({v})"}
         if f.kind == "floating":
-            out["all_integral"] = F.bool_and(v % 1 == 0)
+            out["all_integral"] = f"bool_and({v} % 1 = 0)"
     if f.kind == "boolean":
-        out |= {"min": F.min(c.cast("int")).cast("double"), "max": F.max(c.cast("int")).cast("double")}
+        out |= {"min": f"CAST(min(int({f.pos})) AS double)", "max": f"CAST(max(int({f.pos})) AS double)"}
     return out
 
 
@@ -69,14 +68,14 @@ def domain_bound(f: Field, facts: dict) -> int:
     return facts["present"]
 
 
-def one_row(cells: DataFrame, wanted: dict[int, dict[str, Column]], chunk: int) -> tuple[int, dict[int, dict]]:
+def one_row(cells: DataFrame, wanted: dict[int, dict[str, str]], chunk: int) -> tuple[int, dict[int, dict]]:
     """Run per-column aggregates, `chunk` columns per job; returns the row count and the values."""
     ords = list(wanted)
     rows, values = 0, {}
     for start in range(0, max(1, len(ords)), chunk):
         part = ords[start:start + chunk]
-        aggs = [expr.alias(f"{o}:{name}") for o in part for name, expr in wanted[o].items()]
-        row = cells.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
+        aggs = [f"{sql} AS `{o}:{name}`" for o in part for name, sql in wanted[o].items()]
+        row = cells.selectExpr("count(1) AS rows", *aggs).first()
         rows = row["rows"]
         for o in part:
             values[o] = {name: row[f"{o}:{name}"] for name in wanted[o]}
@@ -87,6 +86,33 @@ def looks_like_time(f: Field) -> bool:
     return names.name_has(f.name, names.TIME_FRAGMENTS)
 
 
+def first_facts(df: DataFrame, options: ScanOptions) -> TableFacts:
+    """Row count and the plain aggregates of every column: one pass, nothing shuffled."""
+    fields = fields_of(df)
+    rows, values = one_row(positional(df), {f.ord: _first_pass(f) for f in fields}, options.chunk)
+    for v in values.values():
+        v["missing"] = rows - v["present"]
+    return TableFacts(rows, fields, values, {})
+
+
+def add_counts(
+    df: DataFrame, facts: TableFacts, counted: list[Field], probs: tuple[float, ...], roles: Roles, options: ScanOptions,
+    times: bool = True,
+) -> None:
+    """Add distinct and top counts of the `counted` fields and quantiles of all numeric ones."""
+    if not facts.rows:
+        return
+    cells = positional(df)
+    numeric = [f for f in facts.fields if f.numeric and facts.of(f, "present") and probs]
+    parsed = parsed_time_fields(facts, roles) if times else []
+    if options.exact:
+        _exact_pass(cells, facts, counted, numeric, parsed, options, probs)
+    else:
+        from datavitals.plans.approximate import approximate_pass
+
+        approximate_pass(cells, facts, counted, numeric, parsed, options, probs)
+
+
 def table_facts(
     df: DataFrame,
     roles: Roles | None = None,
@@ -98,25 +124,12 @@ def table_facts(
     """Collect facts. `unique` says which columns need exact distinct counts: "all", "none", or
     "rules" (skip float columns no rule counts)."""
     roles, options = roles or Roles(), options or ScanOptions()
-    fields = fields_of(df)
-    cells = positional(df)
-    rows, values = one_row(cells, {f.ord: _first_pass(f) for f in fields}, options.chunk)
-    facts = TableFacts(rows, fields, values, {})
-    for f in fields:
-        values[f.ord]["missing"] = rows - values[f.ord]["present"]
-    if rows == 0:
-        return facts
-
-    counted = [f for f in fields if _needs_unique(f, facts, roles, unique)]
-    numeric = [f for f in fields if f.numeric and values[f.ord]["present"] and probs]
-    if options.exact:
-        _exact_pass(cells, facts, counted, numeric, roles, options, probs)
-    else:
-        from datavitals.plans.approximate import approximate_pass
-
-        approximate_pass(cells, facts, counted, numeric, roles, options, probs)
-    if fences:
-        _last_pass(cells, facts, roles, options)
+    facts = first_facts(df, options)
+    if facts.rows:
+        counted = [f for f in facts.fields if _needs_unique(f, facts, roles, unique)]
+        add_counts(df, facts, counted, probs, roles, options, times=unique == "rules")
+        if fences:
+            _last_pass(positional(df), facts, roles, options)
     return facts
 
 
@@ -130,11 +143,14 @@ def _needs_unique(f: Field, facts: TableFacts, roles: Roles, unique: str) -> boo
     return True
 
 
-def parsed_time_fields(fields: list[Field], roles: Roles) -> list[Field]:
-    return [f for f in fields if f.kind == "string" and looks_like_time(f) and f.name != roles.timestamp]
+def parsed_time_fields(facts: TableFacts, roles: Roles) -> list[Field]:
+    """Text columns whose values are tried as timestamps."""
+    if facts.rows < 10:
+        return []
+    return [f for f in facts.fields if f.kind == "string" and looks_like_time(f) and f.name != roles.timestamp]
 
 
-def _exact_pass(cells, facts, counted, numeric, roles, options, probs) -> None:
+def _exact_pass(cells, facts, counted, numeric, timed, options, probs) -> None:
     present = {f.ord: facts.of(f, "present") for f in facts.fields}
     small = [f for f in numeric if domain_bound(f, facts.values[f.ord]) <= options.sort_limit]
     large = [f for f in numeric if f not in small]
@@ -144,8 +160,8 @@ def _exact_pass(cells, facts, counted, numeric, roles, options, probs) -> None:
     asked = {f.ord: [r for p in probs for r in ranks(present[f.ord], p)[:2]] for f in numeric}
     jobs = []
     parsed = [
-        slot_struct(_PARSED + f.ord, "timestamp", timestamp_or_null(F.col(f.pos), options.timestamp_formats))
-        for f in parsed_time_fields(facts.fields, roles) if facts.rows >= 10
+        slot_struct(_PARSED + f.ord, "timestamp", timestamp_or_null(f.pos, options.timestamp_formats))
+        for f in timed
     ]
     if plain or parsed:
         jobs.append(per_column(field_frequencies(cells, plain, parsed)))
@@ -160,7 +176,7 @@ def _exact_pass(cells, facts, counted, numeric, roles, options, probs) -> None:
         row = found.get(f.ord, {})
         facts.values[f.ord] |= {"n_unique": row.get("n_unique") or 0, "top_n": row.get("top_n") or 0}
         facts.values[f.ord] |= read_shape(row)
-    for f in parsed_time_fields(facts.fields, roles):
+    for f in timed:
         row = found.get(_PARSED + f.ord, {})
         facts.values[f.ord] |= {"parsed": row.get("known") or 0, "parsed_unique": row.get("n_unique") or 0}
     for f in small:
@@ -193,24 +209,24 @@ def iqr_fences(facts: TableFacts, f: Field) -> tuple[float, float] | None:
 def _last_pass(cells: DataFrame, facts: TableFacts, roles: Roles, options: ScanOptions) -> None:
     """Counts that need the first passes: values outside the fences, and the text shape of the
     few numeric columns that are nearly unique without an identifier's name."""
-    wanted: dict[int, dict[str, Column]] = {}
+    wanted: dict[int, dict[str, str]] = {}
     for f in facts.fields:
         v = facts.values[f.ord]
         aggs = {}
         if f.numeric and (limits := iqr_fences(facts, f)):
-            c = F.col(f.pos).cast("double")
-            aggs["outside"] = F.count_if((c < limits[0]) | (c > limits[1]))
+            low, high = (number(x) for x in limits)
+            aggs["outside"] = f"count_if({f.pos} < {low} OR {f.pos} > {high})"
         nearly_unique = (v.get("n_unique") or 0) >= 0.95 * facts.rows
         shaped = f.numeric and nearly_unique and f.name not in roles.ml_excluded \
             and not names.name_has(f.name, names.IDENTIFIER_FRAGMENTS) \
             and (f.kind == "integral" or looks_like_time(f))
         if shaped:
-            shape = shape_of(F.col(f.pos).cast("string"))
-            cells = cells.withColumns({f"{f.pos}_{k}": e for k, e in shape.items()})
-            aggs |= {f"shape:{k}": e for k, e in shape_totals(F.lit(1), f"{f.pos}_").items()}
+            shape = shape_of(f"CAST({f.pos} AS string)")
+            cells = cells.selectExpr("*", *[f"{e} AS {f.pos}_{k}" for k, e in shape.items()])
+            aggs |= {f"shape:{k}": e for k, e in shape_totals("1", f"{f.pos}_").items()}
         if f.kind == "string" and nearly_unique and v["num_present"] >= 10:
-            number = number_or_null(stripped(F.col(f.pos)))
-            aggs["num_between"] = F.count_if((number > v["num_min"]) & (number < v["num_max"]))
+            value = number_or_null(stripped(f.pos))
+            aggs["num_between"] = f"count_if({value} > {number(v['num_min'])} AND {value} < {number(v['num_max'])})"
         if aggs:
             wanted[f.ord] = aggs
     if wanted:
@@ -221,8 +237,8 @@ def _last_pass(cells: DataFrame, facts: TableFacts, roles: Roles, options: ScanO
             facts.values[o] |= {k: x for k, x in read_shape(shape).items() if not k.startswith("num")}
 
 
-def row_keys(cells: DataFrame, fields: list[Field]) -> list[Column]:
-    return [short_key(F.col(f.pos)).alias(f.pos) if f.kind == "string" else F.col(f.pos) for f in fields]
+def row_keys(fields: list[Field]) -> list[str]:
+    return [f"{short_key(f.pos)} AS {f.pos}" if f.kind == "string" else f.pos for f in fields]
 
 
 def _repeats(keys: DataFrame) -> tuple[int, int]:
@@ -242,18 +258,18 @@ def count_duplicates(df: DataFrame, facts: TableFacts, options: ScanOptions | No
         return
     cells = positional(df)
     if options.exact:
-        keys = cells.select(*row_keys(cells, facts.fields))
+        keys = cells.selectExpr(*row_keys(facts.fields))
     else:
-        keys = cells.select(*hashed_row(facts.fields))
+        keys = cells.selectExpr(*hashed_row(facts.fields))
     facts.duplicate_rows = _repeats(keys)[1]
 
 
-def hashed_row(fields: list[Field]) -> list[Column]:
+def hashed_row(fields: list[Field]) -> list[str]:
     """128 bits per row: two 64-bit hashes over opposite column orders, each led by a null mask
     (xxhash64 skips NULLs, so without it (NULL, x) and (x, NULL) would meet)."""
-    cols = [F.col(f.pos) for f in fields]
-    mask = F.concat(*[c.isNull().cast("int").cast("string") for c in cols])
-    return [F.xxhash64(mask, *cols).alias("h1"), F.xxhash64(*reversed(cols), mask, F.lit(1)).alias("h2")]
+    cols = [f.pos for f in fields]
+    mask = "concat(" + ", ".join(f"CASE WHEN {c} IS NULL THEN '1' ELSE '0' END" for c in cols) + ")"
+    return [f"xxhash64({mask}, {', '.join(cols)}) AS h1", f"xxhash64({', '.join(reversed(cols))}, {mask}, 1) AS h2"]
 
 
 def count_key_duplicates(df: DataFrame, facts: TableFacts, roles: Roles) -> None:
@@ -267,7 +283,7 @@ def count_key_duplicates(df: DataFrame, facts: TableFacts, roles: Roles) -> None
         facts.key_rows, facts.key_duplicates = facts.rows, 0
         return
     cells = positional(df).select(*[f.pos for f in key]).na.drop(subset=[f.pos for f in key])
-    facts.key_rows, facts.key_duplicates = _repeats(cells.select(*row_keys(cells, key)))
+    facts.key_rows, facts.key_duplicates = _repeats(cells.selectExpr(*row_keys(key)))
 
 
 METRICS = pa.schema([
@@ -282,7 +298,7 @@ METRICS = pa.schema([
     ("uuid_rate", pa.float64()), ("all_integral", pa.bool_()),
     ("num_present", pa.int64()), ("num_mean", pa.float64()), ("num_std", pa.float64()),
     ("num_distinct_gt2", pa.bool_()), ("parsed", pa.int64()), ("parsed_unique", pa.int64()),
-    ("duplicate_rows", pa.int64()), ("key_rows", pa.int64()), ("key_duplicates", pa.int64()),
+    ("exact", pa.bool_()), ("duplicate_rows", pa.int64()), ("key_rows", pa.int64()), ("key_duplicates", pa.int64()),
 ])
 
 
@@ -302,7 +318,7 @@ def _metrics_row(facts: TableFacts, f: Field, options: ScanOptions) -> dict:
         "outlier_rate": v["outside"] / present if "outside" in v else None,
         "p25": q.get(0.25), "median": q.get(0.5), "p75": q.get(0.75),
         "all_integral": present > 0 if f.kind == "integral" else v.get("all_integral"),
-        "duplicate_rows": None, "key_rows": facts.key_rows, "key_duplicates": facts.key_duplicates,
+        "exact": options.exact, "duplicate_rows": None, "key_rows": facts.key_rows, "key_duplicates": facts.key_duplicates,
     }
     if f.numeric:
         row |= {"mean": v["mean"], "std_pop": v["std"], "min": v["min"], "max": v["max"]}

@@ -9,43 +9,43 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from datavitals.functions.cells import SHORT_TEXT, Field, fields_of, positional, short_key, stripped
+from datavitals.functions.cells import SHORT_TEXT, Field, fields_of, literal, positional, short_key, stripped
 from datavitals.functions.shape import SHAPE, shape_of, shape_totals
 
-SLOTS = ("whole", "real", "text")
+SLOTS = {"whole": "bigint", "real": "double", "text": "string"}
+HAS_VALUE = "(whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL)"
+AS_NUMBER = "coalesce(real, CAST(whole AS double))"
 
 
-def _slot_values(kind: str, c: Column, full_text: bool) -> dict[str, Column]:
-    if kind == "integral":
-        return {"whole": c.cast("bigint")}
-    if kind == "boolean":
-        return {"whole": c.cast("int").cast("bigint")}
+def _slot_value(kind: str, c: str) -> tuple[str, str]:
+    if kind in ("integral", "boolean"):
+        return "whole", f"CAST({c} AS bigint)"
     if kind == "floating":
-        return {"real": c.cast("double")}
+        return "real", f"CAST({c} AS double)"
     if kind == "date":
-        return {"whole": F.unix_date(c).cast("bigint")}
+        return "whole", f"CAST(unix_date({c}) AS bigint)"
     if kind == "timestamp":
-        return {"whole": F.unix_micros(c)}
+        return "whole", f"unix_micros({c})"
     if kind == "timestamp_ntz":
         # Wall-clock time has no instant; counting it in parts keeps the session's zone out.
-        seconds = F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
-        return {"whole": seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")}
-    text = c.cast("string")
-    return {"text": text if full_text else short_key(text)}
+        seconds = f"CAST(unix_date(CAST({c} AS date)) AS bigint) * 86400 + hour({c}) * 3600 + minute({c}) * 60"
+        return "whole", f"({seconds}) * 1000000 + CAST(extract(SECOND FROM {c}) * 1000000 AS bigint)"
+    return "text", f"CAST({c} AS string)"
 
 
-def slot_struct(ord_: int, kind: str, c: Column, full_text: bool = False, long_text: Column | None = None) -> Column:
-    given = _slot_values(kind, c, full_text)
-    types = {"whole": "bigint", "real": "double", "text": "string"}
-    slots = [given.get(s, F.lit(None)).cast(types[s]).alias(s) for s in SLOTS]
-    shape = dict.fromkeys(SHAPE, F.lit(None)) if long_text is None else shape_of(long_text)
-    shapes = [shape[k].cast(t).alias(k) for k, t in SHAPE.items()]
-    return F.struct(F.lit(ord_).cast("int").alias("ord"), *slots, *shapes)
+def slot_struct(ord_: int, kind: str, c: str, long_text: str | None = None) -> str:
+    """One (column, value) entry as SQL. A plain "string" is grouped by its short key; a "label"
+    is kept as it is."""
+    slot, value = _slot_value(kind, short_key(c) if kind == "string" else c)
+    slots = [f"CAST({value if s == slot else 'NULL'} AS {t}) AS {s}" for s, t in SLOTS.items()]
+    shape = shape_of(long_text) if long_text else dict.fromkeys(SHAPE, "NULL")
+    shapes = [f"CAST({shape[k]} AS {t}) AS {k}" for k, t in SHAPE.items()]
+    return f"struct({ord_} AS ord, {', '.join(slots + shapes)})"
 
 
-def field_frequencies(cells: DataFrame, fields: list[Field], extra: Iterable[Column] = ()) -> DataFrame:
+def field_frequencies(cells: DataFrame, fields: list[Field], extra: Iterable[str] = ()) -> DataFrame:
     """(ord, whole, real, text, n, shape...) of the given fields over a positional table.
 
     A long text is grouped by its digest, which loses its shape, so that travels along as three
@@ -53,37 +53,25 @@ def field_frequencies(cells: DataFrame, fields: list[Field], extra: Iterable[Col
     instead of once per row."""
     texts = [f for f in fields if f.kind == "string"]
     if texts:
-        cells = cells.withColumns({
-            f"{f.pos}_long": F.when(F.octet_length(f.pos) > SHORT_TEXT, stripped(F.col(f.pos))) for f in texts
-        })
-    entries = [
-        slot_struct(f.ord, f.slot, F.col(f.pos), long_text=F.col(f"{f.pos}_long") if f in texts else None)
-        for f in fields
-    ]
+        cells = cells.selectExpr("*", *[
+            f"CASE WHEN octet_length({f.pos}) > {SHORT_TEXT} THEN {stripped(f.pos)} END AS {f.pos}_long" for f in texts
+        ])
+    entries = [slot_struct(f.ord, f.slot, f.pos, f"{f.pos}_long" if f in texts else None) for f in fields]
     return (
-        cells.select(F.inline(F.array(*entries, *extra)))
-        .groupBy("ord", *SLOTS)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.max(k).alias(k) for k in SHAPE])
+        cells.selectExpr(f"inline(array({', '.join([*entries, *extra])}))")
+        .groupBy("ord", *SLOTS).agg(F.expr("count(1)").alias("n"), *[F.max(k).alias(k) for k in SHAPE])
     )
 
 
-def has_value() -> Column:
-    return F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
-
-
-def value_as_number() -> Column:
-    return F.coalesce(F.col("real"), F.col("whole").cast("double"))
-
-
 def per_column(freq: DataFrame) -> DataFrame:
-    """Distinct non-null values, the largest count and the non-null rows of each column."""
-    n = F.when(has_value(), F.col("n"))
-    shape = shape_of(F.col("clean"))
-    shaped = freq.withColumn("clean", stripped(F.col("text"))).withColumns({k: F.coalesce(F.col(k), shape[k].cast(t)) for k, t in SHAPE.items()})
-    return shaped.groupBy("ord").agg(
-        F.count(n).alias("n_unique"), F.max(n).alias("top_n"), F.coalesce(F.sum(n), F.lit(0)).alias("known"),
-        *[v.alias(k) for k, v in shape_totals(n).items()],
+    """Per column: distinct non-null values, the largest count, the non-null rows, the shape."""
+    shape = shape_of("clean")
+    known = f"CASE WHEN {HAS_VALUE} THEN n END"
+    shaped = freq.selectExpr("*", f"{stripped('text')} AS clean").selectExpr(
+        "ord", f"{known} AS n", *[f"coalesce({k}, {shape[k]}) AS {k}" for k in SHAPE]
     )
+    totals = {"n_unique": "count(n)", "top_n": "max(n)", "known": "coalesce(sum(n), 0)", **shape_totals("n")}
+    return shaped.groupBy("ord").agg(*[F.expr(e).alias(k) for k, e in totals.items()])
 
 
 def value_freq(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -91,13 +79,11 @@ def value_freq(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     Values are shown as text, in full; columns without a plain text form are left out."""
     fields = [f for f in fields_of(df) if f.kind != "opaque" and (columns is None or f.name in columns)]
-    cells = positional(df)
-    entries = [
-        F.struct(F.lit(f.name).alias("column"), as_text(f, F.col(f.pos)).alias("value")) for f in fields
-    ]
-    return cells.select(F.inline(F.array(*entries))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    entries = [f"struct({literal(f.name)} AS column, {as_text(f, f.pos)} AS value)" for f in fields]
+    long = positional(df).selectExpr(f"inline(array({', '.join(entries)}))")
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def as_text(field: Field, c: Column) -> Column:
+def as_text(field: Field, c: str) -> str:
     # Adding 0.0 turns -0.0 into 0.0, so both print alike.
-    return (c + F.lit(0.0)).cast("string") if field.kind == "floating" else c.cast("string")
+    return f"CAST({c} + 0.0D AS string)" if field.kind == "floating" else f"CAST({c} AS string)"

@@ -15,9 +15,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from datavitals.plans.frequency import has_value, value_as_number
+from datavitals.plans.frequency import AS_NUMBER, HAS_VALUE
 from datavitals.plans.options import ScanOptions
 
 MERGE_GROUPS = 256   # first-level merge groups of the sketches
@@ -38,27 +38,32 @@ def between(low: float, high: float, weight: float) -> float:
 
 def walked(counted: DataFrame, key: str) -> DataFrame:
     """Add the running count over each key's sorted values."""
-    order = Window.partitionBy(key).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counted.withColumn("upto", F.sum("n").over(order))
+    return counted.selectExpr(
+        "*", f"sum(n) OVER (PARTITION BY {key} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto"
+    )
 
 
 def rank_values(freq: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
     """(ord, n_unique, top_n, picks) from a frequency table of small-domain columns.
 
     `wanted` lists the ranks to look up per column; picks keeps their order."""
-    counted = freq.select("ord", "n", value_as_number().alias("v"), has_value().alias("known"))
     width = max(len(r) for r in wanted.values())
-    lookup = F.create_map(*[
-        item for o, rs in wanted.items()
-        for item in (F.lit(o), F.array(*[F.lit(r).cast("bigint") for r in rs + rs[-1:] * (width - len(rs))]))
-    ])
-    steps = walked(counted.filter("known"), "ord").withColumn("ranks", lookup[F.col("ord")])
-    picks = F.array(*[F.min(F.when(F.col("upto") > F.col("ranks")[i], F.col("v"))) for i in range(width)])
+    lists = ", ".join(
+        f"{o}, array({', '.join(f'{r}L' for r in rs + rs[-1:] * (width - len(rs)))})" for o, rs in wanted.items()
+    )
+    counted = freq.filter(HAS_VALUE).selectExpr("ord", "n", f"{AS_NUMBER} AS v")
+    steps = walked(counted, "ord").selectExpr("*", f"map({lists})[ord] AS ranks")
+    picks = ", ".join(f"min(CASE WHEN upto > ranks[{i}] THEN v END)" for i in range(width))
     return steps.groupBy("ord").agg(
-        F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("top_n"), picks.alias("picks")
+        F.expr("count(1)").alias("n_unique"), F.max("n").alias("top_n"), F.expr(f"array({picks})").alias("picks")
     )
 
 
+def number(x: float) -> str:
+    """A double as an exact SQL literal."""
+    return f"double('{x!r}')" if math.isinf(x) or math.isnan(x) else f"{x!r}D"
+
+
 @dataclass
 class _Target:
     """One wanted rank and the open value interval (low, high) known to hold it."""
@@ -72,16 +77,16 @@ class _Target:
     answer: float | None = None
 
     @property
-    def value(self) -> Column:
-        return F.col(self.pos).cast("double")
+    def value(self) -> str:
+        return f"CAST({self.pos} AS double)"
 
-    def inside(self) -> Column:
-        test = self.value.isNotNull()
+    def inside(self) -> str:
+        tests = [f"{self.pos} IS NOT NULL"]
         if self.low is not None:
-            test = test & (self.value > F.lit(self.low))
+            tests.append(f"{self.value} > {number(self.low)}")
         if self.high is not None:
-            test = test & (self.value < F.lit(self.high))
-        return test
+            tests.append(f"{self.value} < {number(self.high)}")
+        return "(" + " AND ".join(tests) + ")"
 
     def narrow(self, a: float, b: float, below: int, at_a: int, mid: int, at_b: int) -> None:
         r = self.rank - self.base
@@ -105,7 +110,10 @@ def _propose(cells: DataFrame, targets: list[_Target], k: int) -> list[tuple[flo
     sketches rather than one per input split."""
     keys = list(dict.fromkeys((t.pos, t.low, t.high) for t in targets))
     members = [[t for t in targets if (t.pos, t.low, t.high) == key] for key in keys]
-    sketches = [F.kll_sketch_agg_double(F.when(m[0].inside(), m[0].value), k).alias(f"s{i}") for i, m in enumerate(members)]
+    sketches = [
+        F.expr(f"kll_sketch_agg_double(CASE WHEN {m[0].inside()} THEN {m[0].value} END, {k})").alias(f"s{i}")
+        for i, m in enumerate(members)
+    ]
     merged = (
         cells.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
         .groupBy("lane").agg(*sketches)
@@ -126,14 +134,14 @@ def _narrow(cells: DataFrame, targets: list[_Target], k: int) -> None:
     brackets = _propose(cells, targets, k)
     aggs = []
     for i, (t, (a, b)) in enumerate(zip(targets, brackets)):
-        v, inside = t.value, t.inside()
+        v, inside, low, high = t.value, t.inside(), number(a), number(b)
         aggs += [
-            F.count_if(inside & (v < a)).alias(f"below{i}"),
-            F.count_if(inside & (v == a)).alias(f"a{i}"),
-            F.count_if(inside & (v > a) & (v < b)).alias(f"mid{i}"),
-            F.count_if(inside & (v > a) & (v == b)).alias(f"b{i}"),
+            f"count_if({inside} AND {v} < {low}) AS below{i}",
+            f"count_if({inside} AND {v} = {low}) AS a{i}",
+            f"count_if({inside} AND {v} > {low} AND {v} < {high}) AS mid{i}",
+            f"count_if({inside} AND {v} > {low} AND {v} = {high}) AS b{i}",
         ]
-    row = cells.agg(*aggs).first()
+    row = cells.selectExpr(*aggs).first()
     for i, (t, (a, b)) in enumerate(zip(targets, brackets)):
         t.narrow(a, b, row[f"below{i}"], row[f"a{i}"], row[f"mid{i}"], row[f"b{i}"])
 
@@ -148,16 +156,16 @@ def bracketed_values(
             _narrow(cells, open_[start:start + options.chunk], options.sketch_k)
     rest = [t for t in targets if t.answer is None]
     if rest:
-        entries = [
-            F.when(t.inside(), F.struct(F.lit(i).alias("target"), t.value.alias("v"))) for i, t in enumerate(rest)
-        ]
+        entries = ", ".join(
+            f"CASE WHEN {t.inside()} THEN struct({i} AS target, {t.value} AS v) END" for i, t in enumerate(rest)
+        )
+        goals = ", ".join(f"{i}, {t.rank - t.base}L" for i, t in enumerate(rest))
         counted = (
-            cells.select(F.inline(F.array_compact(F.array(*entries))))
+            cells.selectExpr(f"inline(array_compact(array({entries})))")
             .groupBy("target", "v").agg(F.count(F.lit(1)).alias("n"))
         )
-        goal = F.create_map(*[x for i, t in enumerate(rest) for x in (F.lit(i), F.lit(t.rank - t.base))])
         found = walked(counted, "target").groupBy("target").agg(
-            F.min(F.when(F.col("upto") > goal[F.col("target")], F.col("v"))).alias("v")
+            F.expr(f"min(CASE WHEN upto > map({goals})[target] THEN v END)").alias("v")
         )
         for row in found.collect():
             rest[row["target"]].answer = row["v"]

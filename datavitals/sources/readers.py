@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
-from datavitals.functions.cells import text_or_null
+from datavitals.functions.cells import literal, text_or_null
 from datavitals.functions.normalize import normalize_values
 
 # Cell texts a CSV load reads as missing, as written, before blanks are stripped.
@@ -25,12 +25,11 @@ def load(spark: SparkSession, source, fmt: str = "parquet", normalize: bool = Tr
     return normalize_values(df) if normalize else df
 
 
-def _as(kind: str, c: Column) -> Column:
-    if kind == "bigint":
-        return F.when(c.rlike(_WHOLE), F.trim(c).try_cast("bigint"))
-    if kind == "double":
-        return F.when(c.rlike(_REAL), F.trim(c).try_cast("double"))
-    return F.when(c.rlike(_BOOL), F.lower(c).cast("boolean"))
+def _as(kind: str, c: str) -> str:
+    if kind == "boolean":
+        return f"CASE WHEN rlike({c}, r'{_BOOL}') THEN CAST(lower({c}) AS boolean) END"
+    pattern = _WHOLE if kind == "bigint" else _REAL
+    return f"CASE WHEN rlike({c}, r'{pattern}') THEN try_cast(trim({c}) AS {kind}) END"
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None, strict: bool = True, sep: str = ",", **options) -> DataFrame:
@@ -50,21 +49,20 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None
     stored = [f"c{i}" for i in range(len(names))]
     as_text = T.StructType([T.StructField(n, T.StringType()) for n in [*stored, _CORRUPT]])
     raw = reader.option("columnNameOfCorruptRecord", _CORRUPT).schema(as_text).csv(path)
-    clean = raw.select(*[
-        F.when(~F.col(n).isin(*CSV_NULLS), text_or_null(F.col(n))).alias(n) for n in stored
-    ], _CORRUPT)
-
-    checks = [F.count(F.lit(1)).alias("rows")]
+    nulls = ", ".join(literal(x) for x in CSV_NULLS)
+    clean = raw.selectExpr(
+        *[f"CASE WHEN {n} NOT IN ({nulls}) THEN {text_or_null(n)} END AS {n}" for n in stored], _CORRUPT
+    )
+    checks = ["count(1) AS rows"]
     for n in stored:
-        c = F.col(n)
-        checks += [F.count(c).alias(f"{n}:present")]
-        checks += [F.count(_as(k, c)).alias(f"{n}:{k}") for k in ("bigint", "double", "boolean")]
-        checks += [F.count_if(F.contains(c, F.lit("�"))).alias(f"{n}:broken")]
+        checks += [f"count({n}) AS `{n}:present`", f"count_if(contains({n}, '\ufffd')) AS `{n}:broken`"]
+        checks += [f"count({_as(k, n)}) AS `{n}:{k}`" for k in ("bigint", "double", "boolean")]
     # A short row is padded with NULLs, as usual; only surplus fields make a row malformed.
-    quoted = r'(?:[^"]*"[^"]*")*[^"]*$'
-    surplus = F.size(F.split(F.col(_CORRUPT), f"{_escaped(sep)}(?={quoted})")) > len(stored)
-    checks.append(F.count_if(F.col(_CORRUPT).isNotNull() & surplus).alias("malformed"))
-    found = clean.agg(*checks).first()
+    quoted_rest = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    checks.append(
+        f"count_if({_CORRUPT} IS NOT NULL AND size(split({_CORRUPT}, r'{_escaped(sep)}{quoted_rest}')) > {len(stored)}) AS malformed"
+    )
+    found = clean.selectExpr(*checks).first()
     if strict:
         if found["malformed"]:
             raise ValueError(f"the CSV source has {found['malformed']} rows with too many fields")
@@ -74,20 +72,19 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         typed = [F.col(n).try_cast(f.dataType).alias(n) for n, f in zip(stored, wanted.fields)]
         return clean.select(*typed).toDF(*wanted.names)
-    typed = [_typed(n, found).alias(n) for n in stored]
-    return clean.select(*typed).toDF(*names)
+    return clean.selectExpr(*[f"{_typed(n, found)} AS {n}" for n in stored]).toDF(*names)
 
 
-def _typed(n: str, found) -> Column:
-    present, c = found[f"{n}:present"], F.col(n)
+def _typed(n: str, found) -> str:
+    present = found[f"{n}:present"]
     if present == found[f"{n}:bigint"] and present:
-        return _as("bigint", c)
+        return _as("bigint", n)
     if present == found[f"{n}:double"]:
-        return _as("double", c)
+        return _as("double", n)
     # A boolean column with gaps stays text: its missing cells have no boolean.
     if present == found[f"{n}:boolean"] == found["rows"]:
-        return _as("boolean", c)
-    return c
+        return _as("boolean", n)
+    return n
 
 
 def _escaped(sep: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from datavitals.functions.cells import rounded
-from datavitals.operators import chartdata, drift, scoring
+from datavitals.operators import chartdata, drift
 from datavitals.operators.drift import DriftReport
 from suite import duck_drift as D, sources as S
 from suite.registry import register

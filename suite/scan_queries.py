@@ -8,7 +8,6 @@ from datavitals.functions.cells import rounded
 from datavitals.functions.normalize import normalize_values
 from datavitals.operators import checks, chartdata, guidance, profile, scoring
 from datavitals.operators.checks import Scan
-from datavitals.roles import Roles
 from suite import duck, sources as S
 from suite.duck import RANK, WEIGHT, case_of
 from suite.registry import register

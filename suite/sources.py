@@ -159,3 +159,31 @@ ITEMS_AFTER = Source(("lineitem",), _ITEM + ">= cast('1998-06-01' AS date)", _IT
 _DOC_COLS = _cols("doc_id:int text:str source:str n_chars:int lang:str")
 DOCS_EN = Source(("documents",), "SELECT doc_id, text, source, n_chars, lang FROM {documents} WHERE lang = 'en'", _DOC_COLS)
 DOCS_OTHER = Source(("documents",), "SELECT doc_id, text, source, n_chars, lang FROM {documents} WHERE lang <> 'en'", _DOC_COLS)
+
+# Inputs of single fixes and of the run history.
+PART_COMMA = Source(
+    ("part",),
+    """SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN p_brand ELSE concat(' 1,', lpad(cast(p_size AS string), 3, '0'), ' ') END AS size_text,
+         p_name FROM {part}""",
+    _cols("p_partkey:int size_text:str p_name:str"),
+)
+ORDER_RUNS = Source(
+    ("orders",),
+    """SELECT concat(o_orderstatus, '-', cast(cast(date_trunc('month', o_orderdate) AS date) AS string)) AS run_id, o_orderstatus AS dataset_name,
+         cast(cast(date_trunc('month', o_orderdate) AS date) AS string) AS timestamp, count(*) AS row_count,
+         cast(count(DISTINCT o_orderpriority) AS bigint) AS column_count,
+         cast(100 - floor(100.0 * count(CASE WHEN o_totalprice > 400000 THEN 1 END) / count(*)) AS int) AS health_score,
+         count(CASE WHEN o_totalprice > 100000 THEN 1 END) AS issue_count, count(CASE WHEN o_totalprice > 400000 THEN 1 END) AS critical_count,
+         count(CASE WHEN o_totalprice > 200000 AND o_totalprice <= 400000 THEN 1 END) AS warning_count,
+         count(CASE WHEN o_totalprice > 100000 AND o_totalprice <= 200000 THEN 1 END) AS minor_count,
+         concat('fp-', o_orderstatus) AS schema_fingerprint
+       FROM {orders} GROUP BY o_orderstatus, date_trunc('month', o_orderdate)""",
+    _cols("run_id:str dataset_name:str timestamp:str row_count:int column_count:int health_score:int issue_count:int critical_count:int "
+          "warning_count:int minor_count:int schema_fingerprint:str"),
+)
+MONITOR_FILES = Source(
+    ("orders",),
+    """SELECT concat('/data/in/', CASE o_orderstatus WHEN 'O' THEN 'production_' WHEN 'F' THEN 'baseline_' ELSE 'new_broken_' END,
+         lower(o_orderpriority), '.v1.csv') AS path FROM {orders}""",
+    _cols("path:str"),
+)
