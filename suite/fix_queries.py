@@ -89,11 +89,11 @@ _fix("fix_high_cardinality_nulls", S.EVENTS_DIRTY, "high_cardinality_categorical
      f"""SELECT * REPLACE (CASE WHEN props IN (SELECT props FROM ({_DIRTY}) WHERE props IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20)
            THEN props ELSE 'OTHER' END AS props) FROM ({_DIRTY})""")
 _fix("fix_outliers", S.DOCUMENTS, "numeric_outliers_iqr", "n_chars",
-     """SELECT * REPLACE (round(least(greatest(n_chars::DOUBLE, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)), 6) AS n_chars) EXCLUDE (q1, q3)
+     """SELECT * EXCLUDE (q1, q3) REPLACE (round(least(greatest(n_chars::DOUBLE, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)), 6) AS n_chars)
         FROM documents, (SELECT quantile_cont(n_chars::DOUBLE, 0.25) AS q1, quantile_cont(n_chars::DOUBLE, 0.75) AS q3 FROM documents)""", "n_chars")
 _fix("fix_outliers_nulls", S.EVENTS_DIRTY, "numeric_outliers_iqr", "value",
-     f"""SELECT * REPLACE (CASE WHEN value IS NOT NULL THEN round(least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)), 6) END AS value)
-           EXCLUDE (q1, q3) FROM ({_DIRTY}),
+     f"""SELECT * EXCLUDE (q1, q3) REPLACE (CASE WHEN value IS NOT NULL
+             THEN round(least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)), 6) END AS value) FROM ({_DIRTY}),
            (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM ({_DIRTY}))""", "value")
 _fix("fix_drop_identifier", S.CUSTOMER, "likely_id_column", "c_name", "SELECT * EXCLUDE (c_name) FROM customer")
 _fix("fix_wrong_dtype", S.PART_COMMA, "possible_wrong_dtype", "size_text",
@@ -124,7 +124,6 @@ def _accumulated(spark, sf) -> DataFrame:
     return remediation.apply_fixes(df, Scan(df).issues.collect(), stage_every=2)[0]
 
 
-_D2 = f"""SELECT * REPLACE (coalesce(tens, (SELECT quantile_cont(tens, 0.5) FROM s)) AS tens) FROM s"""
 register(
     "fix_accumulated", _accumulated,
     # Issue order: missing props, missing tens, duplicate rows, constant column, outliers of tens.

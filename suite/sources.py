@@ -70,7 +70,7 @@ EVENTS_ROLES = Source(
 EVENTS_SHORT = Source(
     ("events",),
     """SELECT user_id, event_type, CASE WHEN event_type = 'error' THEN NULL ELSE props END AS props,
-         CASE WHEN event_type = 'error' THEN NULL ELSE floor(value / 10) END AS tens, 'v1' AS source_version
+         CASE WHEN event_type = 'error' THEN NULL ELSE cast(floor(value / 10) AS double) END AS tens, 'v1' AS source_version
        FROM {events}""",
     _cols("user_id:int event_type:str props:str tens:float source_version:str"),
 )
