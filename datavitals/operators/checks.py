@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from datavitals.functions import names
 from datavitals.functions.cells import literal
-from datavitals.plans.facts import (
-    TableFacts, count_duplicates, count_key_duplicates, metrics_frame, table_facts,
-)
+from datavitals.plans.facts import TableFacts, metrics_frame, table_facts
 from datavitals.plans.options import ScanOptions
 from datavitals.roles import Roles
 
@@ -147,12 +145,7 @@ class Scan:
 
     @cached_property
     def facts(self) -> TableFacts:
-        facts = table_facts(self.df, self.roles, self.options, self.unique)
-        if not facts.fields:
-            facts.rows = 0
-        count_duplicates(self.df, facts, self.options)
-        count_key_duplicates(self.df, facts, self.roles)
-        return facts
+        return table_facts(self.df, self.roles, self.options, self.unique, keys=True)
 
     @cached_property
     def metrics(self) -> DataFrame:

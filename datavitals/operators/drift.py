@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from datavitals.functions.cells import Field, cell, fields_of, positional, quoted, rounded
 from datavitals.functions.normalize import normalize_table
 from datavitals.operators.scoring import DRIFT_LABELS, DRIFT_POINTS, SEVERITY_RANK, banded, clamped, points
-from datavitals.plans.facts import QUARTILES, TableFacts, add_counts, first_facts, logical_dtype, one_row
-from datavitals.plans.frequency import HAS_VALUE, SLOTS, as_text, slot_struct
+from datavitals.plans.facts import QUARTILES, TableFacts, add_quantiles, add_sketches, first_facts, logical_dtype, one_row
+from datavitals.plans.frequency import as_text, has_value, slot_struct, slots_of
 from datavitals.plans.options import ScanOptions
 from datavitals.plans.quantiles import number
-from datavitals.roles import Roles
+from datavitals.plans.together import together
 
 DECILES = tuple(i / 10 for i in range(11))
 # Floor of a bin's share, number of bins, and the PSI severity bars.
@@ -84,15 +84,21 @@ class DriftReport:
     @cached_property
     def counted(self) -> tuple[TableFacts, TableFacts]:
         """Plain aggregates of both sides."""
-        return tuple(first_facts(d, self.options) for d in self.sides)
+        return tuple(together(self.spark, *[lambda d=d: first_facts(d, self.options) for d in self.sides]))
 
     @cached_property
     def facts(self) -> tuple[TableFacts, TableFacts]:
-        """The same with quantiles; small-domain numeric columns get their distinct count too."""
-        for side, probs in enumerate((tuple(sorted({*QUARTILES, *DECILES})), QUARTILES)):
-            add_counts(self.sides[side], self.counted[side], [], probs, Roles(), self.options, times=False)
+        """The same with quantiles; the baseline's deciles are the edges of the PSI bins."""
+        probs = (tuple(sorted({*QUARTILES, *DECILES})), QUARTILES)
+        together(self.spark, *[lambda s=s: self._quantiles(s, probs[s]) for s in (0, 1)])
         return self.counted
 
+    def _quantiles(self, side: int, probs: tuple[float, ...]) -> None:
+        if self.options.exact:
+            add_quantiles(self.sides[side], self.counted[side], probs, self.options)
+        else:
+            add_sketches(self.sides[side], self.counted[side], [], probs, None, self.options)
+
     def _shift(self, names: list[str]) -> dict[str, dict]:
         if not names:
             return {}
@@ -101,18 +107,21 @@ class DriftReport:
 
     @cached_property
     def shifts(self) -> dict[str, dict]:
+        """Category shifts, and the distinct counts of categorical columns."""
         return self._shift(self.categorical)
 
     @cached_property
     def uniques(self) -> dict[str, dict]:
-        """Distinct counts of the numeric columns, both sides."""
-        known = {}
-        for n in self.numeric:
-            pair = self._pair(n)
-            counts = [s.of(f, "n_unique") if s.of(f, "present") else 0 for s, f in zip(self.counted, pair)]
-            if None not in counts:
-                known[n] = dict(zip(("baseline_unique", "new_unique"), counts))
-        return known | self._shift([n for n in self.numeric if n not in known])
+        """Distinct counts of the numeric columns."""
+        return self._shift(self.numeric)
+
+    def _collect(self, numeric: bool, shifts: bool, uniques: bool) -> None:
+        """Run the passes still missing; distributions and frequencies side by side."""
+        self.counted
+        jobs = [lambda: self.bins] if numeric else []
+        jobs += [lambda: self.shifts] if shifts or uniques else []
+        jobs += [lambda: self.uniques] if uniques else []
+        together(self.spark, *jobs)
 
     @cached_property
     def bins(self) -> dict[str, tuple[list[int], list[int]]]:
@@ -124,28 +133,32 @@ class DriftReport:
             fb, fc = self.facts[0].values[b.ord], self.facts[1].values[c.ord]
             if fb["present"] and fc["present"]:
                 inner[n] = psi_edges(fb, fc, [self.facts[0].quantiles[b.ord][p] for p in DECILES])
-        counts: dict[str, list[list[int]]] = {n: [] for n in inner}
-        for side in (0, 1):
-            wanted = {}
-            for n, edges in inner.items():
-                f = self.fields[side][n]
-                if edges:
-                    wanted[f.ord] = {str(i): f"count_if({f.pos} <= {number(e)})" for i, e in enumerate(edges)}
+
+        def count(side: int) -> dict[str, list[int]]:
+            wanted = {
+                self.fields[side][n].ord: {str(i): f"count_if({self.fields[side][n].pos} <= {number(e)})" for i, e in enumerate(edges)}
+                for n, edges in inner.items() if edges
+            }
             # Nine aggregates per column, so fewer columns go into one job.
             chunk = max(1, self.options.chunk // 6)
             found = one_row(positional(self.sides[side]), wanted, chunk)[1] if wanted else {}
+            out = {}
             for n, edges in inner.items():
                 f = self.fields[side][n]
-                upto = [found[f.ord][str(i)] for i in range(len(edges))]
-                steps = [0, *upto, self.facts[side].of(f, "present")]
-                counts[n].append([high - low for low, high in zip(steps, steps[1:])])
-        return {n: (x, y) for n, (x, y) in counts.items()}
+                steps = [0, *[found[f.ord][str(i)] for i in range(len(edges))], self.counted[side].of(f, "present")]
+                out[n] = [high - low for low, high in zip(steps, steps[1:])]
+            return out
+
+        base, new = together(self.spark, lambda: count(0), lambda: count(1))
+        return {n: (base[n], new[n]) for n in inner}
 
     # tables: projections of one small relation ------------------------------------------------
 
     def pairs(self, numeric: bool = False, shifts: bool = False, uniques: bool = False) -> DataFrame:
         """One row per column of either table with the facts of both sides, as far as asked for."""
-        sides = self.facts if numeric else self.counted
+        if numeric or shifts or uniques:
+            self._collect(numeric, shifts, uniques)
+        sides = self.counted
         found = {**(self.shifts if shifts or uniques else {}), **(self.uniques if uniques else {})}
         out = []
         for i, n in enumerate(self.all_names):
@@ -315,20 +328,24 @@ PAIRS = pa.schema([
 
 
 def shift_table(sides, fields, wanted, categorical: set[str], facts, options: ScanOptions) -> DataFrame:
+    kinds = [
+        ["label" if n in categorical else fields[side][n].slot for n in wanted] for side in (0, 1)
+    ]
+    slots = slots_of({*kinds[0], *kinds[1]})
     tagged = None
     for side in (0, 1):
         entries = []
         for i, n in enumerate(wanted):
             f = fields[side][n]
-            if n in categorical:
-                entries.append(slot_struct(i, "label", category_label(as_text(f, f.pos), options.label_bytes)))
-            else:
-                entries.append(slot_struct(i, f.slot, f.pos))
-        part = positional(sides[side]).selectExpr(f"inline(array({', '.join(entries)}))").selectExpr("ord", *SLOTS, f"{side} AS side")
+            value = category_label(as_text(f, f.pos), options.label_bytes) if n in categorical else f.pos
+            entries.append(slot_struct(i, kinds[side][i], value, slots))
+        part = positional(sides[side]).selectExpr(f"inline(array({', '.join(entries)}))").selectExpr("*", f"{side} AS side")
         tagged = part if tagged is None else tagged.unionByName(part)
-    freq = tagged.filter(HAS_VALUE).groupBy("ord", *SLOTS).agg(
+    freq = tagged.filter(has_value(slots)).groupBy("ord", *slots).agg(
         F.expr("count_if(side = 0)").alias("nb"), F.expr("count_if(side = 1)").alias("nc")
     )
+    if "text" not in slots:
+        freq = freq.selectExpr("*", "CAST(NULL AS string) AS text")
 
     def share(n: str, side: int) -> str:
         totals = ", ".join(f"{i}, {facts[side].of(fields[side][x], 'present')}L" for i, x in enumerate(wanted))

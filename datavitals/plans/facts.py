@@ -4,9 +4,9 @@ A scan is a few Spark jobs that each return one row per column, never user rows:
 
   1. one pass of map-side aggregates (counts, moments, text shapes), nothing shuffled but one
      partial row per task;
-  2. exact distinct counts, top counts and quantiles of small-domain columns from the long
-     frequency table (plans/frequency.py);
-  3. quantiles of large-domain numeric columns by bracketing (plans/quantiles.py);
+  2. exact distinct counts, top counts and text shapes from the long frequency table
+     (plans/frequency.py);
+  3. quantiles of numeric columns by narrowing (plans/quantiles.py);
   4. one pass that counts values outside the IQR fences.
 
 The rows become a small local relation on which all rules run as column expressions."""
@@ -23,12 +23,15 @@ from datavitals.functions.cells import (
     Field, fields_of, number_or_null, positional, short_key, stripped, timestamp_or_null,
 )
 from datavitals.functions.shape import read_shape, shape_of, shape_totals
-from datavitals.plans.frequency import field_frequencies, per_column, slot_struct
+from datavitals.plans.approximate import approximate_pass
+from datavitals.plans.frequency import field_frequencies, per_column
 from datavitals.plans.options import ScanOptions
-from datavitals.plans.quantiles import between, bracketed_values, number, rank_values, ranks
+from datavitals.plans.quantiles import between, number, rank_values, ranks
+from datavitals.plans.together import together
 from datavitals.roles import Roles
 
 QUARTILES = (0.25, 0.5, 0.75)
+_NO_TIMES = None      # stands for "no check looks at timestamps"
 _PARSED = 1_000_000   # ord offset of a text column's parsed timestamps in the frequency table
 
 
@@ -56,18 +59,13 @@ def _first_pass(f: Field) -> dict[str, str]:
         out |= {"mean": f"avg({v})", "std": f"stddev_pop({v})", "min": f"min({v})", "max": f"max({v})"}
         if f.kind == "floating":
             out["all_integral"] = f"bool_and({v} % 1 = 0)"
+    if f.kind == "string":
+        out["longest"] = f"max(octet_length({f.pos}))"
     if f.kind == "boolean":
         out |= {"min": f"CAST(min(int({f.pos})) AS double)", "max": f"CAST(max(int({f.pos})) AS double)"}
     return out
 
 
-def domain_bound(f: Field, facts: dict) -> int:
-    """A proven upper bound on a numeric column's distinct values."""
-    if f.kind == "integral" and facts["present"]:
-        return min(facts["present"], int(facts["max"]) - int(facts["min"]) + 1)
-    return facts["present"]
-
-
 def one_row(cells: DataFrame, wanted: dict[int, dict[str, str]], chunk: int) -> tuple[int, dict[int, dict]]:
     """Run per-column aggregates, `chunk` columns per job; returns the row count and the values."""
     ords = list(wanted)
@@ -95,22 +93,50 @@ def first_facts(df: DataFrame, options: ScanOptions) -> TableFacts:
     return TableFacts(rows, fields, values, {})
 
 
-def add_counts(
-    df: DataFrame, facts: TableFacts, counted: list[Field], probs: tuple[float, ...], roles: Roles, options: ScanOptions,
-    times: bool = True,
-) -> None:
-    """Add distinct and top counts of the `counted` fields and quantiles of all numeric ones."""
-    if not facts.rows:
+def add_counts(df: DataFrame, facts: TableFacts, counted: list[Field], roles: Roles, options: ScanOptions) -> None:
+    """Add exact distinct and top counts and text shapes of the `counted` fields."""
+    timed = {_PARSED + f.ord: timestamp_or_null(f.pos, options.timestamp_formats) for f in parsed_time_fields(facts, roles)}
+    if not counted and not timed:
         return
+    longest = {f.ord: facts.of(f, "longest") for f in counted}
     cells = positional(df)
-    numeric = [f for f in facts.fields if f.numeric and facts.of(f, "present") and probs]
-    parsed = parsed_time_fields(facts, roles) if times else []
-    if options.exact:
-        _exact_pass(cells, facts, counted, numeric, parsed, options, probs)
-    else:
-        from datavitals.plans.approximate import approximate_pass
 
-        approximate_pass(cells, facts, counted, numeric, parsed, options, probs)
+    def count(fields: list[Field], times: dict[int, str]) -> dict[int, dict]:
+        if not fields and not times:
+            return {}
+        freq = field_frequencies(cells, fields, longest, times)
+        return {row["ord"]: row.asDict() for row in per_column(*freq).collect()}
+
+    # Text and numbers apart: rows of numbers stay narrow, and their keys have a fixed width.
+    texts = [f for f in counted if f.kind == "string"]
+    numbers = [f for f in counted if f.kind != "string"]
+    text_rows, number_rows = together(df.sparkSession, lambda: count(texts, {}), lambda: count(numbers, timed))
+    found = text_rows | number_rows
+    for f in counted:
+        row = found.get(f.ord, {})
+        facts.values[f.ord] |= {"n_unique": row.get("n_unique") or 0, "top_n": row.get("top_n") or 0}
+        facts.values[f.ord] |= read_shape(row)
+    for f in parsed_time_fields(facts, roles):
+        row = found.get(_PARSED + f.ord, {})
+        facts.values[f.ord] |= {"parsed": row.get("known") or 0, "parsed_unique": row.get("n_unique") or 0}
+
+
+def add_quantiles(df: DataFrame, facts: TableFacts, probs: tuple[float, ...], options: ScanOptions) -> None:
+    """Add exact quantiles of all numeric fields."""
+    numeric = [f for f in facts.fields if f.numeric and facts.of(f, "present")]
+    if not numeric or not probs:
+        return
+    present = {f.pos: facts.of(f, "present") for f in numeric}
+    asked = {f.pos: [r for p in probs for r in ranks(present[f.pos], p)[:2]] for f in numeric}
+    ends = {f.pos: (facts.of(f, "min"), facts.of(f, "max")) for f in numeric}
+    answers = rank_values(positional(df), asked, ends, present, options)
+    for f in numeric:
+        facts.quantiles[f.ord] = _interpolate(answers[f.pos], present[f.pos], probs)
+
+
+def add_sketches(df: DataFrame, facts: TableFacts, counted: list[Field], probs: tuple[float, ...], roles: Roles, options: ScanOptions) -> None:
+    numeric = [f for f in facts.fields if f.numeric and facts.of(f, "present") and probs]
+    approximate_pass(positional(df), facts, counted, numeric, parsed_time_fields(facts, roles), options, probs)
 
 
 def table_facts(
@@ -120,16 +146,32 @@ def table_facts(
     unique: str = "rules",
     probs: tuple[float, ...] = QUARTILES,
     fences: bool = True,
+    keys: bool = False,
 ) -> TableFacts:
     """Collect facts. `unique` says which columns need exact distinct counts: "all", "none", or
-    "rules" (skip float columns no rule counts)."""
+    "rules" (skip float columns no rule counts). `keys` adds duplicate rows and key repeats.
+
+    Counts and quantiles do not need each other, so their jobs run side by side; so do the
+    duplicate checks (which the counts may spare) and the fences (which need the quantiles)."""
     roles, options = roles or Roles(), options or ScanOptions()
     facts = first_facts(df, options)
-    if facts.rows:
-        counted = [f for f in facts.fields if _needs_unique(f, facts, roles, unique)]
-        add_counts(df, facts, counted, probs, roles, options, times=unique == "rules")
-        if fences:
-            _last_pass(positional(df), facts, roles, options)
+    if not facts.fields:
+        facts.rows = 0
+    counted = [f for f in facts.fields if _needs_unique(f, facts, roles, unique)] if facts.rows else []
+
+    def counts() -> None:
+        add_counts(df, facts, counted, roles if unique == "rules" else _NO_TIMES, options)
+
+    def repeats() -> None:
+        count_duplicates(df, facts, options)
+        count_key_duplicates(df, facts, roles)
+
+    first = [lambda: add_sketches(df, facts, counted, probs, roles, options)]
+    if options.exact:
+        first = ([counts] if counted else []) + ([lambda: add_quantiles(df, facts, probs, options)] if probs else [])
+    then = ([repeats] if keys else []) + ([lambda: _last_pass(positional(df), facts, roles, options)] if fences else [])
+    for jobs in (first if facts.rows else [], then):
+        together(df.sparkSession, *jobs)
     return facts
 
 
@@ -143,53 +185,13 @@ def _needs_unique(f: Field, facts: TableFacts, roles: Roles, unique: str) -> boo
     return True
 
 
-def parsed_time_fields(facts: TableFacts, roles: Roles) -> list[Field]:
+def parsed_time_fields(facts: TableFacts, roles: Roles | None) -> list[Field]:
     """Text columns whose values are tried as timestamps."""
-    if facts.rows < 10:
+    if facts.rows < 10 or roles is _NO_TIMES:
         return []
     return [f for f in facts.fields if f.kind == "string" and looks_like_time(f) and f.name != roles.timestamp]
 
 
-def _exact_pass(cells, facts, counted, numeric, timed, options, probs) -> None:
-    present = {f.ord: facts.of(f, "present") for f in facts.fields}
-    small = [f for f in numeric if domain_bound(f, facts.values[f.ord]) <= options.sort_limit]
-    large = [f for f in numeric if f not in small]
-    walked_ords = {f.ord for f in small}
-    plain = [f for f in counted if f.ord not in walked_ords]
-
-    asked = {f.ord: [r for p in probs for r in ranks(present[f.ord], p)[:2]] for f in numeric}
-    jobs = []
-    parsed = [
-        slot_struct(_PARSED + f.ord, "timestamp", timestamp_or_null(f.pos, options.timestamp_formats))
-        for f in timed
-    ]
-    if plain or parsed:
-        jobs.append(per_column(field_frequencies(cells, plain, parsed)))
-    if small:
-        freq = field_frequencies(cells, small)
-        jobs.append(rank_values(freq, {f.ord: asked[f.ord] for f in small}))
-    found = {}
-    if jobs:
-        both = jobs[0] if len(jobs) == 1 else jobs[0].unionByName(jobs[1], allowMissingColumns=True)
-        found = {row["ord"]: row.asDict() for row in both.collect()}
-    for f in plain + small:
-        row = found.get(f.ord, {})
-        facts.values[f.ord] |= {"n_unique": row.get("n_unique") or 0, "top_n": row.get("top_n") or 0}
-        facts.values[f.ord] |= read_shape(row)
-    for f in timed:
-        row = found.get(_PARSED + f.ord, {})
-        facts.values[f.ord] |= {"parsed": row.get("known") or 0, "parsed_unique": row.get("n_unique") or 0}
-    for f in small:
-        by_rank = dict(zip(asked[f.ord], found[f.ord]["picks"]))
-        facts.quantiles[f.ord] = _interpolate(by_rank, present[f.ord], probs)
-    if large:
-        answers = bracketed_values(
-            cells, {f.pos: asked[f.ord] for f in large}, {f.pos: present[f.ord] for f in large}, options
-        )
-        for f in large:
-            facts.quantiles[f.ord] = _interpolate(answers[f.pos], present[f.ord], probs)
-
-
 def _interpolate(by_rank: dict[int, float], present: int, probs) -> dict[float, float]:
     out = {}
     for p in probs:
@@ -210,7 +212,7 @@ def _last_pass(cells: DataFrame, facts: TableFacts, roles: Roles, options: ScanO
     """Counts that need the first passes: values outside the fences, and the text shape of the
     few numeric columns that are nearly unique without an identifier's name."""
     wanted: dict[int, dict[str, str]] = {}
-    for f in facts.fields:
+    for f in facts.fields if facts.rows else []:
         v = facts.values[f.ord]
         aggs = {}
         if f.numeric and (limits := iqr_fences(facts, f)):

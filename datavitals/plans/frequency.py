@@ -15,8 +15,10 @@ from datavitals.functions.cells import SHORT_TEXT, Field, fields_of, literal, po
 from datavitals.functions.shape import SHAPE, shape_of, shape_totals
 
 SLOTS = {"whole": "bigint", "real": "double", "text": "string"}
-HAS_VALUE = "(whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL)"
-AS_NUMBER = "coalesce(real, CAST(whole AS double))"
+
+
+def has_value(slots: list[str]) -> str:
+    return "(" + " OR ".join(f"{s} IS NOT NULL" for s in slots) + ")"
 
 
 def _slot_value(kind: str, c: str) -> tuple[str, str]:
@@ -35,43 +37,61 @@ def _slot_value(kind: str, c: str) -> tuple[str, str]:
     return "text", f"CAST({c} AS string)"
 
 
-def slot_struct(ord_: int, kind: str, c: str, long_text: str | None = None) -> str:
-    """One (column, value) entry as SQL. A plain "string" is grouped by its short key; a "label"
-    is kept as it is."""
-    slot, value = _slot_value(kind, short_key(c) if kind == "string" else c)
-    slots = [f"CAST({value if s == slot else 'NULL'} AS {t}) AS {s}" for s, t in SLOTS.items()]
-    shape = shape_of(long_text) if long_text else dict.fromkeys(SHAPE, "NULL")
-    shapes = [f"CAST({shape[k]} AS {t}) AS {k}" for k, t in SHAPE.items()]
-    return f"struct({ord_} AS ord, {', '.join(slots + shapes)})"
+def slots_of(kinds: Iterable[str]) -> list[str]:
+    """The slots that columns of these kinds fill; the others are left out of the shuffle."""
+    used = {_slot_value(k, "x")[0] for k in kinds}
+    return [s for s in SLOTS if s in used]
+
 
+def slot_struct(ord_: int, kind: str, c: str, slots: list[str], digest: bool = False, shape: dict[str, str] | None = None) -> str:
+    """One (column, value) entry as SQL, with `digest` grouping a text by its short key."""
+    slot, value = _slot_value(kind, short_key(c) if digest else c)
+    cells = [f"CAST({value if s == slot else 'NULL'} AS {SLOTS[s]}) AS {s}" for s in slots]
+    shapes = [f"CAST({shape[k]} AS {t}) AS {k}" for k, t in SHAPE.items()] if shape is not None else []
+    return f"struct({', '.join([f'{ord_} AS ord', *cells, *shapes])})"
 
-def field_frequencies(cells: DataFrame, fields: list[Field], extra: Iterable[str] = ()) -> DataFrame:
-    """(ord, whole, real, text, n, shape...) of the given fields over a positional table.
 
-    A long text is grouped by its digest, which loses its shape, so that travels along as three
-    small columns. A short text's shape is read off its group later: once per distinct value
-    instead of once per row."""
-    texts = [f for f in fields if f.kind == "string"]
-    if texts:
+def field_frequencies(
+    cells: DataFrame, fields: list[Field], longest: dict[int, int], timed: dict[int, str] | None = None
+) -> tuple[DataFrame, list[str], bool]:
+    """(ord, slots..., n) of the given fields over a positional table, the slots, and whether the
+    rows carry shapes. `longest` gives each text column's longest value in bytes; `timed` adds
+    timestamp expressions under their own ord.
+
+    A column with long texts is grouped by digest, which loses their shape, so that travels along
+    as three small columns. A short text's shape is read off its group later: once per distinct
+    value instead of once per row."""
+    timed = timed or {}
+    long = {f.ord for f in fields if f.kind == "string" and (longest.get(f.ord) or 0) > SHORT_TEXT}
+    slots = slots_of([f.slot for f in fields] + ["timestamp"] * bool(timed))
+    if long:
         cells = cells.selectExpr("*", *[
-            f"CASE WHEN octet_length({f.pos}) > {SHORT_TEXT} THEN {stripped(f.pos)} END AS {f.pos}_long" for f in texts
+            f"CASE WHEN octet_length(c{o}) > {SHORT_TEXT} THEN {stripped(f'c{o}')} END AS c{o}_long" for o in long
         ])
-    entries = [slot_struct(f.ord, f.slot, f.pos, f"{f.pos}_long" if f in texts else None) for f in fields]
-    return (
-        cells.selectExpr(f"inline(array({', '.join([*entries, *extra])}))")
-        .groupBy("ord", *SLOTS).agg(F.expr("count(1)").alias("n"), *[F.max(k).alias(k) for k in SHAPE])
+    blank = dict.fromkeys(SHAPE, "NULL") if long else None
+    entries = [
+        slot_struct(f.ord, f.slot, f.pos, slots, f.ord in long, shape_of(f"{f.pos}_long") if f.ord in long else blank)
+        for f in fields
+    ]
+    entries += [slot_struct(o, "timestamp", sql, slots, shape=blank) for o, sql in timed.items()]
+    freq = (
+        cells.selectExpr(f"inline(array({', '.join(entries)}))")
+        .groupBy("ord", *slots).agg(F.expr("count(1)").alias("n"), *[F.max(k).alias(k) for k in (SHAPE if long else ())])
     )
+    return freq, slots, bool(long)
 
 
-def per_column(freq: DataFrame) -> DataFrame:
+def per_column(freq: DataFrame, slots: list[str], shaped: bool) -> DataFrame:
     """Per column: distinct non-null values, the largest count, the non-null rows, the shape."""
-    shape = shape_of("clean")
-    known = f"CASE WHEN {HAS_VALUE} THEN n END"
-    shaped = freq.selectExpr("*", f"{stripped('text')} AS clean").selectExpr(
-        "ord", f"{known} AS n", *[f"coalesce({k}, {shape[k]}) AS {k}" for k in SHAPE]
-    )
-    totals = {"n_unique": "count(n)", "top_n": "max(n)", "known": "coalesce(sum(n), 0)", **shape_totals("n")}
-    return shaped.groupBy("ord").agg(*[F.expr(e).alias(k) for k, e in totals.items()])
+    totals = {"n_unique": "count(known)", "top_n": "max(known)", "known": "coalesce(sum(known), 0)"}
+    freq = freq.selectExpr("*", f"CASE WHEN {has_value(slots)} THEN n END AS known")
+    if "text" in slots:
+        shape = shape_of("clean")
+        freq = freq.selectExpr("*", f"{stripped('text')} AS clean").selectExpr(
+            "ord", "known", *[f"coalesce({k}, {shape[k]}) AS {k}" if shaped else f"{shape[k]} AS {k}" for k in SHAPE]
+        )
+        totals |= shape_totals("known")
+    return freq.groupBy("ord").agg(*[F.expr(e).alias(k) for k, e in totals.items()])
 
 
 def value_freq(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -12,10 +12,10 @@ class ScanOptions:
                    rows are counted on a 128-bit row hash, so nothing but sketches and
                    16-byte hashes is shuffled.
     dtype_mode     "spark" keeps integers with nulls as int64; "pandas" reports them as float64.
-    sort_limit     most distinct values of one column that a single task may sort. Columns
-                   above it take the bracketing path of plans/quantiles.py.
+    walk_limit     most rows of one column that a single task may sort to find a quantile;
+                   larger columns are narrowed first (plans/quantiles.py).
     chunk          columns per aggregation job, to stay below codegen's method size limit.
-    sketch_k       size parameter of the quantile sketches used to place brackets.
+    sketch_k       size parameter of the quantile sketches.
     label_bytes    longest category label a drift report shows whole; a longer text is counted
                    and listed by its SHA-256 digest (None: always whole).
     timestamp_formats  extra text patterns tried after ISO when parsing timestamps.
@@ -23,7 +23,7 @@ class ScanOptions:
 
     exact: bool = True
     dtype_mode: str = "spark"
-    sort_limit: int = 2_000_000
+    walk_limit: int = 50_000
     chunk: int = 60
     sketch_k: int = 4096
     label_bytes: int | None = 256

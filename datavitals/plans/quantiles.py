@@ -1,14 +1,15 @@
 """Exact linear-interpolated quantiles that never hold a whole column in one task.
 
-Spark's percentile() keeps every distinct value of a column in one reducer's memory. Here:
+Spark's percentile() keeps every distinct value of a column in one reducer's memory. Here a
+column is narrowed around each wanted rank first:
 
-* a column with few distinct values is grouped by value (map-side combined) and one task per
-  column walks the sorted, counted values;
-* any other column is first narrowed: a mergeable rank sketch, merged in two levels, proposes a
-  value bracket around each wanted rank, a map-side count checks the bracket, and the step
-  repeats inside the bracket until few enough rows are left to walk as above.
+* a histogram of equal-width buckets (map-side combined, a few rows per column) tells which
+  bucket holds the rank and how many rows lie below it; this repeats inside the bucket;
+* where equal widths stop helping (heavy tails), a mergeable rank sketch, merged in two levels,
+  proposes the next interval and a map-side count places the rank in it;
+* once few enough rows are left, they are grouped by value and walked in order.
 
-The sketch only proposes; ranks are always counted, so the answer is exact whatever its error."""
+Buckets and sketches only propose; ranks are always counted, so the answer is exact."""
 
 from __future__ import annotations
 
@@ -17,10 +18,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from datavitals.plans.frequency import AS_NUMBER, HAS_VALUE
 from datavitals.plans.options import ScanOptions
 
 MERGE_GROUPS = 256   # first-level merge groups of the sketches
+BUCKETS = 1024       # equal-width buckets per interval and round
 
 
 def ranks(present: int, p: float) -> tuple[int, int, float]:
@@ -43,28 +44,12 @@ def walked(counted: DataFrame, key: str) -> DataFrame:
     )
 
 
-def rank_values(freq: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
-    """(ord, n_unique, top_n, picks) from a frequency table of small-domain columns.
-
-    `wanted` lists the ranks to look up per column; picks keeps their order."""
-    width = max(len(r) for r in wanted.values())
-    lists = ", ".join(
-        f"{o}, array({', '.join(f'{r}L' for r in rs + rs[-1:] * (width - len(rs)))})" for o, rs in wanted.items()
-    )
-    counted = freq.filter(HAS_VALUE).selectExpr("ord", "n", f"{AS_NUMBER} AS v")
-    steps = walked(counted, "ord").selectExpr("*", f"map({lists})[ord] AS ranks")
-    picks = ", ".join(f"min(CASE WHEN upto > ranks[{i}] THEN v END)" for i in range(width))
-    return steps.groupBy("ord").agg(
-        F.expr("count(1)").alias("n_unique"), F.max("n").alias("top_n"), F.expr(f"array({picks})").alias("picks")
-    )
-
-
 def number(x: float) -> str:
     """A double as an exact SQL literal."""
     return f"double('{x!r}')" if math.isinf(x) or math.isnan(x) else f"{x!r}D"
 
 
-@dataclass
+@dataclass(eq=False)
 class _Target:
     """One wanted rank and the open value interval (low, high) known to hold it."""
 
@@ -88,6 +73,15 @@ class _Target:
             tests.append(f"{self.value} < {number(self.high)}")
         return "(" + " AND ".join(tests) + ")"
 
+    def settle(self, previous: float | None, bucket, following: float | None, passed: int) -> None:
+        """Move into a bucket: the open interval between its neighbours' nearest values."""
+        if bucket["low"] == bucket["high"]:
+            self.answer = bucket["low"]
+            return
+        self.low = self.low if previous is None else previous
+        self.high = self.high if following is None else following
+        self.base, self.inner = self.base + passed, bucket["n"]
+
     def narrow(self, a: float, b: float, below: int, at_a: int, mid: int, at_b: int) -> None:
         r = self.rank - self.base
         if r < below:
@@ -146,29 +140,98 @@ def _narrow(cells: DataFrame, targets: list[_Target], k: int) -> None:
         t.narrow(a, b, row[f"below{i}"], row[f"a{i}"], row[f"mid{i}"], row[f"b{i}"])
 
 
-def bracketed_values(
-    cells: DataFrame, wanted: dict[str, list[int]], present: dict[str, int], options: ScanOptions
+def _intervals(targets: list[_Target]) -> list[list[_Target]]:
+    """Targets that share a column and an interval, and so one part of a job."""
+    parts: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        parts.setdefault((t.pos, t.low, t.high), []).append(t)
+    return list(parts.values())
+
+
+def _inside(cells: DataFrame, parts: list[list[_Target]], extra: dict[int, str] | None = None) -> DataFrame:
+    """(part, v, extra) for the values inside the intervals. Intervals of one column do not
+    overlap, so each row gives one entry per column, however many ranks are wanted."""
+    cases: dict[str, str] = {}
+    for i, part in enumerate(parts):
+        t = part[0]
+        more = f", {extra[i]}" if extra else ""
+        cases[t.pos] = cases.get(t.pos, "") + f" WHEN {t.inside()} THEN struct({i} AS part, {t.value} AS v{more})"
+    entries = ", ".join(f"CASE{c} END" for c in cases.values())
+    return cells.selectExpr(f"inline(array({entries}))").filter("part IS NOT NULL")
+
+
+def _buckets(cells: DataFrame, targets: list[_Target], ends: dict[str, tuple[float, float]]) -> list[_Target]:
+    """Narrow targets by one histogram round; returns those it could not narrow by much."""
+    parts, buckets, stuck = [], {}, []
+    for part in _intervals(targets):
+        t = part[0]
+        first, last = (ends[t.pos][0] if t.low is None else t.low), (ends[t.pos][1] if t.high is None else t.high)
+        scale = BUCKETS / (last - first) if last > first else 0.0
+        if not math.isfinite(scale) or scale <= 0.0:
+            stuck += part
+            continue
+        place = f"floor(({t.value} - {number(first)}) * {number(scale)})"
+        buckets[len(parts)] = f"CAST(greatest(0, least({BUCKETS - 1}, {place})) AS int) AS bucket"
+        parts.append(part)
+    if not parts:
+        return stuck
+    found = (
+        _inside(cells, parts, buckets).groupBy("part", "bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .orderBy("part", "bucket").collect()   # at most BUCKETS rows per interval
+    )
+    for i, part in enumerate(parts):
+        rows = [r for r in found if r["part"] == i]
+        for t in part:
+            before, passed = t.inner, 0
+            for j, r in enumerate(rows):
+                if t.rank - t.base < passed + r["n"]:
+                    t.settle(rows[j - 1]["high"] if j else None, r, rows[j + 1]["low"] if j + 1 < len(rows) else None, passed)
+                    break
+                passed += r["n"]
+            if t.answer is None and t.inner * 4 > before:
+                stuck.append(t)
+    return stuck
+
+
+def rank_values(
+    cells: DataFrame, wanted: dict[str, list[int]], ends: dict[str, tuple[float, float]], present: dict[str, int],
+    options: ScanOptions,
 ) -> dict[str, dict[int, float]]:
-    """Values at the wanted ranks of large-domain columns, as {position: {rank: value}}."""
+    """Values at the wanted ranks as {position: {rank: value}}; `ends` gives each column's
+    smallest and largest value, `present` its non-null rows."""
     targets = [_Target(pos, r, present[pos]) for pos, rs in wanted.items() for r in sorted(set(rs))]
-    while open_ := [t for t in targets if t.answer is None and t.inner > options.sort_limit]:
+    for t in targets:
+        low, high = ends[t.pos]
+        if t.rank == 0 or low == high:
+            t.answer = low
+        elif t.rank == t.inner - 1:
+            t.answer = high
+    by_sketch: list[_Target] = []
+    while open_ := [t for t in targets if t.answer is None and t.inner > options.walk_limit]:
         for start in range(0, len(open_), options.chunk):
-            _narrow(cells, open_[start:start + options.chunk], options.sketch_k)
-    rest = [t for t in targets if t.answer is None]
+            part = open_[start:start + options.chunk]
+            sketched = [t for t in part if any(t is s for s in by_sketch)]
+            plain = [t for t in part if not any(t is s for s in sketched)]
+            if plain:
+                by_sketch += _buckets(cells, plain, ends)
+            if sketched:
+                _narrow(cells, sketched, options.sketch_k)
+    rest = _intervals([t for t in targets if t.answer is None])
     if rest:
-        entries = ", ".join(
-            f"CASE WHEN {t.inside()} THEN struct({i} AS target, {t.value} AS v) END" for i, t in enumerate(rest)
-        )
-        goals = ", ".join(f"{i}, {t.rank - t.base}L" for i, t in enumerate(rest))
-        counted = (
-            cells.selectExpr(f"inline(array_compact(array({entries})))")
-            .groupBy("target", "v").agg(F.count(F.lit(1)).alias("n"))
-        )
-        found = walked(counted, "target").groupBy("target").agg(
-            F.expr(f"min(CASE WHEN upto > map({goals})[target] THEN v END)").alias("v")
+        width = max(len(part) for part in rest)
+        goals = ", ".join(
+            f"{i}, array({', '.join(f'{t.rank - t.base}L' for t in part + part[-1:] * (width - len(part)))})"
+            for i, part in enumerate(rest)
         )
+        counted = _inside(cells, rest).groupBy("part", "v").agg(F.count(F.lit(1)).alias("n"))
+        steps = walked(counted, "part").selectExpr("*", f"map({goals})[part] AS goals")
+        found = steps.groupBy("part").agg(*[
+            F.expr(f"min(CASE WHEN upto > goals[{j}] THEN v END)").alias(f"v{j}") for j in range(width)
+        ])
         for row in found.collect():
-            rest[row["target"]].answer = row["v"]
+            for j, t in enumerate(rest[row["part"]]):
+                t.answer = row[f"v{j}"]
     answers: dict[str, dict[int, float]] = {pos: {} for pos in wanted}
     for t in targets:
         answers[t.pos][t.rank] = t.answer
