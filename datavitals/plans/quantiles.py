@@ -149,14 +149,23 @@ def _intervals(targets: list[_Target]) -> list[list[_Target]]:
 
 
 def _inside(cells: DataFrame, parts: list[list[_Target]], extra: dict[int, str] | None = None) -> DataFrame:
-    """(part, v, extra) for the values inside the intervals. Intervals of one column do not
-    overlap, so each row gives one entry per column, however many ranks are wanted."""
-    cases: dict[str, str] = {}
-    for i, part in enumerate(parts):
-        t = part[0]
+    """(part, v, extra) for the values inside the intervals.
+
+    Intervals of one column that do not overlap share an entry, so a row gives about one entry
+    per column, however many ranks are wanted."""
+    lanes: dict[str, list[tuple[float, list[str]]]] = {}
+    for i in sorted(range(len(parts)), key=lambda i: -math.inf if parts[i][0].low is None else parts[i][0].low):
+        t = parts[i][0]
         more = f", {extra[i]}" if extra else ""
-        cases[t.pos] = cases.get(t.pos, "") + f" WHEN {t.inside()} THEN struct({i} AS part, {t.value} AS v{more})"
-    entries = ", ".join(f"CASE{c} END" for c in cases.values())
+        case = f"WHEN {t.inside()} THEN struct({i} AS part, {t.value} AS v{more})"
+        low, high = -math.inf if t.low is None else t.low, math.inf if t.high is None else t.high
+        mine = lanes.setdefault(t.pos, [])
+        free = next((j for j, (end, _) in enumerate(mine) if end <= low), None)
+        if free is None:
+            mine.append((high, [case]))
+        else:
+            mine[free] = (high, [*mine[free][1], case])
+    entries = ", ".join(f"CASE {' '.join(cases)} END" for mine in lanes.values() for _, cases in mine)
     return cells.selectExpr(f"inline(array({entries}))").filter("part IS NOT NULL")
 
 
