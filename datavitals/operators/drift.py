@@ -100,10 +100,12 @@ class DriftReport:
             add_sketches(self.sides[side], self.counted[side], [], probs, None, self.options)
 
     def _shift(self, names: list[str]) -> dict[str, dict]:
-        if not names:
-            return {}
-        rows = shift_table(self.sides, self.fields, names, set(self.categorical), self.counted, self.options).collect()
-        return {names[r["ord"]]: r.asDict() for r in rows}
+        found = {}
+        for start in range(0, len(names), self.options.chunk):
+            part = names[start:start + self.options.chunk]
+            table = shift_table(self.sides, self.fields, part, set(self.categorical), self.counted, self.options)
+            found |= {part[r["ord"]]: r.asDict() for r in table.collect()}
+        return found
 
     @cached_property
     def shifts(self) -> dict[str, dict]:

@@ -102,16 +102,19 @@ def add_counts(df: DataFrame, facts: TableFacts, counted: list[Field], roles: Ro
     cells = positional(df)
 
     def count(fields: list[Field], times: dict[int, str]) -> dict[int, dict]:
-        if not fields and not times:
-            return {}
         freq = field_frequencies(cells, fields, longest, times)
         return {row["ord"]: row.asDict() for row in per_column(*freq).collect()}
 
     # Text and numbers apart: rows of numbers stay narrow, and their keys have a fixed width.
-    texts = [f for f in counted if f.kind == "string"]
-    numbers = [f for f in counted if f.kind != "string"]
-    text_rows, number_rows = together(df.sparkSession, lambda: count(texts, {}), lambda: count(numbers, timed))
-    found = text_rows | number_rows
+    # Wide tables take several jobs, so that generated code keeps to a size the JVM compiles.
+    jobs = []
+    for group in ([f for f in counted if f.kind == "string"], [f for f in counted if f.kind != "string"]):
+        jobs += [(group[i:i + options.chunk], {}) for i in range(0, len(group), options.chunk)]
+    if timed:
+        jobs = [*jobs[:-1], (jobs[-1][0], timed)] if jobs else [([], timed)]
+    found = {}
+    for part in together(df.sparkSession, *[lambda j=j: count(*j) for j in jobs]):
+        found |= part
     for f in counted:
         row = found.get(f.ord, {})
         facts.values[f.ord] |= {"n_unique": row.get("n_unique") or 0, "top_n": row.get("top_n") or 0}

@@ -37,13 +37,6 @@ def between(low: float, high: float, weight: float) -> float:
     return low + step * weight if weight < 0.5 else high - step * (1.0 - weight)
 
 
-def walked(counted: DataFrame, key: str) -> DataFrame:
-    """Add the running count over each key's sorted values."""
-    return counted.selectExpr(
-        "*", f"sum(n) OVER (PARTITION BY {key} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto"
-    )
-
-
 def number(x: float) -> str:
     """A double as an exact SQL literal."""
     return f"double('{x!r}')" if math.isinf(x) or math.isnan(x) else f"{x!r}D"
@@ -203,6 +196,26 @@ def _buckets(cells: DataFrame, targets: list[_Target], ends: dict[str, tuple[flo
     return stuck
 
 
+def _walk(cells: DataFrame, parts: list[list[_Target]]) -> None:
+    """Settle targets by walking their intervals' counted values in order, one task per interval."""
+    width = max(len(part) for part in parts)
+    goals = ", ".join(
+        f"{i}, array({', '.join(f'{t.rank - t.base}L' for t in part + part[-1:] * (width - len(part)))})"
+        for i, part in enumerate(parts)
+    )
+    counted = _inside(cells, parts).groupBy("part", "v").agg(F.count(F.lit(1)).alias("n"))
+    steps = counted.selectExpr(
+        "*", "sum(n) OVER (PARTITION BY part ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto",
+        f"map({goals})[part] AS goals",
+    )
+    found = steps.groupBy("part").agg(*[
+        F.expr(f"min(CASE WHEN upto > goals[{j}] THEN v END)").alias(f"v{j}") for j in range(width)
+    ])
+    for row in found.collect():
+        for j, t in enumerate(parts[row["part"]]):
+            t.answer = row[f"v{j}"]
+
+
 def rank_values(
     cells: DataFrame, wanted: dict[str, list[int]], ends: dict[str, tuple[float, float]], present: dict[str, int],
     options: ScanOptions,
@@ -227,20 +240,8 @@ def rank_values(
             if sketched:
                 _narrow(cells, sketched, options.sketch_k)
     rest = _intervals([t for t in targets if t.answer is None])
-    if rest:
-        width = max(len(part) for part in rest)
-        goals = ", ".join(
-            f"{i}, array({', '.join(f'{t.rank - t.base}L' for t in part + part[-1:] * (width - len(part)))})"
-            for i, part in enumerate(rest)
-        )
-        counted = _inside(cells, rest).groupBy("part", "v").agg(F.count(F.lit(1)).alias("n"))
-        steps = walked(counted, "part").selectExpr("*", f"map({goals})[part] AS goals")
-        found = steps.groupBy("part").agg(*[
-            F.expr(f"min(CASE WHEN upto > goals[{j}] THEN v END)").alias(f"v{j}") for j in range(width)
-        ])
-        for row in found.collect():
-            for j, t in enumerate(rest[row["part"]]):
-                t.answer = row[f"v{j}"]
+    for start in range(0, len(rest), options.chunk):
+        _walk(cells, rest[start:start + options.chunk])
     answers: dict[str, dict[int, float]] = {pos: {} for pos in wanted}
     for t in targets:
         answers[t.pos][t.rank] = t.answer

@@ -89,7 +89,9 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     and no file footers are merged."""
     try:
         runs = spark.read.schema(HISTORY).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], HISTORY)
     return runs.select(*[
         F.coalesce(f.name, F.lit(_DEFAULTS[f.name])).alias(f.name) if f.name in _DEFAULTS else F.col(f.name) for f in HISTORY

@@ -7,6 +7,7 @@ from pyspark.errors import AnalysisException
 
 from datavitals.functions.cells import literal, text_or_null
 from datavitals.functions.normalize import normalize_values
+from datavitals.session import stage
 
 # Cell texts a CSV load reads as missing, as written, before blanks are stripped.
 CSV_NULLS = (
@@ -32,13 +33,18 @@ def _as(kind: str, c: str) -> str:
     return f"CASE WHEN rlike({c}, r'{pattern}') THEN try_cast(trim({c}) AS {kind}) END"
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None, strict: bool = True, sep: str = ",", **options) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path, schema: T.StructType | str | None = None, strict: bool = True, sep: str = ",",
+    staged: bool = False, **options,
+) -> DataFrame:
     """Read CSV files, turn null words into NULL, and type each column from its values.
 
     Types are tried in the order whole number, float, boolean; anything else, dates included,
     stays text. One pass decides all columns, and the result is a lazy projection of the files.
     With `strict`, an empty source, rows with too many fields and undecodable text raise
-    ValueError. An explicit schema skips inference."""
+    ValueError. An explicit schema replaces inference. With `staged`, the typed table is written
+    once as Parquet to the shared folder, so that a scan's passes read only the columns they use
+    instead of parsing the text again."""
     reader = spark.read.options(header=True, sep=sep, multiLine=False, escape='"', mode="PERMISSIVE", **options)
     try:
         names = reader.csv(path).columns
@@ -71,8 +77,10 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         typed = [F.col(n).try_cast(f.dataType).alias(n) for n, f in zip(stored, wanted.fields)]
-        return clean.select(*typed).toDF(*wanted.names)
-    return clean.selectExpr(*[f"{_typed(n, found)} AS {n}" for n in stored]).toDF(*names)
+        table = clean.select(*typed).toDF(*wanted.names)
+    else:
+        table = clean.selectExpr(*[f"{_typed(n, found)} AS {n}" for n in stored]).toDF(*names)
+    return stage(table, "csv") if staged else table
 
 
 def _typed(n: str, found) -> str:

@@ -35,6 +35,8 @@ def test_csv_errors(spark, tmp_path):
         readers.read_csv(spark, csv(tmp_path, "a,b\n1,2\n1,2,3\n", "many.csv"))
     short = readers.read_csv(spark, csv(tmp_path, "a,b\n1,2\n3\n", "short.csv"))
     assert [tuple(r) for r in short.collect()] == [(1, 2), (3, None)]
+    staged = readers.read_csv(spark, csv(tmp_path, "A,a \n1,x\n", "staged.csv"), staged=True)
+    assert staged.columns == ["A", "a "] and staged.dtypes[0][1] == "bigint"
     with pytest.raises(ValueError, match="empty"):
         readers.read_csv(spark, csv(tmp_path, "", "empty.csv"))
     with pytest.raises(ValueError, match="UTF-8"):
