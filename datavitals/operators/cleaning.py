@@ -75,7 +75,7 @@ def simulate_cleaning(
         if facts.duplicate_rows:
             done.df = stage(done.df.dropDuplicates(), "deduplicated")
             done.dropped_rows = facts.duplicate_rows
-            done.actions.append(f"Dropped {done.dropped_rows} duplicate rows.")
+            done.actions.append(f"duplicate rows dropped: {done.dropped_rows}")
     facts = table_facts(
         done.df, options=options, unique="none", probs=(0.5,) if fill_numeric_median else (), fences=False
     )
@@ -86,15 +86,15 @@ def simulate_cleaning(
         }
         if done.filled:
             done.df = fill_with(done.df, done.filled)
-            done.actions.append(f"Filled numeric missing values with medians: {', '.join(done.filled)}.")
+            done.actions.append(f"gaps filled with the median: {', '.join(done.filled)}")
     if facts.rows and remove_constant_columns:
         done.removed_columns = [f.name for f in constant_fields(done.df, facts, set(done.filled), options)]
         if done.removed_columns:
             keep = [n for n in done.df.columns if n not in done.removed_columns]
             done.df = done.df.select(*[cell(n) for n in keep])
-            done.actions.append(f"Removed constant columns: {', '.join(done.removed_columns)}.")
+            done.actions.append(f"constant columns dropped: {', '.join(done.removed_columns)}")
     if not done.actions:
-        done.actions.append("No conservative cleaning actions changed the dataset.")
+        done.actions.append("nothing to clean")
     return done
 
 

@@ -17,7 +17,7 @@ from datavitals.plans.facts import iqr_fences, table_facts
 from datavitals.plans.options import ScanOptions
 from datavitals.session import stage
 
-NO_FIX = "No safe automatic fix is available for this issue."
+NO_FIX = "no safe fix for this issue"
 OTHER, UNKNOWN, KEPT_CATEGORIES, RARE_SHARE = "OTHER", "UNKNOWN", 20, 0.01
 
 Fixed = tuple[DataFrame, list[str]]
@@ -38,7 +38,7 @@ def _column_facts(df: DataFrame, column: str, options: ScanOptions, probs=(0.25,
 
 def drop_duplicate_rows(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
     # Staged, because the re-scan that follows would otherwise repeat the shuffle in every pass.
-    return stage(df.dropDuplicates(), "deduplicated"), ["Dropped duplicate rows."]
+    return stage(df.dropDuplicates(), "deduplicated"), ["duplicate rows dropped"]
 
 
 def fill_missing(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
@@ -47,21 +47,21 @@ def fill_missing(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
         facts = _column_facts(df, column, options, (0.5,))
         if facts.quantiles:
             filled = fill_with(df, {column: facts.quantiles[0][0.5]})
-            return filled, [f"Filled missing numeric values in {column} with the median."]
+            return filled, [f"{column}: gaps filled with the median"]
     common = top_values(df, column, 1).select("value").first()
     if common is not None:
         value = F.coalesce(cell(column), F.lit(common["value"]))
     else:
         value = F.coalesce(cell(column).cast("string"), F.lit(UNKNOWN))
-    return _replace(df, column, value), [f"Filled missing values in {column} with the most frequent value."]
+    return _replace(df, column, value), [f"{column}: gaps filled with the most frequent value"]
 
 
 def drop_constant(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
-    return df.drop(cell(column)), [f"Removed constant column {column}."]
+    return df.drop(cell(column)), [f"{column}: constant, dropped"]
 
 
 def drop_feature(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
-    return df.drop(cell(column)), [f"Removed leakage-prone or non-generalizable feature {column}."]
+    return df.drop(cell(column)), [f"{column}: dropped from the features"]
 
 
 def _keep_listed(df: DataFrame, column: str, kept: DataFrame, keep_null: bool) -> DataFrame:
@@ -79,7 +79,7 @@ def _keep_listed(df: DataFrame, column: str, kept: DataFrame, keep_null: bool) -
 
 def group_rare_categories(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
     kept = top_values(df, column, KEPT_CATEGORIES)
-    return _keep_listed(df, column, kept, keep_null=False), [f"Grouped rare categories in {column} into OTHER."]
+    return _keep_listed(df, column, kept, keep_null=False), [f"{column}: all but the most frequent categories pooled"]
 
 
 def group_minorities(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
@@ -88,7 +88,7 @@ def group_minorities(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
         F.count(F.lit(1)).alias("n")
     )
     kept = counts.filter(F.col("n") >= bar)
-    return _keep_listed(df, column, kept, keep_null=True), [f"Grouped rare categories in imbalanced feature {column}."]
+    return _keep_listed(df, column, kept, keep_null=True), [f"{column}: rare categories pooled"]
 
 
 def cap_outliers(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
@@ -101,13 +101,13 @@ def cap_outliers(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
         return df, []
     v = cell(column).cast("double")
     capped = F.when(v.isNotNull() & ~F.isnan(v), F.least(F.greatest(v, F.lit(limits[0])), F.lit(limits[1])))
-    return _replace(df, column, capped), [f"Capped IQR outliers in {column}."]
+    return _replace(df, column, capped), [f"{column}: capped at the IQR fences"]
 
 
 def text_to_number(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
     digits = f"replace({stripped(f'CAST({quoted(column)} AS string)')}, ',', '')"
     return _replace(df, column, F.expr(number_or_null(digits))), [
-        f"Converted {column} to numeric with invalid values coerced to missing."
+        f"{column}: read as numbers, what does not parse is missing"
     ]
 
 
@@ -121,7 +121,7 @@ def split_timestamp(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
         when = cell(column)
     out = df.withColumns({f"{column}_dayofweek": F.weekday(when), f"{column}_hour": F.hour(when)})
     return out.drop(cell(column)), [
-        f"Converted {column} into day-of-week and hour features, then removed raw timestamp."
+        f"{column}: replaced by weekday and hour"
     ]
 
 
@@ -155,7 +155,7 @@ def preview_issue_fix(df: DataFrame, issue: Mapping, roles=None, options: ScanOp
     before = Scan(df, roles, options)
     fixed, actions = apply_issue_fix(df, issue, options)
     if _issue_type(issue) == "duplicate_rows":
-        actions = [f"Dropped {before.facts.duplicate_rows} duplicate rows."]
+        actions = [f"duplicate rows dropped: {before.facts.duplicate_rows}"]
     return compare_scans(before, Scan(fixed, roles, options), ("before", "after")), (fixed, actions)
 
 

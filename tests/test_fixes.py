@@ -46,7 +46,7 @@ def test_no_fix(spark, issue):
 def test_preview_and_accumulate(spark):
     df = spark.createDataFrame([(i // 2, None if i % 4 == 0 else float(i // 2 % 5), "x") for i in range(60)], "k int, v double, c string")
     row, (fixed, actions) = preview_issue_fix(df, {"issue_type": "constant_column", "column": "c"})
-    assert row.first()["improvement"] == 15 and fixed.columns == ["k", "v"] and actions == ["Removed constant column c."]
+    assert row.first()["improvement"] == 15 and fixed.columns == ["k", "v"] and actions == ["c: constant, dropped"]
     issues = Scan(df).issues.collect()
     done, log = apply_fixes(df, issues, stage_every=2)
     assert done.filter("v IS NULL").count() == 0 and "c" not in done.columns and len(log) == len(issues)
@@ -58,7 +58,7 @@ def test_cleaning_keeps_rows_and_can_be_switched_off(spark):
     kept = simulate_cleaning(df, remove_constant_columns=False)
     assert kept.dropped_rows == 1 and kept.filled == {"b": 3.0}
     off = simulate_cleaning(df, drop_duplicates=False, fill_numeric_median=False, remove_constant_columns=False)
-    assert off.df.count() == 4 and off.actions == ["No conservative cleaning actions changed the dataset."]
+    assert off.df.count() == 4 and off.actions == ["nothing to clean"]
 
 
 def test_repeated_keys_with_a_hot_key(spark):
