@@ -362,9 +362,10 @@ def shift_table(sides, fields, wanted, categorical: set[str], facts, options: Sc
         "baseline_dominant_share": "max(b)", "new_dominant_share": "max(c)", "max_frequency_change": "max(abs(c - b))",
     }
     per = shared.groupBy("ord").agg(*[F.expr(e).alias(k) for k, e in totals.items()])
-    # Only the first ten new labels are listed; the window's rank limit is applied map-side.
+    # Only the first ten new labels are listed; the window's rank limit is applied map-side. The
+    # filter reads both counts, so that this branch reuses the frequency shuffle above.
     listed = (
-        shared.filter("nb = 0 AND text IS NOT NULL")
+        shared.filter("nb = 0 AND nc > 0 AND text IS NOT NULL")
         .selectExpr("ord", "text", "row_number() OVER (PARTITION BY ord ORDER BY text) AS rank").filter("rank <= 10")
         .groupBy("ord").agg(F.expr("array_join(array_sort(collect_list(text)), ', ')").alias("new_categories"))
     )
