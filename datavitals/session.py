@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,16 +28,15 @@ def get_session(app: str = "datavitals", master: str | None = None, **conf) -> S
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    A machine-local folder is only ever chosen for a local master, where the driver and the
-    executors are one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if not spark.sparkContext.getCheckpointDir():
+    Where it is unset, a folder set for the context by setCheckpointDir serves; failing that, one is made,
+    but only for a master of `local` or `local[...]`, where driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="datavitals-"))
-    return spark.sparkContext.getCheckpointDir()
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
