@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from datavitals.llm import language_id, mixing, packing, pii, simhash
 from datavitals.llm.queries import vocabulary
 from datavitals.llm.shared import numbered, numbered_name, staged
+from datavitals.session import shared_folder
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +61,9 @@ ORACLE_SQL = None  # the model stages have no SQL; tests hold the pipeline again
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each over the written output of the one before."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{folder.rstrip('/')}/pipeline/{name}-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

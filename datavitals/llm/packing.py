@@ -204,6 +204,4 @@ def pack_documents(df: DataFrame, tokenizer: str, ranks: str | None, id: str = "
                    end_token: int = 2, with_ids: bool = False, **capacities) -> DataFrame:
     """Tokenise, cut and pack a table of documents: one row per piece with its sequence and place."""
     pieces = tokenised_pieces(df, tokenizer, ranks, id, text, max_tokens, end_token, with_ids)
-    stored = staged(pieces, "pieces")
-    packed = pack(stored.drop("ids"), max_tokens, **capacities)
-    return packed if not with_ids else packed.join(stored.select(F.col("id"), "piece", "ids_crc32", "ids").dropDuplicates(), ["id", "piece", "ids_crc32"])
+    return pack(staged(pieces, "pieces"), max_tokens, **capacities)

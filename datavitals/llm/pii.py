@@ -107,8 +107,8 @@ def votes(kind: str, value: Column, before: Column) -> Column:
     worn = said(never, value.rlike(r"([0-9])\1{6}|0123456|1234567|[0-9] ?000 ?000"))
     if kind in ("email", "mail"):
         strict = said(value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._+-]*(@| ?[(\[]).*[A-Za-z]{2,}$"), value.rlike(r"\.\.|^[._%+-]"))
-        host = F.lower(F.regexp_extract(value, r"(?:@|[\])] ?)(?:[A-Za-z0-9-]+\.)*([A-Za-z0-9-]+)", 1))
-        known = said(host.isin(*MAIL_HOSTS) | F.lower(value).contains("example"), F.lower(value).rlike("noreply|no-reply|postmaster|webmaster"))
+        host = F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)(?:\.| ?[(\[](?:dot|DOT)[)\]] ?)[A-Za-z0-9-]+$", 1))
+        known = said(host.isin(*MAIL_HOSTS), F.lower(value).rlike("noreply|no-reply|postmaster|webmaster"))
     elif kind == "ip":
         strict = said(value.rlike(r"^[1-9][0-9]{0,2}(\.(0|[1-9][0-9]{0,2})){3}$"), value.rlike(r"(^|\.)0[0-9]"))
         known = said(never, value.rlike(r"^(0|10|127|255|192\.168|169\.254)\."))

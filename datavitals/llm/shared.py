@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datavitals.session import shared_folder
+
 SLICE_BYTES = 4 << 20
 
 
@@ -32,13 +34,9 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write the table to the folder named in spark.checkpoint.dir and read it back.
 
-    This cuts lineage: a lost executor re-reads files that all executors share. Without the setting,
-    as in tests, Spark's own checkpoint folder must have been set for the context."""
+    This cuts lineage: a lost executor re-reads files that all executors share."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{folder.rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/llm/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -78,11 +76,6 @@ def map_text(df: DataFrame, text: str, fields: list[T.StructField], begin: Calla
     return df.mapInArrow(run, schema)
 
 
-def share(bucket: Column, of: int) -> Column:
-    """crc32 of a key as text, modulo `of`; null keys fall into bucket 0."""
-    return F.coalesce(F.crc32(bucket.cast("string").cast("binary")) % of, F.lit(0))
-
-
 def byte_encoding(ranks: str):
     """A byte vocabulary in tiktoken's format, without special tokens."""
     import base64
