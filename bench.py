@@ -1,4 +1,4 @@
-"""Headline timings: scan, drift, clean-and-rescan and the sketch mode, on one local session.
+"""Headline timings: scan, drift and clean-and-rescan, on one local session.
 
 Prints one JSON line. Each figure is the median of three runs after one warm-up run."""
 
@@ -9,7 +9,7 @@ import os
 import statistics
 import time
 
-from datavitals import DriftReport, Scan, ScanOptions, get_session
+from datavitals import DriftReport, Scan, get_session
 from datavitals.operators.cleaning import compare_scans, simulate_cleaning
 from datavitals.operators.scoring import health_score
 from suite import sources as S
@@ -26,8 +26,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
-    def scan(source, **options) -> int:
-        s = Scan(source.frame(spark, sf_dir), source.roles, ScanOptions(**options))
+    def scan(source) -> int:
+        s = Scan(source.frame(spark, sf_dir), source.roles)
         return health_score(s.issues).first()["health_score"]
 
     def drift(before, after) -> int:
@@ -40,7 +40,6 @@ def main() -> None:
 
     jobs = {
         "scan_lineitem": lambda: scan(S.LINEITEM),
-        "scan_lineitem_sketches": lambda: scan(S.LINEITEM, exact=False),
         "scan_documents": lambda: scan(S.DOCUMENTS),
         "scan_events_dirty": lambda: scan(S.EVENTS_ROLES),
         "drift_lineitem": lambda: drift(S.ITEMS_BEFORE, S.ITEMS_AFTER),

@@ -47,7 +47,6 @@ def shape_totals(n: str, prefix: str = "") -> dict[str, str]:
         out[f"over_{bar}"] = f"min(CASE WHEN {length} >= {bar} THEN {length} END)"
     out |= {
         "num_present": f"sum(CASE WHEN {number} IS NOT NULL THEN {n} END)",
-        "num_sum": f"sum({number} * {n})", "num_squares": f"sum({number} * {number} * {n})",
         "num_min": f"min({number})", "num_max": f"max({number})",
     }
     return out
@@ -70,9 +69,5 @@ def read_shape(row: dict) -> dict:
     count = row["num_present"] or 0
     out["num_present"] = count
     if count:
-        mean = row["num_sum"] / count
-        out |= {
-            "num_mean": mean, "num_std": max(0.0, row["num_squares"] / count - mean * mean) ** 0.5,
-            "num_min": row["num_min"], "num_max": row["num_max"],
-        }
+        out |= {"num_min": row["num_min"], "num_max": row["num_max"]}
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -88,15 +88,16 @@ def correlations(df: DataFrame) -> DataFrame:
     Each pair is a map-side aggregate; many columns are spread over several jobs."""
     fields = [f for f in fields_of(df) if f.numeric]
     cells = positional(df)
-    pairs = list(combinations(fields, 2))
-    rows = [{"column_a": f.name, "column_b": f.name, "corr": 1.0} for f in fields] if pairs else []
+    pairs = list(combinations_with_replacement(fields, 2)) if len(fields) > 1 else []
+    rows = []
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         part = pairs[start:start + PAIRS_PER_JOB]
         found = cells.selectExpr(*[
             f"corr(CAST({a.pos} AS double), CAST({b.pos} AS double)) AS `{i}`" for i, (a, b) in enumerate(part)
         ]).first()
         for i, (a, b) in enumerate(part):
-            rows += [{"column_a": x.name, "column_b": y.name, "corr": found[str(i)]} for x, y in ((a, b), (b, a))]
+            both = ((a, b), (b, a)) if a is not b else ((a, a),)
+            rows += [{"column_a": x.name, "column_b": y.name, "corr": found[str(i)]} for x, y in both]
     schema = pa.schema([("column_a", pa.string()), ("column_b", pa.string()), ("corr", pa.float64())])
     return df.sparkSession.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
 

@@ -68,7 +68,7 @@ _RULES = (
      """is_column AND NOT ml_excluded AND rows >= 2 AND kind = 'string' AND feature_type = 'categorical'
         AND n_unique >= 50 AND ratio >= 0.30D""",
      "'warning'", "ratio", "format_string('%d unique values (%.1f%% of rows)', n_unique, ratio * 100)", False),
-    (5, "numeric_outliers_iqr", "is_column AND present >= 4 AND `min` < `max` AND outlier_rate > 0",
+    (5, "numeric_outliers_iqr", "is_column AND present >= 4 AND differs AND outlier_rate > 0",
      "CASE WHEN outlier_rate > 0.10D THEN 'critical' ELSE 'minor' END",
      "outlier_rate", "format_string('%.1f%% outside IQR bounds', outlier_rate * 100)", False),
     (6, "likely_id_column", "identifier", "'warning'", "ratio", "format_string('%.1f%% unique values', ratio * 100)", True),

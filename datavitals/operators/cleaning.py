@@ -6,10 +6,10 @@ from dataclasses import dataclass, field as dc_field
 
 from pyspark.sql import DataFrame, functions as F
 
-from datavitals.functions.cells import Field, cell, fields_of, positional
+from datavitals.functions.cells import Field, fields_of, positional
 from datavitals.operators.checks import Scan
 from datavitals.operators.scoring import clamped, points
-from datavitals.plans.facts import TableFacts, count_duplicates, one_row, table_facts
+from datavitals.plans.facts import TableFacts, count_duplicates, one_row, table_facts, without_repeats
 from datavitals.plans.options import ScanOptions
 from datavitals.session import stage
 
@@ -28,32 +28,21 @@ def fill_with(df: DataFrame, fills: dict[str, float]) -> DataFrame:
     may end in .5."""
     out = []
     for f in fields_of(df):
-        c = cell(f.name)
+        c = F.col(f.pos)
         if f.name in fills:
             v = c.cast("double")
             c = F.coalesce(F.when(~F.isnan(v), v), F.lit(float(fills[f.name])))
-        out.append(c.alias(f.name))
-    return df.select(*out)
+        out.append(c.alias(f.pos))
+    return df.toDF(*[f.pos for f in fields_of(df)]).select(*out).toDF(*df.columns)
 
 
 def constant_fields(df: DataFrame, facts: TableFacts, filled: set[str], options: ScanOptions) -> list[Field]:
-    """Columns holding one value and no NULL once the fills are in. Smallest = largest decides it
-    in one pass without counting distinct values."""
-    wanted = {}
-    for f in facts.fields:
-        if f.kind in ("string", "temporal") and facts.of(f, "present") == facts.rows:
-            wanted[f.ord] = {"same": f"min({f.pos}) = max({f.pos})"}
+    """Columns holding one value and no NULL once the fills are in. Smallest = largest, compared in the
+    column's own type, decides it in one pass without counting distinct values."""
+    whole = [f for f in facts.fields if f.kind != "opaque" and (facts.of(f, "missing") == 0 or f.name in filled)]
+    wanted = {f.ord: {"same": f"min({f.pos}) = max({f.pos})"} for f in whole}
     found = one_row(positional(df), wanted, options.chunk)[1] if wanted else {}
-    out = []
-    for f in facts.fields:
-        whole = facts.of(f, "missing") == 0 or f.name in filled
-        if f.numeric or f.kind == "boolean":
-            same = facts.of(f, "min") is not None and facts.of(f, "min") == facts.of(f, "max")
-        else:
-            same = bool(found.get(f.ord, {}).get("same"))
-        if whole and same:
-            out.append(f)
-    return out
+    return [f for f in whole if found[f.ord]["same"]]
 
 
 def simulate_cleaning(
@@ -73,7 +62,7 @@ def simulate_cleaning(
         if facts.duplicate_rows is None:
             count_duplicates(df, facts, options)
         if facts.duplicate_rows:
-            done.df = stage(done.df.dropDuplicates(), "deduplicated")
+            done.df = stage(without_repeats(done.df), "deduplicated")
             done.dropped_rows = facts.duplicate_rows
             done.actions.append(f"duplicate rows dropped: {done.dropped_rows}")
     facts = table_facts(
@@ -90,8 +79,9 @@ def simulate_cleaning(
     if facts.rows and remove_constant_columns:
         done.removed_columns = [f.name for f in constant_fields(done.df, facts, set(done.filled), options)]
         if done.removed_columns:
-            keep = [n for n in done.df.columns if n not in done.removed_columns]
-            done.df = done.df.select(*[cell(n) for n in keep])
+            keep = [f for f in fields_of(done.df) if f.name not in done.removed_columns]
+            numbered = done.df.toDF(*[f.pos for f in fields_of(done.df)])
+            done.df = numbered.select(*[f.pos for f in keep]).toDF(*[f.name for f in keep])
             done.actions.append(f"constant columns dropped: {', '.join(done.removed_columns)}")
     if not done.actions:
         done.actions.append("nothing to clean")

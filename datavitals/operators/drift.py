@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from datavitals.functions.cells import Field, cell, fields_of, positional, quoted, rounded
 from datavitals.functions.normalize import normalize_table
 from datavitals.operators.scoring import DRIFT_LABELS, DRIFT_POINTS, SEVERITY_RANK, banded, clamped, points
-from datavitals.plans.facts import QUARTILES, TableFacts, add_quantiles, add_sketches, first_facts, logical_dtype, one_row
+from datavitals.plans.facts import QUARTILES, TableFacts, add_quantiles, first_facts, logical_dtype, one_row
 from datavitals.plans.frequency import as_text, has_value, slot_struct, slots_of
 from datavitals.plans.options import ScanOptions
 from datavitals.plans.quantiles import number
@@ -43,13 +43,6 @@ def psi_edges(base: dict, new: dict, deciles: list[float]) -> list[float]:
     return edges[1:-1]
 
 
-def category_label(text: str, limit: int | None) -> str:
-    """A category's label: the text, or its digest when longer than `limit` bytes."""
-    if limit is None:
-        return text
-    return f"CASE WHEN octet_length({text}) > {limit} THEN concat('sha256:', sha2({text}, 256)) ELSE {text} END"
-
-
 class DriftReport:
     """Comparison of two tables; each table of the report is built from facts collected once."""
 
@@ -94,10 +87,7 @@ class DriftReport:
         return self.counted
 
     def _quantiles(self, side: int, probs: tuple[float, ...]) -> None:
-        if self.options.exact:
-            add_quantiles(self.sides[side], self.counted[side], probs, self.options)
-        else:
-            add_sketches(self.sides[side], self.counted[side], [], probs, None, self.options)
+        add_quantiles(self.sides[side], self.counted[side], probs, self.options)
 
     def _shift(self, names: list[str]) -> dict[str, dict]:
         found = {}
@@ -339,29 +329,34 @@ def shift_table(sides, fields, wanted, categorical: set[str], facts, options: Sc
         entries = []
         for i, n in enumerate(wanted):
             f = fields[side][n]
-            value = category_label(as_text(f, f.pos), options.label_bytes) if n in categorical else f.pos
+            value = as_text(f, f.pos) if n in categorical else f.pos
             entries.append(slot_struct(i, kinds[side][i], value, slots))
         part = positional(sides[side]).selectExpr(f"inline(array({', '.join(entries)}))").selectExpr("*", f"{side} AS side")
         tagged = part if tagged is None else tagged.unionByName(part)
     freq = tagged.filter(has_value(slots)).groupBy("ord", *slots).agg(
         F.expr("count_if(side = 0)").alias("nb"), F.expr("count_if(side = 1)").alias("nc")
     )
-    if "text" not in slots:
-        freq = freq.selectExpr("*", "CAST(NULL AS string) AS text")
+    uniques = {"baseline_unique": "count_if(nb > 0)", "new_unique": "count_if(nc > 0)"}
+    if not categorical & set(wanted):
+        return freq.groupBy("ord").agg(*[F.expr(e).alias(k) for k, e in uniques.items()])
 
     def share(n: str, side: int) -> str:
         totals = ", ".join(f"{i}, {facts[side].of(fields[side][x], 'present')}L" for i, x in enumerate(wanted))
         return f"coalesce(try_divide({n}, map({totals})[ord]), 0.0D)"
 
     shared = freq.selectExpr("*", f"{share('nb', 0)} AS b", f"{share('nc', 1)} AS c")
-    totals = {
-        "baseline_unique": "count_if(nb > 0)", "new_unique": "count_if(nc > 0)",
+    totals = uniques | {
         "new_category_count": "count_if(nb = 0)", "removed_category_count": "count_if(nc = 0)",
-        "baseline_dominant": "min_by(text, CASE WHEN nb > 0 THEN struct(-nb, text) END)",
-        "new_dominant": "min_by(text, CASE WHEN nc > 0 THEN struct(-nc, text) END)",
+        "top_b": "max(nb)", "top_c": "max(nc)",
         "baseline_dominant_share": "max(b)", "new_dominant_share": "max(c)", "max_frequency_change": "max(abs(c - b))",
     }
     per = shared.groupBy("ord").agg(*[F.expr(e).alias(k) for k, e in totals.items()])
+    # Largest counts first, which hash aggregation finds, then the first label among the rows that reach them;
+    # the looked-up side has one row per column.
+    leading = shared.join(F.broadcast(per.select("ord", "top_b", "top_c")), "ord").filter("(nb > 0 AND nb = top_b) OR (nc > 0 AND nc = top_c)")
+    dominant = leading.groupBy("ord").agg(
+        F.expr("min(CASE WHEN nb > 0 AND nb = top_b THEN text END)").alias("baseline_dominant"),
+        F.expr("min(CASE WHEN nc > 0 AND nc = top_c THEN text END)").alias("new_dominant"))
     # Only the first ten new labels are listed; the window's rank limit is applied map-side. The
     # filter reads both counts, so that this branch reuses the frequency shuffle above.
     listed = (
@@ -369,7 +364,7 @@ def shift_table(sides, fields, wanted, categorical: set[str], facts, options: Sc
         .selectExpr("ord", "text", "row_number() OVER (PARTITION BY ord ORDER BY text) AS rank").filter("rank <= 10")
         .groupBy("ord").agg(F.expr("array_join(array_sort(collect_list(text)), ', ')").alias("new_categories"))
     )
-    return per.join(listed, "ord", "left")
+    return per.drop("top_b", "top_c").join(dominant, "ord", "left").join(listed, "ord", "left")
 
 
 def compare_datasets(baseline: DataFrame, current: DataFrame, options: ScanOptions | None = None, **thresholds) -> DriftReport:

@@ -13,7 +13,7 @@ from datavitals.functions.cells import (
 from datavitals.operators.checks import Scan
 from datavitals.operators.cleaning import compare_scans, fill_with
 from datavitals.operators.profile import top_values
-from datavitals.plans.facts import iqr_fences, table_facts
+from datavitals.plans.facts import iqr_fences, table_facts, without_repeats
 from datavitals.plans.options import ScanOptions
 from datavitals.session import stage
 
@@ -38,7 +38,7 @@ def _column_facts(df: DataFrame, column: str, options: ScanOptions, probs=(0.25,
 
 def drop_duplicate_rows(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
     # Staged, because the re-scan that follows would otherwise repeat the shuffle in every pass.
-    return stage(df.dropDuplicates(), "deduplicated"), ["duplicate rows dropped"]
+    return stage(without_repeats(df), "deduplicated"), ["duplicate rows dropped"]
 
 
 def fill_missing(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
@@ -141,13 +141,25 @@ FIXES: dict[str, Callable[[DataFrame, str, ScanOptions], Fixed]] = {
 
 
 def apply_issue_fix(df: DataFrame, issue: Mapping, options: ScanOptions | None = None) -> Fixed:
-    """The fixed table and what was done. Issues without a safe fix leave the table as it is."""
+    """The fixed table and what was done. Issues without a safe fix leave the table as it is.
+
+    A table with names that differ only in case is fixed under numbered names."""
     issue = issue.asDict() if hasattr(issue, "asDict") else issue
     fix, column = FIXES.get(issue["issue_type"]), issue.get("column")
     if fix is None or (column != "dataset" and column not in df.columns):
         return df, [NO_FIX]
-    fixed, actions = fix(df, column, options or ScanOptions())
-    return fixed, actions or [NO_FIX]
+    options = options or ScanOptions()
+    if len({n.lower() for n in df.columns}) == len(df.columns):
+        fixed, actions = fix(df, column, options)
+        return fixed, actions or [NO_FIX]
+    given = {f"column_{i}_": n for i, n in enumerate(df.columns)}
+    inside = column if column == "dataset" else f"column_{df.columns.index(column)}_"
+    fixed, actions = fix(df.toDF(*given), inside, options)
+
+    def outside(text: str) -> str:
+        return reduce(lambda t, pair: t.replace(*pair), given.items(), text)
+
+    return fixed.toDF(*[outside(n) for n in fixed.columns]), [outside(a) for a in actions] or [NO_FIX]
 
 
 def preview_issue_fix(df: DataFrame, issue: Mapping, roles=None, options: ScanOptions | None = None) -> tuple[DataFrame, Fixed]:

@@ -23,7 +23,6 @@ from datavitals.functions.cells import (
     Field, fields_of, number_or_null, positional, short_key, stripped, timestamp_or_null,
 )
 from datavitals.functions.shape import read_shape, shape_of, shape_totals
-from datavitals.plans.approximate import approximate_pass
 from datavitals.plans.frequency import field_frequencies, per_column
 from datavitals.plans.options import ScanOptions
 from datavitals.plans.quantiles import between, number, rank_values, ranks
@@ -56,7 +55,7 @@ def _first_pass(f: Field) -> dict[str, str]:
     out = {"present": f"count({f.pos})"}
     if f.numeric:
         v = f"CAST({f.pos} AS double)"
-        out |= {"mean": f"avg({v})", "std": f"stddev_pop({v})", "min": f"min({v})", "max": f"max({v})"}
+        out |= {"mean": f"avg({v})", "std": f"stddev_pop({v})", "min": f"min({v})", "max": f"max({v})", "differs": f"min({f.pos}) < max({f.pos})"}
         if f.kind == "floating":
             out["all_integral"] = f"bool_and({v} % 1 = 0)"
     if f.kind == "string":
@@ -137,11 +136,6 @@ def add_quantiles(df: DataFrame, facts: TableFacts, probs: tuple[float, ...], op
         facts.quantiles[f.ord] = _interpolate(answers[f.pos], present[f.pos], probs)
 
 
-def add_sketches(df: DataFrame, facts: TableFacts, counted: list[Field], probs: tuple[float, ...], roles: Roles, options: ScanOptions) -> None:
-    numeric = [f for f in facts.fields if f.numeric and facts.of(f, "present") and probs]
-    approximate_pass(positional(df), facts, counted, numeric, parsed_time_fields(facts, roles), options, probs)
-
-
 def table_facts(
     df: DataFrame,
     roles: Roles | None = None,
@@ -151,8 +145,8 @@ def table_facts(
     fences: bool = True,
     keys: bool = False,
 ) -> TableFacts:
-    """Collect facts. `unique` says which columns need exact distinct counts: "all", "none", or
-    "rules" (skip float columns no rule counts). `keys` adds duplicate rows and key repeats.
+    """Collect facts. `unique` says which columns need exact distinct counts: "none", "rules" (all, and
+    text columns' timestamps too) or "all". `keys` adds duplicate rows and key repeats.
 
     Counts and quantiles do not need each other, so their jobs run side by side; so do the
     duplicate checks (which the counts may spare) and the fences (which need the quantiles)."""
@@ -160,7 +154,7 @@ def table_facts(
     facts = first_facts(df, options)
     if not facts.fields:
         facts.rows = 0
-    counted = [f for f in facts.fields if _needs_unique(f, facts, roles, unique)] if facts.rows else []
+    counted = [f for f in facts.fields if _needs_unique(f, facts, unique)] if facts.rows else []
 
     def counts() -> None:
         add_counts(df, facts, counted, roles if unique == "rules" else _NO_TIMES, options)
@@ -169,23 +163,15 @@ def table_facts(
         count_duplicates(df, facts, options)
         count_key_duplicates(df, facts, roles)
 
-    first = [lambda: add_sketches(df, facts, counted, probs, roles, options)]
-    if options.exact:
-        first = ([counts] if counted else []) + ([lambda: add_quantiles(df, facts, probs, options)] if probs else [])
+    first = ([counts] if counted else []) + ([lambda: add_quantiles(df, facts, probs, options)] if probs else [])
     then = ([repeats] if keys else []) + ([lambda: _last_pass(positional(df), facts, roles, options)] if fences else [])
     for jobs in (first if facts.rows else [], then):
         together(df.sparkSession, *jobs)
     return facts
 
 
-def _needs_unique(f: Field, facts: TableFacts, roles: Roles, unique: str) -> bool:
-    if f.kind == "opaque" or unique == "none" or not facts.of(f, "present"):
-        return False
-    if unique == "all" or f.name == roles.target or f.name == roles.entity_id:
-        return True
-    if f.kind in ("floating", "boolean"):
-        return looks_like_time(f)
-    return True
+def _needs_unique(f: Field, facts: TableFacts, unique: str) -> bool:
+    return f.kind != "opaque" and unique != "none" and bool(facts.of(f, "present"))
 
 
 def parsed_time_fields(facts: TableFacts, roles: Roles | None) -> list[Field]:
@@ -232,6 +218,8 @@ def _last_pass(cells: DataFrame, facts: TableFacts, roles: Roles, options: ScanO
         if f.kind == "string" and nearly_unique and v["num_present"] >= 10:
             value = number_or_null(stripped(f.pos))
             aggs["num_between"] = f"count_if({value} > {number(v['num_min'])} AND {value} < {number(v['num_max'])})"
+            # mergeable moments: no difference of large squares, and not a number where a value is infinite
+            aggs |= {"num_mean": f"avg({value})", "num_std": f"stddev_pop({value})"}
         if aggs:
             wanted[f.ord] = aggs
     if wanted:
@@ -256,23 +244,50 @@ def _repeats(keys: DataFrame) -> tuple[int, int]:
 def count_duplicates(df: DataFrame, facts: TableFacts, options: ScanOptions | None = None) -> None:
     """Duplicate rows. A column without nulls that is all distinct proves there are none, which
     spares keyed tables the only full-width shuffle of a scan."""
-    options = options or ScanOptions()
-    proven = options.exact and any(facts.of(f, "n_unique") == facts.rows for f in facts.fields)
+    proven = any(facts.of(f, "n_unique") == facts.rows for f in facts.fields)
     if proven or facts.rows == 0 or not facts.fields:
         facts.duplicate_rows = 0
         return
-    cells = positional(df)
-    if options.exact:
-        keys = cells.selectExpr(*row_keys(facts.fields))
-    else:
-        keys = cells.selectExpr(*hashed_row(facts.fields))
-    facts.duplicate_rows = _repeats(keys)[1]
+    keys = positional(df).selectExpr(*row_keys(facts.fields))
+    repeated, some = repeated_hashes(keys, keys.columns)
+    facts.duplicate_rows = 0
+    if some:
+        hashed = keys.selectExpr("*", *hashed_row(keys.columns))
+        facts.duplicate_rows = _repeats(hashed.join(repeated, ["h1", "h2"], "left_semi").select(*keys.columns))[1]
+
 
+BROADCAST_HASHES = 1_000_000   # 16 bytes each
 
-def hashed_row(fields: list[Field]) -> list[str]:
+
+def repeated_hashes(table: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
+    """The row hashes that occur more than once, and whether there are any. Only 16 bytes a row are
+    shuffled; the hashes are broadcast if they have been counted to be few."""
+    per_hash = table.selectExpr(*hashed_row(keys)).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+    many = per_hash.count()
+    return (F.broadcast(per_hash) if many <= BROADCAST_HASHES else per_hash), many > 0
+
+
+def without_repeats(df: DataFrame) -> DataFrame:
+    """The table with one row of each set of equal rows, equal as `count_duplicates` counts them: NaN is missing.
+
+    Rows whose hash occurs once stay where they are; only the others meet."""
+    fields = fields_of(df)
+    cells = {f.pos: f"CASE WHEN NOT isnan({f.pos}) THEN {f.pos} END" if f.stored in ("float", "double") else f.pos for f in fields}
+    keys = [f"k{f.ord}" for f in fields]
+    table = df.toDF(*cells).selectExpr("*", *[
+        f"{short_key(f.pos) if f.kind == 'string' else cells[f.pos]} AS k{f.ord}" for f in fields])
+    repeated, some = repeated_hashes(table, keys)
+    if not some:
+        return df
+    table = table.selectExpr("*", *hashed_row(keys))
+    once = table.join(repeated, ["h1", "h2"], "left_anti").select(*cells)
+    more = table.join(repeated, ["h1", "h2"], "left_semi").dropDuplicates(keys).select(*cells)
+    return once.unionByName(more).toDF(*df.columns)
+
+
+def hashed_row(cols: list[str]) -> list[str]:
     """128 bits per row: two 64-bit hashes over opposite column orders, each led by a null mask
     (xxhash64 skips NULLs, so without it (NULL, x) and (x, NULL) would meet)."""
-    cols = [f.pos for f in fields]
     mask = "concat(" + ", ".join(f"CASE WHEN {c} IS NULL THEN '1' ELSE '0' END" for c in cols) + ")"
     return [f"xxhash64({mask}, {', '.join(cols)}) AS h1", f"xxhash64({', '.join(reversed(cols))}, {mask}, 1) AS h2"]
 
@@ -297,13 +312,13 @@ METRICS = pa.schema([
     ("n_unique", pa.int64()), ("unique_ratio", pa.float64()),
     ("mean", pa.float64()), ("std_pop", pa.float64()), ("min", pa.float64()), ("p25", pa.float64()),
     ("median", pa.float64()), ("p75", pa.float64()), ("max", pa.float64()), ("outlier_rate", pa.float64()),
-    ("top_n", pa.int64()), ("numeric_like_rate", pa.float64()),
+    ("differs", pa.bool_()), ("top_n", pa.int64()), ("numeric_like_rate", pa.float64()),
     ("median_ge8", pa.bool_()), ("median_ge30", pa.bool_()),
     ("compact_rate", pa.float64()), ("mixed_rate", pa.float64()), ("sep_rate", pa.float64()),
     ("uuid_rate", pa.float64()), ("all_integral", pa.bool_()),
     ("num_present", pa.int64()), ("num_mean", pa.float64()), ("num_std", pa.float64()),
     ("num_distinct_gt2", pa.bool_()), ("parsed", pa.int64()), ("parsed_unique", pa.int64()),
-    ("exact", pa.bool_()), ("duplicate_rows", pa.int64()), ("key_rows", pa.int64()), ("key_duplicates", pa.int64()),
+    ("duplicate_rows", pa.int64()), ("key_rows", pa.int64()), ("key_duplicates", pa.int64()),
 ])
 
 
@@ -311,8 +326,6 @@ def _metrics_row(facts: TableFacts, f: Field, options: ScanOptions) -> dict:
     v, rows = facts.values[f.ord], facts.rows
     q = facts.quantiles.get(f.ord, {})
     present, n_unique = v["present"], v.get("n_unique")
-    if n_unique is None and v.get("min") is not None and v["min"] == v["max"]:
-        n_unique = 1
     if not present and f.kind != "opaque":
         n_unique = 0
     row = {
@@ -323,7 +336,7 @@ def _metrics_row(facts: TableFacts, f: Field, options: ScanOptions) -> dict:
         "outlier_rate": v["outside"] / present if "outside" in v else None,
         "p25": q.get(0.25), "median": q.get(0.5), "p75": q.get(0.75),
         "all_integral": present > 0 if f.kind == "integral" else v.get("all_integral"),
-        "exact": options.exact, "duplicate_rows": None, "key_rows": facts.key_rows, "key_duplicates": facts.key_duplicates,
+        "duplicate_rows": None, "key_rows": facts.key_rows, "key_duplicates": facts.key_duplicates,
     }
     if f.numeric:
         row |= {"mean": v["mean"], "std_pop": v["std"], "min": v["min"], "max": v["max"]}

@@ -1,7 +1,7 @@
 """Long frequency tables: one row per (column, value) with its count.
 
 Every distinct count, top share, mode and category comparison comes from this one shape. The
-columns are unpivoted into three typed slots (whole number, float, text) so a single scan and a
+columns are unpivoted into typed slots (whole number, float, decimal, text) so a single scan and a
 single shuffle serve all of them, and Spark's map-side partial aggregation collapses a hot value
 to one row per task before anything is shuffled."""
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from datavitals.functions.cells import SHORT_TEXT, Field, fields_of, literal, positional, short_key, stripped
 from datavitals.functions.shape import SHAPE, shape_of, shape_totals
 
-SLOTS = {"whole": "bigint", "real": "double", "text": "string"}
+SLOTS = {"whole": "bigint", "real": "double", "fixed": "string", "text": "string"}
 
 
 def has_value(slots: list[str]) -> str:
@@ -26,6 +26,8 @@ def _slot_value(kind: str, c: str) -> tuple[str, str]:
         return "whole", f"CAST({c} AS bigint)"
     if kind == "floating":
         return "real", f"CAST({c} AS double)"
+    if kind == "decimal":   # as text, since a double holds only 53 bits of it
+        return "fixed", f"CAST({c} AS string)"
     if kind == "date":
         return "whole", f"CAST(unix_date({c}) AS bigint)"
     if kind == "timestamp":
@@ -106,4 +108,4 @@ def value_freq(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def as_text(field: Field, c: str) -> str:
     # Adding 0.0 turns -0.0 into 0.0, so both print alike.
-    return f"CAST({c} + 0.0D AS string)" if field.kind == "floating" else f"CAST({c} AS string)"
+    return f"CAST({c} + 0.0D AS string)" if field.kind == "floating" and field.stored != "decimal" else f"CAST({c} AS string)"

@@ -5,26 +5,18 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class ScanOptions:
-    """How a scan trades exactness for shuffle volume.
+    """How a scan works; none of these changes what it finds, but for the name of a type.
 
-    exact          exact distinct counts, quantiles and duplicate rows (default). With False,
-                   distinct counts and quantiles come from mergeable sketches and duplicate
-                   rows are counted on a 128-bit row hash, so nothing but sketches and
-                   16-byte hashes is shuffled.
     dtype_mode     "spark" keeps integers with nulls as int64; "pandas" reports them as float64.
     walk_limit     most rows of one column that a single task may sort to find a quantile;
                    larger columns are narrowed first (plans/quantiles.py).
     chunk          columns per aggregation job, to stay below codegen's method size limit.
-    sketch_k       size parameter of the quantile sketches.
-    label_bytes    longest category label a drift report shows whole; a longer text is counted
-                   and listed by its SHA-256 digest (None: always whole).
+    sketch_k       size parameter of the sketches that propose where a quantile lies.
     timestamp_formats  extra text patterns tried after ISO when parsing timestamps.
     """
 
-    exact: bool = True
     dtype_mode: str = "spark"
     walk_limit: int = 50_000
     chunk: int = 60
     sketch_k: int = 4096
-    label_bytes: int | None = 256
     timestamp_formats: tuple[str, ...] = ()

@@ -36,9 +36,22 @@ def fingerprint(names: list[str]) -> str:
 
 
 def fingerprint_of(names: Column) -> Column:
-    """The same fingerprint for an array column of plain names."""
-    text = F.concat(F.lit('["'), F.array_join(names, '", "'), F.lit('"]'))
-    return F.substring(F.sha2(text, 256), 1, 16)
+    """The same fingerprint for an array column of names, escaped as JSON in ASCII."""
+
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        out = F.when(code < 0x10000, unit(code)).otherwise(
+            F.concat(unit(F.floor((code - 0x10000) / 1024) + 0xD800), unit((code - 0x10000) % 1024 + 0xDC00)))
+        out = F.when(code.between(32, 126), c).otherwise(out)
+        for plain, short in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\f", "\\f"), ("\b", "\\b")):
+            out = F.when(c == plain, F.lit(short)).otherwise(out)
+        return out
+
+    quoted = F.transform(names, lambda n: F.concat(F.lit('"'), F.array_join(F.transform(F.filter(F.split(n, ""), lambda c: c != ""), escaped), ""), F.lit('"')))
+    return F.substring(F.sha2(F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")), 256), 1, 16)
 
 
 def run_record(

@@ -95,8 +95,7 @@ def numeric(b: Source, c: Source) -> str:
 
 
 def _label(n: str) -> str:
-    t = f"{n}::VARCHAR"
-    return f"CASE WHEN octet_length(encode({t})) > 256 THEN 'sha256:' || sha256({t}) ELSE {t} END"
+    return f"{n}::VARCHAR"
 
 
 def categorical(b: Source, c: Source) -> str:

@@ -144,12 +144,12 @@ register(
 )
 register(
     "repeated_key_rows",
-    lambda spark, sf: remediation.repeated_key_rows(S.LINEITEM.frame(spark, sf), ["l_orderkey", "l_linenumber"]).drop("l_shipdate"),
-    """SELECT * EXCLUDE (l_shipdate) FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1""",
+    lambda spark, sf: remediation.repeated_key_rows(S.LINEITEM.frame(spark, sf), ["l_orderkey", "l_linenumber"]),
+    """SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1""",
 )
 register(
-    "repeated_key_rows_hot", lambda spark, sf: remediation.repeated_key_rows(S.EVENTS_DIRTY.frame(spark, sf).drop("event_time"), ["event_type", "props"]),
-    f"SELECT * EXCLUDE (event_time) FROM ({_DIRTY}) QUALIFY count(*) OVER (PARTITION BY event_type, props) > 1",
+    "repeated_key_rows_hot", lambda spark, sf: remediation.repeated_key_rows(S.EVENTS_DIRTY.frame(spark, sf), ["event_type", "props"]),
+    f"SELECT * FROM ({_DIRTY}) QUALIFY count(*) OVER (PARTITION BY event_type, props) > 1",
 )
 
 

@@ -224,9 +224,9 @@ register(
     "issue_with_stats",
     lambda spark, sf: (lambda scan: scoring.with_column_stats(scan.issues, scan.metrics))(
         Scan(S.EVENTS_ROLES.frame(spark, sf), S.EVENTS_ROLES.roles)).select(
-            "issue_type", "column", "severity", "dtype", "missing_rate", "outlier_rate", *[c.strip('"') for c in _STATS]),
-    f"""{_I} SELECT issue_type, i."column", severity, dtype, round(missing / "rows", 4) AS missing_rate, round(outlier_rate, 4) AS outlier_rate,
-        {', '.join(f'round({c}, 4) AS {c}' for c in _STATS)} FROM i LEFT JOIN f ON i."column" = f."column" """,
+            "issue_type", "column", "severity", "dtype", "missing_rate", "unique_ratio", "outlier_rate", *[c.strip('"') for c in _STATS]),
+    f"""{_I} SELECT issue_type, i."column", severity, dtype, round(missing / "rows", 4) AS missing_rate, round(ratio, 4) AS unique_ratio,
+        round(outlier_rate, 4) AS outlier_rate, {', '.join(f'round({c}, 4) AS {c}' for c in _STATS)} FROM i LEFT JOIN f ON i."column" = f."column" """,
 )
 _TITLES = {k: v.display_name for k, v in guidance.ADVICE.items()}
 register(
@@ -293,6 +293,5 @@ register(
     "chart_correlations",
     lambda spark, sf: chartdata.correlations(S.LINEITEM.frame(spark, sf)).select("column_a", "column_b", rounded(F.col("corr"), 6).alias("corr")),
     " UNION ALL ".join(
-        f"SELECT '{a}' AS column_a, '{b}' AS column_b, round({'1.0::DOUBLE' if a == b else f'corr({a}, {b})'}, 6) AS corr FROM lineitem"
-        + (" HAVING count(*) > 0" if a == b else "") for a in _NUM for b in _NUM),
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS corr FROM lineitem" for a in _NUM for b in _NUM),
 )
