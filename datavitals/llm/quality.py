@@ -154,7 +154,13 @@ def train(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
     if usable is not None:
         marks = marks.where(usable)
     marks = marks.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high")).where("label = high").drop("high")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    # a threshold on the hash leaves a little more than the wanted rows of each label, which a window then cuts exactly
+    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003))
+    rates = F.lit(1.0)
+    for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect():
+        rates = F.when(F.col("label") == r["label"], min(1.0, (1.2 * rows + 20) / r["n"])).otherwise(rates)
+    marks = marks.where(place / 1_000_003.0 <= rates)
+    order = Window.partitionBy("label").orderBy(place, F.xxhash64("id", F.lit(seed)), "id")
     marks = marks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows).drop("place")  # at most 2 x rows
     texts = pick(documents, id=id, text=text).where(F.length("text") <= longest_text)
     found = texts.join(F.broadcast(marks), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
