@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
@@ -33,6 +35,19 @@ def _as(kind: str, c: str) -> str:
     return f"CASE WHEN rlike({c}, r'{pattern}') THEN try_cast(trim({c}) AS {kind}) END"
 
 
+def _lines(spark: SparkSession, path) -> tuple[int, int]:
+    """How many lines hold an odd number of quotes, and how many different header lines the files have."""
+    lines = spark.read.text(path).selectExpr(
+        "value", "_metadata.file_path AS file", "_metadata.file_block_start AS start", "monotonically_increasing_id() AS id")
+    odd = "count_if((length(value) - length(replace(value, '\"', ''))) % 2 = 1) AS odd"
+    files = lines.groupBy("file").agg(F.expr(odd), F.expr("min(CASE WHEN start = 0 THEN id END) AS first"))
+    total = files.agg(F.sum("odd").alias("odd"), F.count(F.lit(1)).alias("files")).first()
+    if (total["files"] or 0) <= 1:
+        return total["odd"] or 0, 1
+    heads = lines.join(files.select("first"), F.col("id") == F.col("first")).select("value").distinct().limit(2)
+    return total["odd"] or 0, heads.count()
+
+
 def read_csv(
     spark: SparkSession, path, schema: T.StructType | str | None = None, strict: bool = True, sep: str = ",",
     staged: bool = False, **options,
@@ -45,52 +60,62 @@ def read_csv(
     ValueError. An explicit schema replaces inference. With `staged`, the typed table is written
     once as Parquet to the shared folder, so that a scan's passes read only the columns they use
     instead of parsing the text again."""
-    reader = spark.read.options(header=True, sep=sep, multiLine=False, escape='"', mode="PERMISSIVE", **options)
+    given = {"header": True, "sep": sep, "escape": '"', "mode": "PERMISSIVE"} | options
     try:
+        odd, headers = _lines(spark, path)
+        if odd and "multiLine" not in options:
+            # some record spans lines; such files cannot be split, so each is read by one task
+            logging.getLogger(__name__).warning("%d lines hold an open quote: the CSV files are read whole, one task each", odd)
+            given["multiLine"] = True
+        reader = spark.read.options(**given)
         names = reader.csv(path).columns
     except AnalysisException as error:
         raise ValueError(f"the CSV source cannot be read: {error.getCondition()}") from error
     if not names:
         raise ValueError("the CSV source is empty: a header and at least one column are needed")
+    if strict and headers > 1:
+        raise ValueError("the CSV files have different headers")
     stored = [f"c{i}" for i in range(len(names))]
     as_text = T.StructType([T.StructField(n, T.StringType()) for n in [*stored, _CORRUPT]])
     raw = reader.option("columnNameOfCorruptRecord", _CORRUPT).schema(as_text).csv(path)
     nulls = ", ".join(literal(x) for x in CSV_NULLS)
-    clean = raw.selectExpr(
-        *[f"CASE WHEN {n} NOT IN ({nulls}) THEN {text_or_null(n)} END AS {n}" for n in stored], _CORRUPT
-    )
-    checks = ["count(1) AS rows"]
-    for n in stored:
-        checks += [f"count({n}) AS `{n}:present`", f"count_if(contains({n}, '\ufffd')) AS `{n}:broken`"]
-        checks += [f"count({_as(k, n)}) AS `{n}:{k}`" for k in ("bigint", "double", "boolean")]
-    # A short row is padded with NULLs, as usual; only surplus fields make a row malformed.
+
+    def value(c: str) -> str:
+        return f"CASE WHEN {c} NOT IN ({nulls}) THEN {text_or_null(c)} END"
+
+    clean = raw.selectExpr(*[f"{value(n)} AS {n}" for n in stored], _CORRUPT)
+    # One row per cell, so that the tests are written once however many columns there are. A short row is
+    # padded with NULLs, as usual; only surplus fields make a row malformed.
     quoted_rest = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    checks.append(
-        f"count_if({_CORRUPT} IS NOT NULL AND size(split({_CORRUPT}, r'{_escaped(sep)}{quoted_rest}')) > {len(stored)}) AS malformed"
-    )
-    found = clean.selectExpr(*checks).first()
+    surplus = f"{_CORRUPT} IS NOT NULL AND size(split({_CORRUPT}, r'{_escaped(sep)}{quoted_rest}')) > {len(stored)}"
+    entries = [f"struct({i} AS ord, {n} AS v)" for i, n in enumerate(stored)] + [f"struct(-1 AS ord, CASE WHEN {surplus} THEN 'x' END AS v)"]
+    cells = raw.selectExpr(f"inline(array({', '.join(entries)}))").selectExpr("ord", f"{value('v')} AS v")
+    found = {r["ord"]: r for r in cells.groupBy("ord").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("v").alias("present"), F.expr("count_if(contains(v, '\ufffd'))").alias("broken"),
+        *[F.expr(f"count({_as(k, 'v')})").alias(k) for k in ("bigint", "double", "boolean")]).collect()}
     if strict:
-        if found["malformed"]:
-            raise ValueError(f"the CSV source has {found['malformed']} rows with too many fields")
-        if any(found[f"{n}:broken"] for n in stored):
+        if found and found[-1]["present"]:
+            raise ValueError(f"the CSV source has {found[-1]['present']} rows with too many fields")
+        if any(r["broken"] for r in found.values()):
             raise ValueError("the CSV source is not valid UTF-8")
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         typed = [F.col(n).try_cast(f.dataType).alias(n) for n, f in zip(stored, wanted.fields)]
         table = clean.select(*typed).toDF(*wanted.names)
     else:
-        table = clean.selectExpr(*[f"{_typed(n, found)} AS {n}" for n in stored]).toDF(*names)
+        table = clean.selectExpr(*[f"{_typed(n, found.get(i))} AS {n}" for i, n in enumerate(stored)]).toDF(*names)
     return stage(table, "csv") if staged else table
 
 
 def _typed(n: str, found) -> str:
-    present = found[f"{n}:present"]
-    if present == found[f"{n}:bigint"] and present:
+    if found is None or not found["present"]:
+        return _as("double", n)
+    if found["present"] == found["bigint"]:
         return _as("bigint", n)
-    if present == found[f"{n}:double"]:
+    if found["present"] == found["double"]:
         return _as("double", n)
     # A boolean column with gaps stays text: its missing cells have no boolean.
-    if present == found[f"{n}:boolean"] == found["rows"]:
+    if found["present"] == found["boolean"] == found["rows"]:
         return _as("boolean", n)
     return n
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header and quotes doubled, as `read_csv` reads it."""
+    df.write.mode(mode).options(header=True, escape='"').csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

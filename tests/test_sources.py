@@ -45,6 +45,31 @@ def test_csv_errors(spark, tmp_path):
         readers.read_csv(spark, str(tmp_path / "absent.csv"))
 
 
+def test_csv_records_that_span_lines(spark, tmp_path):
+    path = csv(tmp_path, 'id,note,v\n1,"line one\nline two",5\n2,ok,6\n3,"a ""b"" c",7\n', "broken_lines.csv")
+    df = readers.read_csv(spark, path)
+    assert [tuple(r) for r in df.collect()] == [(1, "line one\nline two", 5), (2, "ok", 6), (3, 'a "b" c', 7)]
+    assert dict(df.dtypes) == {"id": "bigint", "note": "string", "v": "bigint"}
+    assert readers.read_csv(spark, path, multiLine=True).count() == 3
+
+
+def test_csv_files_with_other_headers(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    csv(folder, "a,b\nx,1\n", "1.csv")
+    csv(folder, "b,a\n2,y\n", "2.csv")
+    with pytest.raises(ValueError, match="different headers"):
+        readers.read_csv(spark, str(folder))
+    csv(folder, "a,b\nz,3\n", "2.csv")
+    assert sorted(tuple(r) for r in readers.read_csv(spark, str(folder)).collect()) == [("x", 1), ("z", 3)]
+
+
+def test_wide_csv(spark, tmp_path):
+    path = csv(tmp_path, ",".join(f"n{i}" for i in range(400)) + "\n" + ",".join(str(i) if i % 2 else f"t{i}" for i in range(400)) + "\n", "wide.csv")
+    df = readers.read_csv(spark, path)
+    assert [t for _, t in df.dtypes] == ["string", "bigint"] * 200
+
+
 def test_load_and_export(spark, tmp_path):
     df = spark.createDataFrame([(1, " x "), (2, "NULL")], "a int, s string")
     writers.write_parquet(df, str(tmp_path / "t.parquet"))
