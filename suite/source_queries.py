@@ -67,20 +67,22 @@ register("history_append", _history, """
 
 
 def _wide(spark, sf) -> DataFrame:
-    """Wide whole numbers that a double cannot tell apart, decimals, and names that differ in case, cleaned."""
+    """Wide whole numbers that a double cannot tell apart, decimals and booleans, counted and cleaned."""
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     df = orders.selectExpr(
         "o_orderkey", "9007199254740992 + o_orderkey % 2 AS wide", "CAST(1e18 AS decimal(38,2)) + CAST(o_orderkey % 3 AS decimal(38,2)) / 100 AS money",
-        "o_orderkey > 0 AS flag", "CAST(NULL AS string) AS nothing")
+        "o_orderkey > 0 AS flag", "o_orderkey >= 0 AS sure", "CAST(NULL AS string) AS nothing")
     metrics = Scan(df).metrics.select("column", "n_unique", "missing")
     kept = F.lit(",".join(simulate_cleaning(df).df.columns))
     return metrics.withColumn("kept", kept)
 
 
 register("wide_numbers", _wide, """
-  SELECT x.*, 'o_orderkey,wide,money,nothing' AS kept FROM (
-    SELECT 'o_orderkey' AS "column", count(DISTINCT o_orderkey) AS n_unique, 0::BIGINT AS missing FROM orders
-    UNION ALL SELECT 'wide', count(DISTINCT o_orderkey % 2), 0 FROM orders
-    UNION ALL SELECT 'money', count(DISTINCT o_orderkey % 3), 0 FROM orders
-    UNION ALL SELECT 'flag', count(DISTINCT o_orderkey > 0), 0 FROM orders
-    UNION ALL SELECT 'nothing', 0, count(*) FROM orders) x""")
+  WITH x AS (
+    SELECT 0 AS ord, 'o_orderkey' AS "column", count(DISTINCT o_orderkey) AS n_unique, 0::BIGINT AS missing FROM orders
+    UNION ALL SELECT 1, 'wide', count(DISTINCT o_orderkey % 2), 0 FROM orders
+    UNION ALL SELECT 2, 'money', count(DISTINCT o_orderkey % 3), 0 FROM orders
+    UNION ALL SELECT 3, 'flag', count(DISTINCT o_orderkey > 0), 0 FROM orders
+    UNION ALL SELECT 4, 'sure', count(DISTINCT o_orderkey >= 0), 0 FROM orders
+    UNION ALL SELECT 5, 'nothing', 0, count(*) FROM orders)
+  SELECT "column", n_unique, missing, (SELECT string_agg("column", ',' ORDER BY ord) FROM x WHERE n_unique <> 1 OR missing > 0) AS kept FROM x""")
