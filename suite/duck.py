@@ -5,6 +5,7 @@ It shares nothing with the Spark side but the rules' wording."""
 
 from __future__ import annotations
 
+# The name fragments that decide feature types and leakage.
 TIME = "date|time|timestamp|created|updated"
 IDENT = "id|uuid|guid|key|identifier"
 SAFE = "price|volume|temperature|temp|sensor|reading|return|returns|amount|value|rate|ratio|score|measurement"
