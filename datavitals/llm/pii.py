@@ -20,6 +20,7 @@ classifier that accepts nothing; extra columns are ignored (`find_personal`) or
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,24 +53,58 @@ CUES = ("call", "phone", "tel", "mobile", "fax", "contact", "mail", "ssn", "soci
         "anruf", "telefon", "konto", "appel", "téléphone", "compte", "llama", "teléfono", "cuenta", "tarjeta")
 COUNTER_CUES = ("order", "invoice", "version", "page", "isbn", "issn", "serial", "part no", "model", "ticket", "doi", "rfc")
 
+MATCH = "struct<s:int,e:int,t:string>"
 SPAN = "struct<s:int,o:int,e:int,v:array<int>,base:boolean>"
+EACH = 256
+SEEN = 32  # characters before a span that the context labeler sees
+
+
+def held_as(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once: an expression named inside a lambda is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def runs(items: Column) -> Column:
+    """An array as an array of arrays of EACH elements; an empty one as one empty run. Takes a column or a lambda's variable."""
+    last = F.greatest(F.floor((F.size(items) - 1) / EACH), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * EACH + 1, EACH))
+
+
+def walk(items: Column, start: Column, kind: str, step: Callable, near: Callable | None = None) -> Column:
+    """Go through an array from the left: (pos, out), where step(pos, item, near) gives the next pos and an array to add to out.
+
+    Arrays grow by copying, and a place in a text is found by counting from its start, so both would be quadratic in
+    texts with very many spans. Here a run of EACH elements fills an array of its own, and near(pos, run) is
+    computed once for the run: a part of the text, say."""
+    def run(held, part):
+        around = near(held["pos"], part) if near else F.lit(0)
+
+        def through(own):
+            def one(so_far, item):
+                pos, more = step(so_far["pos"], item, own)
+                return F.struct(pos.alias("pos"), F.concat(so_far["out"], more).alias("out"))
+
+            return F.aggregate(part, F.struct(held["pos"].alias("pos"), F.array().cast(f"array<{kind}>").alias("out")), one)
+
+        return held_as(held_as(around, through), lambda made: F.struct(made["pos"].alias("pos"), F.concat(held["out"], F.array(made["out"])).alias("out")))
+
+    first = F.struct(start.cast("int").alias("pos"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return held_as(items, lambda whole: F.aggregate(runs(whole), first, run, lambda held: F.struct(held["pos"].alias("pos"), F.flatten(held["out"]).alias("out"))))
 
 
 def spans_of(text: Column, pattern: str, when: Column) -> Column:
     """Matches from the left without overlap, as (s, e, t); none where `when` fails, which costs less than the pattern."""
-    none = F.lit(None).cast("array<struct<s:int,e:int,t:string>>")
+    none = F.array().cast(f"array<{MATCH}>")
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:int,e:int,t:string>>").alias("out"))
 
-    def add(held, x):
-        s = held["pos"] + F.length(x["between"])
+    def step(pos, x, _):
+        s = pos + F.length(x["between"])
         e = s + F.length(x["found"])
-        return F.when(x["found"].isNull(), held).otherwise(
-            F.struct(e.alias("pos"), F.concat(held["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["found"].alias("t")))).alias("out")))
+        return F.coalesce(e, pos), F.when(x["found"].isNull(), none).otherwise(F.array(F.struct(s.alias("s"), e.alias("e"), x["found"].alias("t"))))
 
-    made = F.aggregate(F.arrays_zip(between.alias("between"), found.alias("found")), start, add, lambda held: held["out"])
-    return F.coalesce(F.when(when, made).otherwise(none), F.array().cast("array<struct<s:int,e:int,t:string>>"))
+    made = walk(F.arrays_zip(between.alias("between"), found.alias("found")), F.lit(0), MATCH, step)["out"]
+    return F.coalesce(F.when(when, made), none)
 
 
 def digits(value: Column) -> Column:
@@ -129,12 +164,17 @@ def votes(kind: str, value: Column, before: Column) -> Column:
 
 
 def spans_with_votes(text: Column, kind: str, found: Column) -> Column:
-    def span(m):
-        before = F.substring(text, F.greatest(m["s"] - 31, F.lit(1)), F.least(m["s"], F.lit(32)))
+    def span(m, near):
+        before = F.substring(near["text"], F.greatest(m["s"] - near["at"] - (SEEN - 1), F.lit(1)), F.least(m["s"], F.lit(SEEN)))
         return F.struct(m["s"].alias("s"), F.lit(KINDS.index(kind)).alias("o"), m["e"].alias("e"), votes(kind, m["t"], before).alias("v"), F.lit(kind in BASE).alias("base"))
 
+    def judged(part):
+        at = F.greatest(F.get(part, F.lit(0))["s"] - SEEN, F.lit(0))
+        near = F.struct(at.alias("at"), F.substring(text, at + 1, F.get(part, F.size(part) - 1)["s"] - at).alias("text"))
+        return held_as(near, lambda own: F.transform(part, lambda m: span(m, own)))
+
     good = F.filter(found, lambda m: valid(kind, m["t"]))
-    return F.transform(good, span).cast(f"array<{SPAN}>")
+    return held_as(good, lambda whole: F.flatten(F.transform(runs(whole), judged))).cast(f"array<{SPAN}>")
 
 
 def candidates(text: Column) -> Column:
@@ -232,9 +272,19 @@ def learn(found: DataFrame) -> SpanModel:
 
 
 def accepted(found: Column, model: SpanModel) -> Column:
-    """Base spans, and accepted candidates that overlap none of them."""
-    base = F.filter(found, lambda x: x["base"])
-    return F.filter(found, lambda x: x["base"] | (model.accepts(x) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
+    """Base spans, and accepted candidates that overlap none of them. `found` is a column, in the order of starts."""
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def forward(reach, x, _):  # base spans that start earlier
+        keep = x["base"] | (model.accepts(x) & (x["s"] >= reach))
+        return F.when(x["base"], F.greatest(reach, x["e"])).otherwise(reach), F.when(keep, F.array(x)).otherwise(none)
+
+    def backward(ahead, x, _):  # base spans that start later
+        return F.when(x["base"], F.least(ahead, x["s"])).otherwise(ahead), F.when(x["base"] | (x["e"] <= ahead), F.array(x)).otherwise(none)
+
+    clear = walk(found, F.lit(0), SPAN, forward)["out"]
+    clear = F.reverse(walk(F.reverse(clear), F.lit(2**31 - 1), SPAN, backward)["out"])
+    return F.when(F.exists(found, lambda x: ~x["base"]), clear).otherwise(found)
 
 
 def joined(spans: Column) -> Column:
@@ -268,17 +318,19 @@ def redact(df: DataFrame, text: str = "text", n_chars: str | None = None) -> Dat
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     body = F.col(at)
 
-    def add(held, x):
-        fresh = F.struct(x["e"].alias("pos"), F.concat(
-            held["out"], F.substring(body, held["pos"] + 1, x["s"] - held["pos"]), F.element_at(names, x["o"] + 1)).alias("out"))
-        return F.when(x["s"] >= held["pos"], fresh).otherwise(F.struct(F.greatest(held["pos"], x["e"]).alias("pos"), held["out"].alias("out")))
+    def step(pos, x, near):
+        gap = F.substring(near["text"], pos - near["at"] + 1, x["s"] - pos)
+        return F.greatest(pos, x["e"]), F.when(x["s"] >= pos, F.array(gap, F.element_at(names, x["o"] + 1))).otherwise(F.array().cast("array<string>"))
+
+    def near(pos, part):
+        return F.struct(pos.alias("at"), F.substring(body, pos + 1, F.greatest(F.get(part, F.size(part) - 1)["s"] - pos, F.lit(0))).alias("text"))
 
-    clean = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), add,
-                        lambda held: F.concat(held["out"], F.substring(body, held["pos"] + 1, F.length(body))))
-    touched = F.size(spans) > 0
+    cut = walk(F.col("spans"), F.lit(0), "string", step, near)
+    clean = held_as(cut, lambda held: F.concat(F.array_join(held["out"], ""), F.substring(body, held["pos"] + 1, F.length(body))))
+    touched = F.size("spans") > 0
     columns = []
     for name, own in zip(df.columns, rows.columns, strict=True):
         kind = rows.schema[own].dataType
         new = clean if own == at else F.length(clean).cast(kind) if name == n_chars else None
         columns.append((F.when(touched, new).otherwise(F.col(own)) if new is not None else F.col(own)).alias(own))
-    return found.select(*columns).toDF(*df.columns)
+    return found.withColumn("spans", spans).select(*columns).toDF(*df.columns)
