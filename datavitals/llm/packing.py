@@ -18,6 +18,7 @@ they occur. An empty table gives an empty result; extra columns are ignored."""
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,13 +31,15 @@ from pyspark.sql.window import Window
 
 from .shared import byte_encoding, pick, slices, staged
 
+LONG_GAP = re.compile(r"\s{10000}")
 
 
 class Encoder:
     """Token ids equal to what the tokenizer file gives.
 
     `ranks` names the same byte vocabulary in tiktoken's format, which is several times faster; texts
-    that hold a special token of the tokenizer still go to the tokenizer itself."""
+    that hold a special token of the tokenizer, or white space so long that tiktoken's pattern runs out
+    of stack, still go to the tokenizer itself."""
 
     def __init__(self, path: str, ranks: str | None):
         from tokenizers import Tokenizer
@@ -46,7 +49,7 @@ class Encoder:
         self.fast = byte_encoding(ranks) if ranks else None
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or (len(text) >= 10_000 and LONG_GAP.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self.fast.encode_ordinary(text), "<u4")
 
