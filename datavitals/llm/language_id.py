@@ -33,7 +33,8 @@ UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    return re.findall(r"[^\W\d_]{1,32}", text.lower()) if text else []
+    found = re.findall(r"[^\W\d_]{1,32}", text.lower()) if text else []
+    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]  # not of signs like ² or ½ alone
 
 
 def read_pieces(path: str) -> list[bytes]:
