@@ -17,6 +17,9 @@ candidate each time; extra columns are ignored."""
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
@@ -60,9 +63,11 @@ def top_scores(df: DataFrame, is_query: Column, id: str = "vec_id", vector: str
     """query_id, rank, vec_id and score of the k highest scores. `is_query` is a condition on the column `id`."""
 
     def local(ids, rows, query_ids, queries):
-        rows, queries = np.floor(scale * rows), np.floor(scale * queries)
-        if rows.shape[1] * max(1.0, np.abs(rows).max()) * max(1.0, np.abs(queries).max()) >= 2.0**53:
-            whole = np.frompyfunc(int, 1, 1)
+        most = [max(1.0, scale * np.abs(part).max() + 1) for part in (rows, queries)]
+        if rows.shape[1] * most[0] * most[1] < 2.0**53:
+            rows, queries = np.floor(scale * rows), np.floor(scale * queries)
+        else:
+            whole = np.frompyfunc(lambda x: math.floor(Fraction(x) * scale), 1, 1)
             rows, queries = whole(rows), whole(queries)
         columns = np.ascontiguousarray(rows.T)
         low, high = columns.min(axis=1), columns.max(axis=1)
