@@ -123,10 +123,10 @@ def test_exact_search(vectors, block_rows, block_queries):
 
 
 def test_exact_search_of_huge_and_few(spark):
-    data = [(0, [1e300, 2.0]), (1, [1e15, -3.0]), (2, [-7.0]), (50, [3.0, 1e9])]
+    data = [(0, [1e300, 2.0]), (1, [1e15, -3.0]), (2, [-7.0]), (50, [3.0, 1e9]), (3, [-1.7e308, 0.001])]
     got = maxscore.top_scores(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
     best = {(r["query_id"], r["vec_id"]): r["score"] for r in got}
-    assert best[0, 1] == 2**63 - 1 and best[50, 2] == -7 * 256 * 3 * 256 and len(got) == 6
+    assert best[0, 1] == 2**63 - 1 and best[50, 2] == -7 * 256 * 3 * 256 and best[0, 3] == -(2**63) and len(got) == 8
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert maxscore.top_scores(empty, F.col("id") % 50 == 0).count() == 0
     assert neighbours.nearest(empty, F.col("id") % 20 == 0).count() == 0

@@ -46,6 +46,10 @@ def test_languages(spark, docs, clashing, nothing, language_model):
     assert {r["lang_pred"] for r in language_id.identify(docs.select("doc_id", "text"), empty).collect()} == {"und"}
 
 
+def test_words_have_letters():
+    assert language_id.words_of("² ½ m² 12 Ⅳ über-all_中") == ["m²", "über", "all", "中"]
+
+
 def test_forward_sums_every_segmentation():
     pieces = [bytes([b]) for b in range(256)] + [b"ab", b"bc", b"abc", b"abcabcab"]
     table = np.random.default_rng(3).random((len(pieces) + 1, 2)) * 0.1
@@ -148,6 +152,22 @@ def test_personal_data(spark, docs, clashing, nothing):
     assert pii.find_personal(nothing).count() == 0
 
 
+def test_personal_data_in_dense_texts(spark):
+    """Thousands of spans in a text, over many runs: places, overlaps and redaction as in one walk."""
+    line = "é mail bob.x@example.com, call +1 (555) 123-4567 or (555) 312-9876 or 219-45-6789 from 10.1.2.3; "
+    table = spark.createDataFrame([(i, line * n) for i, n in enumerate((1, 255, 256, 257, 2000))], "doc_id long, text string")
+    found = {r["id"]: r for r in pii.find_personal(table).collect()}
+    one = found[0]["spans"].split(",")
+    assert len(one) >= 4
+    for i, text in table.collect():
+        assert found[i]["base"] == joined(personal_base(text), list(pii.BASE))
+        moved = [(k, int(s) + at, int(e) + at) for at in range(0, len(text), len(line)) for k, s, e in (x.split(":") for x in one)]
+        assert found[i]["spans"] == joined(moved, list(pii.KINDS))
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(table).collect()}
+    assert clean[0].startswith("é mail <EMAIL>, call <PHONE>") and clean[0].endswith("from <IP>; ")
+    assert all(clean[i] == clean[0] * (len(text) // len(line)) for i, text in table.collect())
+
+
 def test_weak_supervision_finds_good_labelers():
     rng, patterns = np.random.default_rng(1), {}
     for _ in range(4000):
@@ -235,6 +255,12 @@ def test_packing(spark, docs, clashing, nothing):
     assert packing.pack_documents(nothing, path, ranks).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 1_500_000 + "b", "\n \n" * 200_000, "x" * 300_000])
+def test_tokens_of_very_long_runs(text):
+    encoder = packing.Encoder(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    assert encoder.encode(text).tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 @pytest.mark.parametrize("docs_cap,cost_cap", [(1024, 1024 * 1024), (3, 1024 * 1024), (1024, 1024 * 1024 // 2)])
 def test_plan_holds_every_capacity(rule, docs_cap, cost_cap):
