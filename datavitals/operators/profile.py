@@ -51,9 +51,9 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
     """Most frequent value of each column, the lowest winning a tie. Columns are counted as
     text, so this suits text and whole-number columns."""
     freq = value_freq(df, columns).filter("value is not null")
-    return freq.groupBy("column").agg(
-        F.max("n").alias("n"), F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode")
-    )
+    # the largest count first, one row per column, then the lowest of the values that reach it
+    most = freq.groupBy("column").agg(F.max("n").alias("n"))
+    return freq.join(F.broadcast(most), ["column", "n"]).groupBy("column", "n").agg(F.min("value").alias("mode"))
 
 
 def top_values(df: DataFrame, column: str, limit: int) -> DataFrame:

@@ -91,9 +91,10 @@ register(
 )
 register(
     "drift_missing_display",
-    lambda spark, sf: drift.missing_display(report(PAIRS["events"], spark, sf).missing_table).select(
-        "column", "baseline_missing_count", "new_missing_count", "delta_count", "severity"),
-    f"""{D.sides(*_EV)} SELECT "column", baseline_missing_count, new_missing_count, missing_count_delta AS delta_count, severity
+    lambda spark, sf: drift.missing_display(report(PAIRS["events"], spark, sf).missing_table),
+    f"""{D.sides(*_EV)} SELECT "column", printf('%.1f%%', baseline_missing_rate * 100) AS baseline_missing_pct,
+          printf('%.1f%%', new_missing_rate * 100) AS new_missing_pct, printf('%+.1f%%', change * 100) AS delta_pct,
+          baseline_missing_count, new_missing_count, missing_count_delta AS delta_count, severity
         FROM ({D.missing(*_EV)})""",
 )
 register(

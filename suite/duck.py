@@ -144,5 +144,5 @@ RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 WHEN 'minor'
 
 
 def case_of(column: str, table: dict, default: str) -> str:
-    whens = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in table.items())
+    whens = " ".join(f"WHEN '{k}' THEN " + "'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else f"WHEN '{k}' THEN {v!r}" for k, v in table.items())
     return f"CASE {column} {whens} ELSE {default} END"

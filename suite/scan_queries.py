@@ -229,10 +229,18 @@ register(
         round(outlier_rate, 4) AS outlier_rate, {', '.join(f'round({c}, 4) AS {c}' for c in _STATS)} FROM i LEFT JOIN f ON i."column" = f."column" """,
 )
 _TITLES = {k: v.display_name for k, v in guidance.ADVICE.items()}
+_TEXTS = ("ml_impact", "business_impact", "why_this_matters", "suggested_fix", "example_code")
+
+
+def _text_of(field: str) -> str:
+    text = case_of("issue_type", {k: getattr(v, field) for k, v in guidance.ADVICE.items()}, "NULL")
+    return f"""replace({text}, '{{column}}', "column") AS {field}"""
+
+
 register(
     "enrich",
-    lambda spark, sf: guidance.enrich(_dirty(spark, sf)).select("issue_type", "column", "severity", "display_name"),
-    f"""{_I} SELECT issue_type, "column", severity, {case_of('issue_type', _TITLES, 'issue_type')} AS display_name FROM i""",
+    lambda spark, sf: guidance.enrich(_dirty(spark, sf)).select("issue_type", "column", "severity", "display_name", *_TEXTS),
+    f"""{_I} SELECT issue_type, "column", severity, {case_of('issue_type', _TITLES, 'issue_type')} AS display_name, {', '.join(map(_text_of, _TEXTS))} FROM i""",
 )
 _FIRED = [
     (rule, sev, types.split(","), [s.lower() for s in sev.split("/")]) for rule, sev, types in guidance.SCORING_RULES

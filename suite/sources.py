@@ -138,21 +138,21 @@ REGION = Source(("region",), "SELECT * FROM {region}", _cols("r_regionkey:int r_
 # Pairs of sides for drift; the two sides of a pair cover their table.
 EVENTS_BEFORE = Source(
     ("events",),
-    "SELECT event_id, user_id, event_type, value, props, user_id AS code FROM {events} WHERE ts < cast('2024-01-16' AS date)",
-    _cols("event_id:int user_id:int event_type:str value:float props:str code:int"),
+    "SELECT event_id, ts, user_id, event_type, value, props, user_id AS code FROM {events} WHERE ts < cast('2024-01-16' AS date)",
+    _cols("event_id:int ts:ts user_id:int event_type:str value:float props:str code:int"),
 )
 EVENTS_AFTER = Source(
     ("events",),
-    """SELECT user_id, CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'click' THEN 'tap' ELSE event_type END AS event_type,
+    """SELECT ts, user_id, CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'click' THEN 'tap' ELSE event_type END AS event_type,
          CASE WHEN event_type = 'view' THEN NULL ELSE value * 1.5 END AS value,
          concat(props, cast(event_id AS string)) AS props, cast(user_id AS double) AS code, 'b2' AS batch
        FROM {events} WHERE ts >= cast('2024-01-16' AS date)""",
-    _cols("user_id:int event_type:str value:float props:str code:float batch:str"),
+    _cols("ts:ts user_id:int event_type:str value:float props:str code:float batch:str"),
 )
-_ITEM = """SELECT l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+_ITEM = """SELECT l_orderkey, l_shipdate, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
              CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS is_a, l_returnflag, l_linestatus
            FROM {lineitem} WHERE l_shipdate """
-_ITEM_COLS = _cols("l_partkey:int l_suppkey:int l_linenumber:int l_quantity:float l_extendedprice:float l_discount:float "
+_ITEM_COLS = _cols("l_orderkey:int l_shipdate:ts l_partkey:int l_suppkey:int l_linenumber:int l_quantity:float l_extendedprice:float l_discount:float "
                    "l_tax:float is_a:int l_returnflag:str l_linestatus:str")
 ITEMS_BEFORE = Source(("lineitem",), _ITEM + "< cast('1998-06-01' AS date)", _ITEM_COLS)
 ITEMS_AFTER = Source(("lineitem",), _ITEM + ">= cast('1998-06-01' AS date)", _ITEM_COLS)
