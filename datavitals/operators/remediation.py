@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from datavitals.functions.cells import (
-    Field, cell, fields_of, number_or_null, quoted, stripped, timestamp_or_null,
+    Field, cell, fields_of, number_or_null, quoted, short_key, stripped, timestamp_or_null,
 )
 from datavitals.operators.checks import Scan
 from datavitals.operators.cleaning import compare_scans, fill_with
@@ -64,12 +64,18 @@ def drop_feature(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
     return df.drop(cell(column)), [f"{column}: dropped from the features"]
 
 
+def _key(df: DataFrame, column: str) -> Column:
+    """A cell as it is compared with a broadcast list: long texts by digest, so that the list is bounded in bytes too."""
+    f = _field(df, column)
+    return F.expr(short_key(quoted(column))) if f is not None and f.kind == "string" else cell(column)
+
+
 def _keep_listed(df: DataFrame, column: str, kept: DataFrame, keep_null: bool) -> DataFrame:
-    """Values outside the kept list become OTHER. The list is broadcast: both callers bound it
+    """Values whose key is not in the kept list become OTHER. The list is broadcast: both callers bound it
     (20 values, or at most 100 since each holds 1% of the rows)."""
     names = df.columns
-    listed = F.broadcast(kept.select(F.col("value").alias("__kept")))
-    joined = df.join(listed, cell(column) == F.col("__kept"), "left")
+    listed = F.broadcast(kept.select(F.col("key").alias("__kept")))
+    joined = df.join(listed, _key(df, column) == F.col("__kept"), "left")
     known = F.col("__kept").isNotNull()
     if keep_null:
         known = known | cell(column).isNull()
@@ -78,13 +84,14 @@ def _keep_listed(df: DataFrame, column: str, kept: DataFrame, keep_null: bool) -
 
 
 def group_rare_categories(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
-    kept = top_values(df, column, KEPT_CATEGORIES)
+    top = top_values(df, column, KEPT_CATEGORIES)
+    kept = top.select(_key(top, "value").alias("key"))
     return _keep_listed(df, column, kept, keep_null=False), [f"{column}: all but the most frequent categories pooled"]
 
 
 def group_minorities(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
     bar = max(2.0, df.count() * RARE_SHARE)
-    counts = df.select(cell(column).alias("value")).filter("value is not null").groupBy("value").agg(
+    counts = df.select(_key(df, column).alias("key")).filter("key is not null").groupBy("key").agg(
         F.count(F.lit(1)).alias("n")
     )
     kept = counts.filter(F.col("n") >= bar)
@@ -212,13 +219,13 @@ def repeated_key_rows(df: DataFrame, keys: list[str], hot_share: float = 0.001)
 
     Counting is combined map-side. Keys holding more than `hot_share` of the rows, of which there
     can be at most 1 / hot_share, are looked up by broadcast, so no hot key's rows are shuffled to
-    one task; the others meet in a shuffled semi join."""
+    one task; the others meet in a shuffled semi join. Long texts are compared by digest."""
     hot_bar = max(2, int(df.count() * hot_share))
-    named = [cell(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    counts = df.select(*named).groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("__n"))
+    named = [_key(df, k) for k in keys]
+    counts = df.select(*[k.alias(f"__k{i}") for i, k in enumerate(named)]).groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("__n"))
     repeated = counts.filter("__n > 1")
     hot = F.broadcast(repeated.filter(F.col("__n") > hot_bar))
-    match = reduce(lambda a, b: a & b, [cell(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    match = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(named)])
     is_hot = df.join(hot, match, "left_semi")
     rest = df.join(hot, match, "left_anti").join(repeated.filter(F.col("__n") <= hot_bar), match, "left_semi")
     return is_hot.unionByName(rest)

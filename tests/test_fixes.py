@@ -22,6 +22,15 @@ def test_rare_groups_and_nulls(spark):
     assert rare.filter("c = 'OTHER'").count() == 1 and rare.filter("c IS NULL").count() == 3
 
 
+def test_long_labels_are_looked_up_by_digest(spark):
+    a, b = "a" * 400, "a" * 399 + "b"
+    df = spark.createDataFrame([(a,)] * 60 + [(b,)] * 60 + [("once" * 40,)] + [(None,)] * 2, "c string")
+    rare, _ = fix(df, "imbalanced_categorical", "c")
+    assert {(r["c"], r["count"]) for r in rare.groupBy("c").count().collect()} == {(a, 60), (b, 60), ("OTHER", 1), (None, 2)}
+    again = repeated_key_rows(df, ["c"])
+    assert again.count() == 122 and again.columns == ["c"]
+
+
 def test_fills(spark):
     df = spark.createDataFrame([(1, "b", None), (2, "a", None), (None, None, None)], "n int, s string, e string")
     assert [r["n"] for r in fix(df, "missing_values", "n")[0].collect()] == [1.0, 2.0, 1.5]
