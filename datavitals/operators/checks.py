@@ -56,7 +56,7 @@ _DERIVED = (
 )
 
 # check number, issue type, condition, severity, value, metric text, whether the feature type is told
-_RULES = (
+RULES = (
     (1, "missing_values", "is_column AND missing > 0",
      "CASE WHEN missing_rate > 0.40D THEN 'critical' WHEN missing_rate >= 0.05D THEN 'warning' ELSE 'minor' END",
      "missing_rate", "format_string('%.1f%% missing', missing_rate * 100)", False),
@@ -128,7 +128,7 @@ def derived(facts_frame: DataFrame, roles: Roles) -> DataFrame:
 
 def issues_of(facts_frame: DataFrame, roles: Roles) -> DataFrame:
     """Issue rows from a facts relation that includes the dataset row."""
-    rules = ", ".join(_issue(r) for r in _RULES)
+    rules = ", ".join(_issue(r) for r in RULES)
     return (
         derived(facts_frame, roles)
         .selectExpr(f"inline(array_compact(CASE WHEN rows = 0 THEN array({_issue(_EMPTY)}) ELSE array({rules}) END))")

@@ -9,6 +9,8 @@ from dataclasses import astuple, dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from datavitals.operators.checks import RULES
+
 
 @dataclass(frozen=True)
 class Advice:
@@ -186,38 +188,25 @@ def enrich(issues: DataFrame) -> DataFrame:
     )
 
 
-# What the score is made of: condition, severity and the issue types it can raise.
-SCORING_RULES = (
-    ("missing rate above 40%", "Critical", "missing_values"),
-    ("column with a single value", "Critical", "constant_column"),
-    ("more than 20% duplicate rows", "Critical", "duplicate_rows"),
-    ("more than 10% of values outside the IQR fences", "Critical", "numeric_outliers_iqr"),
-    ("missing rate from 5% to 40%", "Warning", "missing_values"),
-    ("categorical column with very many labels", "Warning", "high_cardinality_categorical"),
-    ("column that looks like an identifier", "Warning", "likely_id_column"),
-    ("one label in at least 95% of rows", "Warning", "imbalanced_categorical"),
-    ("identifier-like or free text, over 80% unique", "Warning", "too_many_unique_values"),
-    ("missing rate below 5%, or few outliers", "Minor", "missing_values,numeric_outliers_iqr"),
-    ("numbers stored as text", "Minor", "possible_wrong_dtype"),
-    ("name of a target or post-outcome field", "Warning", "potential_target_leakage"),
-    ("timestamps that are nearly all distinct", "Warning", "suspicious_timestamp_granularity"),
-    ("configured target with missing labels", "Warning/Critical", "target_quality_risk"),
-    ("configured target with a class of at least 90%", "Warning", "target_imbalance_risk"),
-    ("configured entity key that repeats", "Warning/Critical", "entity_id_integrity_risk"),
-)
+def _scoring_rules() -> tuple[tuple[str, str, str], ...]:
+    """What the score is made of: the condition of each check, each severity it can have, and its issue type."""
+    return tuple(
+        (" ".join(when.split()), severity, issue_type)
+        for _, issue_type, when, severities, *_ in RULES
+        for severity in ("critical", "warning", "minor") if f"'{severity}'" in severities
+    )
+
+
+SCORING_RULES = _scoring_rules()
 
 
 def scoring_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SCORING_RULES, "rule string, severity string, issue_types string")
+    return spark.createDataFrame(SCORING_RULES, "rule string, severity string, issue_type string")
 
 
 def rules_fired(issues: DataFrame) -> DataFrame:
     """Each scoring rule with the number of issues it raised in a scan."""
-    rules = scoring_rules(issues.sparkSession).select(
-        "rule", "severity", F.explode(F.split("issue_types", ",")).alias("issue_type"),
-        F.split(F.lower("severity"), "/").alias("levels"),
-    ).withColumn("level", F.explode("levels"))
-    found = issues.groupBy("issue_type", F.col("severity").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    return rules.join(F.broadcast(found), ["issue_type", "level"], "left").groupBy("rule", "severity").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("fired")
-    )
+    rules = scoring_rules(issues.sparkSession)
+    found = issues.groupBy("issue_type", "severity").agg(F.count(F.lit(1)).alias("fired"))
+    joined = rules.join(F.broadcast(found), ["issue_type", "severity"], "left")
+    return joined.select("rule", "severity", "issue_type", F.coalesce("fired", F.lit(0)).alias("fired"))

@@ -242,14 +242,11 @@ register(
     lambda spark, sf: guidance.enrich(_dirty(spark, sf)).select("issue_type", "column", "severity", "display_name", *_TEXTS),
     f"""{_I} SELECT issue_type, "column", severity, {case_of('issue_type', _TITLES, 'issue_type')} AS display_name, {', '.join(map(_text_of, _TEXTS))} FROM i""",
 )
-_FIRED = [
-    (rule, sev, types.split(","), [s.lower() for s in sev.split("/")]) for rule, sev, types in guidance.SCORING_RULES
-]
 register(
-    "scoring_rules", lambda spark, sf: guidance.rules_fired(_dirty(spark, sf)).select("rule", "severity", F.col("fired").cast("bigint").alias("fired")),
+    "scoring_rules", lambda spark, sf: guidance.rules_fired(_dirty(spark, sf)).select("rule", "severity", "issue_type", F.col("fired").cast("bigint").alias("fired")),
     _I + " UNION ALL ".join(
-        f"""SELECT '{r}' AS rule, '{s}' AS severity, count(*) AS fired FROM i
-            WHERE issue_type IN ({', '.join(f"'{t}'" for t in ts)}) AND severity IN ({', '.join(f"'{x}'" for x in ls)})""" for r, s, ts, ls in _FIRED),
+        f"""SELECT '{rule.replace("'", "''")}' AS rule, '{severity}' AS severity, '{kind}' AS issue_type, count(*) AS fired FROM i
+            WHERE issue_type = '{kind}' AND severity = '{severity}'""" for rule, severity, kind in guidance.SCORING_RULES),
 )
 
 
