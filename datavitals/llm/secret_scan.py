@@ -2,9 +2,11 @@
 
 A byte-pair vocabulary covers natural words and identifiers with few tokens, and random strings with
 many. A run of key characters, 20 or longer and with letters and digits in it, is reported as
-`random` if it has fewer than `most_ratio` characters per token. Known digests (hexadecimal runs of 32,
-40, 56, 64, 96 or 128), UUIDs, and identifiers (words joined by one of `_ - / .`, each word
-letters or digits alone) are excluded, and so is what overlaps a base span.
+`random` if it has fewer than `most_ratio` characters per token. Words glued to a secret (NAME=VALUE,
+paths, links) would raise its ratio, so a run that passes is cut at `/ = - _ +`, and every longest stretch of its
+parts that has fewer characters per token, joints not counted, is reported by itself. Base spans, known
+digests (hexadecimal parts of 32, 40, 56, 64, 96 or 128) and UUIDs are taken out of a run first.
+Identifiers (words joined by one of `_ - / .`, each word letters or digits alone) are excluded.
 
 Base patterns match from the left without overlap, each kind by itself; a match that fails its length
 is dropped and not tried again. Spans are in code points, the end exclusive; the span of an
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -30,7 +33,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 and more among all runs
 WORDS = ("password", "passwd", "secret", "token", "key")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 DIGEST = re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}", re.IGNORECASE)
-UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
+UUID = re.compile(r"(?<![a-z0-9])[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![a-z0-9])", re.ASCII | re.IGNORECASE)
+PART = re.compile(r"[A-Za-z0-9]+")
 IDENTIFIER = re.compile(r"([A-Za-z]+|[0-9]+)([_./-]+([A-Za-z]+|[0-9]+))*")
 
 
@@ -45,22 +49,68 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def dense(weights: list[float]) -> list[tuple[int, int]]:
+    """First and last place of each maximal stretch whose weights add up to more than zero (Ruzzo and Tompa), in linear time."""
+    found, total = [], 0
+    for i, weight in enumerate(weights):
+        low, total = total, total + weight
+        if weight <= 0:
+            continue
+        first, high, at = i, total, len(found) - 1
+        while at >= 0 and found[at][2] >= low:
+            at = found[at][4]
+        while at >= 0 and found[at][3] < high:
+            first, _, low, _, before = found[at]
+            del found[at:]
+            at = before
+        found.append((first, i, low, high, at))
+    return [(first, last) for first, last, *_ in found]
+
+
+def unknown(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What base spans, UUIDs and digests leave of the run from start to end."""
+    known = [(max(s, start), min(e, end)) for s, e in taken[bisect_left(taken, start, key=lambda x: x[1]) : bisect_left(taken, end, key=lambda x: x[0])]]
+    known += [m.span() for m in UUID.finditer(text, start, end)]
+    known += [m.span() for m in PART.finditer(text, start, end) if DIGEST.fullmatch(m[0])]
+    left = []
+    for s, e in [*sorted(known), (end, end)]:
+        if s > start:
+            left.append((start, s))
+        start = max(start, e)
+    return left
+
+
 def random_spans(text: str, taken: list[tuple[str, int, int]], encode, shortest: int, most_ratio: float) -> list[tuple[str, int, int]]:
     found = []
     if not any(len(w) >= shortest and not w.isalpha() for w in text.split()):
         return found
+
+    def wanted(s: int, e: int) -> bool:
+        run = text[s:e]
+        return len(run) >= shortest and any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not IDENTIFIER.fullmatch(run)
+
+    merged = []
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if merged and s < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+        else:
+            merged.append((s, e))
     for m in RUN.finditer(text):
-        run = m[0].strip("=-/")
-        start = m.start() + m[0].find(run)
-        end = start + len(run)
-        if len(run) < shortest or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run):
-            continue
-        if any(start < e and s < end for _, s, e in taken):
+        if len(m[0]) < shortest:
             continue
-        if len(run) / len(encode(run)) < most_ratio:
-            found.append(("random", start, end))
+        for start, end in unknown(text, *m.span(), merged):
+            run = text[start:end].strip("=-/")
+            start = text.index(run, start, end)
+            end = start + len(run)
+            if not wanted(start, end):
+                continue
+            if len(run) / len(encode(run)) < most_ratio:
+                found.append(("random", start, end))
+                continue
+            parts = [p.span() for p in PART.finditer(text, start, end)]
+            for a, b in dense([most_ratio * len(encode(text[s:e])) - (e - s) for s, e in parts]):
+                if wanted(parts[a][0], parts[b][1]):
+                    found.append(("random", parts[a][0], parts[b][1]))
     return found
 
 

@@ -114,6 +114,31 @@ def test_secret_kinds(text, found):
     assert [k for k, _, _ in own + secret_scan.random_spans(text, own, encode, 20, 2.0)] == found
 
 
+def random_texts(text):
+    own = secret_scan.base_spans(text)
+    encode = secret_scan.byte_encoding(vocabulary("byte_bpe_50k.tiktoken")).encode_ordinary
+    return [text[s:e] for _, s, e in secret_scan.random_spans(text, own, encode, 20, 2.0)]
+
+
+@pytest.mark.parametrize("before", [
+    "application/settings/production/connection_signature=", "services/integration/webhooks/incoming/", "password-reset/confirm/account/", "see https://hooks.example.com/services/integration/webhooks/incoming/",
+    "users/123e4567-e89b-12d3-a456-426614174000/settings/", "commit/9E107D9D372BB6826BD81D3542A419D6/settings/", "commit/9e107d9d372bb6826bd81d3542a419d6/settings/"])
+@pytest.mark.parametrize("secret", ["q7Zp0Vx2Lk9RtW4mYb8N", "q7Zp0Vx2Lk9RtW4mYb8Nc3Hd", "q7Zp0Vx2Lk9RtW4mYb8Nc3HdJ5sKf1Gz"])
+def test_secrets_glued_to_words(before, secret):
+    got = random_texts(f"a {before}{secret}/environment/configuration b")
+    assert len(got) == 1 and secret in got[0]
+    assert random_texts(f"a {before}environment/configuration2/settings b") == []
+
+
+def test_dense_stretches():
+    for seed in range(200):
+        weights = [int(w) for w in np.random.default_rng(seed).integers(-4, 5, 12)]
+        sums = [sum(weights[:i]) for i in range(len(weights) + 1)]
+        # by definition: every shorter stretch that begins or ends a stretch adds up to less, and no longer one has this
+        good = [(a, b) for a in range(12) for b in range(a, 12) if all(sums[a] < sums[i] for i in range(a + 1, b + 2)) and all(sums[b + 1] > sums[i] for i in range(a, b + 1))]
+        assert secret_scan.dense(weights) == [g for g in good if not any(o != g and o[0] <= g[0] and g[1] <= o[1] for o in good)]
+
+
 # personal data
 
 
