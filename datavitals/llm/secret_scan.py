@@ -1,12 +1,15 @@
 """Secrets in texts: fixed patterns, and strings that a tokenizer cannot compress.
 
 A byte-pair vocabulary covers natural words and identifiers with few tokens, and random strings with
-many. A run of key characters, 20 or longer and with letters and digits in it, is reported as
-`random` if it has fewer than `most_ratio` characters per token. Words glued to a secret (NAME=VALUE,
-paths, links) would raise its ratio, so a run that passes is cut at `/ = - _ +`, and every longest stretch of its
-parts that has fewer characters per token, joints not counted, is reported by itself. Base spans, known
-digests (hexadecimal parts of 32, 40, 56, 64, 96 or 128) and UUIDs are taken out of a run first.
-Identifiers (words joined by one of `_ - / .`, each word letters or digits alone) are excluded.
+many. A run of key characters, 20 or longer and with a letter in it, is reported as `random` if it has
+fewer than `most_ratio` characters per token. Words glued to a secret (NAME=VALUE, paths, links) would
+raise its ratio, so a run that passes is cut at `/ = - _ +`, and stretches of its parts that have
+fewer characters per token, and `shortest` characters, are reported by themselves. Base spans, known digests (hexadecimal parts of 32, 40,
+56, 64, 96 or 128) and UUIDs are taken out of a run first.
+
+Joints are not counted, neither as characters nor as tokens, so that identifiers pass if their words compress;
+they count only in a whole run that has digits and a word of letters and digits or another joint than `_ - / .`.
+Digits alone are a number, not a secret.
 
 Base patterns match from the left without overlap, each kind by itself; a match that fails its length
 is dropped and not tried again. Spans are in code points, the end exclusive; the span of an
@@ -49,22 +52,33 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def dense(weights: list[float]) -> list[tuple[int, int]]:
-    """First and last place of each maximal stretch whose weights add up to more than zero (Ruzzo and Tompa), in linear time."""
-    found, total = [], 0
-    for i, weight in enumerate(weights):
-        low, total = total, total + weight
-        if weight <= 0:
-            continue
-        first, high, at = i, total, len(found) - 1
-        while at >= 0 and found[at][2] >= low:
-            at = found[at][4]
-        while at >= 0 and found[at][3] < high:
-            first, _, low, _, before = found[at]
-            del found[at:]
-            at = before
-        found.append((first, i, low, high, at))
-    return [(first, last) for first, last, *_ in found]
+def dense(parts: list[tuple[int, int]], weights: list[float], shortest: int) -> list[tuple[int, int]]:
+    """Stretches of whole parts, `shortest` characters long at least, whose weights add up to more than zero.
+
+    Each is the heaviest one around: it grows to the right as long as a heavier one ends within `shortest`
+    characters of its end. No two overlap, and the time is linear."""
+    found, at = [], 0
+    while at < len(parts):
+        heaviest, total, open_, before = None, 0.0, at, 0.0  # weights before part j, the next part to begin with, weights before that
+        low = first = None
+        for j in range(at, len(parts)):
+            total += weights[j]
+            while open_ <= j and parts[j][1] - parts[open_][0] >= shortest:
+                if low is None or before <= low:
+                    low, first = before, open_
+                before += weights[open_]
+                open_ += 1
+            if low is not None and total > low and (heaviest is None or total - low > heaviest[0]):
+                if heaviest and first > heaviest[2]:
+                    break
+                heaviest = (total - low, first, j)
+            elif heaviest and (total <= low or parts[j][1] - parts[heaviest[2]][1] >= shortest):
+                break
+        if heaviest is None:
+            break
+        found.append((parts[heaviest[1]][0], parts[heaviest[2]][1]))
+        at = heaviest[2] + 1
+    return found
 
 
 def unknown(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -82,12 +96,11 @@ def unknown(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> li
 
 def random_spans(text: str, taken: list[tuple[str, int, int]], encode, shortest: int, most_ratio: float) -> list[tuple[str, int, int]]:
     found = []
-    if not any(len(w) >= shortest and not w.isalpha() for w in text.split()):
+    if not any(len(w) >= shortest for w in text.split()):
         return found
 
     def wanted(s: int, e: int) -> bool:
-        run = text[s:e]
-        return len(run) >= shortest and any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not IDENTIFIER.fullmatch(run)
+        return e - s >= shortest and any(c.isalpha() for c in text[s:e])
 
     merged = []
     for s, e in sorted((s, e) for _, s, e in taken):
@@ -104,13 +117,13 @@ def random_spans(text: str, taken: list[tuple[str, int, int]], encode, shortest:
             end = start + len(run)
             if not wanted(start, end):
                 continue
-            if len(run) / len(encode(run)) < most_ratio:
-                found.append(("random", start, end))
-                continue
             parts = [p.span() for p in PART.finditer(text, start, end)]
-            for a, b in dense([most_ratio * len(encode(text[s:e])) - (e - s) for s, e in parts]):
-                if wanted(parts[a][0], parts[b][1]):
-                    found.append(("random", parts[a][0], parts[b][1]))
+            weights = [most_ratio * len(encode(text[s:e])) - (e - s) for s, e in parts]
+            mixed = any(c.isdigit() for c in run) and not IDENTIFIER.fullmatch(run)
+            if mixed and len(run) / len(encode(run)) < most_ratio:
+                found.append(("random", start, end))
+            else:
+                found += [("random", s, e) for s, e in dense(parts, weights, shortest) if wanted(s, e)]
     return found
 
 

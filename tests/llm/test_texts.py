@@ -130,13 +130,33 @@ def test_secrets_glued_to_words(before, secret):
     assert random_texts(f"a {before}environment/configuration2/settings b") == []
 
 
+@pytest.mark.parametrize("secret", ["xkqzhjtwvbrnpfdgmzqx", "XkQzHjTwVbRnPfDgMzQxWkLpBvCs", "xkqz-hjtw-vbrn-pfdg-mzqx", "XKQZH-7JTWV-BRN4P-FDGMZ-QX2WK"])
+@pytest.mark.parametrize("before", ["", "connection_signature=", "services/integration/webhooks/incoming/"])
+def test_secrets_of_letters_and_groups(before, secret):
+    got = random_texts(f"a {before}{secret} b")
+    assert len(got) == 1 and secret in got[0]
+
+
+@pytest.mark.parametrize("text", [
+    "internationalizationconfiguration", "getElementsByClassNameAndAttribute", "MAXIMUM_NUMBER_OF_CONNECTIONS_PER_HOST", "state-of-the-art-machine-learning-methods",
+    "9E107D9D372BB6826BD81D3542A419D6", "123E4567-E89B-12D3-A456-426614174000", "12345678901234567890123", "2024-01-15-17-30-00-2024-01-16", "-" * 50 + "=" * 50])
+def test_words_and_known_forms_are_no_secrets(text):
+    assert random_texts(f"a {text} b") == []
+
+
 def test_dense_stretches():
-    for seed in range(200):
-        weights = [int(w) for w in np.random.default_rng(seed).integers(-4, 5, 12)]
-        sums = [sum(weights[:i]) for i in range(len(weights) + 1)]
-        # by definition: every shorter stretch that begins or ends a stretch adds up to less, and no longer one has this
-        good = [(a, b) for a in range(12) for b in range(a, 12) if all(sums[a] < sums[i] for i in range(a + 1, b + 2)) and all(sums[b + 1] > sums[i] for i in range(a, b + 1))]
-        assert secret_scan.dense(weights) == [g for g in good if not any(o != g and o[0] <= g[0] and g[1] <= o[1] for o in good)]
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        ends = np.cumsum(rng.integers(2, 30, 14))
+        parts = [(int(e) - int(n), int(e)) for e, n in zip(ends, np.diff(ends, prepend=0) - 1, strict=True)]
+        weights = [int(w) for w in rng.integers(-9, 8, 14)]
+        heavy = [(a, b) for a in range(14) for b in range(a, 14) if parts[b][1] - parts[a][0] >= 20 and sum(weights[a : b + 1]) > 0]
+        got = secret_scan.dense(parts, weights, 20)
+        assert all(x[1] < y[0] for x, y in zip(got, got[1:]))
+        assert set(got) <= {(parts[a][0], parts[b][1]) for a, b in heavy}
+        for a, b in heavy:  # nothing heavy is passed over
+            assert any(s < parts[b][1] and parts[a][0] < e for s, e in got)
+            assert a < b or any(s <= parts[a][0] and parts[b][1] <= e for s, e in got)
 
 
 # personal data
