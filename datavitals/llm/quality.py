@@ -1,6 +1,6 @@
 """Document quality by a byte-level convolutional network in numpy.
 
-Bytes are embedded, filters of `width` bytes slide over the whole text, and the largest response of
+Bytes are embedded, filters of `width` bytes slide over the whole text byte by byte, and the largest response of
 each filter is kept for every chunk of `chunk` bytes; chunks overlap by half and cover the text to
 its end. A document is described by the mean and the largest of its chunks' maxima, and a
 logistic unit gives the probability of label 1. Training is by back-propagation with Adam.
@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from .shared import map_text, pick
 
-STRIDE = 2
+STRIDE = 1  # bytes from one place of the filters to the next
 AT_ONCE = 1 << 15
 
 

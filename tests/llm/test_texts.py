@@ -270,6 +270,16 @@ def test_chunks_cover_the_whole_text(network):
     assert len(best) == -(-len(raw) // (net.chunk // 2))
 
 
+def test_filters_see_every_byte_position(network):
+    net, _ = network
+    tables = quality.responses(net)
+    for raw in (b"abcdefgh" * 9, b"the river and the hill were there", bytes(range(33, 127))):
+        data = quality.padded(net, raw)
+        best, _ = quality.halves(net, tables, data)
+        for p in range(len(raw) - net.width + 1):
+            assert (best.max(axis=0) >= sum(tables[k][raw[p + k]] for k in range(net.width)) + net.bias - 1e-4).all()
+
+
 # packing
 
 
