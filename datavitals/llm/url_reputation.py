@@ -1,8 +1,8 @@
 """URL filtering by rules and, where none fits, by the reputation of the host.
 
 Pages that a rule decides are labelled outcomes (blocked or not). Their rate is shrunk down a chain of
-beta-binomial priors: all pages, the suffix (last label), the registered domain (the label before the suffix with
-it), the host. The strength of each prior is estimated from the spread of its children by the method of
+beta-binomial priors: all pages, the suffix (the last label, or the longest of `suffixes` that ends the host), the
+registered domain (the label before the suffix with it), the host. A port counts for the host alone. The strength of each prior is estimated from the spread of its children by the method of
 moments, so hosts with few labelled pages fall back on their domain, and domains on their suffix. A prior is
 never stronger than what its parent itself is based on, so that a host of which nothing is known stays uncertain. A page
 without a rule is blocked if the lower bound of its host's posterior rate is above `threshold`.
@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from .shared import pick, staged
 
 ALLOW, BLOCK = "allow", "block"
+#: Common suffixes of several labels under which names are registered; no copy of the public suffix list.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "uk.com", "com.au", "net.au", "org.au", "co.nz", "co.za", "com.br", "com.cn", "com.mx", "com.tr",
+            "com.tw", "co.in", "co.jp", "ne.jp", "or.jp", "co.kr")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -44,6 +47,17 @@ def matching(rules: Sequence[tuple[str, str]], host: Column, path: Column) -> tu
     return rule, verdict
 
 
+def domain_and_suffix(host: Column, suffixes: Sequence[str]) -> tuple[Column, Column]:
+    """The registered domain and the suffix of a host, without its port."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    domain, suffix = F.substring_index(name, ".", -2), F.substring_index(name, ".", -1)
+    for known in sorted(suffixes, key=lambda s: (s.count("."), s)):
+        ends = (name == known) | name.endswith("." + known)
+        domain = F.when(ends, F.substring_index(name, ".", -2 - known.count("."))).otherwise(domain)
+        suffix = F.when(ends, F.lit(known)).otherwise(suffix)
+    return domain, suffix
+
+
 def strength(rows: DataFrame, mean: str) -> float:
     """Prior strength for the children in `rows` (n, k and the parent's mean), from E[n(p-m)^2] = m(1-m)(1+(n-1)rho)."""
     m = F.col(mean)
@@ -55,16 +69,17 @@ def strength(rows: DataFrame, mean: str) -> float:
     return (1 - rho) / rho
 
 
-def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str]], id: str = "page_id", url: str = "url", threshold: float = 0.8, z: float = 1.645) -> DataFrame:
-    """One row per page: id, host, path, rule, verdict."""
+def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str]], id: str = "page_id", url: str = "url", threshold: float = 0.8, z: float = 1.645,
+               suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """One row per page: id, host, path, rule, verdict. `suffixes` is a short list of suffixes of several labels."""
     pages = pick(df, id=id, url=url)
     host, path = host_and_path(F.col("url"))
     pages = pages.select("id", host.alias("host"), path.alias("path"))
     rule, said = matching(rules, F.col("host"), F.col("path"))
     pages = pages.withColumn("rule", rule).withColumn("said", said)
-    domain = F.substring_index("host", ".", -2)
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
     hosts = pages.groupBy("host").agg(F.count("said").alias("n"), F.count(F.when(F.col("said") == BLOCK, 1)).alias("k"))
-    hosts = staged(hosts.withColumn("domain", domain).withColumn("suffix", F.substring_index("host", ".", -1)), "hosts")
+    hosts = staged(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     overall = ((total["k"] or 0) + 1) / ((total["n"] or 0) + 2)
 

@@ -267,3 +267,17 @@ def test_pipeline_of_awkward_rows(spark, clashing, nothing):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, table, "unused")
             assert out.count() >= 0 and (name == "best_fit_packing" or out.columns == table.columns)
+
+
+def test_domains_without_ports_and_under_suffixes_of_several_labels(spark):
+    hosts = {"www.a.co.uk": ("a.co.uk", "co.uk"), "b.co.uk:80": ("b.co.uk", "co.uk"), "x.uk.com": ("x.uk.com", "uk.com"), "co.uk": ("co.uk", "co.uk"),
+             "www.example.com:8080": ("example.com", "com"), "example.com:": ("example.com", "com"), "taco.uk": ("taco.uk", "uk"), "": ("", "")}
+    table = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = table.select("host", *url_reputation.domain_and_suffix(F.col("host"), url_reputation.SUFFIXES)).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == hosts
+    # every ruled page of a.co.uk is blocked; of b.co.uk nothing is known
+    urls = [f"http://h{i % 9}.a.co.uk/bad/{i}" for i in range(900)] + [f"http://h{i % 9}.c{i % 40}.co.uk/good/{i}" for i in range(900)]
+    urls += ["http://new.a.co.uk/x", "http://new.b.co.uk/x", "http://h1.a.co.uk:8080/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    made = url_reputation.judge_urls(pages, [("block", "a.co.uk/bad/"), ("allow", "uk/good/")])
+    assert [r["verdict"] for r in made.where("id >= 1800").orderBy("id").collect()] == ["block", "allow", "block"]
