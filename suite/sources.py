@@ -146,7 +146,7 @@ EVENTS_AFTER = Source(
     """SELECT ts, user_id, CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'click' THEN 'tap' ELSE event_type END AS event_type,
          CASE WHEN event_type = 'view' THEN NULL ELSE value * 1.5 END AS value,
          concat(props, cast(event_id AS string)) AS props, cast(user_id AS double) AS code, 'b2' AS batch
-       FROM {events} WHERE ts >= cast('2024-01-16' AS date)""",
+       FROM {events} WHERE ts >= cast('2024-01-16' AS date) OR ts IS NULL""",
     _cols("ts:ts user_id:int event_type:str value:float props:str code:float batch:str"),
 )
 _ITEM = """SELECT l_orderkey, l_shipdate, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
@@ -155,10 +155,10 @@ _ITEM = """SELECT l_orderkey, l_shipdate, l_partkey, l_suppkey, l_linenumber, l_
 _ITEM_COLS = _cols("l_orderkey:int l_shipdate:ts l_partkey:int l_suppkey:int l_linenumber:int l_quantity:float l_extendedprice:float l_discount:float "
                    "l_tax:float is_a:int l_returnflag:str l_linestatus:str")
 ITEMS_BEFORE = Source(("lineitem",), _ITEM + "< cast('1998-06-01' AS date)", _ITEM_COLS)
-ITEMS_AFTER = Source(("lineitem",), _ITEM + ">= cast('1998-06-01' AS date)", _ITEM_COLS)
+ITEMS_AFTER = Source(("lineitem",), _ITEM + ">= cast('1998-06-01' AS date) OR l_shipdate IS NULL", _ITEM_COLS)
 _DOC_COLS = _cols("doc_id:int text:str source:str n_chars:int lang:str")
 DOCS_EN = Source(("documents",), "SELECT doc_id, text, source, n_chars, lang FROM {documents} WHERE lang = 'en'", _DOC_COLS)
-DOCS_OTHER = Source(("documents",), "SELECT doc_id, text, source, n_chars, lang FROM {documents} WHERE lang <> 'en'", _DOC_COLS)
+DOCS_OTHER = Source(("documents",), "SELECT doc_id, text, source, n_chars, lang FROM {documents} WHERE lang IS DISTINCT FROM 'en'", _DOC_COLS)
 
 # Inputs of single fixes and of the run history.
 PART_COMMA = Source(

@@ -1,5 +1,6 @@
 """Loading, exporting, run history, contracts, monitored streams."""
 
+import datetime
 import json
 
 import pytest
@@ -140,3 +141,23 @@ def test_monitored_stream(spark, tmp_path):
         monitor_stream(stream, "feed", path, state).awaitTermination()
     runs = history.runs_for_dataset(spark, path, "feed").collect()
     assert sum(r["row_count"] for r in runs) == 80 and len({r["run_id"] for r in runs}) == len(runs)
+
+
+def test_two_sides_of_drift_cover_their_table(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from suite import sources as S
+
+    kinds = {"int": pa.int64(), "float": pa.float64(), "str": pa.string(), "ts": pa.timestamp("us")}
+    days = [datetime.datetime(1998, 1, 1), datetime.datetime(1999, 1, 1), datetime.datetime(2024, 3, 1), None]
+    for (before, after), key, values in (
+        ((S.EVENTS_BEFORE, S.EVENTS_AFTER), "ts", days), ((S.ITEMS_BEFORE, S.ITEMS_AFTER), "l_shipdate", days),
+        ((S.DOCS_EN, S.DOCS_OTHER), "lang", ["en", "de", "fr", None]),
+    ):
+        held = {n: pa.nulls(len(values), kinds[k]) for n, k in before.columns}
+        held[key] = pa.array(values, held[key].type)
+        if key == "ts":
+            held["event_id"] = pa.array(range(len(values)), pa.int64())
+        pq.write_table(pa.table(held), f"{tmp_path}/{before.tables[0]}.parquet")
+        assert before.frame(spark, str(tmp_path)).count() + after.frame(spark, str(tmp_path)).count() == len(values), key
