@@ -1,11 +1,13 @@
-"""The registered queries of the ten operators and the pipeline, over whole tables."""
+"""The registered queries of the training-data operators, over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, maxscore, mixing, neighbours, packing, pii, quality, secret_scan, simhash, url_reputation
+from . import (
+    language_id, maxscore, mixing, neighbours, packing, periodic_runs, pii, quality, secret_scan, simhash, url_reputation, whitening,
+)
 from .sql import MIXING, URL_RULES_SQL
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -77,7 +79,41 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("emitted") * F.col("size")).cast("long").alias("taken"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where in a tenth of the texts, told by a checksum of the id, the words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        first = F.pmod(g, n)
+        period = 1 + F.floor((n - first) / (3 + g % 8))
+        at = lambda i: F.when(i < first, i).otherwise(first + (i - first) % period)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(words, (at(i) + 1).cast("int"))), " ")
+
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    made = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)))[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    # length / period exactly: compare by cross products, which stay within a long for words of any text
+    best = F.reduce("runs", F.element_at("runs", 1), lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.array_join(F.array(r["start"], r["length"], r["period"]), ","), F.lit("\n"))), "")
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return made.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_best_fit_packing, op3_secret_scan, op4_simhash_dedup, op5_nearest_neighbours,
-    op6_personal_data, op7_exact_topk, op8_quality, op9_url_reputation, op10_source_mixing)}
+    op6_personal_data, op7_exact_topk, op8_quality, op9_url_reputation, op10_source_mixing, op11_periodic_runs, op12_embedding_whitening)}
 ORACLES = {"op9_url_reputation": URL_RULES_SQL, "op10_source_mixing": MIXING}
