@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    language_id, maxscore, mixing, neighbours, packing, periodic_runs, pii, quality, secret_scan, simhash, url_reputation, whitening,
+    language_id, maxscore, mixing, neighbours, packing, periodic_runs, pii, quality, secret_scan, simhash, suffix_dedup, url_reputation,
+    whitening,
 )
 from .sql import MIXING, URL_RULES_SQL
 
@@ -113,7 +114,13 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return made.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_best_fit_packing, op3_secret_scan, op4_simhash_dedup, op5_nearest_neighbours,
-    op6_personal_data, op7_exact_topk, op8_quality, op9_url_reputation, op10_source_mixing, op11_periodic_runs, op12_embedding_whitening)}
+    op6_personal_data, op7_exact_topk, op8_quality, op9_url_reputation, op10_source_mixing, op11_periodic_runs, op12_embedding_whitening,
+    op13_suffix_dedup)}
 ORACLES = {"op9_url_reputation": URL_RULES_SQL, "op10_source_mixing": MIXING}
