@@ -138,24 +138,24 @@ def met(rows: DataFrame) -> DataFrame:
 
 
 def fetched(docs: DataFrame, asked: DataFrame, make, schema: str) -> DataFrame:
-    """Meet the asked places with their texts: make(text, d1, d2, list of asks) yields result rows. Copies of a text stand
-    together after the join, and one of them is enough."""
+    """Meet the asked places with their texts: make(text, d1, d2, list of asks) yields result rows. Of copies of a text
+    that a task meets, one is enough. Texts are not sorted: the asks, one row a text, are the hashed side."""
     asks = asked.groupBy("d1", "d2").agg(F.collect_list(F.struct("at", "low", "high", "core", "single")).alias("asks"))
-    joined = docs.select("d1", "d2", "text").join(asks, ["d1", "d2"])
+    joined = docs.select("d1", "d2", "text").join(asks.hint("shuffle_hash"), ["d1", "d2"])
     names = [f.split(" ")[0] for f in schema.split(", ")]
     kinds = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     arrow = pa.schema([(f.split(" ")[0], kinds[f.split(" ")[1]]) for f in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        last = None
+        seen = set()
         for batch in batches:
             for part in slices(batch, 2):
                 d1, d2 = part.column(0).to_pylist(), part.column(1).to_pylist()
                 made = []
                 for i, own in enumerate(zip(d1, d2, strict=True)):
-                    if own != last:
+                    if own not in seen:
                         made += make(part.column(2)[i].as_py(), *own, part.column(3)[i].as_py())
-                        last = own
+                        seen.add(own)
                 made.sort()
                 yield pa.RecordBatch.from_arrays([pa.array(c, arrow.field(k).type) for k, c in zip(names, zip(*made, strict=True) if made else [[]] * len(names), strict=True)], schema=arrow)
 
@@ -277,6 +277,16 @@ def covered(docs: DataFrame, length: int, reach: int, piece: int, most_contexts:
     return out
 
 
+def islands(stretches: DataFrame) -> DataFrame:
+    """Overlapping and touching stretches of a text made one."""
+    text = Window.partitionBy("d1", "d2")
+    ordered = text.orderBy("start", "end")
+    reached = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    rows = stretches.withColumn("new", (F.col("start") > F.coalesce(reached, F.lit(-1))).cast("int"))
+    rows = rows.withColumn("island", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("d1", "d2", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
 def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 400, reach: int | None = None, most_contexts: int = 100_000) -> DataFrame:
     """One row for each row: id, n_bytes, n_removed, n_spans (longest removed stretches) and kept, the bytes that remain."""
     if length < 2:
@@ -286,8 +296,8 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", lengt
     docs = pick(df, id=id, text=text).withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
     docs = docs.select("id", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"), "text")
     stretches = covered(docs, length, reach, piece, most_contexts)
-    stretches = stretches.groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-    joined = docs.join(stretches, ["d1", "d2"], "left").select("id", "text", "cuts")
+    cuts = islands(stretches).groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+    joined = docs.join(cuts.hint("shuffle_hash"), ["d1", "d2"], "left").select("id", "text", "cuts")
     id_type = df.schema[id].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]):
