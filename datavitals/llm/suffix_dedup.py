@@ -20,7 +20,8 @@ transforms; a suffix between two sampled ones is never sorted: its place follows
 
 Texts are told apart by 128 bits of hash (places of copies need not be told apart), contexts by 128 bits with their core. Contexts of one core are merged in one
 task, in bounded buckets of cores; a core with more contexts than `most_contexts` is dealt by whole windows instead, which combine before
-the shuffle. Shuffled joins carry texts, and split where a text has many copies.
+the shuffle. Shuffled joins carry texts; a text with many copies, of which there are no more than a set number, is dealt over as many tasks
+as its count asks for, and what it is joined to goes to each.
 
 Matches never cross texts. Strings are judged on the input, overlaps count. Null is an empty text; texts shorter than `length` stay whole.
 Repeated rows are copies of each other, null ids are carried along, an empty table gives an empty result, extra columns are ignored. What
@@ -40,6 +41,8 @@ from .shared import pick, slices, staged
 
 CHUNK = 1 << 20        # window starts looked at together
 BUCKET_ROWS = 40_000   # contexts merged in one task at a time
+COPIES = 2_000         # copies of a text that one task joins
+MOST_HOT = 10_000      # texts, at most, that have more; the bound rises with the table to keep to it
 NONE = np.iinfo(np.uint64).max
 
 
@@ -137,11 +140,26 @@ def met(rows: DataFrame) -> DataFrame:
     return rows.where("n > 1 or differ")
 
 
-def fetched(docs: DataFrame, asked: DataFrame, make, schema: str) -> DataFrame:
+def dealt(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents with a `part`, 0 but for texts with many copies, and those texts with their number of parts, to be broadcast."""
+    counts = staged(docs.groupBy("d1", "d2").agg(F.count("*").alias("n")).where(F.col("n") > COPIES), "copies")
+    bar = max(COPIES, docs.count() // MOST_HOT)
+    hot = F.broadcast(counts.where(F.col("n") > bar).select("d1", "d2", F.ceil(F.col("n") / bar).cast("int").alias("parts")))
+    return docs.withColumn("row", F.monotonically_increasing_id()).join(hot, ["d1", "d2"], "left").withColumn(
+        "part", F.coalesce(F.pmod("row", "parts").cast("int"), F.lit(0))).drop("row", "parts"), hot
+
+
+def to_parts(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of texts, once for each part of their text."""
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    return rows.join(hot, ["d1", "d2"], "left").select(*rows.columns, parts)
+
+
+def fetched(docs: DataFrame, hot: DataFrame, asked: DataFrame, make, schema: str) -> DataFrame:
     """Meet the asked places with their texts: make(text, d1, d2, list of asks) yields result rows. Of copies of a text
     that a task meets, one is enough. Texts are not sorted: the asks, one row a text, are the hashed side."""
     asks = asked.groupBy("d1", "d2").agg(F.collect_list(F.struct("at", "low", "high", "core", "single")).alias("asks"))
-    joined = docs.select("d1", "d2", "text").join(asks.hint("shuffle_hash"), ["d1", "d2"])
+    joined = docs.select("d1", "d2", "part", "text").join(to_parts(asks, hot).hint("shuffle_hash"), ["d1", "d2", "part"]).select("d1", "d2", "text", "asks")
     names = [f.split(" ")[0] for f in schema.split(", ")]
     kinds = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     arrow = pa.schema([(f.split(" ")[0], kinds[f.split(" ")[1]]) for f in schema.split(", ")])
@@ -245,7 +263,7 @@ def merged(rows: DataFrame, length: int, reach: int, buckets: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, "d1 long, d2 long, start long, end long")
 
 
-def covered(docs: DataFrame, length: int, reach: int, piece: int, most_contexts: int) -> DataFrame:
+def covered(docs: DataFrame, hot: DataFrame, length: int, reach: int, piece: int, most_contexts: int) -> DataFrame:
     """Covered stretches (d1, d2, start, end), overlapping as they come."""
     import xxhash
 
@@ -267,10 +285,10 @@ def covered(docs: DataFrame, length: int, reach: int, piece: int, most_contexts:
                 yield (h >> 64) - 2**63, (h & (2**64 - 1)) - 2**63, d1, d2, start, a["single"]
 
     if sizes["few"]:
-        rows = fetched(docs, asked.where(F.col("kinds") <= most_contexts), sides, "core long, after binary, d1 long, d2 long, at int, low int, high int, single boolean, before binary")
+        rows = fetched(docs, hot, asked.where(F.col("kinds") <= most_contexts), sides, "core long, after binary, d1 long, d2 long, at int, low int, high int, single boolean, before binary")
         out = out.unionByName(merged(rows, length, reach, -(-sizes["few"] // BUCKET_ROWS)))
     if sizes["many"]:
-        rows = staged(fetched(docs, asked.where(F.col("kinds") > most_contexts), windows, "h1 long, h2 long, d1 long, d2 long, start int, single boolean"), "windows")
+        rows = staged(fetched(docs, hot, asked.where(F.col("kinds") > most_contexts), windows, "h1 long, h2 long, d1 long, d2 long, start int, single boolean"), "windows")
         twice = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
         hit = rows.where("single").join(twice, ["h1", "h2"])
         out = out.unionByName(hit.select("d1", "d2", F.col("start").cast("long").alias("start"), (F.col("start") + length).cast("long").alias("end")))
@@ -295,9 +313,10 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", lengt
     piece = min(8, length - reach + 1)
     docs = pick(df, id=id, text=text).withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
     docs = docs.select("id", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"), "text")
-    stretches = covered(docs, length, reach, piece, most_contexts)
+    docs, hot = dealt(docs)
+    stretches = covered(docs, hot, length, reach, piece, most_contexts)
     cuts = islands(stretches).groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-    joined = docs.join(cuts.hint("shuffle_hash"), ["d1", "d2"], "left").select("id", "text", "cuts")
+    joined = docs.join(to_parts(cuts, hot).hint("shuffle_hash"), ["d1", "d2", "part"], "left").select("id", "text", "cuts")
     id_type = df.schema[id].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]):

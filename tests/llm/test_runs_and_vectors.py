@@ -287,6 +287,20 @@ def test_suffix_dedup_as_registered(spark):
     assert sum(w[1] for w in want) > 0
 
 
+def test_many_copies_of_a_text_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "COPIES", 3)
+    rng = np.random.default_rng(13)
+    draw = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    hot = draw(90)
+    texts = [hot] * 40 + [draw(30) + hot[10:60] + draw(30) for _ in range(6)] + [draw(50)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    docs = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("d1"), F.lit(0).alias("d2"), F.col("text").cast("binary").alias("text"))
+    parts, many = suffix_dedup.dealt(docs)
+    assert many.count() == 1 and parts.groupBy("d1", "part").count().agg(F.max("count")).first()[0] <= 8
+    assert parts.count() == len(texts)
+    assert removed(df, length=40) == plain_removal([t.encode() for t in texts], 40)
+
+
 def test_a_megabyte_of_one_letter(spark):
     df = spark.createDataFrame([(1, "a" * 1_200_000), (2, "b" * 399), (3, "a" * 400)], "doc_id long, text string")
     got = suffix_dedup.without_repeats(df).select("id", "n_bytes", "n_removed", F.length("kept").alias("kept")).orderBy("id").collect()
