@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from datavitals.functions.cells import cell, fields_of, number_or_null, positional, quoted, stripped
 from datavitals.operators.drift import category_changes
 from datavitals.operators.scoring import SEVERITY_RANK
+from datavitals.plans.comoments import comoments
 from datavitals.plans.facts import table_facts
 from datavitals.plans.options import ScanOptions
 
 HISTOGRAM_BINS, OVERLAY_BINS = 30, 35
-PAIRS_PER_JOB = 150
 
 
 def missing_by_column(metrics: DataFrame) -> DataFrame:
@@ -82,24 +80,31 @@ def box_stats(df: DataFrame, column: str, options: ScanOptions | None = None) ->
     return df.sparkSession.createDataFrame(pa.Table.from_pylist([{n: row.get(n) for n in names}], schema=schema))
 
 
+# A spread on a pair's rows below this share of the column's own counts as none: it is what rounding leaves.
+LEAST_SPREAD = 1e-12
+
+
 def correlations(df: DataFrame) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns over rows where both are present.
+    """Pearson correlation of every pair of numeric columns, both ways round, over the rows where both have a finite
+    value. NULL where there are no such rows or either column does not vary over them.
 
-    Each pair is a map-side aggregate; many columns are spread over several jobs."""
+    One pass over the table for up to 512 columns (plans/comoments.py); nothing but one row a pair leaves a task."""
     fields = [f for f in fields_of(df) if f.numeric]
-    cells = positional(df)
-    pairs = list(combinations_with_replacement(fields, 2)) if len(fields) > 1 else []
-    rows = []
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        part = pairs[start:start + PAIRS_PER_JOB]
-        found = cells.selectExpr(*[
-            f"corr(CAST({a.pos} AS double), CAST({b.pos} AS double)) AS `{i}`" for i, (a, b) in enumerate(part)
-        ]).first()
-        for i, (a, b) in enumerate(part):
-            both = ((a, b), (b, a)) if a is not b else ((a, a),)
-            rows += [{"column_a": x.name, "column_b": y.name, "corr": found[str(i)]} for x, y in both]
-    schema = pa.schema([("column_a", pa.string()), ("column_b", pa.string()), ("corr", pa.float64())])
-    return df.sparkSession.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
+    schema = "column_a string, column_b string, corr double"
+    if len(fields) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    found = comoments(positional(df).selectExpr(*[f"CAST({f.pos} AS double) AS {f.pos}" for f in fields]))
+    names = pa.table({"i": pa.array(range(len(fields)), pa.int32()), "name": [f.name for f in fields]})
+    names = df.sparkSession.createDataFrame(names)
+    own = found.where("i = j").selectExpr("i", f"{LEAST_SPREAD} * c_ii / n AS least")
+    named = names.join(F.broadcast(own), "i", "left")   # one row a column
+    ends = F.broadcast(named.selectExpr("i AS j", "name AS j_name", "least AS j_least"))
+    pairs = named.selectExpr("i", "name AS i_name", "least AS i_least", f"explode(sequence(i, {len(fields) - 1})) AS j").join(ends, "j")
+    pairs = pairs.join(found, ["i", "j"], "left")
+    varies = "c_ii > n * i_least AND c_jj > n * j_least"
+    pairs = pairs.selectExpr("i", "j", "i_name", "j_name", f"CASE WHEN {varies} THEN greatest(-1D, least(1D, c_ij / sqrt(c_ii) / sqrt(c_jj))) END AS corr")
+    ways = "array(struct(i_name AS column_a, j_name AS column_b)), CASE WHEN i < j THEN array(struct(j_name AS column_a, i_name AS column_b)) ELSE array() END"
+    return pairs.selectExpr("corr", f"inline(concat({ways}))").select("column_a", "column_b", "corr")
 
 
 def psi_by_column(numeric_table: DataFrame) -> DataFrame:

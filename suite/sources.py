@@ -74,6 +74,15 @@ EVENTS_SHORT = Source(
        FROM {events}""",
     _cols("user_id:int event_type:str props:str tens:float source_version:str"),
 )
+# Numbers that never change, are all missing, miss where a flag says so, or stand far from zero.
+LINEITEM_GAPS = Source(
+    ("lineitem",),
+    """SELECT l_quantity, l_extendedprice, CASE WHEN l_returnflag = 'R' THEN l_discount END AS gappy,
+         CASE WHEN l_returnflag <> 'R' THEN l_tax END AS other_gaps, CAST(7.1 AS double) AS same, CAST(NULL AS double) AS nothing,
+         CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE CAST(0.5 AS double) END AS partly, 1000000 + l_tax AS far
+       FROM {lineitem}""",
+    _cols("l_quantity:float l_extendedprice:float gappy:float other_gaps:float same:float nothing:float partly:float far:float"),
+)
 EVENTS_TEXT_TIME = Source(
     ("events",), "SELECT event_id, cast(ts AS string) AS created_at, user_id FROM {events}",
     _cols("event_id:int created_at:str user_id:int"),
