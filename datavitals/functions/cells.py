@@ -5,13 +5,27 @@ then costs a few calls into the JVM instead of tens of thousands."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from datavitals.functions.nested import canonical
+
 # Texts that mean "missing" once stripped and lower-cased.
 NULL_WORDS = ("", "null", "nan", "n/a", "na")
 
+# Ways to write a date, by the shape of the text. Where two share a shape, the month comes first unless
+# more values can be read the other way round.
+_DATE_SHAPES = {
+    "M/d/yyyy": r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy": r"\d{1,2}/\d{1,2}/\d{4}",
+    "M-d-yyyy": r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy": r"\d{1,2}-\d{1,2}-\d{4}",
+    "M.d.yyyy": r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy": r"\d{1,2}\.\d{1,2}\.\d{4}",
+    "yyyy/M/d": r"\d{4}/\d{1,2}/\d{1,2}", "yyyy.M.d": r"\d{4}\.\d{1,2}\.\d{1,2}", "yyyyMMdd": r"\d{8}",
+    "d MMM yyyy": r"\d{1,2} [A-Z][a-z]{2} \d{4}", "MMM d, yyyy": r"[A-Z][a-z]{2} \d{1,2}, \d{4}", "d-MMM-yyyy": r"\d{1,2}-[A-Z][a-z]{2}-\d{4}",
+}
+_CLOCK_SHAPES = {"": "", " H:mm": r" \d{1,2}:\d{2}", " H:mm:ss": r" \d{1,2}:\d{2}:\d{2}"}
+WRITTEN_TIMES = {d + c: f"^{ds}{cs}$" for d, ds in _DATE_SHAPES.items() for c, cs in _CLOCK_SHAPES.items()}
+
 SHORT_TEXT = 64   # bytes; longer texts are grouped by digest
 
 # Unicode white space plus the four ASCII separators that Java's \s leaves out. The look-behind
@@ -52,14 +66,20 @@ def number_or_null(clean: str) -> str:
     return f"CASE WHEN rlike({clean}, r'{_NUMBER_TEXT}') THEN try_cast({clean} AS double) END"
 
 
-def timestamp_or_null(c: str, formats: tuple[str, ...] = ()) -> str:
-    """Text to timestamp: ISO first, then each given pattern, else NULL."""
+def timestamp_or_null(c: str, formats: tuple[str, ...] = (), written: str = "ISO") -> str:
+    """Text to timestamp: as the column is `written` (functions/times.py), then each given pattern, else NULL."""
     clean = stripped(c)
-    tries = [f"CASE WHEN rlike({clean}, r'{_ISO_DATE_START}') THEN try_cast({clean} AS timestamp) END"]
-    tries += [f"try_to_timestamp({clean}, {literal(fmt)})" for fmt in formats]
+    tries = [written_time(clean, written), *[f"try_to_timestamp({clean}, {literal(fmt)})" for fmt in formats]]
     return f"coalesce({', '.join(tries)})"
 
 
+def written_time(clean: str, written: str) -> str:
+    """Stripped text to timestamp in one way of writing: "ISO", or a pattern of WRITTEN_TIMES."""
+    if written == "ISO":
+        return f"CASE WHEN rlike({clean}, r'{_ISO_DATE_START}') THEN try_cast({clean} AS timestamp) END"
+    return f"CASE WHEN rlike({clean}, r'{WRITTEN_TIMES[written]}') THEN try_to_timestamp({clean}, {literal(written)}) END"
+
+
 def short_key(c: str) -> str:
     """A text's grouping key: itself when short, else its SHA-256 digest behind a mark that makes the key
     longer than any short text, so that counting distinct documents shuffles 65 bytes per row
@@ -67,6 +87,13 @@ def short_key(c: str) -> str:
     return f"CASE WHEN octet_length({c}) > {SHORT_TEXT} THEN concat('#', sha2({c}, 256)) ELSE {c} END"
 
 
+def group_key(f: Field) -> str:
+    """A positional cell as it is grouped with others of its column: long texts by digest, nested cells in canonical form."""
+    if f.kind == "string":
+        return short_key(f.pos)
+    return canonical(f.type, f.pos) if f.kind == "opaque" else f.pos
+
+
 def rounded(x: Column, places: int = 4) -> Column:
     """Round on the binary value, halves away from zero. Spark's round() works on the shortest
     decimal text of a double and so lifts 0.00015 read as 9 / 60000, stored just below that."""
@@ -84,6 +111,7 @@ class Field:
     kind: str      # integral, floating, string, boolean, temporal, opaque
     dtype: str     # logical name: int64, float64, object, bool, datetime64[ns]
     stored: str    # Spark type name
+    type: T.DataType | None = field(default=None, compare=False, repr=False)
 
     @property
     def pos(self) -> str:
@@ -113,7 +141,7 @@ def fields_of(df: DataFrame) -> list[Field]:
         kind, dtype = next(
             ((kind, dtype) for classes, kind, dtype in _KINDS if isinstance(f.dataType, classes)), ("opaque", "object")
         )
-        result.append(Field(i, f.name, kind, dtype, f.dataType.typeName()))
+        result.append(Field(i, f.name, kind, dtype, f.dataType.typeName(), f.dataType))
     return result
 
 

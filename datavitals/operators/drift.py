@@ -12,14 +12,16 @@ from functools import cached_property
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from datavitals.functions.cells import Field, cell, fields_of, positional, quoted, rounded
+from datavitals.functions.cells import SHORT_TEXT, Field, cell, fields_of, positional, quoted, rounded
 from datavitals.functions.normalize import normalize_table
 from datavitals.operators.scoring import DRIFT_LABELS, DRIFT_POINTS, SEVERITY_RANK, banded, clamped, points
-from datavitals.plans.facts import QUARTILES, TableFacts, add_quantiles, first_facts, logical_dtype, one_row
+from datavitals.plans.facts import QUARTILES, TableFacts, add_quantiles, first_facts, logical_dtype
 from datavitals.plans.frequency import as_text, has_value, slot_struct, slots_of
+from datavitals.plans.labels import keyed, with_labels
 from datavitals.plans.options import ScanOptions
 from datavitals.plans.quantiles import number
 from datavitals.plans.together import together
+from datavitals.session import stage
 
 DECILES = tuple(i / 10 for i in range(11))
 # Floor of a bin's share, number of bins, and the PSI severity bars.
@@ -43,6 +45,31 @@ def psi_edges(base: dict, new: dict, deciles: list[float]) -> list[float]:
     return edges[1:-1]
 
 
+MOST_BINS = PSI_BINS + 1
+
+
+def bin_of(c: str, edges: list[float], first: int = 0) -> str:
+    """SQL for the number of a value's bin by binary search; bins are closed on the right, the last one is open."""
+    if not edges:
+        return str(first)
+    middle = len(edges) // 2
+    low, high = bin_of(c, edges[:middle], first), bin_of(c, edges[middle + 1:], first + middle + 1)
+    return f"CASE WHEN {c} <= {number(edges[middle])} THEN {low} ELSE {high} END"
+
+
+def binned(sides, fields, inner: dict[str, list[float]]) -> DataFrame:
+    """Rows (side, place, n): counted cells by side and place, 11 places a column in the order of `inner`."""
+    both = None
+    for side in (0, 1):
+        places = []
+        for i, (name, edges) in enumerate(inner.items()):
+            c = fields[side][name].pos
+            places.append(f"CASE WHEN {c} IS NOT NULL THEN {i * MOST_BINS} + {bin_of(c, edges)} END")
+        part = positional(sides[side]).selectExpr(f"explode(array({', '.join(places)})) AS place").selectExpr(f"{side} AS side", "place")
+        both = part if both is None else both.unionByName(part)
+    return both.where("place IS NOT NULL").groupBy("side", "place").agg(F.count(F.lit(1)).alias("n"))
+
+
 class DriftReport:
     """Comparison of two tables; each table of the report is built from facts collected once."""
 
@@ -90,13 +117,19 @@ class DriftReport:
         add_quantiles(self.sides[side], self.counted[side], probs, self.options)
 
     def _shift(self, names: list[str]) -> dict[str, dict]:
+        """Columns with long texts apart: they are counted by digest, and few labels are fetched."""
         found = {}
-        for start in range(0, len(names), self.options.chunk):
-            part = names[start:start + self.options.chunk]
-            table = shift_table(self.sides, self.fields, part, set(self.categorical), self.counted, self.options)
-            found |= {part[r["ord"]]: r.asDict() for r in table.collect()}
+        long = {n for n in names if n in set(self.categorical) and self._longest(n) > SHORT_TEXT}
+        for group, table in (([n for n in names if n not in long], shift_table), ([n for n in names if n in long], long_shift_table)):
+            for start in range(0, len(group), self.options.chunk):
+                part = group[start:start + self.options.chunk]
+                rows = table(self.sides, self.fields, part, set(self.categorical), self.counted, self.options).collect()
+                found |= {part[r["ord"]]: r.asDict() for r in rows}
         return found
 
+    def _longest(self, name: str) -> int:
+        return max(self.counted[side].of(f, "longest") or 0 for side, f in enumerate(self._pair(name)))
+
     @cached_property
     def shifts(self) -> dict[str, dict]:
         """Category shifts, and the distinct counts of categorical columns."""
@@ -117,32 +150,20 @@ class DriftReport:
 
     @cached_property
     def bins(self) -> dict[str, tuple[list[int], list[int]]]:
-        """Rows of each side per PSI bin. Bins are closed on the right, so counting values at or
-        below each edge gives them by subtraction."""
+        """Rows of each side per PSI bin, for all columns at once: each cell becomes the number of its bin, and (side, column, bin)
+        is counted. Map-side combining leaves at most 11 rows a column, side and task to shuffle."""
         inner = {}
         for n in self.numeric:
             b, c = self._pair(n)
             fb, fc = self.facts[0].values[b.ord], self.facts[1].values[c.ord]
             if fb["present"] and fc["present"]:
                 inner[n] = psi_edges(fb, fc, [self.facts[0].quantiles[b.ord][p] for p in DECILES])
-
-        def count(side: int) -> dict[str, list[int]]:
-            wanted = {
-                self.fields[side][n].ord: {str(i): f"count_if({self.fields[side][n].pos} <= {number(e)})" for i, e in enumerate(edges)}
-                for n, edges in inner.items() if edges
-            }
-            # Nine aggregates per column, so fewer columns go into one job.
-            chunk = max(1, self.options.chunk // 6)
-            found = one_row(positional(self.sides[side]), wanted, chunk)[1] if wanted else {}
-            out = {}
-            for n, edges in inner.items():
-                f = self.fields[side][n]
-                steps = [0, *[found[f.ord][str(i)] for i in range(len(edges))], self.counted[side].of(f, "present")]
-                out[n] = [high - low for low, high in zip(steps, steps[1:])]
-            return out
-
-        base, new = together(self.spark, lambda: count(0), lambda: count(1))
-        return {n: (base[n], new[n]) for n in inner}
+        if not inner:
+            return {}
+        out = {n: ([0] * (len(edges) + 1), [0] * (len(edges) + 1)) for n, edges in inner.items()}
+        for row in binned(self.sides, self.fields, inner).collect():
+            out[list(inner)[row["place"] // MOST_BINS]][row["side"]][row["place"] % MOST_BINS] = row["n"]
+        return out
 
     # tables: projections of one small relation ------------------------------------------------
 
@@ -340,16 +361,7 @@ def shift_table(sides, fields, wanted, categorical: set[str], facts, options: Sc
     if not categorical & set(wanted):
         return freq.groupBy("ord").agg(*[F.expr(e).alias(k) for k, e in uniques.items()])
 
-    def share(n: str, side: int) -> str:
-        totals = ", ".join(f"{i}, {facts[side].of(fields[side][x], 'present')}L" for i, x in enumerate(wanted))
-        return f"coalesce(try_divide({n}, map({totals})[ord]), 0.0D)"
-
-    shared = freq.selectExpr("*", f"{share('nb', 0)} AS b", f"{share('nc', 1)} AS c")
-    totals = uniques | {
-        "new_category_count": "count_if(nb = 0)", "removed_category_count": "count_if(nc = 0)",
-        "top_b": "max(nb)", "top_c": "max(nc)",
-        "baseline_dominant_share": "max(b)", "new_dominant_share": "max(c)", "max_frequency_change": "max(abs(c - b))",
-    }
+    shared, totals = _shares(freq, fields, wanted, facts), uniques | _SHIFT_TOTALS
     per = shared.groupBy("ord").agg(*[F.expr(e).alias(k) for k, e in totals.items()])
     # Largest counts first, which hash aggregation finds, then the first label among the rows that reach them;
     # the looked-up side has one row per column.
@@ -367,6 +379,51 @@ def shift_table(sides, fields, wanted, categorical: set[str], facts, options: Sc
     return per.drop("top_b", "top_c").join(dominant, "ord", "left").join(listed, "ord", "left")
 
 
+_SHIFT_TOTALS = {
+    "new_category_count": "count_if(nb = 0)", "removed_category_count": "count_if(nc = 0)",
+    "top_b": "max(nb)", "top_c": "max(nc)",
+    "baseline_dominant_share": "max(b)", "new_dominant_share": "max(c)", "max_frequency_change": "max(abs(c - b))",
+}
+
+
+def _shares(freq: DataFrame, fields, wanted: list[str], facts) -> DataFrame:
+    """Add each category's share of its column's present rows on both sides."""
+    def share(n: str, side: int) -> str:
+        totals = ", ".join(f"{i}, {facts[side].of(fields[side][x], 'present')}L" for i, x in enumerate(wanted))
+        return f"coalesce(try_divide({n}, map({totals})[ord]), 0.0D)"
+
+    return freq.selectExpr("*", f"{share('nb', 0)} AS b", f"{share('nc', 1)} AS c")
+
+
+def long_shift_table(sides, fields, wanted, categorical: set[str], facts, options: ScanOptions) -> DataFrame:
+    """As shift_table, for categorical columns with long texts (plans/labels.py). The staged frequencies have a key and a head
+    for each category; the dominant and the first ten new ones are found by head and then read."""
+    values = None
+    for side in (0, 1):
+        entries = ", ".join(f"struct({i} AS ord, {as_text(f, f.pos)} AS value)" for i, f in enumerate(fields[side][n] for n in wanted))
+        part = positional(sides[side]).selectExpr(f"inline(array({entries}))").selectExpr("*", f"{side} AS side")
+        values = part if values is None else values.unionByName(part)
+    values = values.where("value IS NOT NULL")
+    freq = stage(values.selectExpr("ord", "side", *keyed("value")).groupBy("ord", "long", "key", "head").agg(
+        F.expr("count_if(side = 0)").alias("nb"), F.expr("count_if(side = 1)").alias("nc")), "frequencies")
+    uniques = {"baseline_unique": "count_if(nb > 0)", "new_unique": "count_if(nc > 0)"}
+    totals = uniques | _SHIFT_TOTALS
+    per = _shares(freq, fields, wanted, facts).groupBy("ord").agg(*[F.expr(e).alias(k) for k, e in totals.items()])
+    leads = {"lead_b": "nb > 0 AND nb = top_b", "lead_c": "nc > 0 AND nc = top_c"}
+    leading = freq.join(F.broadcast(per.select("ord", "top_b", "top_c")), "ord").where(" OR ".join(f"({x})" for x in leads.values()))
+    heads = leading.groupBy("ord").agg(*[F.expr(f"min(CASE WHEN {x} THEN head END)").alias(f"{k}_head") for k, x in leads.items()])
+    first = leading.join(F.broadcast(heads), "ord").selectExpr(
+        "ord", "long", "key", *[f"{x} AND head = {k}_head AS {k}" for k, x in leads.items()], "false AS listed").where("lead_b OR lead_c")
+    new = freq.where("nb = 0").selectExpr("ord", "long", "key", "rank() OVER (PARTITION BY ord ORDER BY head) AS rank").where("rank <= 10")
+    new = new.selectExpr("ord", "long", "key", "false AS lead_b", "false AS lead_c", "true AS listed")
+    named = stage(with_labels(first.unionByName(new), values.select("ord", "value")), "labels")
+    dominant = named.groupBy("ord").agg(*[
+        F.expr(f"min(CASE WHEN {k} THEN value END)").alias(alias) for k, alias in (("lead_b", "baseline_dominant"), ("lead_c", "new_dominant"))])
+    listed = named.where("listed").selectExpr("ord", "value", "row_number() OVER (PARTITION BY ord ORDER BY value) AS rank").where("rank <= 10")
+    listed = listed.groupBy("ord").agg(F.expr("array_join(array_sort(collect_list(value)), ', ')").alias("new_categories"))
+    return per.drop("top_b", "top_c").join(dominant, "ord", "left").join(listed, "ord", "left")
+
+
 def compare_datasets(baseline: DataFrame, current: DataFrame, options: ScanOptions | None = None, **thresholds) -> DriftReport:
     return DriftReport(baseline, current, options, **thresholds)
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from datavitals.functions.cells import cell, fields_of, positional, rounded
 from datavitals.plans.facts import metrics_frame, table_facts
-from datavitals.plans.frequency import value_freq
+from datavitals.plans.frequency import as_text, value_freq
+from datavitals.plans.labels import keyed, top_labels, with_labels
 from datavitals.plans.options import ScanOptions
+from datavitals.session import stage
 
 STATS = ("mean", "std_pop", "min", "p25", "median", "p75", "max")
 
@@ -48,17 +50,30 @@ def missing_cells(df: DataFrame) -> DataFrame:
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Most frequent value of each column, the lowest winning a tie. Columns are counted as
-    text, so this suits text and whole-number columns."""
-    freq = value_freq(df, columns).filter("value is not null")
-    # the largest count first, one row per column, then the lowest of the values that reach it
-    most = freq.groupBy("column").agg(F.max("n").alias("n"))
-    return freq.join(F.broadcast(most), ["column", "n"]).groupBy("column", "n").agg(F.min("value").alias("mode"))
+    """(column, n, mode): most frequent value of each column as text, the lowest winning a tie.
+
+    All columns are counted in one shuffle of keys (plans/labels.py); then the largest count of each column, the least head
+    that reaches it, and last the labels with that head."""
+    fields = [f for f in fields_of(df) if f.kind != "opaque" and f.name in columns]
+    cells = positional(df)
+    entries = ", ".join(f"struct({f.ord} AS ord, {as_text(f, f.pos)} AS value)" for f in fields)
+    values = cells.selectExpr(f"inline(array({entries}))").where("value IS NOT NULL")
+    counts = values.selectExpr("ord", *keyed("value")).groupBy("ord", "long", "key", "head").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(counts, "frequencies")
+    most = counts.groupBy("ord").agg(F.max("n").alias("n"))                                     # one row a column
+    leading = counts.join(F.broadcast(most), ["ord", "n"])
+    first = leading.groupBy("ord").agg(F.min("head").alias("head"))
+    named = with_labels(leading.join(F.broadcast(first), ["ord", "head"]), values)
+    names = df.sparkSession.createDataFrame([(f.ord, f.name) for f in fields], "ord int, column string")
+    return named.groupBy("ord", "n").agg(F.min("value").alias("mode")).join(F.broadcast(names), "ord").select("column", "n", "mode")
 
 
 def top_values(df: DataFrame, column: str, limit: int) -> DataFrame:
     """(value, n) of one column's most frequent non-null values in their own type; ties go to
-    the lower value. Limit is small, so Spark keeps only that many rows per task."""
+    the lower value. Limit is small, so Spark keeps only that many rows per task. Texts are counted by
+    digest where they are long (plans/labels.py)."""
+    if next(f for f in fields_of(df) if f.name == column).kind == "string":
+        return top_labels(df, column, limit)
     counts = df.select(cell(column).alias("value")).filter("value is not null").groupBy("value").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -67,12 +82,8 @@ def top_values(df: DataFrame, column: str, limit: int) -> DataFrame:
 
 def category_shares(df: DataFrame, column: str, limit: int = 20) -> DataFrame:
     """Share of each category among the column's non-null rows, largest first."""
-    counts = df.select(cell(column).alias("value")).filter("value is not null").groupBy("value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
     total = df.agg(F.count(cell(column)).alias("total"))
-    top = counts.orderBy(F.desc("n"), F.asc("value")).limit(limit)
-    return top.select("value", "n", (F.col("n") / total.scalar()).alias("share"))
+    return top_values(df, column, limit).select("value", "n", (F.col("n") / total.scalar()).alias("share"))
 
 
 def key_candidates(metrics: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from datavitals.functions.cells import (
-    Field, cell, fields_of, number_or_null, quoted, short_key, stripped, timestamp_or_null,
+    Field, cell, fields_of, group_key, number_or_null, quoted, short_key, stripped, timestamp_or_null,
 )
+from datavitals.functions.times import time_formats
 from datavitals.operators.checks import Scan
 from datavitals.operators.cleaning import compare_scans, fill_with
 from datavitals.operators.profile import top_values
@@ -121,7 +122,8 @@ def text_to_number(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
 def split_timestamp(df: DataFrame, column: str, options: ScanOptions) -> Fixed:
     f = _field(df, column)
     if f.kind == "string":
-        when = F.expr(timestamp_or_null(quoted(column), options.timestamp_formats))
+        written = time_formats(df.select(cell(column).alias("c0")), ["c0"])["c0"]
+        when = F.expr(timestamp_or_null(quoted(column), options.timestamp_formats, written))
     elif f.numeric:   # numbers are read as nanoseconds since the epoch
         when = F.timestamp_micros((cell(column) / 1000).cast("bigint"))
     else:
@@ -214,18 +216,37 @@ def labelled_rows(df: DataFrame, target: str) -> DataFrame:
     return df.filter(cell(target).isNotNull())
 
 
-def repeated_key_rows(df: DataFrame, keys: list[str], hot_share: float = 0.001) -> DataFrame:
+TASK_ROWS = 1_000_000   # rows of one key that a task may hold
+HOT_KEYS = 100_000      # most keys looked up by broadcast
+
+
+def repeated_key_rows(df: DataFrame, keys: list[str], hot_share: float | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """Every copy of the rows whose key occurs more than once (NULL keys equal each other).
 
-    Counting is combined map-side. Keys holding more than `hot_share` of the rows, of which there
-    can be at most 1 / hot_share, are looked up by broadcast, so no hot key's rows are shuffled to
-    one task; the others meet in a shuffled semi join. Long texts are compared by digest."""
-    hot_bar = max(2, int(df.count() * hot_share))
-    named = [_key(df, k) for k in keys]
-    counts = df.select(*[k.alias(f"__k{i}") for i, k in enumerate(named)]).groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("__n"))
-    repeated = counts.filter("__n > 1")
-    hot = F.broadcast(repeated.filter(F.col("__n") > hot_bar))
-    match = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(named)])
-    is_hot = df.join(hot, match, "left_semi")
-    rest = df.join(hot, match, "left_anti").join(repeated.filter(F.col("__n") <= hot_bar), match, "left_semi")
-    return is_hot.unionByName(rest)
+    Keys are counted with map-side combining and staged. A key of more than `task_rows` rows (or, if it is given, of `hot_share` of all) is looked up by broadcast, so that its rows
+    stay where they are; the bar rises with the table so that there can be no more than 100,000 such keys. All
+    others meet in a shuffled semi join, where no key has more rows than the bar. Texts are compared by digest, nested
+    cells in canonical form."""
+    fields = fields_of(df)
+    cells = [f.pos for f in fields]
+    chosen = [next(f for f in fields if f.name == k) for k in keys]
+    names = [f"k{i}" for i in range(len(chosen))]
+    table = df.toDF(*cells).selectExpr("*", *[f"{group_key(f)} AS {n}" for f, n in zip(chosen, names)])
+    counts = stage(table.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-keys")
+    rows = df.count()
+    bar = max(task_rows if hot_share is None else max(2, int(rows * hot_share)), rows // HOT_KEYS)
+
+    def match(other: DataFrame):
+        return reduce(lambda a, b: a & b, [table[n].eqNullSafe(other[f"{n}_"]) for n in names])
+
+    def keyed(where: str) -> DataFrame:
+        return counts.filter(where).select(*[F.col(n).alias(f"{n}_") for n in names])
+
+    hot, rest = F.broadcast(keyed(f"n > {bar}")), keyed(f"n <= {bar}")
+    found = table.join(rest, match(rest), "left_semi")
+    if counts.filter(f"n > {bar}").isEmpty():
+        return found.select(*cells).toDF(*df.columns)
+    # rows of hot keys leave before the shuffle of the others
+    others = table.join(hot, match(hot), "left_anti")
+    found = table.join(hot, match(hot), "left_semi").unionByName(others.join(rest, match(rest), "left_semi"))
+    return found.select(*cells).toDF(*df.columns)

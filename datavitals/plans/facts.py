@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from datavitals.functions import names
 from datavitals.functions.cells import (
-    Field, fields_of, number_or_null, positional, short_key, stripped, timestamp_or_null,
+    Field, fields_of, group_key, number_or_null, positional, stripped, timestamp_or_null,
 )
 from datavitals.functions.shape import read_shape, shape_of, shape_totals
+from datavitals.functions.times import time_formats
 from datavitals.plans.frequency import field_frequencies, per_column
 from datavitals.plans.options import ScanOptions
-from datavitals.plans.quantiles import between, number, rank_values, ranks
+from datavitals.plans.quantiles import SourceChanged, between, number, rank_values, ranks
 from datavitals.plans.together import together
 from datavitals.roles import Roles
+from datavitals.session import stage
 
 QUARTILES = (0.25, 0.5, 0.75)
 _NO_TIMES = None      # stands for "no check looks at timestamps"
@@ -94,7 +96,9 @@ def first_facts(df: DataFrame, options: ScanOptions) -> TableFacts:
 
 def add_counts(df: DataFrame, facts: TableFacts, counted: list[Field], roles: Roles, options: ScanOptions) -> None:
     """Add exact distinct and top counts and text shapes of the `counted` fields."""
-    timed = {_PARSED + f.ord: timestamp_or_null(f.pos, options.timestamp_formats) for f in parsed_time_fields(facts, roles)}
+    texts = parsed_time_fields(facts, roles)
+    formats = time_formats(positional(df), [f.pos for f in texts])
+    timed = {_PARSED + f.ord: timestamp_or_null(f.pos, options.timestamp_formats, formats[f.pos]) for f in texts}
     if not counted and not timed:
         return
     longest = {f.ord: facts.of(f, "longest") for f in counted}
@@ -131,7 +135,11 @@ def add_quantiles(df: DataFrame, facts: TableFacts, probs: tuple[float, ...], op
     present = {f.pos: facts.of(f, "present") for f in numeric}
     asked = {f.pos: [r for p in probs for r in ranks(present[f.pos], p)[:2]] for f in numeric}
     ends = {f.pos: (facts.of(f, "min"), facts.of(f, "max")) for f in numeric}
-    answers = rank_values(positional(df), asked, ends, present, options)
+    try:
+        answers = rank_values(positional(df), asked, ends, present, options)
+    except SourceChanged as error:
+        name = next(f.name for f in numeric if f.pos == error.pos)
+        raise ValueError(f"column {name}: the source changed while it was read; stage the table first") from error
     for f in numeric:
         facts.quantiles[f.ord] = _interpolate(answers[f.pos], present[f.pos], probs)
 
@@ -231,7 +239,7 @@ def _last_pass(cells: DataFrame, facts: TableFacts, roles: Roles, options: ScanO
 
 
 def row_keys(fields: list[Field]) -> list[str]:
-    return [f"{short_key(f.pos)} AS {f.pos}" if f.kind == "string" else f.pos for f in fields]
+    return [f"{group_key(f)} AS {f.pos}" for f in fields]
 
 
 def _repeats(keys: DataFrame) -> tuple[int, int]:
@@ -259,24 +267,27 @@ def count_duplicates(df: DataFrame, facts: TableFacts, options: ScanOptions | No
 BROADCAST_HASHES = 1_000_000   # 16 bytes each
 
 
-def repeated_hashes(table: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
-    """The row hashes that occur more than once, and whether there are any. Only 16 bytes a row are
-    shuffled; the hashes are broadcast if they have been counted to be few."""
+def repeated_hashes(table: DataFrame, keys: list[str], most: int | None = None) -> tuple[DataFrame, bool]:
+    """The row hashes that occur more than once, and whether there are any.
+
+    Only 16 bytes a row are shuffled, once: the repeated hashes are staged, and broadcast if they have been counted
+    to be few. Beyond that a shuffled semi join finds their rows; it may split a hash with many copies."""
     per_hash = table.selectExpr(*hashed_row(keys)).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    many = per_hash.count()
-    return (F.broadcast(per_hash) if many <= BROADCAST_HASHES else per_hash), many > 0
+    repeated = stage(per_hash, "repeats")
+    many = repeated.count()
+    return (F.broadcast(repeated) if many <= (BROADCAST_HASHES if most is None else most) else repeated), many > 0
 
 
-def without_repeats(df: DataFrame) -> DataFrame:
-    """The table with one row of each set of equal rows, equal as `count_duplicates` counts them: NaN is missing.
+def without_repeats(df: DataFrame, most: int | None = None) -> DataFrame:
+    """The table with one row of each set of equal rows, equal as `count_duplicates` counts them: NaN is missing, maps have no order.
 
-    Rows whose hash occurs once stay where they are; only the others meet."""
+    Rows whose hash occurs once stay where they are; only the others meet, after each task has dropped its own repeats."""
     fields = fields_of(df)
     cells = {f.pos: f"CASE WHEN NOT isnan({f.pos}) THEN {f.pos} END" if f.stored in ("float", "double") else f.pos for f in fields}
     keys = [f"k{f.ord}" for f in fields]
     table = df.toDF(*cells).selectExpr("*", *[
-        f"{short_key(f.pos) if f.kind == 'string' else cells[f.pos]} AS k{f.ord}" for f in fields])
-    repeated, some = repeated_hashes(table, keys)
+        f"{group_key(f) if f.kind in ('string', 'opaque') else cells[f.pos]} AS k{f.ord}" for f in fields])
+    repeated, some = repeated_hashes(table, keys, most)
     if not some:
         return df
     table = table.selectExpr("*", *hashed_row(keys))

@@ -42,6 +42,14 @@ def number(x: float) -> str:
     return f"double('{x!r}')" if math.isinf(x) or math.isnan(x) else f"{x!r}D"
 
 
+class SourceChanged(ValueError):
+    """A pass found other rows than the one before, so that no rank can be settled."""
+
+    def __init__(self, pos: str):
+        super().__init__(f"{pos}: the source changed between two passes")
+        self.pos = pos
+
+
 @dataclass(eq=False)
 class _Target:
     """One wanted rank and the open value interval (low, high) known to hold it."""
@@ -101,18 +109,22 @@ def _propose(cells: DataFrame, targets: list[_Target], k: int) -> list[tuple[flo
         F.expr(f"kll_sketch_agg_double(CASE WHEN {m[0].inside()} THEN {m[0].value} END, {k})").alias(f"s{i}")
         for i, m in enumerate(members)
     ]
+    held = [F.expr(f"count_if({m[0].inside()})").alias(f"n{i}") for i, m in enumerate(members)]
     merged = (
         cells.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
-        .groupBy("lane").agg(*sketches)
-        .agg(*[F.kll_merge_agg_double(F.col(f"s{i}")).alias(f"s{i}") for i in range(len(keys))])
+        .groupBy("lane").agg(*sketches, *held)
+        .agg(*[F.kll_merge_agg_double(F.col(f"s{i}")).alias(f"s{i}") for i in range(len(keys))], *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(keys))])
     )
     margin = 4.0 / k**0.9
     asks = []
     for i, m in enumerate(members):
         at = [(t.rank - t.base) / max(1, t.inner - 1) for t in m]
         points = [F.lit(min(1.0, max(0.0, p + d))) for p in at for d in (-margin, margin)]
-        asks.append(F.kll_sketch_get_quantile_double(F.col(f"s{i}"), F.array(*points)).alias(f"q{i}"))
-    row = merged.select(*asks).first()
+        asks.append(F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(F.col(f"s{i}"), F.array(*points))).alias(f"q{i}"))
+    row = merged.select(*asks, *[f"n{i}" for i in range(len(keys))]).first()
+    for i, m in enumerate(members):
+        if row[f"n{i}"] != m[0].inner:
+            raise SourceChanged(m[0].pos)
     found = {id(t): (row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1]) for i, m in enumerate(members) for j, t in enumerate(m)}
     return [found[id(t)] for t in targets]
 
@@ -184,6 +196,8 @@ def _buckets(cells: DataFrame, targets: list[_Target], ends: dict[str, tuple[flo
     )
     for i, part in enumerate(parts):
         rows = [r for r in found if r["part"] == i]
+        if sum(r["n"] for r in rows) != part[0].inner:
+            raise SourceChanged(part[0].pos)
         for t in part:
             before, passed = t.inner, 0
             for j, r in enumerate(rows):
@@ -208,14 +222,24 @@ def _walk(cells: DataFrame, parts: list[list[_Target]]) -> None:
         "*", "sum(n) OVER (PARTITION BY part ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto",
         f"map({goals})[part] AS goals",
     )
-    found = steps.groupBy("part").agg(*[
+    found = steps.groupBy("part").agg(F.max("upto").alias("n"), *[
         F.expr(f"min(CASE WHEN upto > goals[{j}] THEN v END)").alias(f"v{j}") for j in range(width)
     ])
     for row in found.collect():
+        if row["n"] != parts[row["part"]][0].inner:
+            raise SourceChanged(parts[row["part"]][0].pos)
         for j, t in enumerate(parts[row["part"]]):
             t.answer = row[f"v{j}"]
 
 
+def _check_progress(targets: list[_Target], before: list[int]) -> None:
+    """A sketched round leaves fewer rows, the wanted one among them: its bracket's ends are values of the interval. If not, rows have
+    come or gone since, and further rounds need not end."""
+    for t, inner in zip(targets, before, strict=True):
+        if t.answer is None and not (t.inner < inner and 0 <= t.rank - t.base < t.inner):
+            raise SourceChanged(t.pos)
+
+
 def rank_values(
     cells: DataFrame, wanted: dict[str, list[int]], ends: dict[str, tuple[float, float]], present: dict[str, int],
     options: ScanOptions,
@@ -238,11 +262,15 @@ def rank_values(
             if plain:
                 by_sketch += _buckets(cells, plain, ends)
             if sketched:
+                before = [t.inner for t in sketched]
                 _narrow(cells, sketched, options.sketch_k)
+                _check_progress(sketched, before)
     rest = _intervals([t for t in targets if t.answer is None])
     for start in range(0, len(rest), options.chunk):
         _walk(cells, rest[start:start + options.chunk])
     answers: dict[str, dict[int, float]] = {pos: {} for pos in wanted}
     for t in targets:
+        if t.answer is None:
+            raise SourceChanged(t.pos)
         answers[t.pos][t.rank] = t.answer
     return answers
