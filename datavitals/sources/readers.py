@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from datavitals.functions.cells import literal, text_or_null
 from datavitals.functions.normalize import normalize_values
 from datavitals.session import stage
+from datavitals.sources.records import spanning_records, survey
 
 # Cell texts a CSV load reads as missing, as written, before blanks are stripped.
 CSV_NULLS = (
@@ -35,19 +34,6 @@ def _as(kind: str, c: str) -> str:
     return f"CASE WHEN rlike({c}, r'{pattern}') THEN try_cast(trim({c}) AS {kind}) END"
 
 
-def _lines(spark: SparkSession, path) -> tuple[int, int]:
-    """How many lines hold an odd number of quotes, and how many different header lines the files have."""
-    lines = spark.read.text(path).selectExpr(
-        "value", "_metadata.file_path AS file", "_metadata.file_block_start AS start", "monotonically_increasing_id() AS id")
-    odd = "count_if((length(value) - length(replace(value, '\"', ''))) % 2 = 1) AS odd"
-    files = lines.groupBy("file").agg(F.expr(odd), F.expr("min(CASE WHEN start = 0 THEN id END) AS first"))
-    total = files.agg(F.sum("odd").alias("odd"), F.count(F.lit(1)).alias("files")).first()
-    if (total["files"] or 0) <= 1:
-        return total["odd"] or 0, 1
-    heads = lines.join(files.select("first"), F.col("id") == F.col("first")).select("value").distinct().limit(2)
-    return total["odd"] or 0, heads.count()
-
-
 def read_csv(
     spark: SparkSession, path, schema: T.StructType | str | None = None, strict: bool = True, sep: str = ",",
     staged: bool = False, **options,
@@ -56,28 +42,34 @@ def read_csv(
 
     Types are tried in the order whole number, float, boolean; anything else, dates included,
     stays text. One pass decides all columns, and the result is a lazy projection of the files.
-    With `strict`, an empty source, rows with too many fields and undecodable text raise
-    ValueError. An explicit schema replaces inference. With `staged`, the typed table is written
+    Records may span lines: files stay split all the same (sources/records.py). With `strict`, an empty source,
+    rows with too many fields, files with other headers and bytes that are not UTF-8 raise ValueError; text that rightly holds
+    a replacement character is text. An explicit schema replaces inference. With `staged`, the typed table is written
     once as Parquet to the shared folder, so that a scan's passes read only the columns they use
     instead of parsing the text again."""
     given = {"header": True, "sep": sep, "escape": '"', "mode": "PERMISSIVE"} | options
+    ours = not {"multiLine", "quote", "escape", "lineSep", "encoding", "charset", "header"} & set(options)
     try:
-        odd, headers = _lines(spark, path)
-        if odd and "multiLine" not in options:
-            # some record spans lines; such files cannot be split, so each is read by one task
-            logging.getLogger(__name__).warning("%d lines hold an open quote: the CSV files are read whole, one task each", odd)
-            given["multiLine"] = True
-        reader = spark.read.options(**given)
-        names = reader.csv(path).columns
+        seen = survey(spark, path, sep) if ours else {"open": 0, "headers": 1, "broken": None, "split": False}
+        names = spark.read.options(**given | ({"multiLine": True} if seen["open"] else {})).csv(path).columns
     except AnalysisException as error:
         raise ValueError(f"the CSV source cannot be read: {error.getCondition()}") from error
     if not names:
         raise ValueError("the CSV source is empty: a header and at least one column are needed")
-    if strict and headers > 1:
+    if strict and seen["headers"] > 1:
         raise ValueError("the CSV files have different headers")
+    if strict and seen["broken"]:
+        raise ValueError(f"the CSV source is not valid UTF-8: line {seen['broken']['line']} of {seen['broken']['file']}")
     stored = [f"c{i}" for i in range(len(names))]
     as_text = T.StructType([T.StructField(n, T.StringType()) for n in [*stored, _CORRUPT]])
-    raw = reader.option("columnNameOfCorruptRecord", _CORRUPT).schema(as_text).csv(path)
+    if seen["open"] and seen["split"]:
+        # some records span lines, and some file has several splits: records are put together first, split by split
+        how = {k: str(v) for k, v in given.items() if k != "header"} | {"multiLine": "true", "columnNameOfCorruptRecord": _CORRUPT}
+        records = spanning_records(spark, path, sep).where("NOT header")
+        raw = records.select(F.from_csv("record", as_text.toDDL(), how).alias("r")).select("r.*")
+    else:
+        given |= {"multiLine": True} if seen["open"] else {}   # files of one split are one task anyway
+        raw = spark.read.options(**given).option("columnNameOfCorruptRecord", _CORRUPT).schema(as_text).csv(path)
     nulls = ", ".join(literal(x) for x in CSV_NULLS)
 
     def value(c: str) -> str:
@@ -91,13 +83,10 @@ def read_csv(
     entries = [f"struct({i} AS ord, {n} AS v)" for i, n in enumerate(stored)] + [f"struct(-1 AS ord, CASE WHEN {surplus} THEN 'x' END AS v)"]
     cells = raw.selectExpr(f"inline(array({', '.join(entries)}))").selectExpr("ord", f"{value('v')} AS v")
     found = {r["ord"]: r for r in cells.groupBy("ord").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("v").alias("present"), F.expr("count_if(contains(v, '\ufffd'))").alias("broken"),
+        F.count(F.lit(1)).alias("rows"), F.count("v").alias("present"),
         *[F.expr(f"count({_as(k, 'v')})").alias(k) for k in ("bigint", "double", "boolean")]).collect()}
-    if strict:
-        if found and found[-1]["present"]:
-            raise ValueError(f"the CSV source has {found[-1]['present']} rows with too many fields")
-        if any(r["broken"] for r in found.values()):
-            raise ValueError("the CSV source is not valid UTF-8")
+    if strict and found and found[-1]["present"]:
+        raise ValueError(f"the CSV source has {found[-1]['present']} rows with too many fields")
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         typed = [F.col(n).try_cast(f.dataType).alias(n) for n, f in zip(stored, wanted.fields)]

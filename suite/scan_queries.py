@@ -8,6 +8,7 @@ from datavitals.functions.cells import rounded
 from datavitals.functions.normalize import normalize_values
 from datavitals.operators import checks, chartdata, guidance, profile, scoring
 from datavitals.operators.checks import Scan
+from datavitals.operators.cleaning import simulate_cleaning
 from suite import duck, sources as S
 from suite.duck import RANK, WEIGHT, case_of
 from suite.registry import register
@@ -300,3 +301,28 @@ register(
     " UNION ALL ".join(
         f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS corr FROM lineitem" for a in _NUM for b in _NUM),
 )
+_GAPS = [n for n, _ in S.LINEITEM_GAPS.columns]
+register(
+    "chart_correlations_gaps",
+    lambda spark, sf: chartdata.correlations(S.LINEITEM_GAPS.frame(spark, sf)).select("column_a", "column_b", rounded(F.col("corr"), 6).alias("corr")),
+    f"WITH src AS ({S.LINEITEM_GAPS.duck}) " + " UNION ALL ".join(
+        f"""SELECT '{a}' AS column_a, '{b}' AS column_b, CASE WHEN min({a}) FILTER ({b} IS NOT NULL) < max({a}) FILTER ({b} IS NOT NULL)
+              AND min({b}) FILTER ({a} IS NOT NULL) < max({b}) FILTER ({a} IS NOT NULL) THEN round(corr({a}, {b}), 6) END AS corr FROM src"""
+        for a in _GAPS for b in _GAPS),
+)
+
+
+def _nested(spark, sf) -> DataFrame:
+    """Orders as rows with a map, an array and a structure: rows counted as repeated, and rows left by cleaning."""
+    df = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(
+        "map('status', o_orderstatus, 'priority', o_orderpriority) AS traits", "array(o_orderpriority, CAST(NULL AS string)) AS list",
+        "named_struct('year', year(o_orderdate), 'deep', map(year(o_orderdate), array(o_orderstatus))) AS whole",
+        "CASE WHEN o_orderkey % 2 = 0 THEN map('a', 1, 'b', 2) ELSE map('b', 2, 'a', 1) END AS same")
+    cleaned = simulate_cleaning(df)
+    return cleaned.df.agg(F.count(F.lit(1)).alias("kept")).select(
+        "kept", F.lit(cleaned.dropped_rows).cast("bigint").alias("dropped"), F.lit(Scan(df).facts.duplicate_rows).cast("bigint").alias("repeated"))
+
+
+register("nested_rows", _nested, """
+  SELECT count(*) AS kept, (SELECT count(*) FROM orders) - count(*) AS dropped, (SELECT count(*) FROM orders) - count(*) AS repeated
+  FROM (SELECT DISTINCT o_orderstatus, o_orderpriority, year(o_orderdate) FROM orders)""")

@@ -12,6 +12,7 @@ from datavitals.session import shared_folder
 from datavitals.sources import history, readers, writers
 from suite import duck, sources as S
 from suite.registry import register
+from suite.sources import Source
 
 
 def _place(spark, name: str) -> str:
@@ -86,3 +87,37 @@ register("wide_numbers", _wide, """
     UNION ALL SELECT 4, 'sure', count(DISTINCT o_orderkey >= 0), 0 FROM orders
     UNION ALL SELECT 5, 'nothing', 0, count(*) FROM orders)
   SELECT "column", n_unique, missing, (SELECT string_agg("column", ',' ORDER BY ord) FROM x WHERE n_unique <> 1 OR missing > 0) AS kept FROM x""")
+
+
+def _moment(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
+
+
+_CLOCK = ("' '", "hour(ts)", "':'", "lpad(cast(minute(ts) AS string), 2, '0')", "':'", "lpad(cast(second(ts) AS string), 2, '0')")
+WRITTEN_TIMES = Source(
+    ("events",),
+    f"""SELECT event_id, {_moment("month(ts)", "'/'", "day(ts)", "'/'", "year(ts)", *_CLOCK)} AS us_time,
+          {_moment("day(ts)", "'.'", "month(ts)", "'.'", "year(ts)", *_CLOCK[:4])} AS eu_time,
+          CASE WHEN event_type = 'error' THEN 'unknown' ELSE {_moment("day(ts)", "'/'", "month(ts)", "'/'", "1900 + event_id % 99")} END AS day_date,
+          {_moment("1 + event_id % 12", "'/'", "1 + user_id % 12", "'/'", "1900 + event_id % 99")} AS either_date, cast(ts AS string) AS iso_time
+        FROM {{events}}""",
+    (("event_id", "int"), *((n, "str") for n in ("us_time", "eu_time", "day_date", "either_date", "iso_time"))),
+)
+_FORMS = {
+    "us_time": "%m/%d/%Y %H:%M:%S", "eu_time": "%d.%m.%Y %H:%M", "day_date": "%d/%m/%Y", "either_date": "%m/%d/%Y", "iso_time": None}
+
+
+def _written_times(spark, sf) -> DataFrame:
+    """Times in five ways of writing, through CSV files: how many are read and how many differ, and whether the check fires."""
+    path = _place(spark, "times")
+    writers.write_csv(WRITTEN_TIMES.frame(spark, sf), path)
+    scan = Scan(readers.read_csv(spark, path))
+    fired = scan.issues.where("issue_type = 'suspicious_timestamp_granularity'").select("column", F.lit(True).alias("fired"))
+    read = scan.metrics.where("kind = 'string'").select("column", "parsed", "parsed_unique")
+    return read.join(fired, "column", "left").select("column", "parsed", "parsed_unique", F.coalesce("fired", F.lit(False)).alias("fired"))
+
+
+register("timestamp_written_forms", _written_times, f"WITH src AS ({WRITTEN_TIMES.duck})" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(t) AS parsed, count(DISTINCT t) AS parsed_unique,
+          count(*) >= 10 AND count(t) / count(*) >= 0.80 AND count(DISTINCT t) / count(*) > 0.80 AS fired
+        FROM (SELECT {f"try_strptime({c}, '{form}')" if form else f"TRY_CAST({c} AS TIMESTAMP)"} AS t FROM src)""" for c, form in _FORMS.items()))
