@@ -4,15 +4,21 @@ Base spans come from fixed patterns with fixed checks and always stay. Other can
 numbers without a country code, social security numbers, bank account numbers and spelt-out mail addresses. Every candidate, base spans
 included, is voted on by labelers that say yes, no or nothing: the strict form (regex), a list of known area
 codes, mail domains and issuer digits (gazetteer), and cue words before the span (context), besides a check for worn-out
-digits. Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is, without any
-labels; its posteriors then train a logistic span classifier, and candidates it accepts become
-spans if they overlap no base span.
+digits. Expectation-maximisation over the counts of vote patterns estimates, kind by kind and without any
+labels, how often each labeler says yes and objects to personal data and to other spans; its posteriors then train a span classifier,
+and candidates it accepts become spans if they overlap no base span.
+
+A labeler that says nothing is no evidence against a span, as some can never say yes to a kind; that it could have objected and did not
+speaks for it. Estimates start from stated chances, which keep at least half the weight however many candidates there are, and both truths are
+taken as equally likely, so that a text is judged much alike in any corpus. The classifier is linear in the log-odds: to each kind's
+weights of votes it adds what the posteriors teach about spans themselves: length, separators, number of different digits, and the
+words on both sides, hashed.
 
 Everything runs on built-in functions. Positions come from the lengths of matches and of what lies between
 them, so they are code points, the end exclusive. Patterns with repeated groups are written as runs of a character
 class over a text of equal length whose stray dots and separators have been replaced, which finds
 the same spans without recursion on very long runs. What the driver sees is the counts of vote patterns, at most
-3^4 for each kind.
+3^4 for each kind, and those of features, at most 80. In spelt-out mail addresses the name has up to 64 characters.
 
 A null text is an empty one, with no spans. Repeated rows are searched each; an empty table gives an empty result and a
 classifier that accepts nothing; extra columns are ignored (`find_personal`) or go along (`redact`)."""
@@ -32,6 +38,13 @@ BASE = ("email", "ip", "card", "phone")
 MORE = ("tel", "ssn", "iban", "mail")
 KINDS = BASE + MORE
 LABELERS = 4
+FEATURES, VALUES = 5, 16   # length, separators, different digits, word before, word after
+
+# Chances before any data, for the strict form, the gazetteer, the context and worn digits: of a yes, and of an objection, if a span is personal and if not
+YES = ((0.6, 0.3), (0.4, 0.15), (0.4, 0.1), (0.1, 0.1))
+NO = ((0.01, 0.3),) * LABELERS
+STRENGTH = 100   # spans that these chances count for, for either truth; the spans of a kind count for no more in all
+MOST_SHAPE = 1.0   # most that one feature may add to the log-odds, either way
 
 LOCAL, LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 STRAY_DOT = rf"\.(?![{LABEL}])|(?<![{LABEL}])\."
@@ -163,14 +176,30 @@ def votes(kind: str, value: Column, before: Column) -> Column:
     return F.array(strict, known, context, worn)
 
 
+def word_number(word: Column) -> Column:
+    """A word hashed to 1 to 15; 0 if there is none."""
+    return F.when(word == "", 0).otherwise(F.pmod(F.xxhash64(F.lower(word)), F.lit(VALUES - 1)).cast("int") + 1)
+
+
+def features(value: Column, before: Column, after: Column) -> Column:
+    """Numbers 0 to 15 that describe a span: length, separators, different digits, and the words on both sides."""
+    marks = sum(F.when(value.contains(mark), 1 << i).otherwise(0) for i, mark in enumerate("-. ("))
+    figures = F.size(F.array_distinct(F.filter(F.split(digits(value), ""), lambda x: x != "")))
+    return F.array(
+        F.least(F.floor(F.length(value) / 3), F.lit(VALUES - 1)).cast("int"), marks, figures,
+        word_number(F.regexp_extract(before, r"(\p{L}+)[^\p{L}]*+$", 1)), word_number(F.regexp_extract(after, r"^[^\p{L}]*+(\p{L}+)", 1)))
+
+
 def spans_with_votes(text: Column, kind: str, found: Column) -> Column:
     def span(m, near):
         before = F.substring(near["text"], F.greatest(m["s"] - near["at"] - (SEEN - 1), F.lit(1)), F.least(m["s"], F.lit(SEEN)))
-        return F.struct(m["s"].alias("s"), F.lit(KINDS.index(kind)).alias("o"), m["e"].alias("e"), votes(kind, m["t"], before).alias("v"), F.lit(kind in BASE).alias("base"))
+        after = F.substring(near["text"], m["e"] - near["at"] + 1, F.lit(SEEN))
+        seen = F.concat(votes(kind, m["t"], before), features(m["t"], before, after))
+        return F.struct(m["s"].alias("s"), F.lit(KINDS.index(kind)).alias("o"), m["e"].alias("e"), seen.alias("v"), F.lit(kind in BASE).alias("base"))
 
     def judged(part):
         at = F.greatest(F.get(part, F.lit(0))["s"] - SEEN, F.lit(0))
-        near = F.struct(at.alias("at"), F.substring(text, at + 1, F.get(part, F.size(part) - 1)["s"] - at).alias("text"))
+        near = F.struct(at.alias("at"), F.substring(text, at + 1, F.get(part, F.size(part) - 1)["e"] - at + SEEN).alias("text"))
         return held_as(near, lambda own: F.transform(part, lambda m: span(m, own)))
 
     good = F.filter(found, lambda m: valid(kind, m["t"]))
@@ -199,14 +228,21 @@ def candidates(text: Column) -> Column:
 @dataclass
 class SpanModel:
     intercepts: list[float]
-    yes: list[float]
+    yes: list[float]             # of each labeler, over all kinds seen
     no: list[float]
+    kinds: list[float] | None = None   # by kind, labeler and vote (-1, 0, 1)
+    shape: list[float] | None = None   # by kind, feature and value
 
     def accepts(self, span: Column) -> Column:
-        z = F.element_at(F.array(*[F.lit(float(b)) for b in self.intercepts]), span["o"] + 1)
-        for j in range(LABELERS):
-            vote = F.element_at(span["v"], j + 1)
-            z = z + F.when(vote == 1, float(self.yes[j])).when(vote == -1, float(self.no[j])).otherwise(0.0)
+        def weight(table: list[float], at: Column) -> Column:
+            return F.element_at(F.array(*[F.lit(float(w)) for w in table]), at + 1)
+
+        z = weight(self.intercepts, span["o"])
+        for j in range(LABELERS if self.kinds else 0):
+            z = z + weight(self.kinds, (span["o"] * LABELERS + j) * 3 + F.element_at(span["v"], j + 1) + 1)
+        if self.shape:
+            for f in range(FEATURES):
+                z = z + weight(self.shape, (span["o"] * FEATURES + f) * VALUES + F.element_at(span["v"], LABELERS + f + 1))
         return z >= 0
 
 
@@ -214,61 +250,108 @@ def sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+Chances = list[tuple[float, float, float, float]]
+
+
+def weights_of(chances: Chances) -> tuple[float, list[float], list[float]]:
+    """Log-odds of a span without votes, and what each labeler's yes and objection add to them. `chances` has for each labeler
+    those of a yes, then of an objection, if a span is personal and if not; a yes never counts against, nor an objection for."""
+    silent = [max(0.0, math.log((1 - n1) / (1 - n0))) for _, _, n1, n0 in chances]
+    yes = [max(0.0, math.log(y1 / y0)) for y1, y0, _, _ in chances]
+    no = [min(0.0, math.log(n1 / n0)) - s for (_, _, n1, n0), s in zip(chances, silent, strict=True)]
+    return sum(silent), yes, no
+
+
+def evidence(v: tuple[int, ...], chances: Chances) -> float:
+    """Log-odds that a span with these votes is personal."""
+    base, yes, no = weights_of(chances)
+    return base + sum(yes[j] if vote == 1 else no[j] if vote == -1 else 0.0 for j, vote in enumerate(v))
+
+
+def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 40) -> dict[int, Chances]:
+    """Expectation-maximisation over vote patterns (kind, votes, count): each kind's chances for each labeler, shrunk to YES and
+    NO. A kind's spans together weigh STRENGTH at most, as much as the stated chances do for either truth."""
+    out = {}
+    for kind in {k for k, _, _ in patterns}:
+        own = [(v, n) for k, v, n in patterns if k == kind]
+        scale = min(1.0, STRENGTH / sum(n for _, n in own))
+        chances: Chances = [(*YES[j], *NO[j]) for j in range(LABELERS)]
+        for _ in range(rounds):
+            held = [(v, scale * n * p, scale * n * (1 - p)) for (v, n), p in zip(own, [sigmoid(evidence(v, chances)) for v, _ in own], strict=True)]
+            totals = STRENGTH + sum(a for _, a, _ in held), STRENGTH + sum(b for _, _, b in held)
+
+            def chance(j: int, vote: int, before: tuple[float, float], held=held, totals=totals) -> tuple[float, float]:
+                return tuple((STRENGTH * before[t] + sum(h[1 + t] for h in held if h[0][j] == vote)) / totals[t] for t in (0, 1))
+
+            chances = [(*chance(j, 1, YES[j]), *chance(j, -1, NO[j])) for j in range(LABELERS)]
+        out[kind] = chances
+    return out
+
+
 def aggregate_votes(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 40) -> list[float]:
-    """Expectation-maximisation over vote patterns (kind, votes, count): the posterior of each pattern.
+    """The posterior of each vote pattern."""
+    found = reliabilities(patterns, rounds)
+    return [sigmoid(evidence(v, found[k])) for k, v, _ in patterns]
+
 
-    A labeler has for either truth a chance of each vote, common to all kinds; a kind has a prior. One
-    pseudo-vote keeps labelers better than chance at the start and chances away from zero."""
-    posterior = [sigmoid(1.5 * sum(v)) for _, v, _ in patterns]
-    for _ in range(rounds):
-        chance = []
+def train(patterns: list[tuple[int, tuple[int, ...], int]]) -> SpanModel:
+    """The classifier's weights of votes, kind by kind; a kind without spans is not accepted."""
+    model = SpanModel([-1.0] * len(KINDS), [0.0] * LABELERS, [0.0] * LABELERS, [0.0] * (len(KINDS) * LABELERS * 3))
+    found = reliabilities(patterns)
+    for kind, chances in found.items():
+        model.intercepts[kind], yes, no = weights_of(chances)
         for j in range(LABELERS):
-            table = {}
-            for truth in (0, 1):
-                counts = {-1: 1.0 + (truth == 0), 0: 1.0, 1: 1.0 + (truth == 1)}
-                for (_, v, n), p in zip(patterns, posterior, strict=True):
-                    counts[v[j]] += n * (p if truth else 1 - p)
-                total = sum(counts.values())
-                table[truth] = {vote: c / total for vote, c in counts.items()}
-            chance.append(table)
-        prior = {}
-        for kind in {k for k, _, _ in patterns}:
-            own = [(n, p) for (k, _, n), p in zip(patterns, posterior, strict=True) if k == kind]
-            prior[kind] = (1 + sum(n * p for n, p in own)) / (2 + sum(n for n, _ in own))
-        posterior = [
-            sigmoid(math.log(prior[k] / (1 - prior[k])) + sum(math.log(chance[j][1][v[j]] / chance[j][0][v[j]]) for j in range(LABELERS)))
-            for k, v, _ in patterns]
-    return posterior
-
-
-def train(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 400, pace: float = 0.5, shrink: float = 0.01) -> SpanModel:
-    """A logistic classifier of spans, fitted by gradient steps to the posteriors of the vote patterns."""
-    model = SpanModel([-1.0] * len(KINDS), [0.5] * LABELERS, [-0.5] * LABELERS)
+            at = (kind * LABELERS + j) * 3
+            model.kinds[at:at + 3] = [no[j], 0.0, yes[j]]
+            model.yes[j] += yes[j] / len(found)
+            model.no[j] += no[j] / len(found)
+    return model
+
+
+def pattern_number(span: Column) -> Column:
+    """A span's kind and votes as one number from 0."""
+    out = span["o"]
+    for j in range(LABELERS):
+        out = out * 3 + F.element_at(span["v"], j + 1) + 1
+    return out
+
+
+def learn(found: DataFrame) -> SpanModel:
+    """Train the classifier on the votes and features in a column `found`."""
+    spans = found.select(F.explode("found").alias("x"))
+    counted = spans.groupBy("x.o", F.slice("x.v", 1, LABELERS).alias("v")).agg(F.count("*").alias("n"))
+    patterns = sorted((r["o"], tuple(r["v"]), r["n"]) for r in counted.collect())  # at most kinds x 3^labelers rows
+    model = train(patterns)
     if not patterns:
         return model
-    posterior, total = aggregate_votes(patterns), sum(n for _, _, n in patterns)
-    per_kind = {k: sum(n for kind, _, n in patterns if kind == k) for k, _, _ in patterns}
-    for _ in range(rounds):
-        a, b, c = [shrink * (x + 1.0) for x in model.intercepts], [shrink * (x - 0.5) for x in model.yes], [shrink * (x + 0.5) for x in model.no]
-        for (k, v, n), p in zip(patterns, posterior, strict=True):
-            z = model.intercepts[k] + sum(model.yes[j] if v[j] == 1 else model.no[j] if v[j] == -1 else 0.0 for j in range(LABELERS))
-            err = sigmoid(z) - p
-            a[k] += err * n / per_kind[k]
-            for j in range(LABELERS):
-                if v[j] == 1:
-                    b[j] += err * n / total
-                elif v[j] == -1:
-                    c[j] += err * n / total
-        model.intercepts = [x - pace * g for x, g in zip(model.intercepts, a, strict=True)]
-        model.yes = [x - pace * g for x, g in zip(model.yes, b, strict=True)]
-        model.no = [x - pace * g for x, g in zip(model.no, c, strict=True)]
+    # what the posteriors teach about the spans themselves
+    table = [0.0] * (len(KINDS) * 3**LABELERS)
+    for (k, v, _), p in zip(patterns, aggregate_votes(patterns), strict=True):
+        at = k
+        for vote in v:
+            at = at * 3 + vote + 1
+        table[at] = p
+    posterior = F.element_at(F.array(*[F.lit(p) for p in table]), pattern_number(F.col("x")) + 1)
+    each = F.posexplode(F.slice("x.v", LABELERS + 1, FEATURES)).alias("f", "value")
+    sums = spans.select("x.o", posterior.alias("p"), each).groupBy("o", "f", "value").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
+    model.shape = shape_weights([(r["o"], r["f"], r["value"], r["yes"], r["no"]) for r in sums.collect()])  # at most kinds x features x values rows
     return model
 
 
-def learn(found: DataFrame) -> SpanModel:
-    """Train the classifier on the votes in a column `found`."""
-    spans = found.select(F.explode("found").alias("x")).groupBy("x.o", "x.v").agg(F.count("*").alias("n"))
-    return train(sorted((r["o"], tuple(r["v"]), r["n"]) for r in spans.collect()))  # at most kinds x 3^labelers rows
+def shape_weights(sums: list[tuple[int, int, int, float, float]]) -> list[float]:
+    """Log-odds of each value of a feature, from sums of posteriors (kind, feature, value, personal, not). Shrunk: STRENGTH spans of
+    either truth are taken to have the value as often as all spans do, and none moves the odds by more than MOST_SHAPE."""
+    out = [0.0] * (len(KINDS) * FEATURES * VALUES)
+    totals: dict[tuple[int, int], list[float]] = {}
+    for k, f, _, yes, no in sums:
+        held = totals.setdefault((k, f), [0.0, 0.0])
+        held[0], held[1] = held[0] + yes, held[1] + no
+    for k, f, value, yes, no in sums:
+        all_yes, all_no = totals[k, f]
+        share = STRENGTH * (yes + no) / (all_yes + all_no)
+        w = math.log((yes + share) / (all_yes + STRENGTH)) - math.log((no + share) / (all_no + STRENGTH))
+        out[(k * FEATURES + f) * VALUES + value] = max(-MOST_SHAPE, min(MOST_SHAPE, w))
+    return out
 
 
 def accepted(found: Column, model: SpanModel) -> Column:

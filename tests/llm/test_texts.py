@@ -337,3 +337,70 @@ def test_plan_holds_every_capacity(rule, docs_cap, cost_cap):
         assert sum(sizes) <= 1024 and len(sizes) <= docs_cap and sum(n * n for n in sizes) <= cost_cap
     if docs_cap == 1024 and cost_cap == 1024 * 1024:
         assert len(sequences) <= 1.01 * lengths.sum() / 1024 + 1
+
+
+PLANTED = {
+    # kind: text with a cue word, text without one, counter-example, of a number i
+    "ssn": (lambda i: f"her ssn {123 + i}-{10 + i % 80}-{2000 + 37 * i} is", lambda i: f"then {123 + i}-{10 + i % 80}-{2000 + 37 * i} came",
+            lambda i: f"order {100 + i}-{10 + i % 80}-{3000 + 41 * i} shipped"),
+    "iban": (lambda i: f"iban DE{10 + i}{37040044053201300 + i * 97:018d} please", lambda i: f"went FR{10 + i}{20041010050500013 + i * 89:018d} so",
+             lambda i: f"serial QX{10 + i}ABCDEFGH{i % 10}JKLM end"),
+    "tel": (lambda i: f"call ({212 + i}) 555-{1207 + 31 * i} now", lambda i: f"and ({312 + i}) 555-{2308 + 29 * i} too",
+            lambda i: f"invoice (800) 555-{1000 + i}"),
+    "mail": (lambda i: f"mail jo{i} (at) site{i} (dot) org today", lambda i: f"then kim{i} [at] corp{i} [dot] net said",
+             lambda i: f"page ..x{i} (at) no (dot) yes"),
+}
+
+
+def planted_table(spark, kinds, texts):
+    rows, want = [], []
+    for kind in kinds:
+        for form in (0, 1, 2):
+            for i in range(60):
+                rows.append((1_000_000 + len(rows), PLANTED[kind][form](i)))
+                want.append((kind, form))
+    made = spark.createDataFrame([*rows, *texts], "doc_id long, text string").repartition(4)
+    found = {r["id"]: r["spans"] for r in pii.find_personal(made).collect()}
+    return {(kind, form): sum(found[r[0]].startswith(kind) for r, w in zip(rows, want, strict=True) if w == (kind, form)) for kind, form in want}
+
+
+def test_planted_personal_data_is_found_in_any_corpus(spark):
+    corpus = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for kinds, texts in ((PLANTED, corpus), (PLANTED, []), (["ssn"], corpus), (["mail", "iban"], [])):
+        found = planted_table(spark, kinds, texts)
+        for kind in kinds:
+            assert found[kind, 0] >= 54 and found[kind, 1] >= 54 and found[kind, 2] <= 6, (found, len(texts))
+
+
+def test_votes_count_by_kind():
+    """A labeler that never says yes to a kind does not speak against it, however it votes on others."""
+    others = [(0, (1, 1, 0, 0), 5000), (0, (-1, 0, -1, 0), 3000), (4, (1, 1, 1, 0), 4000)]
+    for more in ([], others):
+        for n in (1, 31, 100_000):
+            patterns = sorted([(1, (1, 0, 0, 0), n), (1, (1, -1, -1, 0), max(1, n // 10)), *more])
+            posterior = dict(zip([(k, v) for k, v, _ in patterns], pii.aggregate_votes(patterns), strict=True))
+            assert posterior[1, (1, 0, 0, 0)] > 0.8 and posterior[1, (1, -1, -1, 0)] < 0.4
+
+
+def test_features_move_the_odds_both_ways_within_bounds():
+    weights = pii.shape_weights([(5, 3, 7, 5000.0, 10.0), (5, 3, 8, 10.0, 5000.0), (5, 0, 2, 3.0, 1.0), (5, 0, 3, 3.0, 1.0)])
+    at = lambda k, f, v: weights[(k * pii.FEATURES + f) * pii.VALUES + v]
+    assert at(5, 3, 7) == pii.MOST_SHAPE == -at(5, 3, 8) and abs(at(5, 0, 2)) < 1e-9 and at(1, 0, 0) == 0
+
+
+def test_operators_as_registered_on_the_small_tables(spark):
+    """The queries themselves: their columns, their held-out rows, one row a document."""
+    import zlib
+
+    from datavitals.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    for name, of, remainder in (("op1_language_id", 5, 0), ("op8_quality", 3, 1)):
+        found = {r["doc_id"]: r for r in QUERIES[name](spark, sf).collect()}
+        assert set(found) == {d["doc_id"] for d in docs}
+        assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % of == remainder) and 0 <= r["score"] <= 1 for i, r in found.items())
+    for name in ("op3_secret_scan", "op4_simhash_dedup", "op6_personal_data"):
+        assert sorted(r["doc_id"] for r in QUERIES[name](spark, sf).select("doc_id").collect()) == sorted(d["doc_id"] for d in docs)
+    packed = QUERIES["op2_best_fit_packing"](spark, sf).groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
+    assert packed <= 1024
