@@ -13,7 +13,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large and small stars (Kiveris and others, 2014): every node links its larger, then
     its smaller neighbours to the smallest it knows, until nothing changes. Each round is a grouped minimum
-    and an equi-join; rounds grow with the logarithm of the longest path. Edges are staged after each round."""
+    and an equi-join; rounds grow with the logarithm of the longest path. Edges are staged after each round, and minima before
+    they are joined: both sides of a join are then shuffled for it alone, so that Spark splits a node with very many edges."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs = staged(pairs, "edges")
     if pairs.isEmpty():
@@ -21,10 +22,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = staged(large.where("u <> v").distinct(), "large")
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         pairs = staged(small.distinct(), "edges")

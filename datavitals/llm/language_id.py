@@ -1,11 +1,12 @@
 """Language identification by unigram piece models, summed over every segmentation.
 
-Each language has a probability for every piece of a fixed public vocabulary (byte pieces of up to
-eight bytes, single bytes included, so that any text can be cut). A word's probability is the sum
+Each language has a probability for every piece of a fixed public vocabulary (all its byte pieces, and every
+single byte, so that any text can be cut). A word's probability is the sum
 over all ways to cut it into pieces, which a forward pass computes left to right; expectation-
 maximisation with the matching backward pass learns the probabilities. A text's score in a language
 is the sum of its words' log-probabilities, and the answer is the language with the highest
-posterior under equal priors.
+posterior under equal priors. How far that language beats a model of evenly drawn bytes tells texts in no learned language
+(other scripts, keyboard noise) from the rest: the posterior alone compares learned languages only.
 
 Words are runs of letters, lower-cased, with a space before them; a run of more than 32 letters
 continues as further words. Ties go to the smaller language code. A text that is null, empty or without letters
@@ -27,7 +28,8 @@ from pyspark.sql.window import Window
 
 from .shared import map_text, pick
 
-LONGEST = 8
+CODED = 8   # bytes that fit in a number; longer pieces are looked up by hash and compared
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 16
 UNKNOWN = "und"
 
@@ -38,50 +40,79 @@ def words_of(text: str | None) -> list[str]:
 
 
 def read_pieces(path: str) -> list[bytes]:
-    """The vocabulary's pieces of up to LONGEST bytes, with every single byte."""
+    """The vocabulary's pieces, with every single byte, by length."""
     with open(path, "rb") as lines:
         pieces = {base64.b64decode(line.split()[0]) for line in lines if line.strip()}
-    return sorted({p for p in pieces if len(p) <= LONGEST} | {bytes([b]) for b in range(256)}, key=lambda p: (len(p), p))
+    return sorted(pieces | {bytes([b]) for b in range(256)}, key=lambda p: (len(p), p))
+
+
+def rolled(pieces: np.ndarray) -> np.ndarray:
+    """A 64-bit rolling hash of equally long pieces, one a row."""
+    code = np.zeros(len(pieces), np.uint64)
+    for column in pieces.T:
+        code = code * FACTOR + column.astype(np.uint64) + np.uint64(1)
+    return code
 
 
 class Lattice:
-    """Where each piece of the vocabulary occurs in words of one length, as row numbers of the probability table."""
+    """Where each piece of the vocabulary occurs in words of one length, as row numbers of the probability table.
+
+    Pieces are found by number, up to eight bytes, or by rolling hash, and then their bytes are compared. Of pieces of
+    equal hash, which the comparison would tell apart, one could be missed; the vocabularies at hand have none."""
 
     def __init__(self, pieces: list[bytes]):
         self.none = len(pieces)
-        self.codes, self.first = [], []
-        for size in range(1, LONGEST + 1):
-            own = [int.from_bytes(p, "big") for p in pieces if len(p) == size]
-            self.codes.append(np.array(own, np.uint64))
-            self.first.append(next((i for i, p in enumerate(pieces) if len(p) >= size), self.none))
-
-    def rows(self, letters: np.ndarray) -> list[np.ndarray]:
-        """For each piece length k, a table over (start, word) of row numbers; `none` where no piece starts."""
-        out, code = [], letters.astype(np.uint64)
-        for k in range(1, min(LONGEST, letters.shape[0]) + 1):
-            if k > 1:
+        by_size: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            by_size.setdefault(len(p), []).append(i)
+        self.known = {}
+        for size, own in by_size.items():
+            if size <= CODED:
+                codes, spelt = np.array([int.from_bytes(pieces[i], "big") for i in own], np.uint64), None
+            else:
+                spelt = np.frombuffer(b"".join(pieces[i] for i in own), np.uint8).reshape(len(own), size)
+                codes = rolled(spelt)
+            order = np.argsort(codes, kind="stable")
+            self.known[size] = codes[order], np.array(own, np.int32)[order], None if spelt is None else spelt[order]
+
+    def rows(self, letters: np.ndarray) -> dict[int, np.ndarray]:
+        """For each piece length k that the vocabulary has, a table over (start, word) of row numbers; `none` where no piece starts."""
+        out, code = {}, letters.astype(np.uint64)
+        hashed = code + np.uint64(1)
+        for k in range(1, letters.shape[0] + 1):
+            if 1 < k <= CODED:
                 code = (code[:-1] << np.uint64(8)) | letters[k - 1 :].astype(np.uint64)
-            known = self.codes[k - 1]
-            if not len(known):
-                out.append(np.full(code.shape, self.none, np.int32))
+            if k > 1:
+                hashed = hashed[:-1] * FACTOR + letters[k - 1 :].astype(np.uint64) + np.uint64(1)
+            if k not in self.known:
                 continue
-            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-            out.append(np.where(known[at] == code, at + self.first[k - 1], self.none).astype(np.int32))
+            codes, numbers, spelt = self.known[k]
+            sought = code if k <= CODED else hashed
+            at = np.minimum(np.searchsorted(codes, sought), len(codes) - 1)
+            hit = codes[at] == sought
+            if spelt is not None and hit.any():
+                start, word = np.nonzero(hit)
+                seen = letters[start[:, None] + np.arange(k), word[:, None]]
+                hit[start, word] = (seen == spelt[at[start, word]]).all(axis=1)
+            if k == 1 or hit.any():
+                out[k] = np.where(hit, numbers[at], self.none).astype(np.int32)
         return out
 
 
-def forward(rows: list[np.ndarray], table: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+def forward(rows: dict[int, np.ndarray], table: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Forward sums (position by word by language, rescaled along the way) and the log of what was scaled out."""
-    size, n = rows[0].shape
+    size, n = rows[1].shape
+    longest = max(rows)
     alpha = [np.ones((n, table.shape[1]))]
     logs = np.zeros((n, table.shape[1]))
     for i in range(1, size + 1):
-        total = alpha[i - 1] * table[rows[0][i - 1]]
-        for k in range(2, min(LONGEST, i) + 1):
-            total += alpha[i - k] * table[rows[k - 1][i - k]]
+        total = alpha[i - 1] * table[rows[1][i - 1]]
+        for k, at in rows.items():
+            if 1 < k <= i:
+                total += alpha[i - k] * table[at[i - k]]
         alpha.append(total)
         if i % 16 == 0:
-            for j in range(max(0, i - LONGEST + 1), i):
+            for j in range(max(0, i - longest + 1), i):
                 alpha[j] = alpha[j] / total
             logs += np.log(total)
             alpha[i] = np.ones_like(total)
@@ -111,30 +142,34 @@ def log_probabilities(words: list[bytes], lattice: Lattice, table: np.ndarray) -
     return out
 
 
-def expected_counts(rows: list[np.ndarray], counts: np.ndarray, table: np.ndarray) -> np.ndarray:
+def expected_counts(rows: dict[int, np.ndarray], counts: np.ndarray, table: np.ndarray) -> np.ndarray:
     """How often each piece is used over all segmentations of the words, weighted by their probability.
 
     Here words have at most 129 bytes and one language, so a plain scale per position suffices."""
-    size, n = rows[0].shape
+    size, n = rows[1].shape
+    longest = max(rows)
     alpha, beta = np.zeros((size + 1, n)), np.zeros((size + 1, n))
     alpha[0] = beta[size] = 1.0
     scale = np.ones((size + 1, n))
     for i in range(1, size + 1):
         running = np.ones(n)
-        for k in range(1, min(LONGEST, i) + 1):
+        for k in range(1, min(longest, i) + 1):
             running = running * scale[i - k + 1] if k > 1 else running
-            alpha[i] += alpha[i - k] * table[rows[k - 1][i - k]] * running
+            if k in rows:
+                alpha[i] += alpha[i - k] * table[rows[k][i - k]] * running
         scale[i] = 1.0 / alpha[i]
         alpha[i] = 1.0
     # alpha is 1 everywhere after scaling; beta takes the same scales, so a piece's share is alpha * p * scales * beta
     used = np.zeros(len(table))
     for i in range(size - 1, -1, -1):
         running = np.ones(n)
-        for k in range(1, min(LONGEST, size - i) + 1):
+        for k in range(1, min(longest, size - i) + 1):
             running = running * scale[i + k]
-            share = table[rows[k - 1][i]] * running * beta[i + k]
+            if k not in rows:
+                continue
+            share = table[rows[k][i]] * running * beta[i + k]
             beta[i] += share
-            used += np.bincount(rows[k - 1][i], weights=share * counts, minlength=len(table))
+            used += np.bincount(rows[k][i], weights=share * counts, minlength=len(table))
     return used
 
 
@@ -148,7 +183,7 @@ def learn_pieces(words: list[bytes], counts: np.ndarray, lattice: Lattice, round
             chunks.append((lattice.rows(letters_of([words[i] for i in part], size)), counts[part]))
     used = np.zeros(lattice.none + 1)
     for rows, weight in chunks:  # to begin with, every occurrence counts
-        for table in rows:
+        for table in rows.values():
             used += np.bincount(table.ravel(), weights=np.broadcast_to(weight, table.shape).ravel(), minlength=len(used))
     for _ in range(rounds + 1):
         used[-1] = 0
@@ -212,10 +247,11 @@ def train(labelled: DataFrame, vocabulary: str, id: str = "doc_id", text: str =
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None,
-             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Add the predicted language and its posterior probability to every row."""
+             names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """Add the predicted language and its posterior probability to every row, and under a third name how far the language beats evenly
+    drawn bytes, in nats a byte. A column of the input with one of these names gives way to the result."""
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.table))  # pieces times languages, whatever the input
-    fields = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    fields = [T.StructField(n, T.StringType() if i == 0 else T.DoubleType()) for i, n in enumerate(names)]
 
     def begin():
         languages, pieces, table = shared.value
@@ -224,19 +260,22 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: list
         def work(texts):
             seen: dict[str, int] = {}
             held = [[seen.setdefault(w, len(seen)) for w in words_of(body)] for body in texts]
-            logs = log_probabilities([b" " + w.encode("utf-8", "replace") for w in seen], lattice, table)
-            langs, scores = [], []
+            spelt = [b" " + w.encode("utf-8", "replace") for w in seen]
+            logs, sizes = log_probabilities(spelt, lattice, table), np.array([len(w) for w in spelt])
+            langs, scores, gains = [], [], []
             for own in held:
                 if not own or not languages:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
+                    gains.append(0.0)
                     continue
                 total = logs[own].sum(axis=0)
                 best = int(total.argmax())
                 langs.append(languages[best])
                 scores.append(min(1.0, float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())))
-            return langs, scores
+                gains.append(float(total[best] / sizes[own].sum() + np.log(256)))
+            return [langs, scores, gains][: len(names)]
 
         return work
 
-    return map_text(df, text, fields, begin, [c for c in df.columns if c != text] if keep is None else keep)
+    return map_text(df, text, fields, begin, [c for c in df.columns if c != text and c not in names] if keep is None else keep)

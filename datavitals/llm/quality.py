@@ -187,10 +187,10 @@ def train(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
 
 
 def rate(df: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """Add the probability of label 1 to every row."""
+    """Add the probability of label 1 to every row, in place of any column of that name."""
 
     def begin():
         tables = responses(net)
         return lambda texts: [[score(net, tables, t) for t in texts]]
 
-    return map_text(df, text, [T.StructField(name, T.DoubleType())], begin, [c for c in df.columns if c != text] if keep is None else keep)
+    return map_text(df, text, [T.StructField(name, T.DoubleType())], begin, [c for c in df.columns if c not in (text, name)] if keep is None else keep)

@@ -104,8 +104,8 @@ def links(fps: DataFrame, most_bits: int = 4, block: int = 1024) -> DataFrame:
     lists = postings(fps)
     salted = [F.xxhash64("fp", F.lit(k)) for k in (1, 2)]
     heads = lists.groupBy("list").agg(
-        F.min("fp").alias("h0"), F.max("fp").alias("h1"), F.min(F.struct(salted[0].alias("s"), "fp"))["fp"].alias("h2"),
-        F.min(F.struct(salted[1].alias("s"), "fp"))["fp"].alias("h3"), F.count("*").alias("n")).where("n > 1").drop("n")
+        F.min("fp").alias("h0"), F.max("fp").alias("h1"), F.min_by("fp", salted[0]).alias("h2"),
+        F.min_by("fp", salted[1]).alias("h3"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = lists.join(heads, "list")
     near = F.filter(F.array("h0", "h1", "h2", "h3"), lambda h: (h != F.col("fp")) & (apart(h, F.col("fp")) <= most_bits))
     first = met.select(F.col("fp").alias("a"), F.explode(F.array_distinct(near)).alias("b"))
@@ -132,19 +132,12 @@ def links(fps: DataFrame, most_bits: int = 4, block: int = 1024) -> DataFrame:
     return final.select("fp", F.coalesce(joined["root"], named["root"]).alias("root"))
 
 
-def clusters(df: DataFrame, most_bits: int = 4) -> DataFrame:
-    """Add `root` to a written table with a column `fp`: equal for all documents that links join."""
-    fps = staged(df.select("fp").distinct(), "fingerprints")
-    roots = links(fps, most_bits).withColumnRenamed("fp", "fp_")
-    return df.join(roots, df["fp"] == roots["fp_"]).drop("fp_")
-
-
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", most_bits: int = 4) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits) and component_id, the smallest id in its component."""
     made = staged(fingerprints(pick(df, id=id, text=text)), "fingerprinted")
     classes = staged(made.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
     roots = staged(links(classes.select("fp"), most_bits), "components")
     named = classes.join(roots, "fp")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = staged(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # staged, so that a join may split a hot root
     by_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return made.join(by_fp, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

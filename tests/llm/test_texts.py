@@ -68,6 +68,42 @@ def test_forward_sums_every_segmentation():
     assert np.isfinite(long).all()
 
 
+def test_pieces_of_any_length_count():
+    """Pieces of more than eight bytes, found by hash: forward sums and expected counts as over all segmentations."""
+    long = [b" abcabcab", b"abcabcabcabc", b" abcabcabcabc", b"bcabcabcab"]
+    pieces = sorted([bytes([b]) for b in range(256)] + [b"ab", b"bc", b"abc", *long], key=lambda p: (len(p), p))
+    table = np.random.default_rng(4).random((len(pieces) + 1, 1)) * 0.1
+    table[-1] = 0
+    lattice = language_id.Lattice(pieces)
+
+    def ways(word):
+        if not word:
+            yield ()
+        for i, p in enumerate(pieces):
+            if word.startswith(p):
+                yield from ((i, *rest) for rest in ways(word[len(p):]))
+
+    for word in (b" abcabcabcabc", b" abcabcabd", b"xbcabcabcabx"):
+        found = [(w, float(np.prod(table[list(w), 0]))) for w in ways(word)]
+        total = sum(p for _, p in found)
+        assert np.isclose(language_id.log_probabilities([word], lattice, table)[0, 0], np.log(total))
+        want = np.zeros(len(table))
+        for w, p in found:
+            np.add.at(want, list(w), p / total)
+        used = language_id.expected_counts(lattice.rows(language_id.letters_of([word], len(word))), np.array([1.0]), table[:, 0])
+        assert np.allclose(used, want)
+    assert len(language_id.read_pieces(vocabulary("byte_bpe_multi_50k.tiktoken"))) == 50_256
+
+
+def test_unlearned_scripts_lose_to_even_bytes(spark, language_model):
+    texts = ["Мой дядя самых честных правил когда не в шутку занемог", "中文字符 没有 空格", "xqzjv kwpqx zzvqk jjxwq qqkzv", "the river and the hill were there", "das ding und der fluss"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in language_id.identify(df, language_model, names=("lang_pred", "score", "gain")).collect()}
+    assert all(found[i]["gain"] < 0 for i in (0, 1, 2)) and all(found[i]["gain"] > 0.5 for i in (3, 4))
+    clash = df.withColumn("score", F.lit("old")).withColumn("id", F.lit(1))
+    assert language_id.identify(clash, language_model).select("score").schema["score"].dataType.simpleString() == "double"
+
+
 def test_expected_counts():
     pieces = [bytes([b]) for b in range(256)] + [b"ab"]
     table = np.full(len(pieces) + 1, 0.01)
