@@ -147,11 +147,13 @@ def observability(issues: DataFrame, column_count: int) -> DataFrame:
 
 
 def with_column_stats(issues: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Each issue with its column's statistics; dataset-level issues get NULLs. The metrics
+    """Each issue with its column's statistics and the table's shape; dataset-level issues get the shape and NULLs. The metrics
     relation has one row per column, so it is the broadcast side."""
     stats = metrics.select(
         "column", "dtype", rounded(F.col("missing_rate"), 4).alias("missing_rate"),
         rounded(F.col("unique_ratio"), 4).alias("unique_ratio"), rounded(F.col("outlier_rate"), 4).alias("outlier_rate"),
         *[rounded(F.col(c), 4).alias(c) for c in ("mean", "std_pop", "min", "p25", "median", "p75", "max")],
     )
-    return issues.join(F.broadcast(stats), "column", "left")
+    shape = metrics.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows"), F.count_if(F.col("kind") != "dataset").alias("columns")).first()
+    return issues.join(F.broadcast(stats), "column", "left").withColumns({
+        "table_rows": F.lit(shape["rows"]).cast("bigint"), "table_columns": F.lit(shape["columns"]).cast("bigint")})

@@ -6,6 +6,7 @@ import hashlib
 import json
 import uuid
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from datavitals.operators.checks import Scan
 from datavitals.operators.guidance import enrich
 from datavitals.operators.scoring import clamped, points
+from datavitals.session import stage
 
 _ISSUE = T.ArrayType(T.StructType([
     T.StructField(n, T.StringType()) for n in ("issue_type", "display_name", "column", "severity", "metric")
@@ -86,19 +88,44 @@ def run_record(
 
 
 def save_run(record: DataFrame, path: str, skip_unchanged: bool = True) -> bool:
-    """Append a run; with `skip_unchanged`, not when the monitor's newest run has its signature."""
+    """Append a run; with `skip_unchanged`, not when the monitor's newest run has its signature.
+
+    An append is idempotent by the run's id: a repeated or retried one adds nothing, and where two writers append the same run
+    at the same time, readers see it once."""
+    name = record.select("dataset_name").first()[0]
+    known = history(record.sparkSession, path).filter(F.col("dataset_name") == name)
+    record = record.join(F.broadcast(known.select("run_id")), "run_id", "left_anti").select(*HISTORY.names)
     if skip_unchanged:
-        name = record.select("dataset_name").first()[0]
-        newest = runs_for_dataset(record.sparkSession, path, name, limit=1).select("run_signature")
-        record = record.join(F.broadcast(newest), "run_signature", "left_anti").select(*HISTORY.names)
-        if record.isEmpty():
-            return False
+        record = record.join(F.broadcast(newest(known, 1).select("run_signature")), "run_signature", "left_anti").select(*HISTORY.names)
+    if record.isEmpty():
+        return False
     record.write.mode("append").partitionBy("dataset_name").parquet(path)
     return True
 
 
+MOST_FILES = 8   # of one monitor before they are put together
+
+
+def compact_history(spark: SparkSession, path: str, most_files: int = MOST_FILES) -> list[str]:
+    """Put the files of each monitor that has more than `most_files` together into one, sorted by time; returns those monitors.
+
+    Their runs are staged first and then replace their partitions in one commit. Reading a monitor's newest
+    runs lists its partition alone and opens the compacted file and the few added since."""
+    counts: dict[str, int] = {}
+    for file in spark.read.schema(HISTORY).parquet(path).inputFiles():   # names only; no file is opened
+        monitor = next((unquote(part.split("=", 1)[1]) for part in unquote(file).split("/") if part.startswith("dataset_name=")), None)
+        if monitor is not None:
+            counts[monitor] = counts.get(monitor, 0) + 1
+    many = sorted(m for m, n in counts.items() if n > most_files)
+    if many:
+        runs = stage(history(spark, path).filter(F.col("dataset_name").isin(*many)), "history")
+        runs = runs.repartition("dataset_name").sortWithinPartitions("dataset_name", "timestamp", "run_id")
+        runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_name").parquet(path)
+    return many
+
+
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """All runs. The schema is given, so old files without a newer column read as its default
+    """All runs, each once. The schema is given, so old files without a newer column read as its default
     and no file footers are merged."""
     try:
         runs = spark.read.schema(HISTORY).parquet(path)
@@ -106,9 +133,10 @@ def history(spark: SparkSession, path: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], HISTORY)
-    return runs.select(*[
+    runs = runs.select(*[
         F.coalesce(f.name, F.lit(_DEFAULTS[f.name])).alias(f.name) if f.name in _DEFAULTS else F.col(f.name) for f in HISTORY
     ])
+    return runs.dropDuplicates(["dataset_name", "run_id"])   # two writers may have appended the same run
 
 
 def newest(runs: DataFrame, limit: int = 100) -> DataFrame:

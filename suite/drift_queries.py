@@ -154,3 +154,24 @@ register(
     "chart_drift_severities", lambda spark, sf: chartdata.severities_present(report(_EV, spark, sf).issues),
     f"{D.issues(*_EV)} SELECT severity, count(*) AS n FROM d GROUP BY 1",
 )
+register(
+    "drift_compact_missing",
+    lambda spark, sf: drift.compact_drift(report(_EV, spark, sf))["missing_drift"].select("column", "missing_count_delta", "severity"),
+    f"""{D.sides(*_EV)} SELECT "column", missing_count_delta, severity FROM ({D.missing(*_EV)}) ORDER BY col_ord LIMIT 30""",
+)
+register(
+    "drift_compact_categorical",
+    lambda spark, sf: drift.compact_drift(report(_DOC, spark, sf))["categorical_drift"].select("column", "new_category_count", "new_dominant", "severity"),
+    f"""{D.sides(*_DOC)} SELECT "column", new_category_count, new_dominant, severity FROM ({D.categorical(*_DOC)}) ORDER BY col_ord LIMIT 20""",
+)
+
+
+def _names(spark, sf):
+    """Columns of both sides matched by trimmed, lower-case names, repeats numbered in order."""
+    sides = [s.frame(spark, sf).toDF(*names) for s, names in zip(S.ITEM_SIDES, S.ITEM_NAMES, strict=True)]
+    return DriftReport(*sides).numeric_table.select("column", "baseline_mean", "new_mean")
+
+
+register("drift_matched_names", _names, f"{D.sides(*S.ITEM_SIDES)} " + " UNION ALL ".join(
+    f"""SELECT '{n}' AS "column", (SELECT round(avg({c}), 4) FROM b) AS baseline_mean, (SELECT round(avg({c}), 4) FROM c) AS new_mean"""
+    for n, c in (("income", "n0"), ("income__1", "n1"), ("a.b", "n2"), ("income__2", "n3"))))

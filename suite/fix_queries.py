@@ -8,9 +8,10 @@ from datavitals.functions.cells import rounded
 from datavitals.functions.names import MONITOR_PREFIXES, monitor_name
 from datavitals.operators import cleaning, contract, remediation
 from datavitals.operators.checks import Scan
+from datavitals.operators.guidance import ADVICE
 from datavitals.sources import history
 from suite import duck, sources as S
-from suite.duck import WEIGHT
+from suite.duck import WEIGHT, case_of
 from suite.registry import register
 from suite.sources import Source
 
@@ -158,7 +159,7 @@ register(
 _KIND = {"int": "int64", "float": "float64", "str": "object", "ts": "datetime64[ns]"}
 
 
-def _contract_sql(src: Source) -> str:
+def contract_sql(src: Source) -> str:
     parts = []
     for i, (n, k) in enumerate(src.columns):
         c = f'"{n}"'
@@ -176,7 +177,7 @@ for _name, _src in (("orders", S.ORDERS), ("nation", S.NATION), ("events_dirty",
         f"contract_{_name}",
         lambda spark, sf, src=_src: contract.data_contract(src.frame(spark, sf), src.roles)
         .withColumn("allowed", F.array_join("allowed_values", "|")).drop("allowed_values", "is_inferred"),
-        _contract_sql(_src),
+        contract_sql(_src),
     )
 
 
@@ -221,6 +222,19 @@ register(
 )
 
 
+def _summaries(spark, sf) -> DataFrame:
+    scan = Scan(S.EVENTS_ROLES.frame(spark, sf), S.EVENTS_ROLES.roles)
+    row = history.run_record(scan, "events", timestamp="2026-01-01T00:00:00+00:00", run_id="r1")
+    return row.select(F.inline("issue_summaries")).select("issue_type", "display_name", "column", "severity")
+
+
+register(
+    "history_record_summaries", _summaries,
+    f"""{S.EVENTS_ROLES.duck_issues} SELECT issue_type, {case_of('issue_type', {k: v.display_name for k, v in ADVICE.items()}, 'issue_type')} AS display_name,
+        "column", severity FROM i""",
+)
+
+
 def _fingerprints(spark, sf) -> DataFrame:
     out = None
     for src in (S.ORDERS, S.LINEITEM, S.EVENTS):

@@ -54,11 +54,12 @@ _check("timestamp_granularity_text", S.EVENTS_TEXT_TIME, "suspicious_timestamp_g
 _check("target_leakage_names", S.LINEITEM_NAMES, "potential_target_leakage")
 _check("entity_key_duplicates", S.LINEITEM_KEY, "entity_id_integrity_risk")
 _check("target_quality_and_imbalance", S.LINEITEM_TARGET, "target_quality_risk", "target_imbalance_risk")
+_check("target_minority", S.LABELS_RARE, "target_quality_risk", "target_imbalance_risk")
 _check("target_balanced", S.LABELS, "target_quality_risk", "target_imbalance_risk")
 for _name, _src in (
     ("lineitem", S.LINEITEM), ("orders", S.ORDERS), ("customer", S.CUSTOMER), ("events", S.EVENTS), ("documents", S.DOCUMENTS),
     ("conversations", S.CONVERSATIONS), ("pages", S.PAGES), ("benchmark", S.BENCHMARK), ("supplier", S.SUPPLIER),
-    ("nation", S.NATION), ("region", S.REGION), ("events_dirty", S.EVENTS_DIRTY), ("events_roles", S.EVENTS_ROLES),
+    ("nation", S.NATION), ("region", S.REGION), ("lineitem_gaps", S.LINEITEM_GAPS), ("events_dirty", S.EVENTS_DIRTY), ("events_roles", S.EVENTS_ROLES),
 ):
     _check(f"quality_checks_{_name}", _src)
 
@@ -225,9 +226,10 @@ register(
     "issue_with_stats",
     lambda spark, sf: (lambda scan: scoring.with_column_stats(scan.issues, scan.metrics))(
         Scan(S.EVENTS_ROLES.frame(spark, sf), S.EVENTS_ROLES.roles)).select(
-            "issue_type", "column", "severity", "dtype", "missing_rate", "unique_ratio", "outlier_rate", *[c.strip('"') for c in _STATS]),
+            "issue_type", "column", "severity", "dtype", "missing_rate", "unique_ratio", "outlier_rate", *[c.strip('"') for c in _STATS], "table_rows", "table_columns"),
     f"""{_I} SELECT issue_type, i."column", severity, dtype, round(missing / "rows", 4) AS missing_rate, round(ratio, 4) AS unique_ratio,
-        round(outlier_rate, 4) AS outlier_rate, {', '.join(f'round({c}, 4) AS {c}' for c in _STATS)} FROM i LEFT JOIN f ON i."column" = f."column" """,
+        round(outlier_rate, 4) AS outlier_rate, {', '.join(f'round({c}, 4) AS {c}' for c in _STATS)},
+        (SELECT count(*) FROM src) AS table_rows, {len(S.EVENTS_ROLES.columns)}::BIGINT AS table_columns FROM i LEFT JOIN f ON i."column" = f."column" """,
 )
 _TITLES = {k: v.display_name for k, v in guidance.ADVICE.items()}
 _TEXTS = ("ml_impact", "business_impact", "why_this_matters", "suggested_fix", "example_code")

@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from datavitals.operators.checks import Scan
+from datavitals.operators import contract
 from datavitals.operators.cleaning import compare_cleaning, simulate_cleaning
 from datavitals.session import shared_folder
 from datavitals.sources import history, readers, writers
 from suite import duck, sources as S
+from suite.fix_queries import contract_sql
 from suite.registry import register
 from suite.sources import Source
 
@@ -121,3 +123,48 @@ register("timestamp_written_forms", _written_times, f"WITH src AS ({WRITTEN_TIME
     f"""SELECT '{c}' AS "column", count(t) AS parsed, count(DISTINCT t) AS parsed_unique,
           count(*) >= 10 AND count(t) / count(*) >= 0.80 AND count(DISTINCT t) / count(*) > 0.80 AS fired
         FROM (SELECT {f"try_strptime({c}, '{form}')" if form else f"TRY_CAST({c} AS TIMESTAMP)"} AS t FROM src)""" for c, form in _FORMS.items()))
+
+
+def _contract_json(spark, sf) -> DataFrame:
+    """A contract written as JSON text and read again, one row a column."""
+    path, src = _place(spark, "contract"), S.ORDERS
+    writers.write_contract(contract.contract_document(contract.data_contract(src.frame(spark, sf), src.roles)), path)
+    rules = "struct<dtype:string,max_missing_rate:double,nullable:boolean,min_value:double,max_value:double,allowed_values:array<string>>"
+    found = spark.read.schema(f"contract_version string, required_columns array<string>, columns map<string,{rules}>").json(path)
+    return found.select("contract_version", F.explode("columns").alias("column", "r")).select(
+        "contract_version", "column", "r.dtype", "r.nullable", "r.min_value", "r.max_value", F.array_join("r.allowed_values", "|").alias("allowed"))
+
+
+register("contract_json", _contract_json, f"SELECT '0.1' AS contract_version, \"column\", dtype, nullable, min_value, max_value, allowed FROM ({contract_sql(S.ORDERS)})")
+
+
+def _older_runs(spark, sf) -> DataFrame:
+    """Runs in files written before a column was added, beside newer files."""
+    path, runs = _place(spark, "runs"), S.ORDER_RUNS.frame(spark, sf)
+    runs.where("dataset_name = 'O'").drop("schema_fingerprint", "minor_count").write.partitionBy("dataset_name").parquet(path)
+    runs.where("dataset_name <> 'O'").write.mode("append").partitionBy("dataset_name").parquet(path)
+    return history.history(spark, path).select("run_id", "dataset_name", "timestamp", "row_count", "minor_count", "schema_fingerprint", "run_signature")
+
+
+register("history_older_files", _older_runs, f"""
+  SELECT run_id, dataset_name, timestamp, row_count, CASE WHEN dataset_name <> 'O' THEN minor_count END AS minor_count,
+    CASE WHEN dataset_name = 'O' THEN '' ELSE schema_fingerprint END AS schema_fingerprint, '' AS run_signature FROM ({S.ORDER_RUNS.duck})""")
+
+
+def _compacted(spark, sf) -> DataFrame:
+    """Runs appended month by month, some of them twice, then compacted: newest 50 of each monitor."""
+    path, runs = _place(spark, "compacted"), S.ORDER_RUNS.frame(spark, sf)
+    runs = runs.repartition(12, "timestamp")
+    for again in (runs, runs.where("health_score % 2 = 0")):
+        again.write.mode("append").partitionBy("dataset_name").parquet(path)
+    history.compact_history(spark, path)
+    parts = [history.runs_for_dataset(spark, path, name) for name in ("F", "O", "P")]
+    return parts[0].union(parts[1]).union(parts[2]).select("run_id", "dataset_name", "timestamp", "row_count", "issue_count")
+
+
+register("history_compacted", _compacted, f"""SELECT run_id, dataset_name, timestamp, row_count, issue_count FROM ({S.ORDER_RUNS.duck})
+  QUALIFY row_number() OVER (PARTITION BY dataset_name ORDER BY timestamp DESC, run_id DESC) <= 50""")
+register(
+    "preview", lambda spark, sf: readers.preview(S.ORDERS.frame(spark, sf).orderBy(F.desc("o_totalprice"), "o_orderkey"), 25),
+    "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
+)

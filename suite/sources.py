@@ -140,6 +140,12 @@ CONVERSATIONS = Source(
 PAGES = Source(("pages",), "SELECT * FROM {pages}", _cols("page_id:int url:str html:str"))
 BENCHMARK = Source(("benchmark",), "SELECT * FROM {benchmark}", _cols("item_id:int text:str"))
 LABELS = Source(("labels",), "SELECT * FROM {labels}", _cols("doc_id:int quality:int toxic:int"), roles=Roles(target="toxic", entity_id="doc_id"))
+LABELS_RARE = Source(
+    ("labels",),
+    """SELECT doc_id, quality, CASE WHEN doc_id % 10 = 3 THEN NULL WHEN toxic = 1 AND quality = 1 AND doc_id % 2 = 0 THEN 1 ELSE 0 END AS toxic
+       FROM {labels}""",
+    LABELS.columns, roles=Roles(target="toxic"),
+)
 NATION = Source(("nation",), "SELECT * FROM {nation}", _cols("n_nationkey:int n_name:str n_regionkey:int"), roles=Roles(entity_id="n_nationkey"))
 SUPPLIER = Source(("supplier",), "SELECT * FROM {supplier}", _cols("s_suppkey:int s_name:str s_nationkey:int s_acctbal:float"))
 REGION = Source(("region",), "SELECT * FROM {region}", _cols("r_regionkey:int r_name:str"))
@@ -196,3 +202,9 @@ MONITOR_FILES = Source(
          lower(o_orderpriority), '.v1.csv') AS path FROM {orders}""",
     _cols("path:str"),
 )
+# Two sides whose names differ in case, blanks and repeats; names are given when the frame is built.
+ITEM_NAMES = ((" Income", "income ", "A.B", "INCOME"), ("income", "Income", "a.b ", "income"))
+ITEM_SIDES = tuple(
+    Source(("lineitem",), f"SELECT l_quantity AS n0, l_extendedprice AS n1, l_discount AS n2, l_tax{more} AS n3 FROM {{lineitem}} WHERE l_linestatus {sign} 'O'",
+           _cols("n0:float n1:float n2:float n3:float"))
+    for sign, more in (("=", ""), ("<>", " * 2")))
