@@ -281,3 +281,34 @@ def test_domains_without_ports_and_under_suffixes_of_several_labels(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     made = url_reputation.judge_urls(pages, [("block", "a.co.uk/bad/"), ("allow", "uk/good/")])
     assert [r["verdict"] for r in made.where("id >= 1800").orderBy("id").collect()] == ["block", "allow", "block"]
+
+
+def test_what_each_stage_makes_of_awkward_rows(spark, docs):
+    table = docs.withColumn("n_chars", F.length("text"))
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r["doc_id"] is None, r["doc_id"]) for r in df.collect())
+    kept = {i for i, t, _, _ in TEXTS if t and any(c.isalpha() for c in t)}
+    found = stage["language_id"](spark, table, "unused")
+    assert {r["doc_id"] for r in found.collect()} <= kept and found.where("doc_id IN (1, 2)").count() == 3
+    single = stage["simhash_dedup"](spark, table, "unused")
+    fps = {}
+    for i, t, _, _ in sorted(TEXTS, key=lambda r: (r[0] is None, r[0] or 0)):
+        fps.setdefault(plain_fingerprint(t), i)
+    names = list(fps)
+    roots = brute_components(np.array(names, np.uint64))
+    least = {}
+    for fp, root in zip(names, roots, strict=True):
+        own = (fps[fp] is None, fps[fp] or 0)
+        least[root] = min(least.get(root, own), own)
+    assert ids(single) == sorted((none, None if none else i) for none, i in least.values())
+    clean = stage["personal_data"](spark, table, "unused")
+    assert ids(clean) == ids(table)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in clean.collect())
+    mixed = stage["source_mixing"](spark, table, "unused")
+    counts = {}
+    for r in mixed.collect():
+        counts[r["doc_id"]] = counts.get(r["doc_id"], 0) + 1
+    assert max(n for i, n in counts.items() if i != 2) <= 3 and counts.get(2, 0) <= 6
+    packed = stage["best_fit_packing"](spark, table, "unused")
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {t[0] for t in TEXTS}
+    assert packed.where("start = 0 AND piece = 0").count() == len(TEXTS)

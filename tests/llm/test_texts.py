@@ -440,3 +440,58 @@ def test_operators_as_registered_on_the_small_tables(spark):
         assert sorted(r["doc_id"] for r in QUERIES[name](spark, sf).select("doc_id").collect()) == sorted(d["doc_id"] for d in docs)
     packed = QUERIES["op2_best_fit_packing"](spark, sf).groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
     assert packed <= 1024
+
+
+def plain_score(net, text):
+    """The network position by position: filters over every byte, half-chunks, chunks of two, mean and largest, logistic."""
+    raw = (text or "").encode()
+    half = net.chunk // 2
+    size = max(1, -(-len(raw) // half)) * half
+    data = raw + bytes(size + net.width - 1 - len(raw))
+    best = []
+    for h in range(0, size, half):
+        inside = [sum(net.embedding[data[p + k]].astype(float) @ net.filters.reshape(net.width, 4, -1)[k].astype(float) for k in range(net.width)) for p in range(h, h + half)]
+        best.append(np.maximum(np.max(inside, axis=0) + net.bias, 0))
+    chunks = [np.maximum(a, b) for a, b in zip(best, best[1:], strict=False)] or best
+    z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.head + net.offset
+    return 1 / (1 + np.exp(-z))
+
+
+QUALITY_TEXTS = [("the river and hill were there " * (1 + i % 5))[: 40 + 31 * i] if i % 2 else ("zx9 !! qq " * (1 + i % 6))[: 25 + 29 * i] for i in range(16)]
+
+
+def small_network(rounds):
+    return quality.fit(QUALITY_TEXTS, [i % 2 for i in range(16)], 3, rounds, 0.01, 5, 4, 64)
+
+
+def test_whole_scores_against_brute_force():
+    net = small_network(3)
+    tables = quality.responses(net)
+    for text in [None, "", "a", "x" * 31, "y" * 32, "z" * 33, *QUALITY_TEXTS, "é中" * 100]:
+        assert abs(quality.score(net, tables, text) - plain_score(net, text)) < 1e-5
+
+
+def test_first_step_goes_down_the_numeric_gradient():
+    net, moved = small_network(0), small_network(1)  # one batch: the step's signs are those of the gradient
+
+    def loss(n):
+        p = np.array([plain_score(n, t) for t in QUALITY_TEXTS])
+        y = np.arange(16) % 2
+        return -np.mean(np.where(y == 1, np.log(p), np.log(1 - p)))
+
+    rng, right, seen = np.random.default_rng(6), 0, 0
+    for name in ("head", "bias", "filters", "embedding"):
+        value, step = getattr(net, name), np.asarray(getattr(moved, name), float) - np.asarray(getattr(net, name), float)
+        used = np.flatnonzero(step.ravel() != 0)
+        for at in rng.permutation(used)[:12]:
+            ends = []
+            for d in (1e-3, -1e-3):
+                held = value.copy()
+                held.ravel()[at] += d
+                setattr(net, name, held)
+                ends.append(loss(net))
+            setattr(net, name, value)
+            slope = (ends[0] - ends[1]) / 2e-3
+            if abs(slope) > 1e-4:
+                seen, right = seen + 1, right + (np.sign(step.ravel()[at]) == -np.sign(slope))
+    assert seen >= 20 and right >= 0.95 * seen
