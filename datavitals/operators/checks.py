@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from datavitals.functions import names
 from datavitals.functions.cells import literal
-from datavitals.plans.facts import TableFacts, metrics_frame, table_facts
+from datavitals.plans.facts import TableFacts, metrics_frame, refreshed_facts, table_facts
 from datavitals.plans.options import ScanOptions
 from datavitals.roles import Roles
 
@@ -142,9 +142,19 @@ class Scan:
     def __init__(self, df: DataFrame, roles=None, options: ScanOptions | None = None, unique: str = "rules"):
         self.df, self.roles = df, Roles.of(roles)
         self.options, self.unique = options or ScanOptions(), unique
+        self._known: tuple[TableFacts, set[str]] | None = None
+
+    def after(self, df: DataFrame, changed: set[str] | None) -> Scan:
+        """A scan of what this table became: the facts of columns that are not `changed` are kept. None stands for other rows, which
+        leave nothing to keep."""
+        scan = Scan(df, self.roles, self.options, self.unique)
+        scan._known = None if changed is None else (self.facts, changed)
+        return scan
 
     @cached_property
     def facts(self) -> TableFacts:
+        if self._known is not None:
+            return refreshed_facts(self.df, *self._known, self.roles, self.options, self.unique)
         return table_facts(self.df, self.roles, self.options, self.unique, keys=True)
 
     @cached_property

@@ -88,6 +88,11 @@ def simulate_cleaning(
     return done
 
 
+def rescan(before: Scan, done: Cleaned) -> Scan:
+    """The scan of a cleaned table: unless rows were dropped, only filled columns are read again."""
+    return before.after(done.df, None if done.dropped_rows else set(done.filled))
+
+
 def scan_totals(scan: Scan, prefix: str) -> DataFrame:
     """One row: rows, columns, missing cells, score and issue count of a scan."""
     facts = scan.facts

@@ -172,12 +172,21 @@ def apply_issue_fix(df: DataFrame, issue: Mapping, options: ScanOptions | None =
 
 
 def preview_issue_fix(df: DataFrame, issue: Mapping, roles=None, options: ScanOptions | None = None) -> tuple[DataFrame, Fixed]:
-    """One row of totals before and after a fix, and the fixed table with its actions."""
+    """One row of totals before and after a fix, and the fixed table with its actions. The second scan reads only what the fix touched."""
     before = Scan(df, roles, options)
     fixed, actions = apply_issue_fix(df, issue, options)
     if _issue_type(issue) == "duplicate_rows":
         actions = [f"duplicate rows dropped: {before.facts.duplicate_rows}"]
-    return compare_scans(before, Scan(fixed, roles, options), ("before", "after")), (fixed, actions)
+    return compare_scans(before, before.after(fixed, touched_columns(df, fixed, issue)), ("before", "after")), (fixed, actions)
+
+
+def touched_columns(df: DataFrame, fixed: DataFrame, issue: Mapping) -> set[str] | None:
+    """The columns whose values a fix may have changed or made; None if it dropped rows."""
+    if fixed is df:
+        return set()
+    if _issue_type(issue) == "duplicate_rows" or issue["column"] == "dataset":
+        return None
+    return {issue["column"], *(set(fixed.columns) - set(df.columns))}
 
 
 def _issue_type(issue: Mapping) -> str:

@@ -178,6 +178,38 @@ def table_facts(
     return facts
 
 
+def refreshed_facts(
+    df: DataFrame, before: TableFacts, changed: set[str], roles: Roles | None = None, options: ScanOptions | None = None, unique: str = "rules",
+) -> TableFacts:
+    """Facts of a table whose rows are those of `before` with other values in the `changed` columns alone; columns may have come or gone.
+
+    Only changed and new columns are read again; the others' facts stay. Repeated rows depend on all columns and are
+    counted again, unless a column that is all distinct spares it, as are repeats of a key that has a changed column."""
+    roles, options = roles or Roles(), options or ScanOptions()
+    fields, old = fields_of(df), {f.name: f for f in before.fields}
+    if not before.rows or len({f.name for f in fields}) < len(fields) or len(old) < len(before.fields):
+        return table_facts(df, roles, options, unique, keys=True)
+    fresh = [f for f in fields if f.name in changed or f.name not in old or old[f.name].type != f.type]
+    facts = TableFacts(before.rows, fields, {}, {})
+    if fresh:
+        part = df.toDF(*[f.pos for f in fields]).select(*[f.pos for f in fresh]).toDF(*[f.name for f in fresh])
+        read = table_facts(part, roles, options, unique)
+        for f, seen in zip(fresh, read.fields, strict=True):
+            facts.values[f.ord] = read.values[seen.ord]
+            facts.quantiles |= {f.ord: read.quantiles[seen.ord]} if seen.ord in read.quantiles else {}
+    for f in fields:
+        if f.ord not in facts.values:
+            facts.values[f.ord] = dict(before.values[old[f.name].ord])
+            facts.quantiles |= {f.ord: before.quantiles[old[f.name].ord]} if old[f.name].ord in before.quantiles else {}
+    count_duplicates(df, facts, options)
+    keys = {k for k in (roles.entity_id, roles.timestamp) if k}
+    if keys & ({f.name for f in fresh} | (set(old) - {f.name for f in fields})):
+        count_key_duplicates(df, facts, roles)
+    else:
+        facts.key_rows, facts.key_duplicates = before.key_rows, before.key_duplicates
+    return facts
+
+
 def _needs_unique(f: Field, facts: TableFacts, unique: str) -> bool:
     return f.kind != "opaque" and unique != "none" and bool(facts.of(f, "present"))
 

@@ -198,3 +198,36 @@ def test_keys_below_the_bar_are_shuffled_and_those_above_stay(spark):
 def test_repeats_beyond_the_broadcast_bound(spark):
     df = spark.range(3000).selectExpr("id % 900 AS a", "CAST(id % 900 AS string) AS s").repartition(5)
     assert without_repeats(df, most=10).count() == 900 == without_repeats(df).count()
+
+
+# scans after a fix
+
+FIXED = [
+    ("missing_values", "gaps"), ("missing_values", "word"), ("constant_column", "same"), ("numeric_outliers_iqr", "gaps"), ("likely_id_column", "row_id"),
+    ("imbalanced_categorical", "word"), ("possible_wrong_dtype", "digits"), ("suspicious_timestamp_granularity", "made_date"), ("duplicate_rows", "dataset"),
+    ("target_quality_risk", "word"),
+]
+
+
+@pytest.mark.parametrize("kind, column", FIXED)
+@pytest.mark.parametrize("roles", [None, {"entity_id": "word", "timestamp": "made_date", "target": "gaps"}])
+def test_a_scan_after_a_fix_reads_only_what_it_touched(spark, monkeypatch, kind, column, roles):
+    from datavitals.operators.remediation import touched_columns
+    from datavitals.plans import facts
+
+    df = spark.range(60).selectExpr(
+        "id DIV 2 AS row_id", "CASE WHEN id % 8 > 1 THEN (id DIV 2) * 1.5D END AS gaps", "CASE WHEN id % 10 > 1 THEN concat('w', id DIV 2 % 3) END AS word",
+        "'x' AS same", "concat('1,', 100 + id DIV 2) AS digits", "concat('2024-01-', 1 + id DIV 2) AS made_date")
+    before = Scan(df, roles)
+    before.facts
+    issue = {"issue_type": kind, "column": column}
+    fixed, _ = apply_issue_fix(df, issue)
+    read = []
+    whole = facts.table_facts
+    monkeypatch.setattr(facts, "table_facts", lambda part, *a, **k: read.append(part.columns) or whole(part, *a, **k))
+    after = before.after(fixed, touched_columns(df, fixed, issue))
+    got = [tuple(r) for r in after.metrics.orderBy("col_ord").collect()]
+    assert got == [tuple(r) for r in Scan(fixed, roles).metrics.orderBy("col_ord").collect()]
+    assert [tuple(r) for r in after.issues.collect()] == [tuple(r) for r in Scan(fixed, roles).issues.collect()]
+    if kind != "duplicate_rows":
+        assert all(set(c) <= {column, "made_date_dayofweek", "made_date_hour"} for c in read)
