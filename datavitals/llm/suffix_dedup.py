@@ -95,11 +95,11 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
 
 
 def contexts(docs: DataFrame, length: int, reach: int, piece: int) -> DataFrame:
-    """Rows (core, context, low, high, places): what each shard has of each context."""
+    """Rows (core, context, low, high, n, places): what each shard has of each context. Copies of a text have one place, counted in `n`."""
     import xxhash
 
     place = pa.struct([("d1", pa.int64()), ("d2", pa.int64()), ("at", pa.int32())])
-    names = ["core", "context", "low", "high", "places"]
+    names = ["core", "context", "low", "high", "n", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -117,17 +117,21 @@ def contexts(docs: DataFrame, length: int, reach: int, piece: int) -> DataFrame:
                 core = signed([xxhash.xxh64_intdigest(whole[a:a + size]) for a in at.tolist()])
                 spans = zip((at - high).tolist(), (at - low + length).tolist(), (low * reach + high).tolist(), strict=True)
                 context = signed([xxhash.xxh64_intdigest(whole[s:e], seed) for s, e, seed in spans])
-                order = np.lexsort((context, core))
-                core, context = core[order], context[order]
-                first = np.flatnonzero(np.concatenate([[True], (np.diff(core) != 0) | (np.diff(context) != 0)]))
-                ids = [part.column(i).to_numpy()[text[order]] for i in (0, 1)]
-                places = pa.StructArray.from_arrays([pa.array(ids[0]), pa.array(ids[1]), pa.array((at - starts[text])[order].astype(np.int32))], fields=list(place))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), places)
-                chosen = order[first]
+                local = at - starts[text]
+                d1, d2 = (part.column(i).to_numpy()[text] for i in (0, 1))
+                order = np.lexsort((local, d2, d1, context, core))
+                changed = lambda *keys: np.concatenate([[True], np.any([np.diff(k[order]) != 0 for k in keys], axis=0)])
+                first = np.flatnonzero(changed(core, context))
+                kept = np.flatnonzero(changed(core, context, d1, d2, local))
+                chosen, once = order[first], order[kept]
+                places = pa.StructArray.from_arrays([pa.array(d1[once]), pa.array(d2[once]), pa.array(local[once].astype(np.int32))], fields=list(place))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(kept, first), len(kept)).astype(np.int32)), places)
+                counts = np.diff(np.append(first, len(order)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core[first]), pa.array(context[first]), pa.array(low[chosen].astype(np.int32)), pa.array(high[chosen].astype(np.int32)), lists], names=names)
+                    [pa.array(core[chosen]), pa.array(context[chosen]), pa.array(low[chosen].astype(np.int32)), pa.array(high[chosen].astype(np.int32)),
+                     pa.array(counts), lists], names=names)
 
-    return docs.select("d1", "d2", "text").mapInArrow(run, "core long, context long, low int, high int, places array<struct<d1: bigint, d2: bigint, at: int>>")
+    return docs.select("d1", "d2", "text").mapInArrow(run, "core long, context long, low int, high int, n long, places array<struct<d1: bigint, d2: bigint, at: int>>")
 
 
 def met(rows: DataFrame) -> DataFrame:
@@ -136,7 +140,7 @@ def met(rows: DataFrame) -> DataFrame:
     core, context = Window.partitionBy("core"), Window.partitionBy("core", "context")
     rows = rows.withColumns({
         "differ": F.min("context").over(core) < F.max("context").over(core), "kinds": F.count("*").over(core),
-        "n": F.sum(F.size("places")).over(context), "first": F.row_number().over(context.orderBy(F.col("places")[0])) == 1})
+        "n": F.sum("n").over(context), "first": F.row_number().over(context.orderBy(F.col("places")[0])) == 1})
     return rows.where("n > 1 or differ")
 
 
