@@ -411,9 +411,11 @@ def redact(df: DataFrame, text: str = "text", n_chars: str | None = None) -> Dat
     cut = walk(F.col("spans"), F.lit(0), "string", step, near)
     clean = held_as(cut, lambda held: F.concat(F.array_join(held["out"], ""), F.substring(body, held["pos"] + 1, F.length(body))))
     touched = F.size("spans") > 0
+    # the new text in a column of its own, so that its length is that of the text made
+    made = found.withColumn("spans", spans).withColumn("clean", F.when(touched, clean).otherwise(body))
     columns = []
     for name, own in zip(df.columns, rows.columns, strict=True):
         kind = rows.schema[own].dataType
-        new = clean if own == at else F.length(clean).cast(kind) if name == n_chars else None
-        columns.append((F.when(touched, new).otherwise(F.col(own)) if new is not None else F.col(own)).alias(own))
-    return found.withColumn("spans", spans).select(*columns).toDF(*df.columns)
+        new = F.col("clean") if own == at else F.when(touched, F.length("clean").cast(kind)).otherwise(F.col(own)) if name == n_chars else F.col(own)
+        columns.append(new.alias(own))
+    return made.select(*columns).toDF(*df.columns)
