@@ -5,8 +5,8 @@ single byte, so that any text can be cut). A word's probability is the sum
 over all ways to cut it into pieces, which a forward pass computes left to right; expectation-
 maximisation with the matching backward pass learns the probabilities. A text's score in a language
 is the sum of its words' log-probabilities, and the answer is the language with the highest
-posterior under equal priors. How far that language beats a model of evenly drawn bytes tells texts in no learned language
-(other scripts, keyboard noise) from the rest: the posterior alone compares learned languages only.
+posterior under equal priors. How far that language beats a background in which all pieces are equally likely tells texts in no learned
+language (other scripts, keyboard noise) from the rest: the posterior alone compares learned languages only.
 
 Words are runs of letters, lower-cased, with a space before them; a run of more than 32 letters
 continues as further words. Ties go to the smaller language code. A text that is null, empty or without letters
@@ -248,14 +248,17 @@ def train(labelled: DataFrame, vocabulary: str, id: str = "doc_id", text: str =
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None,
              names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
-    """Add the predicted language and its posterior probability to every row, and under a third name how far the language beats evenly
-    drawn bytes, in nats a byte. A column of the input with one of these names gives way to the result."""
+    """Add the predicted language and its posterior probability to every row, and under a third name how far the language beats
+    equally likely pieces, in nats a byte. A column of the input with one of these names gives way to the result."""
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.table))  # pieces times languages, whatever the input
     fields = [T.StructField(n, T.StringType() if i == 0 else T.DoubleType()) for i, n in enumerate(names)]
 
     def begin():
         languages, pieces, table = shared.value
         lattice = Lattice(pieces)
+        if len(names) > 2:  # the background is one more model, in the last column
+            even = np.append(np.full(len(pieces), 1 / len(pieces)), 0.0)
+            table = np.column_stack([table, even])
 
         def work(texts):
             seen: dict[str, int] = {}
@@ -269,11 +272,12 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: list
                     scores.append(0.0)
                     gains.append(0.0)
                     continue
-                total = logs[own].sum(axis=0)
+                whole = logs[own].sum(axis=0)
+                total = whole[: len(languages)]
                 best = int(total.argmax())
                 langs.append(languages[best])
                 scores.append(min(1.0, float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())))
-                gains.append(float(total[best] / sizes[own].sum() + np.log(256)))
+                gains.append(float((total[best] - whole[-1]) / sizes[own].sum()))
             return [langs, scores, gains][: len(names)]
 
         return work

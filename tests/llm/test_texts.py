@@ -95,11 +95,11 @@ def test_pieces_of_any_length_count():
     assert len(language_id.read_pieces(vocabulary("byte_bpe_multi_50k.tiktoken"))) == 50_256
 
 
-def test_unlearned_scripts_lose_to_even_bytes(spark, language_model):
+def test_unlearned_scripts_lose_to_the_background(spark, language_model):
     texts = ["Мой дядя самых честных правил когда не в шутку занемог", "中文字符 没有 空格", "xqzjv kwpqx zzvqk jjxwq qqkzv", "the river and the hill were there", "das ding und der fluss"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: r for r in language_id.identify(df, language_model, names=("lang_pred", "score", "gain")).collect()}
-    assert all(found[i]["gain"] < 0 for i in (0, 1, 2)) and all(found[i]["gain"] > 0.5 for i in (3, 4))
+    assert all(found[i]["gain"] < 0 for i in (0, 1, 2)) and all(found[i]["gain"] > 0 for i in (3, 4))
     clash = df.withColumn("score", F.lit("old")).withColumn("id", F.lit(1))
     assert language_id.identify(clash, language_model).select("score").schema["score"].dataType.simpleString() == "double"
 
