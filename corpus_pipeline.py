@@ -14,8 +14,8 @@ from datavitals.session import shared_folder
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the corpus's languages: not `und`, with a posterior of one half or more, and likelier in that language than as
-    evenly drawn bytes, which texts in other scripts and keyboard noise are not.
+    """Documents in one of the corpus's languages: not `und`, with a posterior of one half or more, and likelier in that language than
+    in a background of equally likely pieces, which texts in other scripts and keyboard noise are not.
 
     Null, empty and letterless texts are `und` and go. Repeated rows and rows with null ids are judged like any other, long texts whole;
     columns with clashing names come back as they were. Of an empty table nothing is left."""
