@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,10 +49,14 @@ def unique_ratios(metrics: DataFrame, limit: int = 30) -> DataFrame:
 
 
 def _binned(v: Column, low: float, high: float, bins: int) -> Column:
-    """Zero-based equal-width bin; the largest value belongs to the last bin."""
-    if low == high:
+    """Zero-based equal-width bin, counted in whole widths from the least value; the largest value belongs to the last bin.
+    (`width_bucket` rounds in another order, and puts some values that lie on an edge one bin off.)"""
+    width = (high - low) / bins
+    if low == high or not width:   # one value, or a span too small to be parted
         return F.lit(0)
-    return F.least(F.width_bucket(v, F.lit(low), F.lit(high), F.lit(bins).cast("int")), F.lit(bins)).cast("int") - 1
+    if not math.isfinite(width):
+        return F.lit(None).cast("int")
+    return F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:

@@ -1,6 +1,8 @@
 """Each rule just below, at and above its thresholds."""
 
+import math
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F, types as T
 from datavitals import DriftReport, Roles, Scan
 from datavitals.functions.names import normalized_names
 from datavitals.functions.normalize import normalize_table, normalize_values
+from datavitals.operators.chartdata import histogram, overlay_histogram
 from datavitals.operators.profile import dtype_summary
 
 
@@ -170,3 +173,12 @@ def test_cardinality_drift_edges(spark):
     new = table(spark, 100, a=("int", lambda i: i % 22), b=("int", lambda i: i % 42), c=("string", lambda i: f"x {i % 21}"))
     got = {r["column"]: r["severity"] for r in DriftReport(base, new).issues.filter(F.col("drift_type") == "cardinality_drift").collect()}
     assert got == {"a": "warning", "b": "critical"}
+
+
+def test_histogram_counts_values_on_an_edge_in_whole_widths(spark):
+    values = [k / 10 for k in range(31)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    wanted = Counter(min(29, math.floor(v / (3.0 / 30))) for v in values)
+    assert {r["bin"]: r["n"] for r in histogram(df, "v").collect()} == wanted
+    both = {(r["dataset"], r["bin"]): r["n"] for r in overlay_histogram(df, df, "v", bins=30).collect()}
+    assert both == {(side, k): n for side in ("baseline", "new") for k, n in wanted.items()}
