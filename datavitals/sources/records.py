@@ -1,9 +1,9 @@
 """CSV records that span lines, read from files that stay split.
 
 Whether a line starts inside quotes depends on every line before it, but only through one bit. A line is therefore a function of that bit:
-most keep it, some set it, some turn it over. The functions of a split's lines are composed in order, giving one function a
-split; those are composed over a file's splits, and then every split knows how it starts and where its first record begins. Lines
-of a record that began in an earlier split go to it.
+most keep it, some set it, some turn it over. The functions of the lines of a chunk, a short stretch of a split, are composed in order,
+giving one function a chunk; those are composed over a split's chunks and a file's splits, and then every chunk knows how it starts and
+where its first record begins. Lines of a record that began in an earlier chunk go to it.
 
 Quotes count where the format lets them: a field is quoted if a quote is its first character, a doubled quote stands for one, and a
 quote inside an unquoted field is an ordinary character (a stray inch mark opens nothing)."""
@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from datavitals.session import stage
 
-BROADCAST_SPLITS = 100_000
+BROADCAST_CHUNKS = 100_000
+CHUNK_BITS = 11   # a chunk has up to 2,048 lines of a split
 
 
 def raw_lines(spark: SparkSession, path) -> DataFrame:
@@ -71,13 +72,13 @@ def _composed(rows: DataFrame, by: list[str], order: str, from_out: str, from_in
 def spanning_records(spark: SparkSession, path, sep: str) -> DataFrame:
     """(record, header): every record of the files, line breaks included; `header` marks the first one of a file.
 
-    Lines are dealt by split, so that as many tasks share a file as it has splits; only records of several lines, and
-    lines at the ends of splits, are gathered a second time."""
-    lines = raw_lines(spark, path).selectExpr("*", f"{ends_open('line', sep)} AS o")
+    Lines are dealt by chunk, so that no task has a whole split, let alone several; only records of several lines, and
+    lines at the ends of chunks, are gathered a second time."""
+    lines = raw_lines(spark, path).selectExpr("*", f"{ends_open('line', sep)} AS o", f"shiftright(id, {CHUNK_BITS}) AS chunk")
     # starting inside quotes is like starting outside with a quote put first
     quoted = "'\"' || line"
     lines = lines.selectExpr("*", f"CASE WHEN contains(line, '\"') THEN {ends_open(quoted, sep)} ELSE true END AS i")
-    by = ["file", "split"]
+    by = ["file", "split", "chunk"]
     lines = _composed(lines, by, "id", "o", "i")
     lines = lines.selectExpr("*", f"{_state('false', 'const', 'flips')} AS in0", f"{_state('true', 'const', 'flips')} AS in1")
     within = Window.partitionBy(*by).orderBy("id")
@@ -87,19 +88,40 @@ def spanning_records(spark: SparkSession, path, sep: str) -> DataFrame:
         "one1": F.expr("NOT in1") & F.coalesce(F.lead(F.expr("NOT in1")).over(within), F.lit(False)),
         "end0": F.expr("CASE WHEN in0 THEN i ELSE o END"), "end1": F.expr("CASE WHEN in1 THEN i ELSE o END")})
     lines = stage(lines.select("line", *by, "id", "rec0", "rec1", "one0", "one1", "end0", "end1"), "lines")
-    splits = lines.groupBy(*by).agg(
-        F.max_by("end0", "id").alias("end0"), F.max_by("end1", "id").alias("end1"), F.max("rec0").alias("rec0"), F.max("rec1").alias("rec1"))
-    splits = _composed(splits, ["file"], "split", "end0", "end1").selectExpr(*by, "rec0", "rec1", f"{_state('false', 'const', 'flips')} AS inside")
-    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("held", F.expr("CASE WHEN inside THEN rec1 ELSE rec0 END"))
-    splits = splits.withColumn("last", F.last(F.when(F.col("held") > 0, F.struct(F.col("split").alias("split"), F.col("held").alias("number"))), ignorenulls=True).over(earlier))
-    splits = stage(splits.select(*by, "inside", "last"), "splits")
-    few = splits.count() <= BROADCAST_SPLITS
-    lines = lines.join(F.broadcast(splits) if few else splits, by)
-    lines = lines.selectExpr("line", *by, "id", "last", "CASE WHEN inside THEN rec1 ELSE rec0 END AS number", "CASE WHEN inside THEN one1 ELSE one0 END AS one")
-    whole = lines.where("one").selectExpr("line AS record", "split = 0 AND number = 1 AS header")
+    chunks = stage(_chunk_starts(lines, by), "chunks")
+    few = chunks.count() <= BROADCAST_CHUNKS
+    lines = lines.join(F.broadcast(chunks) if few else chunks, by)
+    lines = lines.selectExpr(
+        "line", *by, "id", "last", "CASE WHEN inside THEN rec1 ELSE rec0 END AS number", "CASE WHEN inside THEN one1 ELSE one0 END AS one", "first")
+    whole = lines.where("one").selectExpr("line AS record", "first AND number = 1 AS header")
     parts = lines.where("NOT one").selectExpr(
-        "line", *by, "id", "CASE WHEN number > 0 THEN split ELSE last.split END AS home", "CASE WHEN number > 0 THEN number ELSE last.number END AS number")
-    gathered = parts.groupBy("file", "home", "number").agg(F.array_sort(F.collect_list(F.struct("split", "id", "line"))).alias("lines"))
-    joined = gathered.selectExpr("array_join(transform(lines, x -> x.line), '\n') AS record", "home = 0 AND number = 1 AS header")
+        "line", *by, "id", "CASE WHEN number > 0 THEN struct(split, chunk, number) ELSE last END AS home", "first AND number = 1 AS header")
+    gathered = parts.groupBy("file", "home").agg(
+        F.array_sort(F.collect_list(F.struct("split", "id", "line"))).alias("lines"), F.bool_or("header").alias("header"))
+    joined = gathered.selectExpr("array_join(transform(lines, x -> x.line), '\n') AS record", "header")
     return whole.unionByName(joined).selectExpr("rtrim('\r', record) AS record", "header").where("record <> ''")
+
+
+def _chunk_starts(lines: DataFrame, by: list[str]) -> DataFrame:
+    """(file, split, chunk, inside, last, first): whether each chunk starts inside quotes, the last record that began before it, and
+    whether it is its file's first. Chunks are composed over their split, splits over their file; no texts are read."""
+    chunks = lines.groupBy(*by).agg(
+        F.max_by("end0", "id").alias("end0"), F.max_by("end1", "id").alias("end1"), F.max("rec0").alias("rec0"), F.max("rec1").alias("rec1"))
+    chunks = _composed(chunks, ["file", "split"], "chunk", "end0", "end1")
+    chunks = chunks.selectExpr(*by, "end0", "end1", "rec0", "rec1", f"{_state('false', 'const', 'flips')} AS in0", f"{_state('true', 'const', 'flips')} AS in1")
+    ends = {f"end{k}": F.max_by(F.expr(f"CASE WHEN in{k} THEN end1 ELSE end0 END"), "chunk") for k in (0, 1)}
+    # the last record that began in the split, if the split starts outside or inside
+    began = {f"last{k}": F.max(F.expr(f"CASE WHEN CASE WHEN in{k} THEN rec1 ELSE rec0 END > 0 THEN struct(split, chunk, CASE WHEN in{k} THEN rec1 ELSE rec0 END AS number) END"))
+             for k in (0, 1)}
+    splits = chunks.groupBy("file", "split").agg(*[e.alias(n) for n, e in (ends | began).items()])
+    splits = _composed(splits, ["file"], "split", "end0", "end1").selectExpr("*", f"{_state('false', 'const', 'flips')} AS split_inside")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("split_last", F.last(F.expr("CASE WHEN split_inside THEN last1 ELSE last0 END"), ignorenulls=True).over(before))
+    chunks = chunks.join(splits.select("file", "split", "split_inside", "split_last"), ["file", "split"])
+    chunks = chunks.withColumn("inside", F.expr("CASE WHEN split_inside THEN in1 ELSE in0 END"))
+    chunks = chunks.withColumn("held", F.expr("CASE WHEN inside THEN rec1 ELSE rec0 END"))
+    of_split = Window.partitionBy("file", "split").orderBy("chunk")
+    own = F.last(F.expr("CASE WHEN held > 0 THEN struct(split, chunk, held AS number) END"), ignorenulls=True).over(
+        of_split.rowsBetween(Window.unboundedPreceding, -1))
+    return chunks.withColumns({"last": F.coalesce(own, "split_last"), "first": (F.col("split") == 0) & (F.row_number().over(of_split) == 1)}).select(
+        *by, "inside", "last", "first")

@@ -15,6 +15,7 @@ from datavitals.plans.facts import table_facts
 from datavitals.plans.options import ScanOptions
 from datavitals.plans.quantiles import SourceChanged, rank_values
 from datavitals.sources.readers import read_csv
+from datavitals.sources import records as sources_records
 from datavitals.sources.records import ends_open, spanning_records, survey
 
 
@@ -83,6 +84,24 @@ def test_records_span_lines_and_splits(spark, tmp_path, size, end):
     assert ("FileScan csv" in plan) == (size > 10_000)  # files of several splits are not read whole
 
 
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_lines_of_a_split_are_dealt_by_chunk(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(sources_records, "CHUNK_BITS", bits)
+    draw = random.Random(bits)
+    rows = [[str(i), "".join(draw.choice(["a", "b\nc", "\n\n\n\n\n", '"', ",", "\n\"\n"]) for _ in range(draw.randrange(5))) or "z"] for i in range(200)]
+    for k in range(2):
+        (tmp_path / f"part{k}.csv").write_text(written([["id", "two\nlines"], *rows[k::2]]))
+    for size in (200, 1 << 20):
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = spanning_records(spark, str(tmp_path), ",").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert [r["record"] for r in found if r["header"]] == ['id,"two\nlines"'] * 2
+        assert sorted(next(csv.reader(io.StringIO(r["record"], newline=""))) for r in found if not r["header"]) == sorted(rows)
+
+
 def test_a_stray_inch_mark_changes_nothing(spark, tmp_path):
     (tmp_path / "a.csv").write_text('size,n\n5" pipe,3\nflat 6",4\n')
     df = read_csv(spark, str(tmp_path))
