@@ -3,13 +3,14 @@
 import csv
 import io
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from datavitals import Scan
 from datavitals.functions.cells import positional
-from datavitals.functions.times import time_formats
+from datavitals.functions.times import mask, time_formats
 from datavitals.operators.remediation import apply_issue_fix
 from datavitals.plans.facts import table_facts
 from datavitals.plans.options import ScanOptions
@@ -141,6 +142,14 @@ def test_one_way_of_writing_a_column(spark):
     assert found["c3"] == "d.M.yyyy H:mm"  # three of three against two
 
 
+def test_masks_take_no_regular_expressions(spark):
+    texts = ["3/14/2024", "12/1/24 5:06", "2024-1-2 03:04:05.123456", "Jan 5, 2024", "1", "12", "123", "1234", "1234567", "12345678", "é1Ä²x", "\x019-\x02-\x03", "", None]
+    got = [r["m"] for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(f"{mask('t')} AS m").collect()]
+    plain = lambda t: re.sub("(?<!9)9(?!9)", "99", re.sub("[0-9]", "9", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[\x01-\x03]", "?", t)))))
+    assert got == [None if t is None else plain(t) for t in texts]
+    assert "regexp" not in mask("t")
+
+
 def test_dates_in_other_orders_raise_the_issue_and_are_fixed(spark):
     df = spark.range(40).selectExpr("concat(id % 12 + 1, '/', id % 28 + 1, '/', 2000 + id) AS created_at", "id % 3 AS k")
     issue = Scan(df).issues.where("issue_type = 'suspicious_timestamp_granularity'").first()
