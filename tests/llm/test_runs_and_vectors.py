@@ -305,3 +305,17 @@ def test_a_megabyte_of_one_letter(spark):
     df = spark.createDataFrame([(1, "a" * 1_200_000), (2, "b" * 399), (3, "a" * 400)], "doc_id long, text string")
     got = suffix_dedup.without_repeats(df).select("id", "n_bytes", "n_removed", F.length("kept").alias("kept")).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, 1_200_000, 1_200_000, 0), (2, 399, 0, 399), (3, 400, 400, 0)]
+
+
+def test_the_query_shows_the_text_that_is_left(spark, tmp_path):
+    words = lambda k, n: " ".join(f"w{k}x{(k * 7919 + i * 104729) % 99991}" for i in range(n))
+    passage = words(99, 60)
+    assert len(passage) > 400
+    rows = [(1, words(1, 30) + " " + passage + " " + words(2, 30)), (2, words(3, 40) + " " + passage), (3, words(4, 90)), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op13_suffix_dedup"](spark, str(tmp_path)).collect()}
+    for doc in (1, 2):
+        assert passage not in got[doc]["text"] and got[doc]["n_removed"] >= len(passage)
+    assert got[3]["text"] == rows[2][1] and got[4]["text"] == "" and got[3]["n_removed"] == 0
+    for r in got.values():
+        assert r["kept_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest() and len(r["text"]) == r["n_bytes"] - r["n_removed"]
