@@ -2,8 +2,9 @@
 
 Each side is scanned for its facts. Distinct counts and category shifts of both sides come from
 one tagged frequency table: the sides are unioned before grouping, so comparing them needs one
-shuffle and no join, and a hot category is combined map-side. Numeric drift counts rows below
-the baseline's decile edges, which is a plain aggregate and shuffles nothing."""
+shuffle and no join, and a hot category is combined map-side. Numeric drift reads the same table of
+the numeric columns (plans/numbers.py): quantiles, the rows between the baseline's decile edges and
+distinct counts take one pass over the rows."""
 
 from __future__ import annotations
 
@@ -15,11 +16,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from datavitals.functions.cells import SHORT_TEXT, Field, cell, fields_of, positional, quoted, rounded
 from datavitals.functions.normalize import normalize_table
 from datavitals.operators.scoring import DRIFT_LABELS, DRIFT_POINTS, SEVERITY_RANK, banded, clamped, points
-from datavitals.plans.facts import QUARTILES, TableFacts, add_quantiles, first_facts, logical_dtype
-from datavitals.plans.frequency import as_text, has_value, slot_struct, slots_of
+from datavitals.plans.facts import QUARTILES, TableFacts, first_facts, logical_dtype
+from datavitals.plans.frequency import as_text, slots_of
 from datavitals.plans.labels import keyed, with_labels
+from datavitals.plans.numbers import counted_bins, number_counts, range_sums, tagged_counts, values_at
 from datavitals.plans.options import ScanOptions
-from datavitals.plans.quantiles import number
+from datavitals.plans.quantiles import between, number, ranks
 from datavitals.plans.together import together
 from datavitals.session import stage
 
@@ -58,7 +60,7 @@ def bin_of(c: str, edges: list[float], first: int = 0) -> str:
 
 
 def binned(sides, fields, inner: dict[str, list[float]]) -> DataFrame:
-    """Rows (side, place, n): counted cells by side and place, 11 places a column in the order of `inner`."""
+    """Rows (side, place, n): cells counted from the rows by side and place, 11 places a column in the order of `inner`."""
     both = None
     for side in (0, 1):
         places = []
@@ -106,16 +108,38 @@ class DriftReport:
         """Plain aggregates of both sides."""
         return tuple(together(self.spark, *[lambda d=d: first_facts(d, self.options) for d in self.sides]))
 
+    @cached_property
+    def numbers(self) -> list[tuple[list[str], DataFrame, dict]]:
+        """Columns that are numbers on either side, a part of them at a time, with their counted values and the sums of their ranges."""
+        names = [n for n in self.all_names if any(n in f and f[n].numeric for f in self.fields)]
+        out = []
+        for start in range(0, len(names), self.options.chunk):
+            part = names[start:start + self.options.chunk]
+            counts = number_counts(self.sides, self.fields, part)
+            out.append((part, counts, range_sums(counts)))
+        return out
+
     @cached_property
     def facts(self) -> tuple[TableFacts, TableFacts]:
         """The same with quantiles; the baseline's deciles are the edges of the PSI bins."""
         probs = (tuple(sorted({*QUARTILES, *DECILES})), QUARTILES)
-        together(self.spark, *[lambda s=s: self._quantiles(s, probs[s]) for s in (0, 1)])
+        for names, counts, sums in self.numbers:
+            wanted = {}
+            for i, n in enumerate(names):
+                for side, facts in enumerate(self.counted):
+                    f = self.fields[side].get(n)
+                    present = facts.of(f, "present") if f is not None and f.numeric else 0
+                    if sum(r["nc" if side else "nb"] for r in sums.get(i, [])) != present:
+                        raise ValueError(f"column {n}: the source changed while it was read; stage the table first")
+                    if present:
+                        wanted[i, side] = (f.ord, [ranks(present, p) for p in probs[side]])
+            at = values_at(counts, sums, {k: [r for low, high, _ in asked for r in (low, high)] for k, (_, asked) in wanted.items()})
+            for (i, side), (o, asked) in wanted.items():
+                value = at[i, side]
+                self.counted[side].quantiles[o] = {
+                    p: between(value[low], value[high], weight) for p, (low, high, weight) in zip(probs[side], asked, strict=True)}
         return self.counted
 
-    def _quantiles(self, side: int, probs: tuple[float, ...]) -> None:
-        add_quantiles(self.sides[side], self.counted[side], probs, self.options)
-
     def _shift(self, names: list[str]) -> dict[str, dict]:
         """Columns with long texts apart: they are counted by digest, and few labels are fetched."""
         found = {}
@@ -137,32 +161,39 @@ class DriftReport:
 
     @cached_property
     def uniques(self) -> dict[str, dict]:
-        """Distinct counts of the numeric columns."""
-        return self._shift(self.numeric)
+        """Distinct counts of the numeric columns, from their counted values if there are any."""
+        if "numbers" not in self.__dict__:
+            return self._shift(self.numeric)
+        both = set(self.numeric)
+        return {
+            n: {name: sum(r[u] for r in sums[i]) for name, u in (("baseline_unique", "ub"), ("new_unique", "uc"))}
+            for names, _, sums in self.numbers for i, n in enumerate(names) if n in both and i in sums
+        }
 
     def _collect(self, numeric: bool, shifts: bool, uniques: bool) -> None:
-        """Run the passes still missing; distributions and frequencies side by side."""
+        """Run the passes still missing; numbers and categories side by side."""
         self.counted
-        jobs = [lambda: self.bins] if numeric else []
+        jobs = [lambda: (numeric and self.bins, uniques and self.uniques)] if numeric or uniques else []
         jobs += [lambda: self.shifts] if shifts or uniques else []
-        jobs += [lambda: self.uniques] if uniques else []
         together(self.spark, *jobs)
 
     @cached_property
     def bins(self) -> dict[str, tuple[list[int], list[int]]]:
-        """Rows of each side per PSI bin, for all columns at once: each cell becomes the number of its bin, and (side, column, bin)
-        is counted. Map-side combining leaves at most 11 rows a column, side and task to shuffle."""
-        inner = {}
-        for n in self.numeric:
-            b, c = self._pair(n)
-            fb, fc = self.facts[0].values[b.ord], self.facts[1].values[c.ord]
-            if fb["present"] and fc["present"]:
-                inner[n] = psi_edges(fb, fc, [self.facts[0].quantiles[b.ord][p] for p in DECILES])
-        if not inner:
-            return {}
-        out = {n: ([0] * (len(edges) + 1), [0] * (len(edges) + 1)) for n, edges in inner.items()}
-        for row in binned(self.sides, self.fields, inner).collect():
-            out[list(inner)[row["place"] // MOST_BINS]][row["side"]][row["place"] % MOST_BINS] = row["n"]
+        """Rows of each side per PSI bin, read off the counted values."""
+        facts, out = self.facts, {}
+        for names, counts, _ in self.numbers:
+            inner = {}
+            for i, n in enumerate(names):
+                if n not in self.shared or not all(f.numeric for f in self._pair(n)):
+                    continue
+                b, c = self._pair(n)
+                fb, fc = facts[0].values[b.ord], facts[1].values[c.ord]
+                if fb["present"] and fc["present"]:
+                    inner[i] = psi_edges(fb, fc, [facts[0].quantiles[b.ord][p] for p in DECILES])
+            out |= {names[i]: ([0] * (len(edges) + 1), [0] * (len(edges) + 1)) for i, edges in inner.items()}
+            for row in counted_bins(counts, inner).collect() if inner else []:
+                for side, s in enumerate(("nb", "nc")):
+                    out[names[row["ord"]]][side][row["bin"]] = row[s]
         return out
 
     # tables: projections of one small relation ------------------------------------------------
@@ -341,22 +372,11 @@ PAIRS = pa.schema([
 
 
 def shift_table(sides, fields, wanted, categorical: set[str], facts, options: ScanOptions) -> DataFrame:
-    kinds = [
-        ["label" if n in categorical else fields[side][n].slot for n in wanted] for side in (0, 1)
-    ]
-    slots = slots_of({*kinds[0], *kinds[1]})
-    tagged = None
-    for side in (0, 1):
-        entries = []
-        for i, n in enumerate(wanted):
-            f = fields[side][n]
-            value = as_text(f, f.pos) if n in categorical else f.pos
-            entries.append(slot_struct(i, kinds[side][i], value, slots))
-        part = positional(sides[side]).selectExpr(f"inline(array({', '.join(entries)}))").selectExpr("*", f"{side} AS side")
-        tagged = part if tagged is None else tagged.unionByName(part)
-    freq = tagged.filter(has_value(slots)).groupBy("ord", *slots).agg(
-        F.expr("count_if(side = 0)").alias("nb"), F.expr("count_if(side = 1)").alias("nc")
-    )
+    entries = tuple(
+        [(i, "label", as_text(f, f.pos)) if n in categorical else (i, f.slot, f.pos) for i, n in enumerate(wanted) for f in [fields[side][n]]]
+        for side in (0, 1))
+    slots = slots_of({kind for side in entries for _, kind, _ in side})
+    freq = tagged_counts(sides, entries, slots)
     uniques = {"baseline_unique": "count_if(nb > 0)", "new_unique": "count_if(nc > 0)"}
     if not categorical & set(wanted):
         return freq.groupBy("ord").agg(*[F.expr(e).alias(k) for k, e in uniques.items()])
