@@ -115,10 +115,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    # strings of 400 bytes are removed; passages of 50 words that repeat across documents are often shorter and are counted
+    made = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), words=50)
     # the text that is left, with replacement characters where a cut parted a character's bytes; the digest is of the bytes themselves
     text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
-    return made.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text)
+    return made.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text, "n_shared")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -23,6 +23,10 @@ task, in bounded buckets of cores; a core with more contexts than `most_contexts
 the shuffle. Shuffled joins carry texts; a text with many copies, of which there are no more than a set number, is dealt over as many tasks
 as its count asks for, and what it is joined to goes to each.
 
+Passages that are repeated but shorter than `length` bytes stay in their texts. `words` asks for them to be counted (`shared_runs`): a window of so many
+words belongs to an anchor in its first half, as above, and the run of words from the anchor on that lies in all its windows is looked up among
+the other rows. Every passage of `words` words that two rows have shows in both; only hashes are shuffled.
+
 Matches never cross texts. Strings are judged on the input, overlaps count. Null is an empty text; texts shorter than `length` stay whole.
 Repeated rows are copies of each other, null ids are carried along, an empty table gives an empty result, extra columns are ignored. What
 is left of a text need not be valid UTF-8, as bytes are removed."""
@@ -299,6 +303,65 @@ def covered(docs: DataFrame, hot: DataFrame, length: int, reach: int, piece: int
     return out
 
 
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The start of each word [^\\x20\\x09-\\x0D]+ and its hash."""
+    blank = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13)), [True]])
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    size = ends - starts
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size.max() - 1, 0x9E3779B97F4A7C15, np.uint64)]))
+        letters = (data[~blank[1:-1]].astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = np.add.reduceat((letters ^ letters >> np.uint64(31)) * power[inside], np.cumsum(size) - size)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return starts, x ^ x >> np.uint64(31)
+
+
+def sampled_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the sampled runs of words in the texts data[start:end], each once a text. Texts are not to touch."""
+    reach = words // 2
+    size = words - reach + 1
+    at, word = word_hashes(data)
+    first, last = np.searchsorted(at, starts), np.searchsorted(at, ends)
+    with np.errstate(over="ignore"):
+        run = np.zeros(len(word), np.uint64)
+        for k in range(min(size, len(word))):
+            run = run * np.uint64(0x9E3779B97F4A7C15) + np.append(word[k:], np.zeros(k, np.uint64))
+    texts, found = [], []
+    for text in np.flatnonzero(last - first >= words).tolist():
+        b, e = first[text], last[text] - words + 1      # window starts
+        keys = word[b:e + reach - 1] >> np.uint64(32) << np.uint64(32) | np.arange(e + reach - 1 - b, dtype=np.uint64)
+        place = np.unique(least_places(keys, reach)[:e - b] & np.uint64(0xFFFFFFFF)).astype(np.int64) + b
+        mine = np.unique(run[place])
+        texts.append(np.full(len(mine), text))
+        found.append(mine)
+    return (np.concatenate(texts), np.concatenate(found)) if texts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def shared_runs(docs: DataFrame, words: int) -> DataFrame:
+    """Rows (d1, d2, shared): how many sampled runs of a text another row has too. Copies of a text meet before the shuffle."""
+    if words < 2:
+        raise ValueError("passages of two words at least")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part in slices(batch, 2):
+                texts = part.column(2).to_pylist()
+                size = np.array([len(t) for t in texts])
+                ends = np.cumsum(size + 1) - 1
+                text, found = sampled_runs(np.frombuffer(b" ".join(texts), np.uint8), ends - size, ends, words)
+                keys = np.stack([found.view(np.int64), *(part.column(i).to_numpy()[text] for i in (0, 1))])
+                kept, n = np.unique(keys, axis=1, return_counts=True) if len(found) else (keys, np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([*[pa.array(k) for k in kept], pa.array(n.astype(np.int64))], names=["run", "d1", "d2", "n"])
+
+    rows = docs.select("d1", "d2", "text").mapInArrow(run, "run long, d1 long, d2 long, n long")
+    rows = rows.withColumn("all", F.sum("n").over(Window.partitionBy("run"))).where("all > 1")
+    return rows.groupBy("d1", "d2").agg(F.count_distinct("run").alias("shared"))
+
+
 def islands(stretches: DataFrame) -> DataFrame:
     """Overlapping and touching stretches of a text made one."""
     text = Window.partitionBy("d1", "d2")
@@ -309,8 +372,11 @@ def islands(stretches: DataFrame) -> DataFrame:
     return rows.groupBy("d1", "d2", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 400, reach: int | None = None, most_contexts: int = 100_000) -> DataFrame:
-    """One row for each row: id, n_bytes, n_removed, n_spans (longest removed stretches) and kept, the bytes that remain."""
+def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 400, reach: int | None = None, most_contexts: int = 100_000,
+                    words: int | None = None) -> DataFrame:
+    """One row for each row: id, n_bytes, n_removed, n_spans (longest removed stretches) and kept, the bytes that remain. With
+    `words` also n_shared: sampled runs of more than half as many words that other rows have too, removed or not; one at least in
+    every passage of that many words."""
     if length < 2:
         raise ValueError("strings of two bytes at least")
     reach = length // 2 if reach is None else reach
@@ -320,8 +386,13 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", lengt
     docs, hot = dealt(docs)
     stretches = covered(docs, hot, length, reach, piece, most_contexts)
     cuts = islands(stretches).groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-    joined = docs.join(to_parts(cuts, hot).hint("shuffle_hash"), ["d1", "d2", "part"], "left").select("id", "text", "cuts")
+    more = []
+    if words is not None:
+        cuts = cuts.join(shared_runs(docs, words), ["d1", "d2"], "full")
+        more = [F.coalesce("shared", F.lit(0)).cast("long").alias("n_shared")]
+    joined = docs.join(to_parts(cuts, hot).hint("shuffle_hash"), ["d1", "d2", "part"], "left").select("id", "text", "cuts", *more)
     id_type = df.schema[id].dataType.simpleString()
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared"][:5 + len(more)]
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -337,6 +408,7 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", lengt
                     made.append((len(t), len(t) - len(kept), spans, kept))
                 columns = zip(*made, strict=True)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made, *part.columns[3:]], names=names)
 
-    return joined.mapInArrow(cut, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(cut, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary" + ", n_shared long" * len(more))

@@ -1,6 +1,7 @@
 """Periodic runs, whitening and byte-level removal of repeats, each against brute force."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -319,3 +320,27 @@ def test_the_query_shows_the_text_that_is_left(spark, tmp_path):
     assert got[3]["text"] == rows[2][1] and got[4]["text"] == "" and got[3]["n_removed"] == 0
     for r in got.values():
         assert r["kept_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest() and len(r["text"]) == r["n_bytes"] - r["n_removed"]
+
+
+def test_short_passages_that_repeat_across_documents_are_counted(spark, tmp_path):
+    """Passages of 50 words and under 400 bytes stay by the 400-byte rule; n_shared tells the documents that have one."""
+    draw = random.Random(13)
+    text = lambda n: [f"{draw.choice('bdfgklmnprst')}{draw.choice('aeiou')}{draw.randrange(1000)}" for _ in range(n)]
+    rows, planted = [], set()
+    for i in range(60):
+        passage = text(50 + i % 12)
+        assert len(" ".join(passage)) < 400
+        for k in (0, 1):
+            before = text(draw.randrange(80))
+            words = before + passage + text(draw.randrange(80))
+            rows.append((1000 * k + i, draw.choice([" ", "\n", "\t"]).join(words)))
+            planted.add(1000 * k + i)
+    rows += [(5000 + i, " ".join(text(draw.randrange(200)))) for i in range(60)]
+    own = " ".join(text(52))
+    rows += [(6000, own + " . " + own), (6001, None), (6002, " ".join(text(20) * 4)), (None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op13_suffix_dedup"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and {r["doc_id"] for r in got if r["n_shared"]} == planted
+    assert all(r["n_removed"] == 0 for r in got)
+    copies = spark.createDataFrame([(1, own), (2, own), (3, " ".join(text(60)))], "doc_id long, text string")
+    assert {r["id"]: r["n_shared"] > 0 for r in suffix_dedup.without_repeats(copies, words=50).collect()} == {1: True, 2: True, 3: False}
